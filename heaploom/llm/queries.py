@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, sharding, warc
+from . import bpe, licenses, pii, sharding, warc
 from .common import table
 
 
@@ -33,6 +33,23 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+
+    def listed(column: F.Column) -> F.Column:
+        return F.array_join(F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def rank(span: F.Column) -> F.Column:
+        return F.struct(F.array_position(F.lit(list(pii.KINDS)), span["kind"]), span["start"], span["end"], span["kind"].alias("kind"))
+
+    def count(kind: str) -> F.Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in pii.KINDS]
+    everything = F.array_sort(F.transform(F.concat("base", "added"), rank))
+    return pii.find_pii(docs).select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(everything).alias("spans"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return warc.round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -52,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op4_licenses": op4_licenses,
     "op5_sharding": op5_sharding,
+    "op9_pii": op9_pii,
     "op10_warc": op10_warc,
 }
 ORACLE_SQL: dict[str, str] = {"op10_warc": OP10_SQL}
