@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, licenses, pii, sharding, warc
+from . import bpe, decontaminate, licenses, pii, sharding, vectors, warc
 from .common import table
 
 
+def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.link_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), 0.95)
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.decode(bpe.encode(docs)).select(
@@ -100,6 +104,7 @@ FROM f
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embeddings": op1_embeddings,
     "op2_bpe": op2_bpe,
     "op3_decontaminate": op3_decontaminate,
     "op4_licenses": op4_licenses,
