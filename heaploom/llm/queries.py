@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, licenses, pii, sharding, toxicity, vectors, warc
+from . import bpe, decontaminate, licenses, near_dup, pii, sharding, toxicity, vectors, warc
 from .common import table
 
 
@@ -71,6 +71,11 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dup.near_duplicates(docs).select("doc_id", "cluster_id", "kept")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.learn(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
@@ -115,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_licenses": op4_licenses,
     "op5_sharding": op5_sharding,
+    "op6_minhash": op6_minhash,
     "op8_toxicity": op8_toxicity,
     "op9_pii": op9_pii,
     "op10_warc": op10_warc,
