@@ -192,3 +192,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = WINDOW,
     out = cut(out)
     index.drop()
     return out
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, with all their columns, without a word in a benchmark window."""
+    hit = contamination(docs, benchmark, id_col=id_col, text_col=text_col, **options).where("n_hit > 0").select(F.col("row").alias("hit_row"))
+    names = docs.columns
+    place = "row_" + "_".join(names)  # a name that no column has
+    return docs.withColumn(place, F.monotonically_increasing_id()).join(_sized(hit, hit.count()), F.col(place) == F.col("hit_row"), "left_anti").select(*names)

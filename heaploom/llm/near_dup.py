@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -122,13 +122,13 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
 
-def _verify(pairs: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
-    """Of pairs (a, b) of nodes those whose texts align."""
+def _verify(pairs: DataFrame, sequences: DataFrame, test: Callable[[np.ndarray, np.ndarray], bool]) -> DataFrame:
+    """Of pairs (a, b) of nodes those whose sequences (node, sequence: 32-bit numbers) pass the test."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             one, two = batch.column("x"), batch.column("y")
-            ok = [similar(np.frombuffer(one[k].as_buffer(), np.uint32), np.frombuffer(two[k].as_buffer(), np.uint32), least) for k in range(batch.num_rows)]
+            ok = [test(np.frombuffer(one[k].as_buffer(), np.uint32), np.frombuffer(two[k].as_buffer(), np.uint32)) for k in range(batch.num_rows)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     left = sequences.select(F.col("node").alias("a"), F.col("sequence").alias("x"))
@@ -136,6 +136,44 @@ def _verify(pairs: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
     return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"))
 
 
+def link_buckets(
+    classes: DataFrame, sequences: Callable[[DataFrame], DataFrame], test: Callable[[np.ndarray, np.ndarray], bool], *, least: float, agree: int
+) -> DataFrame:
+    """(node, component) of the classes that link, from buckets, without the pairs inside a group.
+
+    ``classes``: node, size and sketches (an array of numbers); classes that have a number in one place
+    share a bucket.  Each is compared with its bucket's first member only, so a bucket of
+    any size gives a line of pairs, not a square.  Buckets that then still hold several components get
+    all pairs between their components whose sizes fit ``least`` and that share ``agree`` buckets;
+    pairs inside a component would change nothing.  ``sequences`` gives the sequences of the nodes
+    (a column) it is called with, on which ``test`` decides.
+    """
+    members = classes.where("size > 0").select("node", F.posexplode("sketches").alias("band", "value"))
+    buckets = sized(members.groupBy("band", "value").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    shared = cut(members.join(buckets, ["band", "value"]))
+    first = cut(shared.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return _verify(pairs, sequences(sized(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())), test)
+
+    links = verified(first)
+    component = sized(connected_components(links).select("node", "component"))
+    placed = shared.select("band", "value", "node").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # Members outside a bucket's largest component meet all members of its others.
+    parts = placed.groupBy("band", "value", "component").agg(F.count(F.lit(1)).alias("n"))
+    several = sized(parts.groupBy("band", "value").agg(F.max_by("component", "n").alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts"))
+    open_ = cut(placed.join(several, ["band", "value"]).join(classes.select("node", "size", "sketches"), "node"))
+    columns = ("node", "component", "size", "sketches")
+    x = open_.where("component <> main").select("band", "value", *(F.col(c).alias(f"{c}1") for c in columns))
+    y = open_.select(F.col("band").alias("band2"), F.col("value").alias("value2"), "main", *(F.col(c).alias(f"{c}2") for c in columns))
+    both = F.size(F.filter(F.zip_with("sketches1", "sketches2", lambda p, q: p == q), lambda e: e))
+    once = (F.col("component1") != F.col("component2")) & ((F.col("component2") == F.col("main")) | (F.col("component1") > F.col("component2")))
+    alike = once & (F.least("size1", "size2") >= least * F.greatest("size1", "size2")) & (both >= agree)
+    rest = x.join(y, (F.col("band") == F.col("band2")) & (F.col("value") == F.col("value2")) & alike)
+    rest = cut(rest.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
+    return sized(connected_components(links.unionByName(verified(rest))))
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """Group documents that are equal, or alike to ``least`` or more by alignment of word 5-mers.
 
@@ -175,13 +213,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         rows.withColumn("content", content_key(F.col("text"))).mapInArrow(sketch, f"row long, doc_id {id_type}, content binary, size int, sketches array<long>")
     )
     classes = cut(sketched.groupBy("content").agg(F.min("row").alias("node"), F.first("size").alias("size"), F.first("sketches").alias("sketches")).select("node", "content", "size", "sketches"))
-    members = classes.where("size > 0").select("node", F.posexplode("sketches").alias("band", "value"))
-    buckets = sized(members.groupBy("band", "value").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
-    shared = cut(members.join(buckets, ["band", "value"]))
-    first = cut(shared.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
 
-    def sequences(pairs: DataFrame) -> DataFrame:
-        """The labelled 5-mers of the classes that stand in pairs, as 32-bit numbers."""
+    def sequences(nodes: DataFrame) -> DataFrame:
+        """The labelled 5-mers of whole texts, as 32-bit numbers."""
 
         def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table: dict[bytes, int] = {}
@@ -189,25 +223,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 out = [labelled(kmers(word_hashes(t or "", table))).astype(np.uint32).tobytes() for t in batch.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.binary())], names=["node", "sequence"])
 
-        wanted = sized(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct())
+        wanted = nodes.withColumnRenamed("node", "row")
         return cut(rows.select("row", "text").join(wanted, "row", "left_semi").mapInArrow(spell, "node long, sequence binary"))
 
-    links = _verify(first, sequences(first), least)
-    component = sized(connected_components(links).select("node", "component"))
-    placed = shared.select("band", "value", "node").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    # Buckets with several components; in each, members outside its largest component meet all others.
-    parts = placed.groupBy("band", "value", "component").agg(F.count(F.lit(1)).alias("n"))
-    several = sized(parts.groupBy("band", "value").agg(F.max_by("component", "n").alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts"))
-    open_ = cut(placed.join(several, ["band", "value"]).join(classes.select("node", "size", "sketches"), "node"))
-    x = open_.where("component <> main").select("band", "value", *(F.col(c).alias(f"{c}1") for c in ("node", "component", "size", "sketches")))
-    y = open_.select(F.col("band").alias("band2"), F.col("value").alias("value2"), "main", *(F.col(c).alias(f"{c}2") for c in ("node", "component", "size", "sketches")))
-    agree = F.size(F.filter(F.zip_with("sketches1", "sketches2", lambda p, q: p == q), lambda e: e))
-    once = (F.col("component1") != F.col("component2")) & ((F.col("component2") == F.col("main")) | (F.col("component1") > F.col("component2")))
-    alike = once & (F.least("size1", "size2") >= least * F.greatest("size1", "size2")) & (agree >= AGREE)
-    rest = x.join(y, (F.col("band") == F.col("band2")) & (F.col("value") == F.col("value2")) & alike)
-    rest = cut(rest.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
-    more = _verify(rest, sequences(rest), least)
-    component = sized(connected_components(links.unionByName(more)))
+    component = link_buckets(classes, sequences, lambda a, b: similar(a, b, least), least=least, agree=AGREE)
 
     grouped = classes.select("content", "node").join(component, "node", "left").select("content", F.coalesce("component", "node").alias("cluster"))
     found = cut(sketched.select("row", "doc_id", "content").join(cut(grouped), "content").select("row", "doc_id", "cluster"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, licenses, near_dup, pii, sharding, toxicity, vectors, warc
+from . import bpe, decontaminate, licenses, near_dup, passages, pii, sharding, toxicity, vectors, warc
 from .common import table
 
 
@@ -76,6 +76,10 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(docs).select("doc_id", "cluster_id", "kept")
 
 
+def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.learn(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
@@ -121,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_licenses": op4_licenses,
     "op5_sharding": op5_sharding,
     "op6_minhash": op6_minhash,
+    "op7_passages": op7_passages,
     "op8_toxicity": op8_toxicity,
     "op9_pii": op9_pii,
     "op10_warc": op10_warc,
