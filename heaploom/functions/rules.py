@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Libraries whose objects only administer the program (fixed values).
 _LIBRARIES = r"(typing|copyreg|copy|contextlib|abc|ast)\."
@@ -38,7 +39,7 @@ def module_value(name: Column) -> Column:
     return F.concat(F.lit("module "), name)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def bytes_value(data: pd.Series) -> pd.Series:
     """Bytes as Python writes them, cut after 1000 of them."""
     return data.map(lambda b: None if b is None else repr(bytes(b[:1000])) + ("...<truncated>" if len(b) > 1000 else ""))
