@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_JAVA, cut, fresh_path, remove
+from .common import WORD_JAVA, content_key, cut, fresh_path, remove
 
 WINDOW = 10
 #: Vocabularies and anchor lists of at most so many rows are broadcast (each row is a term and
@@ -196,7 +196,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = WINDOW,
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, with all their columns, without a word in a benchmark window."""
-    hit = contamination(docs, benchmark, id_col=id_col, text_col=text_col, **options).where("n_hit > 0").select(F.col("row").alias("hit_row"))
     names = docs.columns
-    place = "row_" + "_".join(names)  # a name that no column has
-    return docs.withColumn(place, F.monotonically_increasing_id()).join(_sized(hit, hit.count()), F.col(place) == F.col("hit_row"), "left_anti").select(*names)
+    place = "content_" + "_".join(names)  # a name that no column has
+    keyed = docs.withColumn(place, content_key(F.col(text_col)))
+    # Decisions follow the text, so they come back by its content: a second reading may deal rows differently.
+    found = contamination(keyed, benchmark, id_col=place, text_col=text_col, **options)
+    hit = cut(found.where("n_hit > 0").select(F.col("doc_id").alias("hit_content")).distinct())
+    return keyed.join(_sized(hit, hit.count()), F.col(place) == F.col("hit_content"), "left_anti").select(*names)

@@ -22,6 +22,11 @@ K, SIMILARITY = 5, 0.8
 SKETCHES, SAMPLED = 12, 3
 #: Pairs that do not meet through a bucket's first member must agree in so many sketches.
 AGREE = 2
+#: Bins of the estimate that such pairs must pass, and the least estimate.  At similarity 0.8 it lies four
+#: standard deviations lower; it only spares alignments of texts that share a passage.
+BINS, LEAST_ESTIMATE = 64, 0.6
+#: Words whose hashes a task remembers, and rows that it hands back to Spark at once.
+TABLE_WORDS, OUT_ROWS = 100_000, 500
 _WORDS = re.compile(WORD_BYTES)
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -34,7 +39,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(text: str, table: dict[bytes, int]) -> np.ndarray:
-    if len(table) > 500_000:
+    if len(table) > TABLE_WORDS:
         table.clear()
     words = _WORDS.findall(text.encode().lower())
     for w in words:
@@ -84,6 +89,14 @@ def sketches(x: np.ndarray, number: int = SKETCHES, sampled: int = SAMPLED) -> n
     return value
 
 
+def minima(x: np.ndarray, bins: int = BINS) -> np.ndarray:
+    """Seven bits of the least k-mer in each of ``bins`` bins (one-permutation MinHash); -1 for an empty bin."""
+    out = np.full(bins, np.iinfo(np.uint64).max, np.uint64)
+    rank = mix(x ^ _M2)
+    np.minimum.at(out, (rank & np.uint64(bins - 1)).astype(np.int64), rank >> np.uint64(8))
+    return np.where(out == np.iinfo(np.uint64).max, -1, (out & np.uint64(127)).astype(np.int64)).astype(np.int8)
+
+
 def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
     """The most labelled k-mers that two texts share in the same order, none shifted by more than ``band``.
 
@@ -118,8 +131,13 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     return aligned(a, b, int(n - 2 * need) + 1) >= need - 1e-9
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+def whole_texts(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
+    """(content, text) of the wanted contents, each once.
+
+    Texts are found by their content, not by a number of their row: a second reading may deal rows differently.
+    """
+    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("content", content_key(F.col("text")))
+    return texts.join(wanted.select("content"), "content", "left_semi").groupBy("content").agg(F.first("text").alias("text"))
 
 
 def _verify(pairs: DataFrame, sequences: DataFrame, test: Callable[[np.ndarray, np.ndarray], bool]) -> DataFrame:
@@ -141,11 +159,11 @@ def link_buckets(
 ) -> DataFrame:
     """(node, component) of the classes that link, from buckets, without the pairs inside a group.
 
-    ``classes``: node, size and sketches (an array of numbers); classes that have a number in one place
-    share a bucket.  Each is compared with its bucket's first member only, so a bucket of
+    ``classes``: node, size, sketches (an array of numbers) and bins (see :func:`minima`); classes that have a
+    number in one place share a bucket.  Each is compared with its bucket's first member only, so a bucket of
     any size gives a line of pairs, not a square.  Buckets that then still hold several components get
-    all pairs between their components whose sizes fit ``least`` and that share ``agree`` buckets;
-    pairs inside a component would change nothing.  ``sequences`` gives the sequences of the nodes
+    all pairs between their components whose sizes fit ``least``, that share ``agree`` buckets and whose bins
+    estimate LEAST_ESTIMATE; pairs inside a component would change nothing.  ``sequences`` gives the sequences of the nodes
     (a column) it is called with, on which ``test`` decides.
     """
     members = classes.where("size > 0").select("node", F.posexplode("sketches").alias("band", "value"))
@@ -162,13 +180,16 @@ def link_buckets(
     # Members outside a bucket's largest component meet all members of its others.
     parts = placed.groupBy("band", "value", "component").agg(F.count(F.lit(1)).alias("n"))
     several = sized(parts.groupBy("band", "value").agg(F.max_by("component", "n").alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts"))
-    open_ = cut(placed.join(several, ["band", "value"]).join(classes.select("node", "size", "sketches"), "node"))
-    columns = ("node", "component", "size", "sketches")
+    open_ = cut(placed.join(several, ["band", "value"]).join(classes.select("node", "size", "sketches", "bins"), "node"))
+    columns = ("node", "component", "size", "sketches", "bins")
     x = open_.where("component <> main").select("band", "value", *(F.col(c).alias(f"{c}1") for c in columns))
     y = open_.select(F.col("band").alias("band2"), F.col("value").alias("value2"), "main", *(F.col(c).alias(f"{c}2") for c in columns))
     both = F.size(F.filter(F.zip_with("sketches1", "sketches2", lambda p, q: p == q), lambda e: e))
     once = (F.col("component1") != F.col("component2")) & ((F.col("component2") == F.col("main")) | (F.col("component1") > F.col("component2")))
     alike = once & (F.least("size1", "size2") >= least * F.greatest("size1", "size2")) & (both >= agree)
+    met = F.size(F.filter(F.zip_with("bins1", "bins2", lambda p, q: (p == q) & (p >= 0)), lambda e: e))
+    used = F.size(F.filter(F.zip_with("bins1", "bins2", lambda p, q: (p >= 0) | (q >= 0)), lambda e: e))
+    alike &= met >= LEAST_ESTIMATE * used
     rest = x.join(y, (F.col("band") == F.col("band2")) & (F.col("value") == F.col("value2")) & alike)
     rest = cut(rest.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
     return sized(connected_components(links.unionByName(verified(rest))))
@@ -186,59 +207,77 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
        that agree in AGREE sketches, verified alike; pairs inside a component would change nothing.
     5. Components of the links are the groups.
 
-    Returns row (a number of the input row), doc_id, cluster_id (the least doc_id of the group) and kept (true
-    for exactly one row per group: of the least doc_id, the first row).
+    Returns doc_id, content (a key of the text), cluster_id (the least doc_id of the group) and kept (true for
+    exactly one row per group, of the least doc_id).
 
     Null texts count as empty.  Texts of fewer than five words are one shingle; those without words
     equal only exact copies.  Null ids come after all others and are kept only in groups without
     any other.  Repeated rows are copies.  Empty table: no rows.  Other columns are ignored.
     """
-    rows = _rows(docs, id_col, text_col)
     id_type = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table: dict[bytes, int] = {}
-        for batch in batches:
-            sizes, values, offsets = [], [], [0]
-            for text in batch.column("text"):
-                x = labelled(kmers(word_hashes(text.as_py() or "", table)))
-                values.append(sketches(x))
-                sizes.append(len(x))
-                offsets.append(offsets[-1] + len(values[-1]))
-            flat = np.concatenate(values).view(np.int64) if values else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("content"), pa.array(sizes, pa.int32()), lists], names=["row", "doc_id", "content", "size", "sketches"])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, OUT_ROWS):
+                batch = whole.slice(lo, OUT_ROWS)
+                sizes, values, offsets, bins = [], [], [0], []
+                for text in batch.column("text"):
+                    x = labelled(kmers(word_hashes(text.as_py(), table)))
+                    values.append(sketches(x))
+                    bins.append(minima(x))
+                    sizes.append(len(x))
+                    offsets.append(offsets[-1] + len(values[-1]))
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(values).view(np.int64)))
+                columns = [batch.column("doc_id"), batch.column("content"), pa.array(sizes, pa.int32()), lists, pa.array(bins, pa.list_(pa.int8()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "content", "size", "sketches", "bins"])
 
     sketched = cut(
-        rows.withColumn("content", content_key(F.col("text"))).mapInArrow(sketch, f"row long, doc_id {id_type}, content binary, size int, sketches array<long>")
+        rows.withColumn("content", content_key(F.col("text"))).mapInArrow(sketch, f"doc_id {id_type}, content binary, size int, sketches array<long>, bins array<tinyint>")
     )
-    classes = cut(sketched.groupBy("content").agg(F.min("row").alias("node"), F.first("size").alias("size"), F.first("sketches").alias("sketches")).select("node", "content", "size", "sketches"))
+    classes = sketched.groupBy("content").agg(F.first("size").alias("size"), F.first("sketches").alias("sketches"), F.first("bins").alias("bins"))
+    # Numbers of kept rows: they stay the same however often the table is read.
+    classes = cut(cut(classes).withColumn("node", F.monotonically_increasing_id()))
 
     def sequences(nodes: DataFrame) -> DataFrame:
         """The labelled 5-mers of whole texts, as 32-bit numbers."""
 
         def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table: dict[bytes, int] = {}
-            for batch in batches:
-                out = [labelled(kmers(word_hashes(t or "", table))).astype(np.uint32).tobytes() for t in batch.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.binary())], names=["node", "sequence"])
+            for whole in batches:
+                for lo in range(0, whole.num_rows, OUT_ROWS):
+                    batch = whole.slice(lo, OUT_ROWS)
+                    out = [labelled(kmers(word_hashes(t.as_py(), table))).astype(np.uint32).tobytes() for t in batch.column("text")]
+                    yield pa.RecordBatch.from_arrays([batch.column("content"), pa.array(out, pa.binary())], names=["content", "sequence"])
 
-        wanted = nodes.withColumnRenamed("node", "row")
-        return cut(rows.select("row", "text").join(wanted, "row", "left_semi").mapInArrow(spell, "node long, sequence binary"))
+        wanted = sized(classes.select("content", "node").join(nodes, "node", "left_semi"))
+        spelled = whole_texts(docs, text_col, wanted).select("content", "text").mapInArrow(spell, "content binary, sequence binary")
+        return cut(spelled.join(wanted, "content").select("node", "sequence"))
 
     component = link_buckets(classes, sequences, lambda a, b: similar(a, b, least), least=least, agree=AGREE)
 
     grouped = classes.select("content", "node").join(component, "node", "left").select("content", F.coalesce("component", "node").alias("cluster"))
-    found = cut(sketched.select("row", "doc_id", "content").join(cut(grouped), "content").select("row", "doc_id", "cluster"))
+    found = cut(sketched.select("doc_id", "content").join(cut(grouped), "content").select("doc_id", "content", "cluster"))
+    found = cut(found.withColumn("row", F.monotonically_increasing_id()))
     heads = found.where("doc_id IS NOT NULL").groupBy("cluster").agg(F.min("doc_id").alias("cluster_id"))
     named = found.join(sized(heads), "cluster", "left")
     keeper = named.where(F.col("doc_id").eqNullSafe(F.col("cluster_id"))).groupBy("cluster").agg(F.min("row").alias("keeper"))
-    return named.join(sized(keeper), "cluster").select("row", "doc_id", "cluster_id", (F.col("row") == F.col("keeper")).alias("kept"))
+    return named.join(sized(keeper), "cluster").select("doc_id", "content", "cluster_id", (F.col("row") == F.col("keeper")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """One document of each group of :func:`near_duplicates`, with all its columns."""
-    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, least=least).where("kept").select(F.col("row").alias("kept_row"))
+    """One document of each group of :func:`near_duplicates`, with all its columns.
+
+    Rows of the kept id and text stay; where there are several such rows, one of them.
+    """
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, least=least)
+    kept = found.groupBy(F.col("doc_id").alias("kept_id"), F.col("content").alias("kept_content")).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("kept_rows"))
+    kept = cut(kept.where("kept").drop("kept"))
     names = docs.columns
-    place = "row_" + "_".join(names)  # a name that no column has
-    return docs.withColumn(place, F.monotonically_increasing_id()).join(kept, F.col(place) == F.col("kept_row"), "left_semi").select(*names)
+    place = "content_" + "_".join(names)  # a name that no column has
+    keyed = docs.withColumn(place, content_key(F.col(text_col)))
+    same = keyed[id_col].eqNullSafe(F.col("kept_id")) & (F.col(place) == F.col("kept_content"))
+    once = keyed.join(kept.where("kept_rows = 1"), same, "left_semi").select(*names)
+    several = keyed.join(kept.where("kept_rows > 1"), same, "left_semi").dropDuplicates([id_col, place]).select(*names)
+    return once.unionByName(several)

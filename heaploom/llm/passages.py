@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import content_key, cut
 from .components import sized
-from .near_dup import K, SIMILARITY, kmers, link_buckets, mix, word_hashes
+from .near_dup import OUT_ROWS, SIMILARITY, kmers, link_buckets, minima, mix, whole_texts, word_hashes
 
 #: Paragraphs of fewer words (headings, licence lines, bylines) are no passages.
 MIN_WORDS = 20
@@ -80,8 +80,8 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     bands, width = tune_bands(least)
-    names = ["row", "doc_id", "paragraph", "start", "end", "n_words", "c1", "c2", "size", "sketches"]
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
+    names = ["row", "doc_id", "content", "paragraph", "start", "end", "n_words", "c1", "c2", "size", "sketches", "bins"]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int8())]
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table: dict[bytes, int] = {}
@@ -93,41 +93,42 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                     c1, c2 = (int(mix(h * np.uint64(c) + place).sum().view(np.int64)) for c in (3, 7))
                     s = np.unique(kmers(h))
                     at.append(k)
-                    out.append((number, start, end, len(h), c1, c2, len(s), signature(s, bands, width).view(np.int64)))
-                if len(out) >= 20_000 or k + 1 == batch.num_rows:
+                    out.append((number, start, end, len(h), c1, c2, len(s), signature(s, bands, width).view(np.int64), minima(s)))
+                if len(out) >= 2_000 or k + 1 == batch.num_rows:
                     columns = zip(*out, strict=True) if out else [[] for _ in kinds]
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("row").take(pa.array(at, pa.int64())), batch.column("doc_id").take(pa.array(at, pa.int64())), *(pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True))], names=names
+                        [batch.column("row").take(pa.array(at, pa.int64())), batch.column("doc_id").take(pa.array(at, pa.int64())), batch.column("content").take(pa.array(at, pa.int64())), *(pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True))], names=names
                     )
                     at, out = [], []
 
     found = cut(
-        rows.mapInArrow(split, f"row long, doc_id {id_type}, paragraph int, start long, end long, n_words long, c1 long, c2 long, size int, sketches array<long>")
+        rows.withColumn("content", content_key(F.col("text"))).mapInArrow(split, f"row long, doc_id {id_type}, content binary, paragraph int, start long, end long, n_words long, c1 long, c2 long, size int, sketches array<long>, bins array<tinyint>")
     )
-    classes = found.groupBy("c1", "c2").agg(F.first(F.struct("row", "paragraph")).alias("at"), F.first("size").alias("size"), F.first("sketches").alias("sketches"))
-    classes = cut(cut(classes).select(F.monotonically_increasing_id().alias("node"), "c1", "c2", "at.row", "at.paragraph", "size", "sketches"))
+    classes = found.groupBy("c1", "c2").agg(F.first(F.struct("content", "paragraph")).alias("at"), F.first("size").alias("size"), F.first("sketches").alias("sketches"), F.first("bins").alias("bins"))
+    classes = cut(cut(classes).select(F.monotonically_increasing_id().alias("node"), "c1", "c2", "at.content", "at.paragraph", "size", "sketches", "bins"))
 
     def sequences(nodes: DataFrame) -> DataFrame:
         """The sets of 5-mers of the wanted paragraphs, sorted, as 32-bit numbers."""
 
         def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table: dict[bytes, int] = {}
-            for batch in batches:
-                ids, out = [], []
-                for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
-                    of = {w["paragraph"]: w["node"] for w in wanted}
-                    for number, _, _, h in paragraphs(text, min_words, table):
-                        if number in of:
-                            ids.append(of[number])
-                            out.append(np.unique(kmers(h).astype(np.uint32)).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["node", "sequence"])
-
-        places = classes.join(nodes, "node", "left_semi").groupBy("row").agg(F.collect_list(F.struct("paragraph", "node")).alias("wanted"))
-        return cut(rows.select("row", "text").join(sized(places), "row").select("text", "wanted").mapInArrow(spell, "node long, sequence binary"))
-
-    component = link_buckets(classes.select("node", "size", "sketches"), sequences, lambda a, b: jaccard(a, b, least), least=least, agree=AGREE)
+            for whole in batches:
+                for lo in range(0, whole.num_rows, OUT_ROWS):
+                    batch, ids, out = whole.slice(lo, OUT_ROWS), [], []
+                    for text, wanted in zip(batch.column("text"), batch.column("wanted"), strict=True):
+                        of = {w["paragraph"]: w["node"] for w in wanted.as_py()}
+                        for number, _, _, h in paragraphs(text.as_py(), min_words, table):
+                            if number in of:
+                                ids.append(of[number])
+                                out.append(np.unique(kmers(h).astype(np.uint32)).tobytes())
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["node", "sequence"])
+
+        places = sized(classes.join(nodes, "node", "left_semi").groupBy("content").agg(F.collect_list(F.struct("paragraph", "node")).alias("wanted")))
+        return cut(whole_texts(docs, text_col, places).join(places, "content").select("text", "wanted").mapInArrow(spell, "node long, sequence binary"))
+
+    component = link_buckets(classes.select("node", "size", "sketches", "bins"), sequences, lambda a, b: jaccard(a, b, least), least=least, agree=AGREE)
     grouped = cut(classes.select("c1", "c2", "node").join(component, "node", "left").select("c1", "c2", F.coalesce("component", "node").alias("cluster_id")))
-    placed = cut(found.drop("size", "sketches").join(grouped, ["c1", "c2"]).drop("c1", "c2"))
+    placed = cut(found.drop("content", "size", "sketches", "bins").join(grouped, ["c1", "c2"]).drop("c1", "c2"))
     several = placed.groupBy("cluster_id").agg(F.countDistinct("row").alias("n_docs")).where("n_docs > 1")
     repeated = cut(placed.join(sized(several), "cluster_id"))
     # The least id of a cluster, then its first row, then its first line: three aggregates that combine before they shuffle.
