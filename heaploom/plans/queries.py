@@ -15,9 +15,20 @@ from ..sources.jsonl import write_jsonl
 from . import fixture
 from .storage import fresh_path
 
-LINE, EVENT, ORIGIN, FAR = 7000000000001, 8000000009999, 1000000000000, 1000000000004
-STRANGER, MODULE, TYPE_ = 1000000000001, 9100000000000, "builtins.str"
-DETAIL = [2000000000000, 7000000000001, 9100000000000]
+#: Objects that the queries ask about: fixed ones, and the first line item and the last event there is.
+ORIGIN, FAR, STRANGER, MODULE, TYPE_ = 1000000000000, 1000000000004, 1000000000001, 9100000000000, "builtins.str"
+DETAIL = [2000000000000, 2000000000007, 9100000000000]
+_LINE = "(SELECT min(id) FROM o WHERE type = 'app.LineItem')"
+_EVENT = "(SELECT max(id) FROM o WHERE id BETWEEN 8000000000000 AND 8999999999999)"
+
+
+def _line(objects: DataFrame) -> int:
+    return objects.where("type = 'app.LineItem'").agg(F.min("id")).first()[0]
+
+
+def _event(objects: DataFrame) -> int:
+    return objects.where("id BETWEEN 8000000000000 AND 8999999999999").agg(F.max("id")).first()[0]
+
 
 # -- DuckDB ----------------------------------------------------------------------
 
@@ -31,8 +42,8 @@ _LISTED = "SELECT o.id, o.type, o.value, o.size, CAST(NULL AS BIGINT) AS subtree
 _GROUPED = "SELECT CASE WHEN grouping(type) = 1 THEN 'All Types' ELSE type END AS type, grouping(type) = 1 AS is_total, count(*) AS count, CAST(sum(size) AS BIGINT) AS total_size FROM o GROUP BY GROUPING SETS ((type), ())"
 
 
-def _path_sql(start: int, end: int, avoiding: tuple[int, ...] = ()) -> str:
-    avoid = f"AND r.dst NOT IN ({', '.join(map(str, avoiding))})" if avoiding else ""
+def _path_sql(start: str, end: int, avoiding: str = "") -> str:
+    avoid = f"AND r.dst NOT IN ({avoiding})" if avoiding else ""
     return f"""
 WITH RECURSIVE {_WITH}, w AS (
   SELECT DISTINCT r.src, r.pos, r.dst FROM r JOIN o ON r.dst = o.id
@@ -108,9 +119,10 @@ def objects_by_subtree_page(spark, sf_dir):
     return fixture.dump(spark, sf_dir, exact=True).objects_of_type(sort="subtree_size", page=0)
 
 
-@_query(f"WITH {_WITH} {_LISTED} WHERE id = {LINE}")
+@_query(f"WITH {_WITH} {_LISTED} WHERE id = {_LINE}")
 def object_summary(spark, sf_dir):
-    return fixture.dump(spark, sf_dir).objects.where(F.col("id") == LINE).select(*SUMMARY)
+    objects = fixture.dump(spark, sf_dir).objects
+    return objects.where(F.col("id") == _line(objects)).select(*SUMMARY)
 
 
 @_query(f"WITH {_WITH} SELECT r.src, r.pos, o.id, o.type, o.value, o.size FROM r JOIN o ON r.dst = o.id WHERE r.src IN ({', '.join(map(str, DETAIL))})")
@@ -126,10 +138,11 @@ def object_referrers(spark, sf_dir):
 
 
 @_query(
-    f"WITH {_WITH} SELECT id, type, size, (SELECT count(*) FROM r WHERE src = {LINE}) AS n_references, (SELECT count(DISTINCT src) FROM r WHERE dst = {LINE}) AS n_referrers FROM o WHERE id = {LINE}"
+    f"WITH {_WITH} SELECT id, type, size, (SELECT count(*) FROM r WHERE src = {_LINE}) AS n_references, (SELECT count(DISTINCT src) FROM r WHERE dst = {_LINE}) AS n_referrers FROM o WHERE id = {_LINE}"
 )
 def object_detail(spark, sf_dir):
-    found = fixture.dump(spark, sf_dir).object(LINE)
+    dump = fixture.dump(spark, sf_dir)
+    found = dump.object(_line(dump.objects))
     return found.select("id", "type", "size", F.size("references").cast("long").alias("n_references"), F.size("referrers").cast("long").alias("n_referrers"))
 
 
@@ -175,39 +188,43 @@ def subtree_size_exact(spark, sf_dir):
     return sizes.exact_sizes(fixture.objects(spark, sf_dir), fixture.edges(spark, sf_dir), fixture.closure(spark, sf_dir))
 
 
-def _path(spark, sf_dir, start, end, avoiding=()):
-    return fixture.dump(spark, sf_dir, exact=True).find_path(start, end, avoiding).select("step", "id")
+@_query(_path_sql(_LINE, FAR))
+def path_found(spark, sf_dir):
+    dump = fixture.dump(spark, sf_dir, exact=True)
+    return dump.find_path(_line(dump.objects), FAR).select("step", "id")
 
 
-@_query(_path_sql(LINE, FAR))
-def path_found(spark, sf_dir):
-    return _path(spark, sf_dir, LINE, FAR)
+#: The line item's first supplier, over which its shortest path leads, and its order.
+_AROUND = f"(SELECT dst FROM r WHERE src = {_LINE} AND pos = 2), (SELECT dst FROM r WHERE src = {_LINE} AND pos = 0)"
 
 
-@_query(_path_sql(LINE, FAR, (4000000000066, 6000000000000)))
+@_query(_path_sql(_LINE, FAR, _AROUND))
 def path_avoiding(spark, sf_dir):
-    return _path(spark, sf_dir, LINE, FAR, (4000000000066, 6000000000000))
+    dump = fixture.dump(spark, sf_dir, exact=True)
+    line = _line(dump.objects)
+    around = dump.refs.where((F.col("src") == line) & F.col("pos").isin(0, 2)).collect()
+    return dump.find_path(line, FAR, [r["dst"] for r in around]).select("step", "id")
 
 
-@_query(_path_sql(EVENT, FAR))
+@_query(_path_sql(_EVENT, FAR))
 def path_of_event(spark, sf_dir):
     dump = fixture.dump(spark, sf_dir, exact=True)
-    last = dump.objects.where((F.col("id") <= EVENT) & (F.col("id") >= 8000000000000)).agg(F.max("id")).first()[0]
-    return dump.find_path(last, FAR).select("step", "id")
+    return dump.find_path(_event(dump.objects), FAR).select("step", "id")
 
 
 @_query(f"WITH {_WITH} SELECT CAST(0 AS INTEGER) AS step, id FROM o WHERE false")
 def path_to_skip_target(spark, sf_dir):
-    return _path(spark, sf_dir, 8000000000000, MODULE)
+    dump = fixture.dump(spark, sf_dir, exact=True)
+    return dump.find_path(_event(dump.objects), MODULE).select("step", "id")
 
 
-_TWO = f"SELECT z.id, z.subtree_size FROM c a JOIN c b ON a.dst = b.dst JOIN z ON z.id = a.dst WHERE a.src = {LINE} AND b.src = %s ORDER BY z.subtree_size DESC, z.id LIMIT 1"
+_TWO = f"SELECT z.id, z.subtree_size FROM c a JOIN c b ON a.dst = b.dst JOIN z ON z.id = a.dst WHERE a.src = {_LINE} AND b.src = {_EVENT} ORDER BY z.subtree_size DESC, z.id LIMIT 1"
 
 
-@_query(f"WITH RECURSIVE {_SIZES} {_TWO % 8000000000099}")
+@_query(f"WITH RECURSIVE {_SIZES} {_TWO}")
 def largest_common_reachable(spark, sf_dir):
     dump = fixture.dump(spark, sf_dir, exact=True)
-    return paths.largest_common_reachable(dump.objects, dump.refs, LINE, 8000000000099, fixture.jumps(spark, sf_dir)).select("id", "subtree_size")
+    return paths.largest_common_reachable(dump.objects, dump.refs, _line(dump.objects), _event(dump.objects), fixture.jumps(spark, sf_dir)).select("id", "subtree_size")
 
 
 @_query(f"WITH RECURSIVE {_SIZES} SELECT z.id, z.subtree_size FROM c a JOIN c b ON a.dst = b.dst JOIN z ON z.id = a.dst WHERE a.src = {ORIGIN} AND b.src = {STRANGER} ORDER BY 2 DESC, 1 LIMIT 1")
@@ -219,7 +236,7 @@ def nothing_common(spark, sf_dir):
 @_query()
 def common_report(spark, sf_dir):
     dump = fixture.dump(spark, sf_dir, exact=True)
-    return paths.common_report(dump.objects, dump.refs, LINE, 8000000000099, fixture.jumps(spark, sf_dir))
+    return paths.common_report(dump.objects, dump.refs, _line(dump.objects), _event(dump.objects), fixture.jumps(spark, sf_dir))
 
 
 def _sketch(precision: Precision) -> Query:
