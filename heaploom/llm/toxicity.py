@@ -27,13 +27,14 @@ STRETCH = 24
 #: Log-ratios count as excess above this.
 MARGIN = 2.0
 #: Counts live in a table of so many cells, so the model's size is fixed whatever the corpus.
-CELLS = 1 << 20
+CELLS = 1 << 18
 #: The calibration curve is fitted on at most so many labelled rows, those of least hash.
 CALIBRATION_ROWS = 20_000
 #: Labels of at most so many rows are broadcast (16 bytes each); more are joined by shuffle.
 BROADCAST_LABELS = 2_000_000
-#: A task sends its different pairs whenever it has seen so many.
-FLUSH_PAIRS = 2_000_000
+#: A task sends its different pairs whenever it has seen so many, remembers the hashes of so many words
+#: and works on so many rows at once.
+FLUSH_PAIRS, TABLE_WORDS, STEP_ROWS = 1_000_000, 100_000, 500
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -41,7 +42,7 @@ class WordHashes(dict):
     """32-bit hashes of words, worked out once per word and task; emptied when it gets large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > TABLE_WORDS:
             self.clear()
         value = self[word] = zlib.crc32(word)
         return value
@@ -113,6 +114,13 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut small, so that what is derived from one never weighs much."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, STEP_ROWS):
+            yield batch.slice(lo, STEP_ROWS)
+
+
 def fold(id_column: Column) -> Column:
     """crc32 of the id as text, modulo 4: fold 2 is held out, 3 calibrates, 0 and 1 give the counts."""
     return F.crc32(id_column.cast("string")) % 4
@@ -124,8 +132,8 @@ def _features(docs: DataFrame, ratios, extra: str) -> DataFrame:
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, values = WordHashes(), ratios.value
-        for batch in batches:
-            found = np.array([text_features(values, hashes_of(t, table)) for t in batch.column("text").to_pylist()]).reshape(-1, 4)
+        for batch in _steps(batches):
+            found = np.array([text_features(values, hashes_of(t.as_py(), table)) for t in batch.column("text")]).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(found[:, k]) for k in range(4))], names=[*names, "f0", "f1", "f2", "f3"])
 
     return docs.mapInArrow(featurise, f"{extra}, f0 double, f1 double, f2 double, f3 double")
@@ -162,9 +170,9 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
                         yield pa.RecordBatch.from_arrays([pa.array(some.view(np.int64)), pa.array(cells_of(some).astype(np.int32)), pa.array(np.full(len(some), 1 << toxic, np.int32))], names=["pair", "cell", "classes"])
                     parts.clear()
 
-        for batch in batches:
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                keys = pair_keys(hashes_of(text, table))
+        for batch in _steps(batches):
+            for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
+                keys = pair_keys(hashes_of(text.as_py(), table))
                 if len(keys):
                     held[int(toxic > 0)].append(keys)
                     size += len(keys)
@@ -221,11 +229,10 @@ def keep_clean(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text",
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, values = WordHashes(), ratios.value
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            if texts:
-                found = np.array([text_features(values, hashes_of(t or "", table)) for t in texts])
-                yield batch.filter(pa.array(model_scores(found) < threshold))
+        for batch in _steps(batches):
+            texts = batch.column(batch.schema.get_field_index(text_col))
+            found = np.array([text_features(values, hashes_of(t.as_py() or "", table)) for t in texts])
+            yield batch.filter(pa.array(model_scores(found) < threshold))
 
     curve = model.curve
 
