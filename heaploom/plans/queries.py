@@ -194,16 +194,13 @@ def path_found(spark, sf_dir):
     return dump.find_path(_line(dump.objects), FAR).select("step", "id")
 
 
-#: The line item's first supplier, over which its shortest path leads, and its order.
-_AROUND = f"(SELECT dst FROM r WHERE src = {_LINE} AND pos = 2), (SELECT dst FROM r WHERE src = {_LINE} AND pos = 0)"
-
-
-@_query(_path_sql(_LINE, FAR, _AROUND))
+@_query(_path_sql(_LINE, ORIGIN, f"(SELECT dst FROM r WHERE src = {_LINE} AND pos = 2)"))
 def path_avoiding(spark, sf_dir):
+    """Around the line item's first supplier."""
     dump = fixture.dump(spark, sf_dir, exact=True)
     line = _line(dump.objects)
-    around = dump.refs.where((F.col("src") == line) & F.col("pos").isin(0, 2)).collect()
-    return dump.find_path(line, FAR, [r["dst"] for r in around]).select("step", "id")
+    around = dump.refs.where((F.col("src") == line) & (F.col("pos") == 2)).collect()
+    return dump.find_path(line, ORIGIN, [r["dst"] for r in around]).select("step", "id")
 
 
 @_query(_path_sql(_EVENT, FAR))
@@ -218,16 +215,16 @@ def path_to_skip_target(spark, sf_dir):
     return dump.find_path(_event(dump.objects), MODULE).select("step", "id")
 
 
-_TWO = f"SELECT z.id, z.subtree_size FROM c a JOIN c b ON a.dst = b.dst JOIN z ON z.id = a.dst WHERE a.src = {_LINE} AND b.src = {_EVENT} ORDER BY z.subtree_size DESC, z.id LIMIT 1"
+_TWO = "x AS MATERIALIZED (SELECT dst FROM c WHERE src = %s), y AS MATERIALIZED (SELECT dst FROM c WHERE src = %s) SELECT z.id, z.subtree_size FROM z WHERE id IN (SELECT dst FROM x) AND id IN (SELECT dst FROM y) ORDER BY subtree_size DESC, id LIMIT 1"
 
 
-@_query(f"WITH RECURSIVE {_SIZES} {_TWO}")
+@_query(f"WITH RECURSIVE {_SIZES}, {_TWO % (_LINE, _EVENT)}")
 def largest_common_reachable(spark, sf_dir):
     dump = fixture.dump(spark, sf_dir, exact=True)
     return paths.largest_common_reachable(dump.objects, dump.refs, _line(dump.objects), _event(dump.objects), fixture.jumps(spark, sf_dir)).select("id", "subtree_size")
 
 
-@_query(f"WITH RECURSIVE {_SIZES} SELECT z.id, z.subtree_size FROM c a JOIN c b ON a.dst = b.dst JOIN z ON z.id = a.dst WHERE a.src = {ORIGIN} AND b.src = {STRANGER} ORDER BY 2 DESC, 1 LIMIT 1")
+@_query(f"WITH RECURSIVE {_SIZES}, {_TWO % (ORIGIN, STRANGER)}")
 def nothing_common(spark, sf_dir):
     dump = fixture.dump(spark, sf_dir, exact=True)
     return paths.largest_common_reachable(dump.objects, dump.refs, ORIGIN, STRANGER, fixture.jumps(spark, sf_dir)).select("id", "subtree_size")
