@@ -89,12 +89,14 @@ def sketches(x: np.ndarray, number: int = SKETCHES, sampled: int = SAMPLED) -> n
     return value
 
 
-def minima(x: np.ndarray, bins: int = BINS) -> np.ndarray:
-    """Seven bits of the least k-mer in each of ``bins`` bins (one-permutation MinHash); -1 for an empty bin."""
-    out = np.full(bins, np.iinfo(np.uint64).max, np.uint64)
+def minima(x: np.ndarray, owner: np.ndarray | None = None, owners: int = 1, bins: int = BINS) -> np.ndarray:
+    """Seven bits of the least k-mer in each of ``bins`` bins (one-permutation MinHash), a row per owner; -1 for an empty bin."""
+    empty = np.iinfo(np.uint64).max
+    out = np.full(owners * bins, empty, np.uint64)
     rank = mix(x ^ _M2)
-    np.minimum.at(out, (rank & np.uint64(bins - 1)).astype(np.int64), rank >> np.uint64(8))
-    return np.where(out == np.iinfo(np.uint64).max, -1, (out & np.uint64(127)).astype(np.int64)).astype(np.int8)
+    at = (rank & np.uint64(bins - 1)).astype(np.int64)
+    np.minimum.at(out, at if owner is None else at + owner * bins, rank >> np.uint64(8))
+    return np.where(out == empty, -1, (out & np.uint64(127)).astype(np.int64)).astype(np.int8).reshape(owners, bins)
 
 
 def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
@@ -226,7 +228,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 for text in batch.column("text"):
                     x = labelled(kmers(word_hashes(text.as_py(), table)))
                     values.append(sketches(x))
-                    bins.append(minima(x))
+                    bins.append(minima(x)[0])
                     sizes.append(len(x))
                     offsets.append(offsets[-1] + len(values[-1]))
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(values).view(np.int64)))

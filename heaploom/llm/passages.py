@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 
 from .common import content_key, cut
 from .components import sized
-from .near_dup import OUT_ROWS, SIMILARITY, kmers, link_buckets, minima, mix, whole_texts, word_hashes
+from .near_dup import OUT_ROWS, SIMILARITY, K, kmers, link_buckets, minima, mix, whole_texts, word_hashes
 
 #: Paragraphs of fewer words (headings, licence lines, bylines) are no passages.
 MIN_WORDS = 20
 #: Hashes of a signature and the share of pairs at the threshold that the bands must catch.
 HASHES, RECALL = 64, 0.999
 AGREE = 2
+#: Words that are worked on at once.
+BLOCK_WORDS = 100_000
 _LINE = re.compile(r"[^\r\n\u2028\u2029]+")
 
 
@@ -42,15 +44,35 @@ def paragraphs(text: str, min_words: int, table: dict[bytes, int]) -> list[tuple
     return out
 
 
-def signature(s: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One number per band over ``bands * rows`` minima of a set of k-mers."""
-    least = np.empty(bands * rows, np.uint64)
-    for t in range(len(least)):
-        least[t] = ((s ^ np.uint64((t + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64((2 * t + 1) * 0xC2B2AE3D27D4EB4F & (1 << 64) - 1 | 1)).min()
-    value = np.arange(1, bands + 1, dtype=np.uint64)
-    for column in least.reshape(bands, rows).T:
-        value = mix(value * np.uint64(0x9E3779B97F4A7C15) ^ column)
-    return value
+def describe(hashes: list[np.ndarray], bands: int, rows: int) -> tuple[np.ndarray, ...]:
+    """For paragraphs given as word hashes: two content keys, number of different 5-mers, band values and bins.
+
+    All paragraphs of a block are worked on as one array, with minima and sums taken between their borders.
+    """
+    h = np.concatenate(hashes)
+    length = np.array([len(x) for x in hashes])
+    start = np.concatenate([[0], np.cumsum(length)[:-1]])
+    place = (np.arange(len(h)) - np.repeat(start, length) + 1).astype(np.uint64)
+    keys = [np.add.reduceat(mix(h * np.uint64(c) + place), start).view(np.int64) for c in (3, 7)]
+
+    s = kmers(h)
+    owner = np.repeat(np.arange(len(hashes)), length)[: len(s)]
+    inside = np.arange(len(s)) + K <= (start + length)[owner]
+    s, owner = s[inside], owner[inside]
+    order = np.lexsort((s, owner))
+    s, owner = s[order], owner[order]
+    new = np.concatenate([[True], (s[1:] != s[:-1]) | (owner[1:] != owner[:-1])])
+    s, owner = s[new], owner[new]
+    first = np.searchsorted(owner, np.arange(len(hashes)))
+
+    value = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (len(hashes), 1))
+    for band in range(bands):
+        for row in range(rows):
+            t = band * rows + row
+            ranked = (s ^ np.uint64((t + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64((2 * t + 1) * 0xC2B2AE3D27D4EB4F & (1 << 64) - 1 | 1)
+            value[:, band] = mix(value[:, band] * np.uint64(0x9E3779B97F4A7C15) ^ np.minimum.reduceat(ranked, first))
+    size = np.diff(np.concatenate([first, [len(s)]]))
+    return *keys, size, value.view(np.int64), minima(s, owner, len(hashes))
 
 
 def jaccard(a: np.ndarray, b: np.ndarray, least: float) -> bool:
@@ -81,25 +103,26 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     bands, width = tune_bands(least)
     names = ["row", "doc_id", "content", "paragraph", "start", "end", "n_words", "c1", "c2", "size", "sketches", "bins"]
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int8())]
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table: dict[bytes, int] = {}
         for batch in batches:
-            at, out = [], []
+            at, places, hashes, held = [], [], [], 0
             for k in range(batch.num_rows):
                 for number, start, end, h in paragraphs(batch.column("text")[k].as_py(), min_words, table):
-                    place = np.arange(1, len(h) + 1, dtype=np.uint64)
-                    c1, c2 = (int(mix(h * np.uint64(c) + place).sum().view(np.int64)) for c in (3, 7))
-                    s = np.unique(kmers(h))
                     at.append(k)
-                    out.append((number, start, end, len(h), c1, c2, len(s), signature(s, bands, width).view(np.int64), minima(s)))
-                if len(out) >= 2_000 or k + 1 == batch.num_rows:
-                    columns = zip(*out, strict=True) if out else [[] for _ in kinds]
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("row").take(pa.array(at, pa.int64())), batch.column("doc_id").take(pa.array(at, pa.int64())), batch.column("content").take(pa.array(at, pa.int64())), *(pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True))], names=names
-                    )
-                    at, out = [], []
+                    places.append((number, start, end))
+                    hashes.append(h)
+                    held += len(h)
+                if held >= BLOCK_WORDS or (held and k + 1 == batch.num_rows):
+                    c1, c2, size, sketches, bins = describe(hashes, bands, width)
+                    number, start, end = (list(c) for c in zip(*places, strict=True))
+                    rows_at = pa.array(at, pa.int64())
+                    lists = [pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), x.ravel()) for x in (sketches, bins)]
+                    columns = [pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array([len(h) for h in hashes], pa.int64())]
+                    columns += [pa.array(c1), pa.array(c2), pa.array(size.astype(np.int32)), *lists]
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows_at) for c in ("row", "doc_id", "content")), *columns], names=names)
+                    at, places, hashes, held = [], [], [], 0
 
     found = cut(
         rows.withColumn("content", content_key(F.col("text"))).mapInArrow(split, f"row long, doc_id {id_type}, content binary, paragraph int, start long, end long, n_words long, c1 long, c2 long, size int, sketches array<long>, bins array<tinyint>")
