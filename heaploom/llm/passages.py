@@ -1,4 +1,4 @@
-"""Repeated passages: paragraphs met by MinHash bands, verified by Jaccard similarity."""
+"""Repeated passages: lines met by MinHash bands and verified by Jaccard similarity, and equal windows of words anywhere in a text."""
 
 from __future__ import annotations
 
@@ -7,11 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import content_key, cut
-from .components import sized
+from .common import WORD_BYTES, content_key, cut
+from .components import connected_components, sized
 from .near_dup import OUT_ROWS, SIMILARITY, K, kmers, link_buckets, minima, mix, whole_texts, word_hashes
 
 #: Paragraphs of fewer words (headings, licence lines, bylines) are no passages.
@@ -19,9 +19,14 @@ MIN_WORDS = 20
 #: Hashes of a signature and the share of pairs at the threshold that the bands must catch.
 HASHES, RECALL = 64, 0.999
 AGREE = 2
+#: Of so many windows of MIN_WORDS words in a row the one of least hash counts, so two texts that share a
+#: run of MIN_WORDS + STEP - 1 words (24) anywhere share a window.
+STEP = 5
 #: Words that are worked on at once.
 BLOCK_WORDS = 100_000
 _LINE = re.compile(r"[^\r\n\u2028\u2029]+")
+_BREAKS = str.maketrans("\u2028\u2029", "\n\n")
+_IN_WORD = np.array([re.fullmatch(WORD_BYTES, bytes([b]).lower()) is not None for b in range(256)])
 
 
 def tune_bands(least: float = SIMILARITY, hashes: int = HASHES, recall: float = RECALL) -> tuple[int, int]:
@@ -44,6 +49,25 @@ def paragraphs(text: str, min_words: int, table: dict[bytes, int]) -> list[tuple
     return out
 
 
+def placed_words(text: str, table: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and ends (code points) of all words; none crosses the end of a line."""
+    text = text.translate(_BREAKS)
+    data = np.frombuffer(text.encode(), np.uint8)
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], _IN_WORD[data].view(np.int8), [0]]))).reshape(-1, 2)
+    points = np.cumsum((data & 0xC0) != 0x80)
+    return word_hashes(text, table), points[edges[:, 0]] - 1, points[edges[:, 1] - 1]
+
+
+def windows(h: np.ndarray, words: int, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of the windows of ``words`` words that are least among ``step`` windows in a row."""
+    if len(h) < words:
+        return h[:0], np.zeros(0, np.int64)
+    s = kmers(h, words)
+    view = np.lib.stride_tricks.sliding_window_view(s, min(step, len(s)))
+    at = np.unique(view.argmin(1) + np.arange(len(view)))
+    return s[at], at
+
+
 def describe(hashes: list[np.ndarray], bands: int, rows: int) -> tuple[np.ndarray, ...]:
     """For paragraphs given as word hashes: two content keys, number of different 5-mers, band values and bins.
 
@@ -86,15 +110,23 @@ def jaccard(a: np.ndarray, b: np.ndarray, least: float) -> bool:
 def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
     """Paragraphs of at least ``min_words`` words that stand, alike to ``least`` or more, in several documents.
 
-    Paragraphs are lines.  Those of equal words become one class.  Classes get MinHash signatures of
+    Lines.  Those of equal words become one class.  Classes get MinHash signatures of
     their word 5-mers, in bands tuned to catch RECALL of the pairs at the threshold; pairs that meet in a
     band are verified by exact Jaccard similarity of their sets of 5-mers, and clusters are the components
-    (see :func:`near_dup.link_buckets` for buckets of any size).  In each cluster the first paragraph
+    (see :func:`near_dup.link_buckets` for buckets of any size).  In each cluster the first line
     (least doc_id, then place) stays and the others are removals.
 
-    Returns doc_id, paragraph (number of the line), start and end (code points), n_words, cluster_id (a
-    number), n_docs (documents with a paragraph of the cluster) and removed.  Clusters within one
-    document only are left out.
+    Anywhere else.  Lines say nothing about a passage inside a longer line, or one that is wrapped differently.  So
+    windows of ``min_words`` words (see :func:`windows`) are compared over whole texts, whatever their lines, by
+    64-bit hashes: every run of ``min_words`` + STEP - 1 words that stands in two documents has one in common.
+    Windows that overlap make a span, so its ends lie at most STEP - 1 words inside the run.  Of each window one occurrence
+    stays (in a line that stays if there is one, else the first outside of removed lines); spans are cut where occurrences that
+    stay meet others, so all words of a removed span also stand elsewhere.  Spans with fewer than ``min_words`` words
+    outside of repeated lines are not listed.  Spans and lines that share windows are one cluster.
+
+    Returns doc_id, paragraph (number of the line, or of the line in which a span starts), start and end (code
+    points), n_words, cluster_id (a number), n_docs (documents with a paragraph of the cluster) and removed.
+    Clusters within one document only are left out.
 
     Null and empty texts have no paragraphs.  Repeated rows are different documents.  Null ids come last
     in their cluster.  Empty table: no rows.  Other columns are ignored.
@@ -102,31 +134,53 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     bands, width = tune_bands(least)
-    names = ["row", "doc_id", "content", "paragraph", "start", "end", "n_words", "c1", "c2", "size", "sketches", "bins"]
+    lists = {"sketches": pa.int64(), "bins": pa.int8(), "hashes": pa.int64(), "ats": pa.int32(), "starts": pa.int32(), "ends": pa.int32(), "lines": pa.int32()}
+    kinds = {"paragraph": pa.int32(), "first_word": pa.int64(), "start": pa.int64(), "end": pa.int64(), "n_words": pa.int64(), "c1": pa.int64(), "c2": pa.int64(), "size": pa.int32()}
+    kinds |= {name: pa.list_(kind) for name, kind in lists.items()}
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row per line, and one without a line number per text, which holds its windows."""
         table: dict[bytes, int] = {}
+
+        def block(batch: pa.RecordBatch, at: list[int], **given) -> pa.RecordBatch:
+            of = pa.array(at, pa.int64())
+            columns = [pa.array(given[name], kind) if name in given else pa.nulls(len(at), kind) for name, kind in kinds.items()]
+            return pa.RecordBatch.from_arrays([*(batch.column(c).take(of) for c in ("row", "doc_id", "content")), *columns], names=["row", "doc_id", "content", *kinds])
+
         for batch in batches:
-            at, places, hashes, held = [], [], [], 0
+            at, places, hashes, held, texts, found = [], [], [], 0, [], []
             for k in range(batch.num_rows):
-                for number, start, end, h in paragraphs(batch.column("text")[k].as_py(), min_words, table):
+                text = batch.column("text")[k].as_py()
+                h, starts, ends = placed_words(text, table)
+                lines = np.array([m.span() for m in _LINE.finditer(text)], np.int64).reshape(-1, 2)
+                lo, hi = np.searchsorted(starts, lines[:, 0]), np.searchsorted(starts, lines[:, 1])
+                for number in np.flatnonzero(hi - lo >= min_words).tolist():
                     at.append(k)
-                    places.append((number, start, end))
-                    hashes.append(h)
-                    held += len(h)
-                if held >= BLOCK_WORDS or (held and k + 1 == batch.num_rows):
-                    c1, c2, size, sketches, bins = describe(hashes, bands, width)
-                    number, start, end = (list(c) for c in zip(*places, strict=True))
-                    rows_at = pa.array(at, pa.int64())
-                    lists = [pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), x.ravel()) for x in (sketches, bins)]
-                    columns = [pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array([len(h) for h in hashes], pa.int64())]
-                    columns += [pa.array(c1), pa.array(c2), pa.array(size.astype(np.int32)), *lists]
-                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows_at) for c in ("row", "doc_id", "content")), *columns], names=names)
-                    at, places, hashes, held = [], [], [], 0
-
-    found = cut(
-        rows.withColumn("content", content_key(F.col("text"))).mapInArrow(split, f"row long, doc_id {id_type}, content binary, paragraph int, start long, end long, n_words long, c1 long, c2 long, size int, sketches array<long>, bins array<tinyint>")
-    )
+                    places.append((number, int(lo[number]), *lines[number].tolist()))
+                    hashes.append(h[lo[number] : hi[number]])
+                value, first = windows(h, min_words)
+                if len(value):
+                    texts.append(k)
+                    found.append((value.view(np.int64), first, starts[first], ends[first + min_words - 1], np.searchsorted(lines[:, 0], starts[first], "right") - 1))
+                held += len(h)
+                if held >= BLOCK_WORDS or k + 1 == batch.num_rows:
+                    if hashes:
+                        c1, c2, size, sketches, bins = describe(hashes, bands, width)
+                        number, first, start, end = (list(c) for c in zip(*places, strict=True))
+                        wide = [pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), x.ravel()) for x in (sketches, bins)]
+                        given = {"paragraph": number, "first_word": first, "start": start, "end": end, "n_words": [len(h) for h in hashes]}
+                        yield block(batch, at, **given, c1=c1, c2=c2, size=size.astype(np.int32), sketches=wide[0], bins=wide[1])
+                    if texts:
+                        offsets = np.concatenate([[0], np.cumsum([len(f[0]) for f in found])]).astype(np.int32)
+                        columns = (np.concatenate(c) for c in zip(*found, strict=True))
+                        names = ("hashes", "ats", "starts", "ends", "lines")
+                        yield block(batch, texts, **{n: pa.ListArray.from_arrays(offsets, pa.array(c, lists[n])) for n, c in zip(names, columns, strict=True)})
+                    at, places, hashes, held, texts, found = [], [], [], 0, [], []
+
+    schema = "paragraph int, first_word long, start long, end long, n_words long, c1 long, c2 long, size int, sketches array<long>, bins array<tinyint>"
+    schema += ", hashes array<long>, ats array<int>, starts array<int>, ends array<int>, lines array<int>"
+    everything = cut(rows.withColumn("content", content_key(F.col("text"))).mapInArrow(split, f"row long, doc_id {id_type}, content binary, {schema}"))
+    found = everything.where("paragraph IS NOT NULL").drop("hashes", "ats", "starts", "ends", "lines")
     classes = found.groupBy("c1", "c2").agg(F.first(F.struct("content", "paragraph")).alias("at"), F.first("size").alias("size"), F.first("sketches").alias("sketches"), F.first("bins").alias("bins"))
     classes = cut(cut(classes).select(F.monotonically_increasing_id().alias("node"), "c1", "c2", "at.content", "at.paragraph", "size", "sketches", "bins"))
 
@@ -160,5 +214,40 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     lines = sized(of_id.groupBy("cluster_id").agg(F.min("row").alias("least_row")))
     first = of_id.join(lines, "cluster_id").where("row = least_row").groupBy("cluster_id", "least_row").agg(F.min("paragraph").alias("least_line"))
     keep = (F.col("row") == F.col("least_row")) & (F.col("paragraph") == F.col("least_line"))
-    return repeated.join(sized(first), "cluster_id").select("doc_id", "paragraph", "start", "end", "n_words", "cluster_id", "n_docs", (~keep).alias("removed"))
-
+    repeated = cut(repeated.join(sized(first), "cluster_id").select("row", "doc_id", "paragraph", "first_word", "start", "end", "n_words", "cluster_id", (~keep).alias("removed")))
+    return _with_spans(everything.where("paragraph IS NULL").select("row", "doc_id", F.arrays_zip("hashes", "ats", "starts", "ends", "lines").alias("w")), repeated, min_words)
+
+
+def _with_spans(texts: DataFrame, lines: DataFrame, words: int) -> DataFrame:
+    """The repeated ``lines``, and the spans of windows (``w``) that several ``texts`` hold, in common clusters."""
+    shared = texts.select("row", F.explode("w.hashes").alias("hash")).groupBy("hash").agg(F.min("row").alias("one"), F.max("row").alias("other")).where("one < other").select("hash")
+    windows_ = texts.select("row", "doc_id", F.explode("w").alias("w")).select("row", "doc_id", F.col("w.hashes").alias("hash"), F.col("w.ats").alias("at"), "w.starts", "w.ends", "w.lines")
+    met = cut(windows_.join(sized(shared), "hash"))
+    of_row = cut(lines.groupBy("row").agg(F.collect_list(F.struct("first_word", "n_words", "cluster_id", "removed")).alias("within")))
+    holds = F.filter("within", lambda x: (x["first_word"] <= F.col("at")) & (F.col("at") + words <= x["first_word"] + x["n_words"]))
+    met = cut(met.join(of_row, "row", "left").withColumn("line", F.get(holds, F.lit(0))).drop("within"))
+    # Occurrences in lines that stay come first, those in removed lines last.
+    rank = F.when(F.col("line").isNull(), 1).when(F.col("line.removed"), 2).otherwise(0)
+    stays = met.groupBy("hash").agg(F.min(F.struct(rank.alias("rank"), F.col("doc_id").isNull().alias("null"), "doc_id", "row", "at")).alias("s"))
+    stays = cut(stays.select("hash", F.col("s.row").alias("row_s"), F.col("s.at").alias("at_s")))
+    met = met.join(stays, "hash").withColumn("removed", ~((F.col("row") == F.col("row_s")) & (F.col("at") == F.col("at_s"))))
+    order = Window.partitionBy("row").orderBy("at")
+    outside = met.where("line IS NULL").drop("line", "row_s", "at_s")
+    fresh = (F.col("at") >= F.lag("at").over(order) + words) | (F.col("removed") != F.lag("removed").over(order))
+    outside = cut(outside.withColumn("fresh", F.coalesce(fresh, F.lit(True)).cast("int")).withColumn("span", F.sum("fresh").over(order)))
+    spans = outside.groupBy("row", "span").agg(
+        F.first("doc_id").alias("doc_id"), F.min("lines").alias("paragraph"), F.min("starts").cast("long").alias("start"), F.max("ends").cast("long").alias("end"),
+        F.min("at").alias("at"), (F.max("at") - F.min("at") + words).cast("long").alias("n_words"), F.first("removed").alias("removed"),
+    )
+    common = F.transform("within", lambda x: F.greatest(F.lit(0), F.least(F.col("at") + F.col("n_words"), x["first_word"] + x["n_words"]) - F.greatest(F.col("at"), x["first_word"])))
+    alone = F.col("n_words") - F.coalesce(F.aggregate(common, F.lit(0).cast("long"), lambda a, b: a + b), F.lit(0))
+    spans = cut(cut(spans.join(of_row, "row", "left").withColumn("listed", alone >= words).drop("within", "at")).withColumn("node", -1 - F.monotonically_increasing_id()))
+    # Each window ties all its spans and lines to the least of them.
+    held = cut(outside.select("hash", "row", "span").join(spans.select("row", "span", "node"), ["row", "span"]).select("hash", "node").unionByName(met.where("line IS NOT NULL").select("hash", F.col("line.cluster_id").alias("node"))).distinct())
+    heads = cut(held.groupBy("hash").agg(F.min("node").alias("a")))
+    component = sized(connected_components(held.join(heads, "hash").select("a", F.col("node").alias("b"))).select("node", "component"))
+    names = ("row", "doc_id", "paragraph", "start", "end", "n_words", "removed", "listed", "node")
+    both = lines.withColumn("listed", F.lit(True)).withColumnRenamed("cluster_id", "node").select(*names).unionByName(spans.select(*names))
+    both = cut(both.join(component, "node", "left").withColumn("cluster_id", F.coalesce("component", "node")))
+    several = both.groupBy("cluster_id").agg(F.countDistinct("row").alias("n_docs")).where("n_docs > 1")
+    return both.where("listed").join(sized(several), "cluster_id").select("doc_id", "paragraph", "start", "end", "n_words", "cluster_id", "n_docs", "removed")

@@ -389,3 +389,34 @@ def test_passages(spark):
     assert passages.repeated_passages(frame(spark, [])).count() == 0
     bands, rows = passages.tune_bands()
     assert 1 - (1 - 0.8**rows) ** bands >= passages.RECALL
+
+
+def test_passages_inside_lines(spark):
+    draw = random.Random(14)
+    run, kept, wrapped, head, tail = (prose(draw, n, 5000).split() for n in (57, 45, 60, 30, 30))
+    pad = lambda n: prose(draw, n, 5000).split()
+    texts = [
+        " ".join([*pad(88), *run, *pad(10)]),  # a 57-word run inside a line of 155 words
+        " ".join([*pad(40), *run, *pad(43)]),  # and inside one of 140
+        "\n".join(" ".join(wrapped[k : k + 12]) for k in range(0, 60, 12)),  # lines too short to count
+        "\u2028".join(" ".join(wrapped[k : k + 15]) for k in range(0, 60, 15)),
+        " ".join(kept),
+        " ".join(kept),
+        " ".join([*pad(50), *kept, *pad(50)]),  # as a line elsewhere
+        " ".join(tail),
+        " ".join([*pad(60), *head, *tail, *pad(60)]),  # the tail stands before, the head does not
+        " ".join([*pad(60), *head, *tail, *pad(60)]),
+        " ".join(pad(200)),
+    ]
+    found = passages.repeated_passages(frame(spark, texts)).collect()
+    of = lambda i: sorted((r for r in found if r["doc_id"] == i), key=lambda r: r["start"])
+    for a, b, shared in [(0, 1, run), (2, 3, wrapped)]:
+        [x], [y] = of(a), of(b)
+        assert x["cluster_id"] == y["cluster_id"] and x["n_docs"] == y["n_docs"] == 2 and not x["removed"] and y["removed"]
+        for r in (x, y):
+            inside = words(texts[r["doc_id"]][r["start"] : r["end"]].replace("\u2028", " "))
+            assert len(inside) == r["n_words"] >= len(shared) - 2 * (passages.STEP - 1) and " ".join(inside) in " ".join(shared)
+    assert len({r["cluster_id"] for i in (4, 5, 6) for r in of(i)}) == 1
+    assert [[r["removed"] for r in of(i)] for i in (4, 5, 6)] == [[False], [True], [True]]
+    assert not of(7)[0]["removed"] and [r["removed"] for r in of(8)] == [False, True] and {r["removed"] for r in of(9)} == {True}
+    assert not of(10)
