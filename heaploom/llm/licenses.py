@@ -92,6 +92,27 @@ class SuffixAutomaton:
             above = self.ends[self.link[state]]
             for number, at in self.ends[state].items():
                 above[number] = min(at, above.get(number, at))
+        self.places = self._places(sequences)
+
+    def _places(self, sequences: list[list[int]]) -> list[set[tuple[int, int]]]:
+        """All (sequence, end) of each state."""
+        places: list[set[tuple[int, int]]] = [set() for _ in self.length]
+        for number, sequence in enumerate(sequences):
+            state = 0
+            for at, token in enumerate(sequence):
+                state = self.next[state][token]
+                places[state].add((number, at))
+        for state in sorted(range(1, len(self.length)), key=self.length.__getitem__, reverse=True):
+            places[self.link[state]] |= places[state]
+        return places
+
+    def suffixes(self, state: int, least: int) -> list[tuple[int, int, int]]:
+        """(sequence, end, length) where only a shorter suffix of the state's strings stands, of at least ``least``."""
+        out, seen = [], self.places[state]
+        while self.length[state := self.link[state]] >= least:
+            out += [(number, at, self.length[state]) for number, at in sorted(self.places[state] - seen)]
+            seen = self.places[state]
+        return out
 
     def _new(self, length: int) -> int:
         self.next.append({})
@@ -151,6 +172,7 @@ class LicenseScanner:
             self.ids.setdefault(word, len(self.ids) + 1)
         self.phrases = [([self.ids[w] for w in ws], BASE_PHRASES[p]) for p, ws in phrases.items()]
         self.automaton = SuffixAutomaton([[self.ids[w] for w in ws] for _, ws in texts])
+        self.suffixes: dict[int, list[tuple[int, int, int]]] = {}
         self.min_match, self.max_gap, self.min_cover = min_match, max_gap, min_cover
 
     def base(self, ids: np.ndarray) -> tuple[list[int], set[str]]:
@@ -164,45 +186,64 @@ class LicenseScanner:
                 labels.add(label)
         return starts, labels
 
-    def matches(self, ids: np.ndarray) -> list[tuple[int, int, int]]:
-        """Maximal matches of at least min_match words: (start, length, state)."""
+    def matches(self, ids: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
+        """For each template all maximal matches of at least min_match words: (start, start in the template, length)."""
         known = (ids > 0) & (ids <= self.words_in_templates)
         edges = np.flatnonzero(np.diff(np.concatenate([[0], known.view(np.int8), [0]])))
-        found = []
-        for lo, hi in edges.reshape(-1, 2):
+        found: dict[int, list[tuple[int, int, int]]] = {}
+
+        def ended(before: dict[tuple[int, int], int], now: dict[tuple[int, int], int], at: int) -> None:
+            for (number, end), length in before.items():
+                if (number, end + 1) not in now:
+                    found.setdefault(number, []).append((at - length, end - length + 1, length))
+
+        for lo, hi in edges.reshape(-1, 2).tolist():
             if hi - lo < self.min_match:
                 continue
-            before = (0, 0)
-            for at, (length, state) in enumerate(self.automaton.statistics(ids[lo:hi].tolist())):
-                if before[0] >= self.min_match and length <= before[0]:
-                    found.append((int(lo) + at - before[0], *before))
-                before = (length, state)
-            if before[0] >= self.min_match:
-                found.append((int(hi) - before[0], *before))
+            before: dict[tuple[int, int], int] = {}
+            for at, (length, state) in enumerate(self.automaton.statistics(ids[lo:hi].tolist()), lo):
+                now: dict[tuple[int, int], int] = {}
+                if length >= self.min_match:
+                    if state not in self.suffixes:
+                        self.suffixes[state] = self.automaton.suffixes(state, self.min_match)
+                    now = dict.fromkeys(self.automaton.places[state], length) | {(number, end): shorter for number, end, shorter in self.suffixes[state]}
+                if before:
+                    ended(before, now, at)
+                before = now
+            ended(before, {}, hi)
         return found
 
-    def chains(self, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float]]:
-        """Chain matches that follow each other in text and template: (template, start, end, cover)."""
-        by: dict[int, list[tuple[int, int, int]]] = {}
-        for start, length, state in found:
-            for number, end in self.automaton.ends[state].items():
-                by.setdefault(number, []).append((start, end - length + 1, length))
+    def chains(self, found: dict[int, list[tuple[int, int, int]]]) -> list[tuple[int, int, int, float]]:
+        """Best chains of matches that follow each other in text and template: (template, start, end, cover).
+
+        The best chain to each match comes from any match before it that fits; others are passed over.  Chains
+        are taken from the highest cover on, and do not overlap within a template.
+        """
         spans = []
-        for number, hits in by.items():
-            chain: list[int] = []  # start, end in text, end in template, words covered
-
-            def close(number=number):
-                if chain and chain[3] / self.sizes[number] >= self.min_cover:
-                    spans.append((number, chain[0], chain[1], min(1.0, chain[3] / self.sizes[number])))
-
-            for start, at, length in hits:
-                over = max(0, chain[1] - start, chain[2] - at) if chain else 0
-                if chain and over < length and start + over - chain[1] <= self.max_gap and at + over - chain[2] <= self.max_gap:
-                    chain[1], chain[2], chain[3] = start + length, at + length, chain[3] + length - over
-                else:
-                    close()
-                    chain = [start, start + length, at + length, length]
-            close()
+        for number, hits in found.items():
+            hits.sort()
+            cover, origin, before = [], [], []
+            open_: list[int] = []  # matches that a later one can still follow
+            for k, (start, at, length) in enumerate(hits):
+                open_ = [j for j in open_ if start - hits[j][0] - hits[j][2] <= self.max_gap]
+                best, came = length, -1
+                for j in open_:
+                    s, a, n = hits[j]
+                    over = max(0, s + n - start, a + n - at)
+                    if over < length and start + over - s - n <= self.max_gap and at + over - a - n <= self.max_gap and cover[j] + length - over > best:
+                        best, came = cover[j] + length - over, j
+                cover.append(best)
+                before.append(came)
+                origin.append(start if came < 0 else origin[came])
+                open_.append(k)
+            taken: list[tuple[int, int]] = []
+            ends = [start + length for start, _, length in hits]
+            for k in sorted(range(len(hits)), key=lambda k: (-cover[k], ends[k] - origin[k], origin[k])):
+                if cover[k] < self.min_cover * self.sizes[number]:
+                    break
+                if all(ends[k] <= lo or origin[k] >= hi for lo, hi in taken):
+                    taken.append((origin[k], ends[k]))
+                    spans.append((number, origin[k], ends[k], min(1.0, cover[k] / self.sizes[number])))
         return sorted(spans)
 
     def scan(self, text: str) -> tuple[int, int, int | None, int | None, set[str], list[tuple[int, int, int, float]], float]:
@@ -219,9 +260,10 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """Licence labels and template spans of every whole text, without any shuffle.
 
     Each text streams word by word through the suffix automaton of all templates; what it gives
-    are matching statistics (the longest template substring that ends at each word).  Matches of
-    ``min_match`` words and more are chained where text and template both go on within
-    ``max_gap`` words, and a chain that covers ``min_cover`` of its template is a span.
+    are matching statistics (the longest template substring that ends at each word), and from these
+    all maximal matches with every place of every template.  Matches of ``min_match`` words and more are chained by
+    dynamic programming where text and template both go on within ``max_gap`` words, and a
+    chain that covers ``min_cover`` of its template is a span.
 
     Returns doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and spans
     (array of label, first, last word and cover).  Words are those of the text with A-Z

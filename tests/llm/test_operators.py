@@ -182,6 +182,17 @@ def test_suffix_automaton():
             assert automaton.ends[state] == {j: min(e for i, e in holds(length) if i == j) for j, _ in holds(length)}
 
 
+def test_license_chains_keep_all_places():
+    scanner = licenses.LicenseScanner()
+    bsd = licenses.TEMPLATES["bsd"][0]
+    edited_ = bsd.replace("must reproduce", "must contain").replace("in the documentation", "within the documentation")
+    assert edited_.count("must contain") == edited_.count("within the documentation") == 1
+    for text, copies in [(edited_, 1), (f"{edited_} {edited_}", 2)]:
+        spans = [s for s in scanner.scan(f"x y {text} z")[5] if scanner.labels[s[0]] == "bsd"]
+        assert [(s[1], s[2]) for s in spans] == [(2 + 134 * k, 136 + 134 * k) for k in range(copies)]
+        assert all(s[3] == pytest.approx(132 / 134) for s in spans)
+
+
 # -- personal data ---------------------------------------------------------------------
 
 
