@@ -76,6 +76,26 @@ def words_of(text: str) -> list[bytes]:
     return _WORDS.findall(text.encode().lower())
 
 
+def telling_places(texts: list[tuple[str, list[bytes]]]) -> list[set[tuple[int, int]]]:
+    """For each template the places (first, end) of what tells it from the templates of other labels.
+
+    For an SPDX line this is the name after the colon; else the words that stand under no other label, or
+    where there are none, such pairs of words.
+    """
+    out = []
+    for label, words in texts:
+        if words[:3] == [b"spdx", b"license", b"identifier"]:
+            out.append({(3, 4)})
+            continue
+        for n in (1, 2):
+            others = {tuple(w[k : k + n]) for other, w in texts if other != label for k in range(len(w) - n + 1)}
+            places = {(k, k + n) for k in range(len(words) - n + 1) if tuple(words[k : k + n]) not in others}
+            if places:
+                break
+        out.append(places or {(0, 0)})
+    return out
+
+
 class SuffixAutomaton:
     """All substrings of several token sequences, with where each first ends in each of them."""
 
@@ -163,6 +183,7 @@ class LicenseScanner:
         texts = [(label, words_of(t)) for label, ts in (templates or TEMPLATES).items() for t in ts]
         self.labels = [label for label, _ in texts]
         self.sizes = [len(w) for _, w in texts]
+        self.telling = telling_places(texts)
         phrases = {p: [w.encode() for w in p.split()] for p in BASE_PHRASES}
         self.ids: dict[bytes, int] = {}
         for word in [w for _, ws in texts for w in ws]:
@@ -217,12 +238,12 @@ class LicenseScanner:
         """Best chains of matches that follow each other in text and template: (template, start, end, cover).
 
         The best chain to each match comes from any match before it that fits; others are passed over.  Chains
-        are taken from the highest cover on, and do not overlap within a template.
+        that hold nothing that tells the template from those of other labels are left out, and the rest is taken from the highest cover on, and do not overlap within a template.
         """
         spans = []
         for number, hits in found.items():
             hits.sort()
-            cover, origin, before = [], [], []
+            cover, origin, tells = [], [], []
             open_: list[int] = []  # matches that a later one can still follow
             for k, (start, at, length) in enumerate(hits):
                 open_ = [j for j in open_ if start - hits[j][0] - hits[j][2] <= self.max_gap]
@@ -233,7 +254,8 @@ class LicenseScanner:
                     if over < length and start + over - s - n <= self.max_gap and at + over - a - n <= self.max_gap and cover[j] + length - over > best:
                         best, came = cover[j] + length - over, j
                 cover.append(best)
-                before.append(came)
+                own = any(at <= lo and hi <= at + length for lo, hi in self.telling[number])
+                tells.append(own or (came >= 0 and tells[came]))
                 origin.append(start if came < 0 else origin[came])
                 open_.append(k)
             taken: list[tuple[int, int]] = []
@@ -241,7 +263,7 @@ class LicenseScanner:
             for k in sorted(range(len(hits)), key=lambda k: (-cover[k], ends[k] - origin[k], origin[k])):
                 if cover[k] < self.min_cover * self.sizes[number]:
                     break
-                if all(ends[k] <= lo or origin[k] >= hi for lo, hi in taken):
+                if tells[k] and all(ends[k] <= lo or origin[k] >= hi for lo, hi in taken):
                     taken.append((origin[k], ends[k]))
                     spans.append((number, origin[k], ends[k], min(1.0, cover[k] / self.sizes[number])))
         return sorted(spans)
@@ -263,7 +285,8 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     are matching statistics (the longest template substring that ends at each word), and from these
     all maximal matches with every place of every template.  Matches of ``min_match`` words and more are chained by
     dynamic programming where text and template both go on within ``max_gap`` words, and a
-    chain that covers ``min_cover`` of its template is a span.
+    chain that covers ``min_cover`` of its template, with words that tell its label from others (see
+    :func:`telling_places`), is a span.
 
     Returns doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and spans
     (array of label, first, last word and cover).  Words are those of the text with A-Z

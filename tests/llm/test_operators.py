@@ -193,6 +193,18 @@ def test_license_chains_keep_all_places():
         assert all(s[3] == pytest.approx(132 / 134) for s in spans)
 
 
+def test_license_near_misses():
+    scanner = licenses.LicenseScanner()
+    labels = lambda text: {scanner.labels[s[0]] for s in scanner.scan(text)[5]}
+    for text in ("It was released under the old name.", "Released under the Apache 2 terms", "SPDX-License-Identifier: EPL-2.0", "SPDX-License-Identifier: AGPL-3.0-or-later"):
+        assert labels(text) == set() and scanner.scan(text)[6] == 0
+    for label, templates in licenses.TEMPLATES.items():
+        for template in templates:
+            assert labels(template) == {label}
+    assert labels("SPDX-License-Identifier: GPL-3.0-only") == {"gpl"}
+    assert labels("Copyright (c) 2020 Somebody. All rights reserved.") == {"all-rights-reserved"}
+
+
 # -- personal data ---------------------------------------------------------------------
 
 
