@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from bisect import bisect_left
@@ -12,19 +13,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, content_key, cut
-from .components import connected_components, sized
+from .common import BROADCAST_ROWS, WORD_BYTES, Workspace, content_key, cut, lean, sized, small_batches
+from .components import connected_components
 
 #: Words of a shingle (k-mer) and the similarity from which documents link.
 K, SIMILARITY = 5, 0.8
 #: Sketches per document, k-mers in each.  A pair of similarity 0.8 agrees in a sketch with
 #: probability 0.8 ** 3, so it meets in none of 12 with probability 0.0002.
 SKETCHES, SAMPLED = 12, 3
-#: Pairs that do not meet through a bucket's first member must agree in so many sketches.
-AGREE = 2
-#: Bins of the estimate that such pairs must pass, and the least estimate.  At similarity 0.8 it lies four
-#: standard deviations lower; it only spares alignments of texts that share a passage.
-BINS, LEAST_ESTIMATE = 64, 0.6
+#: Buckets of more classes, or of more k-mers, are cut into blocks; a task compares one block, or two.
+BLOCK_ROWS, BLOCK_KMERS = 512, 4_000_000
+#: Up to so many sequences are compared pair by pair, more by one matrix of what they share.
+FEW, COLUMNS = 8, 4096
 #: Words whose hashes a task remembers, and rows that it hands back to Spark at once.
 TABLE_WORDS, OUT_ROWS = 100_000, 500
 _WORDS = re.compile(WORD_BYTES)
@@ -89,16 +89,6 @@ def sketches(x: np.ndarray, number: int = SKETCHES, sampled: int = SAMPLED) -> n
     return value
 
 
-def minima(x: np.ndarray, owner: np.ndarray | None = None, owners: int = 1, bins: int = BINS) -> np.ndarray:
-    """Seven bits of the least k-mer in each of ``bins`` bins (one-permutation MinHash), a row per owner; -1 for an empty bin."""
-    empty = np.iinfo(np.uint64).max
-    out = np.full(owners * bins, empty, np.uint64)
-    rank = mix(x ^ _M2)
-    at = (rank & np.uint64(bins - 1)).astype(np.int64)
-    np.minimum.at(out, at if owner is None else at + owner * bins, rank >> np.uint64(8))
-    return np.where(out == empty, -1, (out & np.uint64(127)).astype(np.int64)).astype(np.int8).reshape(owners, bins)
-
-
 def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
     """The most labelled k-mers that two texts share in the same order, none shifted by more than ``band``.
 
@@ -133,81 +123,156 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     return aligned(a, b, int(n - 2 * need) + 1) >= need - 1e-9
 
 
-def whole_texts(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
-    """(content, text) of the wanted contents, each once.
-
-    Texts are found by their content, not by a number of their row: a second reading may deal rows differently.
+def shared_counts(sequences: list[np.ndarray]) -> np.ndarray:
+    """How many numbers each two of the sequences (without repetition) have in common."""
+    owner = np.repeat(np.arange(len(sequences)), [len(s) for s in sequences])
+    _, at, held = np.unique(np.concatenate(sequences), return_inverse=True, return_counts=True)
+    several = held[at] > 1
+    owner, at = owner[several], (np.cumsum(held > 1) - 1)[at[several]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    out = np.zeros((len(sequences), len(sequences)), np.float32)
+    columns = int(at[-1]) + 1 if len(at) else 0
+    for lo in range(0, columns, COLUMNS):
+        i, j = np.searchsorted(at, [lo, lo + COLUMNS])
+        some = np.zeros((len(sequences), min(COLUMNS, columns - lo)), np.float32)
+        some[owner[i:j], at[i:j] - lo] = 1
+        out += some @ some.T
+    return out
+
+
+def links_within(sequences: list[np.ndarray], label: np.ndarray, side: np.ndarray, least: float, test: Callable[[np.ndarray, np.ndarray], bool] | None) -> list[tuple[int, int]]:
+    """Links (i, j) that connect all sequences of a block that are alike to ``least``, without those inside what is connected.
+
+    Sequences of one ``label`` count as connected before; where there are two sides, only pairs of one of each
+    are compared.  m shared of n numbers in all are a similarity of m / (n - m), so ``least`` bounds m from
+    below, exactly; ``test`` then decides on the pairs that reach the bound (None: they are alike).
     """
-    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("content", content_key(F.col("text")))
-    return texts.join(wanted.select("content"), "content", "left_semi").groupBy("content").agg(F.first("text").alias("text"))
-
-
-def _verify(pairs: DataFrame, sequences: DataFrame, test: Callable[[np.ndarray, np.ndarray], bool]) -> DataFrame:
-    """Of pairs (a, b) of nodes those whose sequences (node, sequence: 32-bit numbers) pass the test."""
+    size = np.array([len(s) for s in sequences])
+    place = np.unique(label, return_inverse=True)[1].tolist()
+    parent = list(range(len(sequences)))
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    mixed = bool(side.min() != side.max())
+    if len(sequences) <= FEW:
+        pairs = ((i, j) for i in range(len(sequences)) for j in range(i + 1, len(sequences)))
+        pairs = ((i, j) for i, j in pairs if min(size[i], size[j]) >= least * max(size[i], size[j]) and not (mixed and side[i] == side[j]))
+        test = test or (lambda a, b: len(np.intersect1d(a, b, assume_unique=True)) >= least / (1 + least) * (len(a) + len(b)) - 1e-9)
+    else:
+        both = shared_counts(sequences)
+        ok = np.triu(both >= least / (1 + least) * np.add.outer(size, size) - 1e-3, 1)
+        if mixed:
+            ok &= side[:, None] != side[None, :]
+        i, j = np.nonzero(ok)
+        order = np.argsort(-both[i, j] / np.minimum(size[i], size[j]), kind="stable")
+        pairs = zip(i[order].tolist(), j[order].tolist(), strict=True)
+    out = []
+    for i, j in pairs:
+        x, y = find(place[i]), find(place[j])
+        if x != y and (test is None or test(sequences[i], sequences[j])):
+            parent[x] = y
+            out.append((i, j))
+    return out
+
+
+def _compare(groups: DataFrame, least: float, test: Callable[[np.ndarray, np.ndarray], bool] | None) -> DataFrame:
+    """Links (a, b) within groups of rows (key, part, block, side, node, label, sequence), each group in one task."""
+    keys = ("key", "part", "block")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        last = None
+
+        def close() -> pa.RecordBatch:
+            node, label, side, sequences = (list(c) for c in zip(*held, strict=True))
+            found = links_within(sequences, np.array(label), np.array(side), least, test)
+            return pa.RecordBatch.from_arrays([pa.array([node[p[k]] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one, two = batch.column("x"), batch.column("y")
-            ok = [test(np.frombuffer(one[k].as_buffer(), np.uint32), np.frombuffer(two[k].as_buffer(), np.uint32)) for k in range(batch.num_rows)]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    left = sequences.select(F.col("node").alias("a"), F.col("sequence").alias("x"))
-    right = sequences.select(F.col("node").alias("b"), F.col("sequence").alias("y"))
-    return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"))
-
-
-def link_buckets(
-    classes: DataFrame, sequences: Callable[[DataFrame], DataFrame], test: Callable[[np.ndarray, np.ndarray], bool], *, least: float, agree: int
-) -> DataFrame:
-    """(node, component) of the classes that link, from buckets, without the pairs inside a group.
-
-    ``classes``: node, size, sketches (an array of numbers) and bins (see :func:`minima`); classes that have a
-    number in one place share a bucket.  Each is compared with its bucket's first member only, so a bucket of
-    any size gives a line of pairs, not a square.  Buckets that then still hold several components get
-    all pairs between their components whose sizes fit ``least``, that share ``agree`` buckets and whose bins
-    estimate LEAST_ESTIMATE; pairs inside a component would change nothing.  ``sequences`` gives the sequences of the nodes
-    (a column) it is called with, on which ``test`` decides.
+            if not batch.num_rows:
+                continue
+            at = np.stack([batch.column(c).to_numpy() for c in keys])
+            edges = [0, *(np.flatnonzero((np.diff(at) != 0).any(0)) + 1).tolist(), batch.num_rows]
+            node, label, side = (batch.column(c).to_pylist() for c in ("node", "label", "side"))
+            sequence = batch.column("sequence")
+            for lo, hi in itertools.pairwise(edges):
+                now = tuple(at[:, lo].tolist())
+                if held and now != last:
+                    yield close()
+                    held = []
+                last = now
+                # Copies of the bytes: a group outlives the batch.
+                held += [(node[k], label[k], side[k], np.frombuffer(sequence[k].as_py(), np.uint32)) for k in range(lo, hi)]
+        if held:
+            yield close()
+
+    return groups.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(lean(compare), "a long, b long")
+
+
+def link_buckets(work: Workspace, classes: DataFrame, sequences: DataFrame, *, least: float, test: Callable[[np.ndarray, np.ndarray], bool] | None = None) -> DataFrame:
+    """(node, component) of the classes that link, from buckets of any size.  No pair that shares a bucket is left undecided.
+
+    ``classes``: node and sketches (an array of numbers); classes that have a number in common share a bucket.  Buckets of the
+    same members count once.  ``sequences``: node, sequence (bytes of 32-bit numbers, none twice) of at least these classes.
+
+    1. A bucket of at most BLOCK_ROWS classes is one block, a longer one is cut into several.  Each block is compared
+       as a whole where it lies (see :func:`links_within`), and only a forest of links leaves it, so neither pairs nor
+       links of a group are ever written.
+    2. Where a bucket of several blocks still holds several components, the members outside of its largest one meet
+       all its blocks.  Members of the largest component need no comparison with each other.
     """
-    members = classes.where("size > 0").select("node", F.posexplode("sketches").alias("band", "value"))
-    buckets = sized(members.groupBy("band", "value").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
-    shared = cut(members.join(buckets, ["band", "value"]))
-    first = cut(shared.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        return _verify(pairs, sequences(sized(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())), test)
-
-    links = verified(first)
-    component = sized(connected_components(links).select("node", "component"))
-    placed = shared.select("band", "value", "node").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    # Members outside a bucket's largest component meet all members of its others.
-    parts = placed.groupBy("band", "value", "component").agg(F.count(F.lit(1)).alias("n"))
-    several = sized(parts.groupBy("band", "value").agg(F.max_by("component", "n").alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts"))
-    open_ = cut(placed.join(several, ["band", "value"]).join(classes.select("node", "size", "sketches", "bins"), "node"))
-    columns = ("node", "component", "size", "sketches", "bins")
-    x = open_.where("component <> main").select("band", "value", *(F.col(c).alias(f"{c}1") for c in columns))
-    y = open_.select(F.col("band").alias("band2"), F.col("value").alias("value2"), "main", *(F.col(c).alias(f"{c}2") for c in columns))
-    both = F.size(F.filter(F.zip_with("sketches1", "sketches2", lambda p, q: p == q), lambda e: e))
-    once = (F.col("component1") != F.col("component2")) & ((F.col("component2") == F.col("main")) | (F.col("component1") > F.col("component2")))
-    alike = once & (F.least("size1", "size2") >= least * F.greatest("size1", "size2")) & (both >= agree)
-    met = F.size(F.filter(F.zip_with("bins1", "bins2", lambda p, q: (p == q) & (p >= 0)), lambda e: e))
-    used = F.size(F.filter(F.zip_with("bins1", "bins2", lambda p, q: (p >= 0) | (q >= 0)), lambda e: e))
-    alike &= met >= LEAST_ESTIMATE * used
-    rest = x.join(y, (F.col("band") == F.col("band2")) & (F.col("value") == F.col("value2")) & alike)
-    rest = cut(rest.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
-    return sized(connected_components(links.unionByName(verified(rest))))
-
-
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
+    members = classes.select("node", F.explode("sketches").alias("key"))
+    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("head"), F.bit_xor(F.xxhash64("node")).alias("sign")).where("n > 1")
+    buckets = work.sized(shared.groupBy("n", "head", "sign").agg(F.min("key").alias("key")).select("key"))
+    belongs = work.keep(members.join(buckets, "key").select("key", "node"))
+    several = belongs.select("node").distinct()
+    needed = work.sized(several)
+    wanted = work.keep(sequences.join(needed, "node", "left_semi").select("node", "sequence", F.length("sequence").alias("bytes")))
+    weights = belongs.join(wanted.select("node", "bytes"), "node").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK_ROWS, F.col("bytes") / (4 * BLOCK_KMERS))).cast("int")
+    placed = belongs.join(work.sized(weights.select("key", blocks.alias("blocks"))), "key")
+    placed = work.keep(placed.select("key", "node", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")))
+    few = placed.count() <= BROADCAST_ROWS
+
+    def spelled(rows: DataFrame) -> DataFrame:
+        return wanted.select("node", "sequence").join(F.broadcast(rows) if few else rows, "node")
+
+    alone = placed.select("key", F.lit(0).alias("part"), "block", F.lit(0).alias("side"), "node", F.col("node").alias("label"))
+    links = work.keep(_compare(spelled(alone), least, test))
+    component = connected_components(links)
+    long = placed.where("blocks > 1")
+    if long.isEmpty():
+        return component
+    known = work.keep(long.join(component, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component"))
+    parts = known.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    open_ = parts.groupBy("key").agg(F.max_by("label", "n").alias("main"), F.sum("n").alias("n"), F.max("n").alias("most")).where("n > most")
+    rest = F.ceil((F.col("n") - F.col("most")) / F.col("n") * F.col("blocks")).cast("int")
+    known = work.keep(known.join(work.sized(open_), "key").withColumn("parts", rest))
+    if known.isEmpty():
+        return component
+    own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")
+    minor = known.where("label <> main").select("key", own.alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("side"), "node", "label")
+    every = known.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "block", F.lit(1).alias("side"), "node", "label")
+    more = _compare(wanted.select("node", "sequence").join(minor.unionByName(every), "node"), least, test)
+    stars = component.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return connected_components(work.keep(stars.unionByName(more)))
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, number: int = SKETCHES, sampled: int = SAMPLED) -> DataFrame:
     """Group documents that are equal, or alike to ``least`` or more by alignment of word 5-mers.
 
     1. Texts of equal content become one class, so copies cost one row each, however many.
-    2. Each class has SKETCHES Order-MinHash sketches: the SAMPLED least occurrence-labelled 5-mers,
-       kept in text order.  Classes of one sketch share a bucket and are compared with its first
-       member only, so a bucket of any size gives a line of pairs, not a square.
-    3. A pair is verified by a banded alignment of the labelled 5-mers of both whole texts.
-    4. Buckets that then still hold several components get all pairs between their components
-       that agree in AGREE sketches, verified alike; pairs inside a component would change nothing.
-    5. Components of the links are the groups.
+    2. Each class has ``number`` Order-MinHash sketches: the ``sampled`` least occurrence-labelled 5-mers,
+       kept in text order.  Classes of one sketch share a bucket.
+    3. Whatever shares a bucket is compared (see :func:`link_buckets`) by a banded alignment of the labelled 5-mers of both
+       whole texts.  5-mers are told apart by 32 bits of their hash: of two different texts of 20,000
+       words one 5-mer in 200,000 matches by chance.
+    4. Components of the links are the groups.
 
     Returns doc_id, content (a key of the text), cluster_id (the least doc_id of the group) and kept (true for
     exactly one row per group, of the least doc_id).
@@ -216,6 +281,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     equal only exact copies.  Null ids come after all others and are kept only in groups without
     any other.  Repeated rows are copies.  Empty table: no rows.  Other columns are ignored.
     """
+    spark = docs.sparkSession
+    small_batches(spark)
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
@@ -224,62 +291,47 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         for whole in batches:
             for lo in range(0, whole.num_rows, OUT_ROWS):
                 batch = whole.slice(lo, OUT_ROWS)
-                sizes, values, offsets, bins = [], [], [0], []
+                values, offsets, spelled = [np.zeros(0, np.uint64)], [0], []
                 for text in batch.column("text"):
                     x = labelled(kmers(word_hashes(text.as_py(), table)))
-                    values.append(sketches(x))
-                    bins.append(minima(x)[0])
-                    sizes.append(len(x))
+                    values.append(sketches(x, number, sampled))
+                    spelled.append(x.astype(np.uint32).tobytes())
                     offsets.append(offsets[-1] + len(values[-1]))
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(values).view(np.int64)))
-                columns = [batch.column("doc_id"), batch.column("content"), pa.array(sizes, pa.int32()), lists, pa.array(bins, pa.list_(pa.int8()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "content", "size", "sketches", "bins"])
-
-    sketched = cut(
-        rows.withColumn("content", content_key(F.col("text"))).mapInArrow(sketch, f"doc_id {id_type}, content binary, size int, sketches array<long>, bins array<tinyint>")
-    )
-    classes = sketched.groupBy("content").agg(F.first("size").alias("size"), F.first("sketches").alias("sketches"), F.first("bins").alias("bins"))
-    # Numbers of kept rows: they stay the same however often the table is read.
-    classes = cut(cut(classes).withColumn("node", F.monotonically_increasing_id()))
-
-    def sequences(nodes: DataFrame) -> DataFrame:
-        """The labelled 5-mers of whole texts, as 32-bit numbers."""
-
-        def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table: dict[bytes, int] = {}
-            for whole in batches:
-                for lo in range(0, whole.num_rows, OUT_ROWS):
-                    batch = whole.slice(lo, OUT_ROWS)
-                    out = [labelled(kmers(word_hashes(t.as_py(), table))).astype(np.uint32).tobytes() for t in batch.column("text")]
-                    yield pa.RecordBatch.from_arrays([batch.column("content"), pa.array(out, pa.binary())], names=["content", "sequence"])
-
-        wanted = sized(classes.select("content", "node").join(nodes, "node", "left_semi"))
-        spelled = whole_texts(docs, text_col, wanted).select("content", "text").mapInArrow(spell, "content binary, sequence binary")
-        return cut(spelled.join(wanted, "content").select("node", "sequence"))
-
-    component = link_buckets(classes, sequences, lambda a, b: similar(a, b, least), least=least, agree=AGREE)
-
-    grouped = classes.select("content", "node").join(component, "node", "left").select("content", F.coalesce("component", "node").alias("cluster"))
-    found = cut(sketched.select("doc_id", "content").join(cut(grouped), "content").select("doc_id", "content", "cluster"))
-    found = cut(found.withColumn("row", F.monotonically_increasing_id()))
-    heads = found.where("doc_id IS NOT NULL").groupBy("cluster").agg(F.min("doc_id").alias("cluster_id"))
-    named = found.join(sized(heads), "cluster", "left")
-    keeper = named.where(F.col("doc_id").eqNullSafe(F.col("cluster_id"))).groupBy("cluster").agg(F.min("row").alias("keeper"))
-    return named.join(sized(keeper), "cluster").select("doc_id", "content", "cluster_id", (F.col("row") == F.col("keeper")).alias("kept"))
-
-
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """One document of each group of :func:`near_duplicates`, with all its columns.
-
-    Rows of the kept id and text stay; where there are several such rows, one of them.
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("content"), lists, pa.array(spelled, pa.binary())], names=["doc_id", "content", "sketches", "sequence"])
+
+    with Workspace(spark, "near-duplicates") as work:
+        sketched = rows.withColumn("content", content_key(F.col("text"))).mapInArrow(lean(sketch), f"doc_id {id_type}, content binary, sketches array<long>, sequence binary")
+        # Numbers of kept rows: they stay the same however often the table is read.
+        sketched = work.keep(sketched.withColumn("row", F.monotonically_increasing_id()))
+        copies = work.sized(sketched.groupBy("content").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+        known = sketched.join(copies, "content", "left").withColumn("node", F.coalesce("node", "row"))
+        classes = known.where("node = row").select("node", "sketches")
+        component = work.sized(link_buckets(work, classes, sketched.select(F.col("row").alias("node"), "sequence"), least=least, test=lambda a, b: similar(a, b, least)))
+        found = known.select("row", "doc_id", "content", "node").join(component, "node", "left").withColumn("cluster", F.coalesce("component", "node"))
+        found = work.keep(found.select("row", "doc_id", "content", "cluster"))
+        least_row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+        several = found.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cluster")
+        heads = found.join(work.sized(several), "cluster", "left_semi").groupBy("cluster").agg(least_row)
+        heads = work.sized(heads.select("cluster", F.col("first.doc_id").alias("head_id"), F.col("first.row").alias("head_row")))
+        named = found.join(heads, "cluster", "left")
+        alone = F.col("head_row").isNull()
+        return cut(named.select("doc_id", "content", F.when(alone, F.col("doc_id")).otherwise(F.col("head_id")).alias("cluster_id"), (alone | (F.col("row") == F.col("head_row"))).alias("kept")))
+
+
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One document of each group of :func:`near_duplicates`, with all its columns, whatever their names.
+
+    Rows of the kept id and text stay; where there are several such rows, one of them.  Nulls, empty and repeated texts
+    and empty tables as there.
     """
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, least=least)
-    kept = found.groupBy(F.col("doc_id").alias("kept_id"), F.col("content").alias("kept_content")).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("kept_rows"))
-    kept = cut(kept.where("kept").drop("kept"))
-    names = docs.columns
-    place = "content_" + "_".join(names)  # a name that no column has
-    keyed = docs.withColumn(place, content_key(F.col(text_col)))
-    same = keyed[id_col].eqNullSafe(F.col("kept_id")) & (F.col(place) == F.col("kept_content"))
-    once = keyed.join(kept.where("kept_rows = 1"), same, "left_semi").select(*names)
-    several = keyed.join(kept.where("kept_rows > 1"), same, "left_semi").dropDuplicates([id_col, place]).select(*names)
-    return once.unionByName(several)
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+    pairs = found.groupBy("doc_id", "content").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    changed = sized(pairs.where("NOT kept OR n > 1").select(F.col("doc_id").alias("id"), F.col("content").alias("of"), "kept"))
+    # All columns travel as one struct, so no name of theirs meets one of the operator's.
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"))
+    keyed = packed.select("document", F.col("document").getField(id_col).alias("doc_id"), content_key(F.col("document").getField(text_col)).alias("content"))
+    met = keyed.join(changed, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("content") == F.col("of")), "left")
+    once = met.where("kept IS NULL")
+    several = met.where("kept").dropDuplicates(["doc_id", "content"])
+    return once.unionByName(several).select("document.*")

@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
-from .components import connected_components, sized
+from .common import cut, sized
+from .components import connected_components, roots
 
 #: How many of its nearest pivots describe a vector, and how many two vectors must share.
 PREFIX, SHARED = 5, 2
@@ -54,20 +54,6 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return out / np.linalg.norm(out, axis=1, keepdims=True)
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least index that each of n nodes reaches over edges (a, b)."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def _compare(key: int, same: bool, left: tuple, right: tuple, threshold: float) -> tuple[np.ndarray, ...]:
     """Pairs of a block (or of two) at or above the threshold whose first shared list is this one."""
     (x, kx, dx), (y, ky, dy) = left, right
@@ -175,7 +161,7 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.95, *, id_col: str = "
             order = np.argsort(rep, kind="stable")
             place = np.empty(len(x), dtype=np.int64)
             place[order] = np.arange(len(x))
-            root = order[_roots(len(x), place[a], place[b])[place]]
+            root = order[roots(len(x), place[a], place[b])[place]]
             hit = np.flatnonzero(links > 0)
             return pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array(links[hit].astype(np.int64)), pa.array(rep[hit]), pa.array(rep[root[hit]])], names=["node", "links", "a", "b"])
 

@@ -355,38 +355,73 @@ def edited(draw, text, times):
     return " ".join(w)
 
 
-def test_near_duplicates(spark):
+def plain_alike(a, b, least=0.8):
+    """Five-word shingles numbered by their occurrence, and their longest common subsequence."""
+
+    def shingles(text):
+        w, seen, out = words(text), {}, []
+        for k in range(max(1, len(w) - 4) if w else 0):
+            g = tuple(w[k : k + 5])
+            seen[g] = seen.get(g, 0) + 1
+            out.append((g, seen[g]))
+        return out
+
+    x, y = shingles(a), shingles(b)
+    if not x or not y or min(len(x), len(y)) < least * max(len(x), len(y)) or len({*x} & {*y}) < least * len({*x} | {*y}) - 1e-9:
+        return False
+    row = [0] * (len(y) + 1)
+    for p in x:
+        before, row = row, [0]
+        for k, q in enumerate(y):
+            row.append(before[k] + 1 if p == q else max(before[k + 1], row[k]))
+    return row[-1] >= least * (len(x) + len(y) - row[-1]) - 1e-9
+
+
+@pytest.mark.parametrize("block", [512, 16])
+def test_near_duplicates(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dup, "BLOCK_ROWS", block)
     draw = random.Random(11)
     texts = [prose(draw, draw.randrange(80, 400), 5000) for _ in range(40)]
     texts += [edited(draw, texts[k], len(texts[k].split()) // 60) for k in range(20)]
     texts += [texts[30]] * 25 + [edited(draw, texts[31], 1) for _ in range(30)]
     common = prose(draw, 120, 5000)
     texts += [common + " " + prose(draw, 100, 5000) for _ in range(30)]
+    # Copies that are alike to their base, and half of them to each other.
+    base = prose(draw, 100, 5000)
+    texts += [edited(draw, base, draw.choice([1, 2, 3])) for _ in range(60)]
     texts += [None, "", "a b c", "A, b; c!", "a c b", "!!", "??"]
     docs = frame(spark, texts)
     found = {r["doc_id"]: r for r in near_dup.near_duplicates(docs).collect()}
-    sets = [tuple(words(t)) for t in texts]
-    grams = [[w[k : k + 5] for k in range(max(1, len(w) - 4))] if w else [] for w in sets]
-
-    def alike(a, b):
-        if (texts[a] or "") == (texts[b] or ""):
-            return True
-        table = {}
-        x, y = (near_dup.labelled(near_dup.kmers(near_dup.word_hashes(texts[k] or "", table))) for k in (a, b))
-        assert len(x) == len(grams[a])
-        return near_dup.similar(x, y)
-
+    alike = lambda a, b: (texts[a] or "") == (texts[b] or "") or plain_alike(texts[a] or "", texts[b] or "")
     pairs = [(a, b) for a in range(len(texts)) for b in range(a) if alike(a, b)]
     expected = {k: k for k in range(len(texts))} | plain_components(pairs)
     assert {i: r["cluster_id"] for i, r in found.items()} == expected
     assert {i for i, r in found.items() if r["kept"]} == set(expected.values())
-    kept = near_dup.drop_near_duplicates(docs)
-    assert kept.columns == docs.columns and kept.count() == len(set(expected.values()))
+    clashing = docs.withColumns({c: F.lit(1) for c in ("kept_id", "kept_content", "row", "node", "content", "keys", "n", "document")})
+    kept = near_dup.drop_near_duplicates(clashing)
+    assert kept.columns == clashing.columns and kept.count() == len(set(expected.values()))
     twice = docs.unionByName(docs).unionByName(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
     assert near_dup.drop_near_duplicates(twice).count() == len(set(expected.values()))
     assert near_dup.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_blocks_lose_no_link():
+    draw = np.random.default_rng(3)
+    base = draw.integers(0, 1 << 32, 120, dtype=np.uint32)
+    some = [np.concatenate([base[draw.random(120) < draw.choice([0.8, 0.9, 1.0])], draw.integers(0, 1 << 32, draw.integers(0, 25), dtype=np.uint32)]) for _ in range(40)]
+    both = near_dup.shared_counts(some)
+    assert all(both[i, j] == len(np.intersect1d(some[i], some[j])) for i in range(40) for j in range(i))
+    for chosen in (some, some[:6]):
+        n = len(chosen)
+        links = [(i, j) for i in range(n) for j in range(i) if passages.jaccard(np.sort(chosen[i]), np.sort(chosen[j]), 0.8)]
+        got = near_dup.links_within(chosen, np.arange(n), np.zeros(n), 0.8, None)
+        assert plain_components(got) == plain_components(links)
+        side = np.arange(n) % 2
+        got = near_dup.links_within(chosen, np.arange(n), side, 0.8, None)
+        assert plain_components(got) == plain_components([p for p in links if side[p[0]] != side[p[1]]])
+    assert near_dup.links_within(some, np.zeros(40), np.zeros(40), 0.8, None) == []
+
+
 def test_alignment_follows_order():
     x = np.arange(100, dtype=np.uint32)
     assert near_dup.aligned(x, x, 5) == 100
