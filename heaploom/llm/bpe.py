@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean, small_batches
+
 #: How byte-level pre-tokenisation splits text (fixed by the tokenizer's format).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Places that always end a pre-token.
@@ -192,6 +194,7 @@ def encode(docs: DataFrame, *, tokenizer: str | None = None, id_col: str = "doc_
     Null text: as empty, no ids.  Repeated ids or rows are encoded each by itself.  Empty table: no
     rows.  Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     path = tokenizer or default_path()
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -257,15 +260,15 @@ def encode(docs: DataFrame, *, tokenizer: str | None = None, id_col: str = "doc_
 
     is_long = F.length("text") > leaf_chars
     schema = f"doc_id {id_type}, ids array<int>"
-    short_ids = rows.where(~is_long).mapInArrow(whole, schema)
+    short_ids = rows.where(~is_long).mapInArrow(lean(whole), schema)
     leaves = (
         rows.where(is_long)
         .select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-        .mapInArrow(halve, f"row long, doc_id {id_type}, section int, leaf int, special int, piece string")
+        .mapInArrow(lean(halve), f"row long, doc_id {id_type}, section int, leaf int, special int, piece string")
         .repartition(F.xxhash64("row", "section", "leaf"))
-        .mapInArrow(leaf, f"row long, doc_id {id_type}, section int, leaf int, special int, piece string, ids array<int>")
+        .mapInArrow(lean(leaf), f"row long, doc_id {id_type}, section int, leaf int, special int, piece string, ids array<int>")
     )
-    long_ids = leaves.repartition("row").sortWithinPartitions("row", "section", "leaf").mapInArrow(concatenate, schema)
+    long_ids = leaves.repartition("row").sortWithinPartitions("row", "section", "leaf").mapInArrow(lean(concatenate), schema)
     return short_ids.unionByName(long_ids)
 
 
@@ -274,6 +277,7 @@ def decode(encoded: DataFrame, *, tokenizer: str | None = None) -> DataFrame:
 
     Bytes that are no UTF-8 become U+FFFD, special ids their strings, as in the tokenizers library.
     """
+    small_batches(encoded.sparkSession)
     path = tokenizer or default_path()
     id_type = encoded.schema["doc_id"].dataType.simpleString()
 
@@ -291,4 +295,4 @@ def decode(encoded: DataFrame, *, tokenizer: str | None = None) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
                     lo, held, texts = k + 1, 0, []
 
-    return encoded.select("doc_id", "ids").mapInArrow(back, f"doc_id {id_type}, ids array<int>, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(lean(back), f"doc_id {id_type}, ids array<int>, text string")

@@ -53,7 +53,7 @@ class PositionalIndex:
 
 
 def query_words(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """item_id and words (lower-cased) of each query text that has words."""
+    """item_id and words (lower-cased) of each query text that has words; null and empty texts have none."""
     words = F.transform(raw_words(F.col(text_col)), ascii_lower)
     return queries.select(F.col(id_col).alias("item_id"), words.alias("words")).where(F.size("words") > 0)
 
@@ -68,8 +68,8 @@ def build_index(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", te
     any query word are kept.
     """
     spark = docs.sparkSession
-    # Benchmarks, unlike corpora, are small enough to be numbered in one task.
-    vocabulary = cut(items.select(F.explode("words").alias("word")).distinct().select("word", F.row_number().over(Window.orderBy("word")).alias("term")))
+    # Numbers from 1 on; the table is written, so they stay as they are.
+    vocabulary = cut(items.select(F.explode("words").alias("word")).distinct().select("word", (F.monotonically_increasing_id() + 1).alias("term")))
     size = vocabulary.count()
     keyed = vocabulary.select("word", "term", F.lower("word").alias("key"))
     corpus = (
@@ -77,7 +77,7 @@ def build_index(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", te
         .select("row", "doc_id", F.size("words").alias("n_words"), F.posexplode(F.concat(F.array(F.lit("")), "words")).alias("at", "seen"))
         .select("row", "doc_id", "n_words", (F.col("at") - 1).alias("pos"), "seen", F.lower("seen").alias("key"))
     )
-    marks = keyed.unionByName(spark.sql("SELECT '' AS word, 0 AS term, '' AS key"))
+    marks = keyed.unionByName(spark.sql("SELECT '' AS word, 0L AS term, '' AS key"))
     same = (F.col("seen") == F.col("word")) | (ascii_lower(F.col("seen")) == F.col("word"))
     mark = F.col("term") == 0
     path = fresh_path(spark, "postings")
@@ -174,7 +174,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = WINDOW,
     items = cut(query_words(benchmark, item_col, item_text))
     index = build_index(docs, items, id_col=id_col, text_col=text_col)
     of_items = cut(windows_of(items, width))
-    phrases = cut(of_items.select("window").distinct().select("window", F.row_number().over(Window.orderBy("window")).alias("phrase")))
+    phrases = cut(of_items.select("window").distinct().select("window", F.monotonically_increasing_id().alias("phrase")))
     hits = cut(phrase_matches(index, phrases))
 
     words = hits.select("row", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("pos")).distinct()
@@ -195,11 +195,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = WINDOW,
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, with all their columns, without a word in a benchmark window."""
-    names = docs.columns
-    place = "content_" + "_".join(names)  # a name that no column has
-    keyed = docs.withColumn(place, content_key(F.col(text_col)))
+    """The rows of ``docs``, with all their columns, whatever their names, without a word in a benchmark window.
+
+    Null and empty texts stay.  Of repeated texts all stay or none.  Empty tables: no rows, or all of ``docs``.
+    """
+    # All columns travel as one struct, so no name of theirs meets one of the operator's.
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"))
+    text = F.col("document").getField(text_col)
+    keyed = packed.select("document", content_key(text).alias("content"))
     # Decisions follow the text, so they come back by its content: a second reading may deal rows differently.
-    found = contamination(keyed, benchmark, id_col=place, text_col=text_col, **options)
-    hit = cut(found.where("n_hit > 0").select(F.col("doc_id").alias("hit_content")).distinct())
-    return keyed.join(_sized(hit, hit.count()), F.col(place) == F.col("hit_content"), "left_anti").select(*names)
+    found = contamination(packed.select(content_key(text).alias("content"), text.alias("text")), benchmark, id_col="content", **options)
+    hit = cut(found.where("n_hit > 0").select(F.col("doc_id").alias("content")).distinct())
+    return keyed.join(_sized(hit, hit.count()), "content", "left_anti").select("document.*")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean, small_batches
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
 
@@ -124,21 +127,20 @@ def similar_keys(token: str) -> list[str]:
 
 
 def graph_of(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int]], list[tuple[int, int]]]:
-    """Tokens, chain edges (only spaces between) and skip edges (each to the next similar token).
+    """Tokens, chain edges (only spaces between) and skip edges (each to the first similar token).
 
     Plain words, which can be no personal data by any shape, hold the label other and send no
-    message, so they need no node.  Linking each token to the next of its kind keeps edges linear in
-    the text, however often one token stands in it.
+    message, so they need no node.  The first token of a kind is the hub of all similar ones: any two are two edges apart, however far
+    they stand from each other, and edges stay linear in the text.
     """
     tokens = tokens_of(text)
     chain = [(k, k + 1) for k in range(len(tokens) - 1) if text[tokens[k][1] : tokens[k + 1][0]].strip(" " + _TRIM) == ""]
-    last: dict[str, int] = {}
+    hub: dict[str, int] = {}
     skip = set()
     for k, (_, _, token) in enumerate(tokens):
         for key in similar_keys(token):
-            if key in last:
-                skip.add((last[key], k))
-            last[key] = k
+            if (first := hub.setdefault(key, k)) != k:
+                skip.add((first, k))
     return tokens, chain, sorted(skip)
 
 
@@ -188,8 +190,8 @@ class SkipChain:
 
         return cls(unary, np.log(prior), information(edges["chain"]), information(edges["skip"]))
 
-    def beliefs(self, shapes: list[int], chain: list[tuple[int, int]], skip: list[tuple[int, int]], rounds: int = 12, damp: float = 0.5) -> np.ndarray:
-        """Marginals by loopy sum-product over any number of documents at once."""
+    def beliefs(self, shapes: list[int], chain: list[tuple[int, int]], skip: list[tuple[int, int]], rounds: int = 200, damp: float = 0.5, close: float = 1e-6) -> np.ndarray:
+        """Marginals by loopy sum-product over any number of documents at once, until no message changes by more than ``close``."""
         node = np.array([self.unary.get(s, self.prior) for s in shapes]).reshape(-1, len(LABELS))
         edges = np.array([*chain, *skip], dtype=np.int64).reshape(-1, 2)
         if not len(edges):
@@ -206,7 +208,9 @@ class SkipChain:
             out = np.exp(out - out.max(1, keepdims=True))
             new = np.log(np.einsum("ei,eij->ej", out, potential))
             new -= new.max(1, keepdims=True)
-            message = damp * message + (1 - damp) * new
+            message, before = damp * message + (1 - damp) * new, message
+            if np.abs(message - before).max() < close:
+                break
         at = node + self._gather(target, message, len(node))
         at = np.exp(at - at.max(1, keepdims=True))
         return at
@@ -234,7 +238,8 @@ def learn(docs: DataFrame, *, text_col: str = "text") -> SkipChain:
     """Fit the field on all documents; their fixed patterns stand in for labels.
 
     Tasks send counts by shape and label and by pairs of labels.  There are at most 2**15 shapes
-    and 5 labels, so what reaches the driver is bounded whatever the corpus.
+    and 5 labels, so what reaches the driver is bounded whatever the corpus.  Null and empty texts hold no
+    tokens, repeated texts count each time; an empty table gives a field that adds nothing.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,11 +250,24 @@ def learn(docs: DataFrame, *, text_col: str = "text") -> SkipChain:
         columns = [[k[0] for k in total], [k[1] for k in total], [k[2] for k in total], list(total.values())]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["which", "a", "b", "n"])
 
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(text_col).alias("text")).where(F.col("text").rlike("[0-9@+]"))
-    rows = texts.mapInArrow(count, "which string, a int, b int, n long").groupBy("which", "a", "b").agg(F.sum("n").alias("n")).collect()
+    rows = texts.mapInArrow(lean(count), "which string, a int, b int, n long").groupBy("which", "a", "b").agg(F.sum("n").alias("n")).collect()
     return SkipChain.fit([(r["which"], r["a"], r["b"], r["n"]) for r in rows])
 
 
+def _covered(spans: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
+    """Where spans lie, as starts and ends of stretches that do not overlap."""
+    firsts, ends = [], []
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            firsts.append(a)
+            ends.append(b)
+    return firsts, ends
+
+
 def added_spans(model: SkipChain, texts: list[str], bases: list[list[tuple[str, int, int]]], min_belief: float) -> list[list[tuple[str, int, int]]]:
     """What the field finds beside the base spans, for a batch of texts at once."""
     shapes, chain, skip, owners, placed = [], [], [], [], []
@@ -269,11 +287,13 @@ def added_spans(model: SkipChain, texts: list[str], bases: list[list[tuple[str,
     best = belief.argmax(1)
     neighbours = {a for a, b in chain if b == a + 1}
     sure = np.flatnonzero((best > 0) & (belief.max(1) >= min_belief)).tolist()
-    taken = [sorted((a, b) for _, a, b in base) for base in bases]
+    taken = [_covered(base) for base in bases]
     before = -2
     for k in sure:
         start, end = placed[k]
-        if any(a < end and start < b for a, b in taken[owners[k]]):
+        firsts, ends = taken[owners[k]]
+        at = bisect_left(firsts, end)  # the last covered stretch that begins before the token ends
+        if at and ends[at - 1] > start:
             continue
         kind = LABELS[best[k]]
         own = out[owners[k]]
@@ -289,7 +309,7 @@ def find_pii(docs: DataFrame, *, model: SkipChain | None = None, id_col: str = "
     """Personal data in every whole text: spans of the fixed patterns and what the field adds.
 
     The field (see :func:`learn`) has a node for each token with a digit, an @ or a plus sign,
-    edges between neighbours and from each token to the next similar one of the document; loopy
+    edges between neighbours and from each token to the first similar one of the document; loopy
     message passing makes labels agree over a document.  A token that it labels with at least
     ``min_belief`` and that no base span overlaps is added.
 
@@ -312,7 +332,7 @@ def find_pii(docs: DataFrame, *, model: SkipChain | None = None, id_col: str = "
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), rows(bases), rows(added)], names=["doc_id", "base", "added"])
 
     spans = "array<struct<kind:string,start:bigint,end:bigint>>"
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(find, f"doc_id {id_type}, base {spans}, added {spans}")
+    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(lean(find), f"doc_id {id_type}, base {spans}, added {spans}")
 
 
 def redact(docs: DataFrame, *, model: SkipChain | None = None, text_col: str = "text", min_belief: float = 0.9) -> DataFrame:
@@ -346,4 +366,4 @@ def redact(docs: DataFrame, *, model: SkipChain | None = None, text_col: str = "
                 columns[column] = pa.array(out, pa.string())
                 yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
 
-    return docs.mapInArrow(clean, schema)
+    return docs.mapInArrow(lean(clean), schema)

@@ -10,14 +10,14 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES
+from .common import WORD_BYTES, Workspace, cut, lean, small_batches
 
 _WORDS = re.compile(WORD_BYTES)
 #: What each continuation count gives to the shared distribution.
@@ -26,62 +26,51 @@ DISCOUNT = 3.0
 STRETCH = 24
 #: Log-ratios count as excess above this.
 MARGIN = 2.0
-#: Counts live in a table of so many cells, so the model's size is fixed whatever the corpus.
-CELLS = 1 << 18
+#: Only words of more continuation counts than DISCOUNT in a class have a ratio of their own.  Up to so many of them (12 bytes
+#: each) are handed to every task; more are joined to the words of the texts by shuffle.
+MODEL_WORDS = 4_000_000
 #: The calibration curve is fitted on at most so many labelled rows, those of least hash.
 CALIBRATION_ROWS = 20_000
 #: Labels of at most so many rows are broadcast (16 bytes each); more are joined by shuffle.
 BROADCAST_LABELS = 2_000_000
 #: A task sends its different pairs whenever it has seen so many, remembers the hashes of so many words
 #: and works on so many rows at once.
-FLUSH_PAIRS, TABLE_WORDS, STEP_ROWS = 1_000_000, 100_000, 500
+FLUSH_PAIRS, TABLE_WORDS, STEP_ROWS = 500_000, 100_000, 500
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class WordHashes(dict):
-    """32-bit hashes of words, worked out once per word and task; emptied when it gets large."""
+def word_hash(word: bytes) -> int:
+    return zlib.crc32(word) << 32 | zlib.adler32(word)
 
-    def __missing__(self, word: bytes) -> int:
+
+class Remembered(dict):
+    """What a function gives for a word, worked out once per word and task; emptied when it gets large."""
+
+    def __init__(self, work: Callable[[bytes], float]):
+        self.work = work
+
+    def __missing__(self, word: bytes) -> float:
         if len(self) > TABLE_WORDS:
             self.clear()
-        value = self[word] = zlib.crc32(word)
+        value = self[word] = self.work(word)
         return value
 
 
-def hashes_of(text: str, table: WordHashes) -> np.ndarray:
-    words = _WORDS.findall(text.encode().lower())
-    return np.array([table[w] for w in words], dtype=np.uint64)
+def words_of(text: str) -> list[bytes]:
+    return _WORDS.findall(text.encode().lower())
 
 
 def pair_keys(h: np.ndarray) -> np.ndarray:
     """Each word with the one before it (0 before the first), as one 64-bit key."""
     before = np.concatenate([np.zeros(min(1, len(h)), np.uint64), h[:-1]])
-    return before << np.uint64(32) | h
-
+    x = before * np.uint64(0xC2B2AE3D27D4EB4F) ^ h * _MIX
+    return x ^ x >> np.uint64(29)
 
-def cells_of(h: np.ndarray) -> np.ndarray:
-    return ((h & np.uint64(0xFFFFFFFF)) * _MIX >> np.uint64(40) & np.uint64(CELLS - 1)).astype(np.int64)
 
-
-def log_ratios(ordinary: np.ndarray, toxic: np.ndarray, shared: np.ndarray, discount: float = DISCOUNT) -> np.ndarray:
-    """Log of toxic over ordinary Kneser-Ney probability for each cell.
-
-    Each array holds continuation counts by cell; ``shared`` those of both classes together.
-    """
-    base = (shared + 0.1) / (shared.sum() + 0.1 * len(shared))
-    p = []
-    for count in (ordinary, toxic):
-        total = max(count.sum(), 1.0)
-        freed = np.minimum(count, discount).sum() / total if count.any() else 1.0
-        p.append(np.maximum(count - discount, 0) / total + freed * base)
-    return np.clip(np.log(p[1]) - np.log(p[0]), -12, 12).astype(np.float32)
-
-
-def text_features(ratios: np.ndarray, h: np.ndarray) -> tuple[float, float, float, float]:
-    """Log-likelihood ratios per word: of the text, of its most toxic stretch, of its strongest word, and the mean excess."""
-    if not len(h):
+def text_features(r: np.ndarray) -> tuple[float, float, float, float]:
+    """From the log-ratios of a text's words: their mean (the length-normalised difference of both log-likelihoods), the mean of its most toxic stretch, the largest, and the mean excess."""
+    if not len(r):
         return 0.0, 0.0, 0.0, 0.0
-    r = ratios[cells_of(h)].astype(np.float64)
     sums = np.concatenate([[0.0], np.cumsum(r)])
     size = min(STRETCH, len(r))
     return float(r.mean()), float((sums[size:] - sums[:-size]).max() / size), float(r.max()), float(np.maximum(r - MARGIN, 0).mean())
@@ -103,15 +92,32 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30
 
 
 class ToxicityModel:
-    """What scoring needs: one log-ratio per cell and the calibration curve."""
+    """What scoring needs: log-ratios of words, that of all other words, and the calibration curve.
 
-    def __init__(self, ratios: np.ndarray, curve: tuple[np.ndarray, np.ndarray, np.ndarray]):
-        self.ratios, self.curve = ratios, curve
+    ``ratios`` is a kept table (word: its hash, ratio).  ``held`` are the same as sorted arrays, where they are few enough.
+    """
 
-    def scores(self, features: np.ndarray) -> np.ndarray:
+    def __init__(self, ratios: DataFrame, default: float, held: tuple[np.ndarray, np.ndarray] | None, curve: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None):
+        self.ratios, self.default, self.held, self.curve = ratios, default, held, curve
+
+    def lookup(self, spark):
+        """A function for tasks: the log-ratio of a word."""
+        words, values = (spark.sparkContext.broadcast(x) for x in self.held)
+        default = self.default
+
+        def ratio(word: bytes) -> float:
+            h = np.uint64(word_hash(word))
+            at = int(np.searchsorted(words.value, h))
+            return float(values.value[at]) if at < len(words.value) and words.value[at] == h else default
+
+        return ratio
+
+    def score(self, features: list[Column]) -> Column:
         mean, scale, w = self.curve
-        z = ((features - mean) / scale) @ w[:-1] + w[-1]
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        z = F.lit(float(w[-1]))
+        for k, f in enumerate(features):
+            z = z + (f - float(mean[k])) / float(scale[k]) * float(w[k])
+        return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
 
 
 def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,28 +132,71 @@ def fold(id_column: Column) -> Column:
     return F.crc32(id_column.cast("string")) % 4
 
 
-def _features(docs: DataFrame, ratios, extra: str) -> DataFrame:
-    """Adds the text's features to the columns of ``docs`` named in the schema ``extra``."""
-    names = [c.split()[0] for c in extra.split(", ")]
+_FEATURES = "f0 double, f1 double, f2 double, f3 double"
+
+
+def _feature_batch(found: list[tuple[float, float, float, float]], columns: list, names: list[str]) -> pa.RecordBatch:
+    table = np.array(found, dtype=np.float64).reshape(-1, 4)
+    return pa.RecordBatch.from_arrays([*columns, *(pa.array(table[:, k]) for k in range(4))], names=[*names, "f0", "f1", "f2", "f3"])
 
-    def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, values = WordHashes(), ratios.value
-        for batch in _steps(batches):
-            found = np.array([text_features(values, hashes_of(t.as_py(), table)) for t in batch.column("text")]).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(found[:, k]) for k in range(4))], names=[*names, "f0", "f1", "f2", "f3"])
 
-    return docs.mapInArrow(featurise, f"{extra}, f0 double, f1 double, f2 double, f3 double")
+def _features(docs: DataFrame, model: ToxicityModel, rest: list[str]) -> DataFrame:
+    """The columns ``rest`` and four features of each row's text (column text, not null)."""
+    fields = {f.name: f.dataType for f in docs.schema.fields}
+    given = "".join(f"`{c}` {fields[c].simpleString()}, " for c in rest)
+    if model.held is not None:
+        ratio = model.lookup(docs.sparkSession)
 
+        def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = Remembered(ratio)
+            for batch in _steps(batches):
+                found = [text_features(np.array([table[w] for w in words_of(t.as_py())], dtype=np.float64)) for t in batch.column("text")]
+                yield _feature_batch(found, [batch.column(c) for c in rest], rest)
 
-def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
+        return docs.select(*rest, "text").mapInArrow(lean(featurise), given + _FEATURES)
+
+    # More words than a task should hold: every word of the texts meets its ratio by shuffle, and a text's ratios come back in order.
+    numbered = cut(docs.select(*rest, "text").withColumn("number", F.monotonically_increasing_id()))
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = Remembered(word_hash)
+        for batch in _steps(batches):
+            hashes = [np.array([table[w] for w in words_of(t.as_py())], dtype=np.uint64).view(np.int64) for t in batch.column("text")]
+            size = [len(h) for h in hashes]
+            number = np.repeat(batch.column("number").to_numpy(), size)
+            place = np.concatenate([np.arange(n) for n in size]) if size else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(place.astype(np.int32)), pa.array(np.concatenate(hashes) if size else number)], names=["number", "at", "word"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [text_features(r.values.to_numpy()) for r in batch.column("ratios")]
+            yield _feature_batch(found, [batch.column("number")], ["number"])
+
+    each = numbered.select("number", "text").mapInArrow(lean(spell), "number long, at int, word long").join(model.ratios, "word", "left")
+    lists = each.groupBy("number").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("ratio", F.lit(model.default)).alias("r")))).alias("r")).select("number", F.col("r.r").alias("ratios"))
+    found = lists.mapInArrow(lean(gather), f"number long, {_FEATURES}")
+    empty = [F.coalesce(f"f{k}", F.lit(0.0)).alias(f"f{k}") for k in range(4)]
+    return numbered.drop("text").join(found, "number", "left").select(*rest, *empty)
+
+
+def learn(
+    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", calibration_rows: int = CALIBRATION_ROWS, model_words: int = MODEL_WORDS
+) -> ToxicityModel:
     """Count all labelled training documents and calibrate.
 
-    Folds 0 and 1 of :func:`fold` give the counts: tasks send the different word pairs of each class,
-    the cluster removes repetitions and counts pairs by cell, and only CELLS rows reach the driver.
+    Folds 0 and 1 of :func:`fold` give the counts: tasks send the different word pairs of each class, the cluster removes
+    repetitions and counts the pairs of each word, so the table grows with the words of the corpus and no two words
+    share a count (but for equal 64-bit hashes).  Where neither class counts a word more than DISCOUNT times, both models give it
+    the mass they freed times the same shared probability, so all such words have one ratio and need no row.
+    Sums reach the driver, and the other words' ratios if they are at most ``model_words``; more are joined by shuffle.
     Fold 3, which the counts have not seen, fits the curve from features to probability, on at most
-    CALIBRATION_ROWS rows.  Fold 2 is never looked at.
+    ``calibration_rows`` rows, those of least hash.  Fold 2 is never looked at.
+
+    Rows without an id or label are no labels; of several labels of an id the largest counts.  Null and empty texts have no
+    words, repeated texts count once.  Empty tables: every score is 0.5.  Other columns are ignored.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     truth = (
         labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (fold(F.col(id_col)) != 2))
         .groupBy(F.col(id_col).alias("doc_id"))
@@ -157,86 +206,96 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(fold(F.col("doc_id")) != 2)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordHashes()
+        table = Remembered(word_hash)
         held: list[list[np.ndarray]] = [[], []]
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             for toxic, parts in enumerate(held):
                 if parts:
-                    keys = np.unique(np.concatenate(parts))
-                    for lo in range(0, len(keys), 500_000):
-                        some = keys[lo : lo + 500_000]
-                        yield pa.RecordBatch.from_arrays([pa.array(some.view(np.int64)), pa.array(cells_of(some).astype(np.int32)), pa.array(np.full(len(some), 1 << toxic, np.int32))], names=["pair", "cell", "classes"])
+                    words = np.concatenate(parts)
+                    keys = np.concatenate([pair_keys(h) for h in parts])
+                    keys, at = np.unique(keys, return_index=True)
+                    for lo in range(0, len(keys), 200_000):
+                        some = at[lo : lo + 200_000]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(keys[lo : lo + 200_000].view(np.int64)), pa.array(words[some].view(np.int64)), pa.array(np.full(len(some), 1 << toxic, np.int32))], names=["pair", "word", "classes"]
+                        )
                     parts.clear()
 
         for batch in _steps(batches):
             for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
-                keys = pair_keys(hashes_of(text.as_py(), table))
-                if len(keys):
-                    held[int(toxic > 0)].append(keys)
-                    size += len(keys)
+                h = np.array([table[w] for w in words_of(text.as_py())], dtype=np.uint64)
+                if len(h):
+                    held[int(toxic > 0)].append(h)
+                    size += len(h)
                 if size >= FLUSH_PAIRS:
                     yield from flush()
                     size = 0
         yield from flush()
 
     labelled = texts.where(fold(F.col("doc_id")).isin(0, 1)).join(truth, "doc_id").select("text", "toxic")
-    counts = (
-        labelled.mapInArrow(pairs, "pair long, cell int, classes int")
-        .groupBy("pair", "cell")
-        .agg(F.bit_or("classes").alias("classes"))
-        .groupBy("cell")
-        .agg(F.sum((F.col("classes").bitwiseAND(1) > 0).cast("long")).alias("ordinary"), F.sum((F.col("classes").bitwiseAND(2) > 0).cast("long")).alias("toxic"), F.count(F.lit(1)).alias("shared"))
-        .toArrow()
-    )
-    cell = counts["cell"].to_numpy()
-    columns = []
-    for name in ("ordinary", "toxic", "shared"):
-        column = np.zeros(CELLS)
-        column[cell] = counts[name].to_numpy()
-        columns.append(column)
-    ratios = log_ratios(*columns)
-
-    chosen = truth.where(fold(F.col("doc_id")) == 3).orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS)
-    rows = _features(texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic"), spark.sparkContext.broadcast(ratios), "toxic int").toArrow()
+    with Workspace(spark, "toxicity") as work:
+        counts = work.keep(
+            labelled.mapInArrow(lean(pairs), "pair long, word long, classes int")
+            .groupBy("pair", "word")
+            .agg(F.bit_or("classes").alias("classes"))
+            .groupBy("word")
+            .agg(F.sum((F.col("classes").bitwiseAND(1) > 0).cast("long")).alias("ordinary"), F.sum((F.col("classes").bitwiseAND(2) > 0).cast("long")).alias("toxic"), F.count(F.lit(1)).alias("shared"))
+        )
+        ratios, default = _ratios(counts)
+        ratios = cut(ratios)
+    few = ratios.count() <= model_words
+    held = ratios.toArrow() if few else None
+    if few:
+        words = held["word"].to_numpy().view(np.uint64)
+        order = np.argsort(words)
+        held = words[order], held["ratio"].to_numpy()[order]
+    model = ToxicityModel(ratios, default, held)
+    chosen = truth.where(fold(F.col("doc_id")) == 3).orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibration_rows)
+    rows = _features(texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic"), model, ["toxic"]).toArrow()
     x = np.stack([rows[f"f{k}"].to_numpy() for k in range(4)], 1)
-    return ToxicityModel(ratios, fit_curve(x, (rows["toxic"].to_numpy() > 0).astype(float)))
+    model.curve = fit_curve(x, (rows["toxic"].to_numpy() > 0).astype(float))
+    return model
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score and predicted for every whole text, without a shuffle.
+def _ratios(counts: DataFrame, discount: float = DISCOUNT) -> tuple[DataFrame, float]:
+    """(word, ratio) of the words that a class counts more than ``discount`` times, and the ratio of all others.
 
-    Null and empty texts score like a text without any evidence.  Rows with a null id are not held out.
-    Repeated rows score alike.  Empty table: no rows.  Other columns are ignored.  Without
-    labels every score is 0.5; without labels of both classes it is near the class there is.
+    Kneser-Ney: each class takes the discount from each of its continuation counts and gives what it freed to the shared distribution.
     """
-    id_type = docs.schema[id_col].dataType.simpleString()
-    mean, scale, w = model.curve
-    found = _features(
-        docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), docs.sparkSession.sparkContext.broadcast(model.ratios), f"doc_id {id_type}"
-    )
-    z = F.lit(float(w[-1]))
-    for k in range(4):
-        z = z + (F.col(f"f{k}") - float(mean[k])) / float(scale[k]) * float(w[k])
-    score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
-    return found.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    spared = [F.sum(F.least(F.col(c).cast("double"), F.lit(discount))) for c in ("ordinary", "toxic")]
+    total = counts.agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"), F.sum("shared").alias("shared"), F.count(F.lit(1)).alias("words"), spared[0].alias("freed_ordinary"), spared[1].alias("freed_toxic")).first()
+    freed, p = {}, {}
+    base = (F.col("shared") + 0.1) / F.lit((total["shared"] or 0) + 0.1 * max(1, total["words"]))
+    for c in ("ordinary", "toxic"):
+        n = total[c] or 0
+        freed[c] = total[f"freed_{c}"] / n if n else 1.0
+        p[c] = F.greatest(F.col(c) - discount, F.lit(0.0)) / F.lit(float(max(n, 1))) + F.lit(freed[c]) * base
+    clipped = lambda x: F.least(F.lit(12.0), F.greatest(F.lit(-12.0), x))
+    own = counts.where(F.greatest("ordinary", "toxic") > discount).select("word", clipped(F.log(p["toxic"]) - F.log(p["ordinary"])).alias("ratio"))
+    return own, float(np.clip(np.log(freed["toxic"]) - np.log(freed["ordinary"]), -12, 12))
 
 
-def keep_clean(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text scores below ``threshold``."""
-    ratios = docs.sparkSession.sparkContext.broadcast(model.ratios)
+def score_toxicity(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """doc_id, held_out, score and predicted for every whole text.
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, values = WordHashes(), ratios.value
-        for batch in _steps(batches):
-            texts = batch.column(batch.schema.get_field_index(text_col))
-            found = np.array([text_features(values, hashes_of(t.as_py() or "", table)) for t in texts])
-            yield batch.filter(pa.array(model_scores(found) < threshold))
+    Without a shuffle, unless the model has more words than a task should hold.  Null and empty texts score like a text without any
+    evidence.  Rows with a null id are not held out.  Repeated rows score alike.  Empty table: no rows.  Other columns are ignored.
+    Without labels every score is 0.5; without labels of both classes it is near the class there is.
+    """
+    small_batches(docs.sparkSession)
+    found = _features(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), model, ["doc_id"])
+    score = model.score([F.col(f"f{k}") for k in range(4)])
+    return found.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
-    curve = model.curve
 
-    def model_scores(found: np.ndarray) -> np.ndarray:
-        return ToxicityModel(np.empty(0), curve).scores(found)
+def keep_clean(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whatever their names, whose text scores below ``threshold``.
 
-    return docs.mapInArrow(keep, docs.schema)
+    Nulls, empty and repeated texts and empty tables as in :func:`score_toxicity`.
+    """
+    small_batches(docs.sparkSession)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document")
+    found = _features(docs.select(whole).select("document", F.coalesce(F.col("document").getField(text_col), F.lit("")).alias("text")), model, ["document"])
+    return found.where(model.score([F.col(f"f{k}") for k in range(4)]) < threshold).select("document.*")

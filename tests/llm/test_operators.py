@@ -276,11 +276,37 @@ def test_toxicity(spark):
     kept = toxicity.keep_clean(docs, model)
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, r in found.items() if not r["predicted"])
+    # Words joined by shuffle score as words that every task holds.
+    apart = toxicity.learn(docs, labels, model_words=0)
+    assert apart.held is None and all(abs(r["score"] - found[r["doc_id"]]["score"]) < 1e-9 for r in toxicity.score_toxicity(docs, apart).collect())
+    assert sorted(r["doc_id"] for r in toxicity.keep_clean(docs.withColumns({c: F.lit(1) for c in ("document", "number", "f0", "score")}), apart).collect()) == sorted(i for i, r in found.items() if not r["predicted"])
     unlabelled = toxicity.learn(docs, labels.limit(0))
     assert {round(r["score"], 9) for r in toxicity.score_toxicity(docs, unlabelled).collect()} == {0.5}
     assert toxicity.score_toxicity(frame(spark, []), model).count() == 0
 
 
+def test_kneser_ney_against_plain_counts(spark):
+    draw = random.Random(16)
+    texts = [prose(draw, 120, 60) for _ in range(60)]
+    toxic = [k % 3 == 0 for k in range(60)]
+    labels = spark.createDataFrame([(i, int(t)) for i, t in enumerate(toxic)], "doc_id long, toxic int")
+    model = toxicity.learn(frame(spark, texts), labels)
+    pairs = [set(), set()]
+    for i, t in enumerate(texts):
+        if zlib.crc32(str(i).encode()) % 4 < 2:
+            pairs[toxic[i]] |= {*zip(["", *words(t)], words(t), strict=False)}
+    count = [{}, {}, {}]
+    for k, some in enumerate([*pairs, pairs[0] | pairs[1]]):
+        for _, w in some:
+            count[k][w] = count[k].get(w, 0) + 1
+    got = dict(zip(model.held[0].tolist(), model.held[1].tolist(), strict=True))
+    for w in count[2]:
+        base = (count[2][w] + 0.1) / (sum(count[2].values()) + 0.1 * len(count[2]))
+        p = [(max(c.get(w, 0) - 3, 0) + sum(min(x, 3) for x in c.values()) * base) / sum(c.values()) for c in count[:2]]
+        assert got.get(toxicity.word_hash(w.encode()), model.default) == pytest.approx(np.log(p[1] / p[0]))
+    assert 0 < len(got) < len(count[2]) or len(got) == len(count[2])
+
+
 # -- components and vectors -----------------------------------------------------------------
 
 
