@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 WORD_BYTES = rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same over characters, for Java's regular expressions, before lower-casing.
 WORD_JAVA = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
-#: Tables of at most so many rows of a few numbers (under 10 MB) are broadcast; larger ones shuffle.
-BROADCAST_ROWS = 200_000
+#: Tables of at most so many numbers and short keys (some 20 MB) are broadcast; larger ones shuffle.
+BROADCAST_CELLS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,10 +50,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Cut a table of few narrow columns, and hint to broadcast it if it is proven small."""
-    df = cut(df)
-    return F.broadcast(df) if df.count() <= rows else df
+def hinted(df: DataFrame) -> DataFrame:
+    """Hint to broadcast a kept table of narrow columns if it is proven small."""
+    return F.broadcast(df) if df.count() * len(df.columns) <= BROADCAST_CELLS else df
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """Cut a table of narrow columns, and hint to broadcast it if it is proven small."""
+    return hinted(cut(df))
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -99,13 +103,19 @@ class Workspace:
     def keep(self, df: DataFrame) -> DataFrame:
         self.number += 1
         path = f"{self.root}/{self.number}"
-        df.write.option("compression", "zstd").parquet(path)
+        cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(cleanup, "false")
+        try:
+            # Once the rows are written, nobody reads the shuffle files again.
+            self.spark.conf.set(cleanup, "true")
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(cleanup, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def sized(self, df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-        """Keep a table of few narrow columns, and hint to broadcast it if it is proven small."""
-        df = self.keep(df)
-        return F.broadcast(df) if df.count() <= rows else df
+    def sized(self, df: DataFrame) -> DataFrame:
+        """Keep a table of narrow columns, and hint to broadcast it if it is proven small."""
+        return hinted(self.keep(df))
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import itertools
 import re
-import zlib
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
@@ -13,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, WORD_BYTES, Workspace, content_key, cut, lean, sized, small_batches
+from .common import WORD_BYTES, Workspace, content_key, cut, hinted, lean, sized, small_batches
 from .components import connected_components
 
 #: Words of a shingle (k-mer) and the similarity from which documents link.
@@ -25,9 +24,11 @@ SKETCHES, SAMPLED = 12, 3
 BLOCK_ROWS, BLOCK_KMERS = 512, 4_000_000
 #: Up to so many sequences are compared pair by pair, more by one matrix of what they share.
 FEW, COLUMNS = 8, 4096
-#: Words whose hashes a task remembers, and rows that it hands back to Spark at once.
-TABLE_WORDS, OUT_ROWS = 100_000, 500
-_WORDS = re.compile(WORD_BYTES)
+#: Rows that a task works on at once, and bytes.
+OUT_ROWS, PIECE_BYTES = 250, 1 << 20
+#: What hashes are built from: an odd number, so its powers can be divided by.
+_BASE = 0x9E3779B97F4A7C15
+_IN_WORD = np.array([re.fullmatch(WORD_BYTES, bytes([b]).lower()) is not None for b in range(256)])
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
@@ -38,14 +39,46 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(33)
 
 
-def word_hashes(text: str, table: dict[bytes, int]) -> np.ndarray:
-    if len(table) > TABLE_WORDS:
-        table.clear()
-    words = _WORDS.findall(text.encode().lower())
-    for w in words:
-        if w not in table:
-            table[w] = zlib.crc32(w) << 32 | zlib.adler32(w)
-    return np.array([table[w] for w in words], dtype=np.uint64)
+#: A number for each byte, the same for a letter in either case.
+_BYTE_VALUES = mix(np.array([bytes([b]).lower()[0] + 1 for b in range(256)], np.uint64))
+
+
+def byte_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words in UTF-8 bytes, with A-Z lower-cased, and their first and end bytes.
+
+    A word's hash is the sum of a number for each byte times a power of _BASE for its place in the word: a difference of prefix
+    sums, so there is no loop over words.
+    """
+    parts, lo = [], 0
+    while lo < len(data):
+        hi = min(len(data), lo + PIECE_BYTES)
+        while hi < len(data) and _IN_WORD[data[hi - 1]] and _IN_WORD[data[hi]]:
+            hi += 1
+        some = data[lo:hi]
+        edges = np.flatnonzero(np.diff(_IN_WORD[some].view(np.int8), prepend=0, append=0)).reshape(-1, 2)
+        power, back = _powers(len(some))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE_VALUES[some] * power[: len(some)])])
+        parts.append((mix((sums[edges[:, 1]] - sums[edges[:, 0]]) * back[edges[:, 0]]), edges[:, 0] + lo, edges[:, 1] + lo))
+        lo = hi
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    h, first, end = (np.concatenate(c) for c in zip(*parts, strict=True))
+    return h, first, end
+
+
+def _powers(n: int, held: list = []) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006
+    """Powers of _BASE and of its inverse modulo 2**64, of at least n places; the longest so far are kept."""
+    if not held or len(held[0]) < n:
+        size = max(n, 1 << 16)
+        held[:] = (np.cumprod(np.full(size, b, np.uint64)) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+    return held[0], held[1]
+
+
+def word_hashes(texts: list[str]) -> list[np.ndarray]:
+    """Hashes of the words of each text, in order."""
+    raw = [t.encode() for t in texts]
+    h, first, _ = byte_words(np.frombuffer(b"\n".join(raw), np.uint8))
+    return np.split(h, np.searchsorted(first, np.cumsum([len(r) + 1 for r in raw])[:-1])) if raw else []
 
 
 def kmers(h: np.ndarray, k: int = K) -> np.ndarray:
@@ -237,13 +270,9 @@ def link_buckets(work: Workspace, classes: DataFrame, sequences: DataFrame, *, l
     blocks = F.ceil(F.greatest(F.col("n") / BLOCK_ROWS, F.col("bytes") / (4 * BLOCK_KMERS))).cast("int")
     placed = belongs.join(work.sized(weights.select("key", blocks.alias("blocks"))), "key")
     placed = work.keep(placed.select("key", "node", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")))
-    few = placed.count() <= BROADCAST_ROWS
-
-    def spelled(rows: DataFrame) -> DataFrame:
-        return wanted.select("node", "sequence").join(F.broadcast(rows) if few else rows, "node")
-
-    alone = placed.select("key", F.lit(0).alias("part"), "block", F.lit(0).alias("side"), "node", F.col("node").alias("label"))
-    links = work.keep(_compare(spelled(alone), least, test))
+    spelled = wanted.select("node", "sequence").join(hinted(placed), "node")
+    alone = spelled.select("key", F.lit(0).alias("part"), "block", F.lit(0).alias("side"), "node", F.col("node").alias("label"), "sequence")
+    links = work.keep(_compare(alone, least, test))
     component = connected_components(links)
     long = placed.where("blocks > 1")
     if long.isEmpty():
@@ -287,13 +316,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table: dict[bytes, int] = {}
         for whole in batches:
             for lo in range(0, whole.num_rows, OUT_ROWS):
                 batch = whole.slice(lo, OUT_ROWS)
                 values, offsets, spelled = [np.zeros(0, np.uint64)], [0], []
-                for text in batch.column("text"):
-                    x = labelled(kmers(word_hashes(text.as_py(), table)))
+                for h in word_hashes(batch.column("text").to_pylist()):
+                    x = labelled(kmers(h))
                     values.append(sketches(x, number, sampled))
                     spelled.append(x.astype(np.uint32).tobytes())
                     offsets.append(offsets[-1] + len(values[-1]))

@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, Workspace, cut, lean, small_batches
+from .common import Workspace, cut, lean, small_batches
 from .components import connected_components
-from .near_dup import SIMILARITY, K, kmers, link_buckets, mix, word_hashes
+from .near_dup import OUT_ROWS, SIMILARITY, K, _powers, byte_words, kmers, link_buckets, mix
 
 #: Paragraphs of fewer words (headings, licence lines, bylines) are no passages.
 MIN_WORDS = 20
@@ -23,11 +23,8 @@ HASHES, RECALL = 64, 0.998
 STEP = 11
 #: Words that are worked on at once.
 BLOCK_WORDS = 50_000
-#: What the windows' hashes are built from: an odd number, so its powers can be divided by.
-_BASE = 0x9E3779B97F4A7C15
 _LINE = re.compile(r"[^\r\n\u2028\u2029]+")
 _BREAKS = str.maketrans("\u2028\u2029", "\n\n")
-_IN_WORD = np.array([re.fullmatch(WORD_BYTES, bytes([b]).lower()) is not None for b in range(256)])
 
 
 def tune_bands(least: float = SIMILARITY, hashes: int = HASHES, recall: float = RECALL) -> tuple[int, int]:
@@ -39,20 +36,22 @@ def tune_bands(least: float = SIMILARITY, hashes: int = HASHES, recall: float =
     raise ValueError("no banding of so few hashes reaches this recall")
 
 
-def placed_words(text: str, table: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, starts and ends (code points) of all words; none crosses the end of a line."""
-    text = text.translate(_BREAKS)
-    data = np.frombuffer(text.encode(), np.uint8)
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], _IN_WORD[data].view(np.int8), [0]]))).reshape(-1, 2)
-    points = np.cumsum((data & 0xC0) != 0x80)
-    return word_hashes(text, table), points[edges[:, 0]] - 1, points[edges[:, 1] - 1]
+def placed_words(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each text hashes, starts and ends (code points) of all words; none crosses the end of a line."""
+    raw = [(t.translate(_BREAKS) if "\u2028" in t or "\u2029" in t else t).encode() for t in texts]
+    data = np.frombuffer(b"\n".join(raw), np.uint8)
+    h, first, end = byte_words(data)
+    points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    start = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw])])
+    cuts = np.searchsorted(first, start)
+    first, end, start = points[first], points[end], points[np.minimum(start, len(data))]
+    return [(h[i:j], first[i:j] - at, end[i:j] - at) for i, j, at in zip(cuts[:-1].tolist(), cuts[1:].tolist(), start.tolist(), strict=False)]
 
 
 def window_hashes(h: np.ndarray, words: int) -> np.ndarray:
     """Hashes of every ``words`` consecutive words, from differences of prefix sums."""
-    power = np.cumprod(np.full(len(h), _BASE, np.uint64))
-    back = np.cumprod(np.full(len(h), pow(_BASE, -1, 1 << 64), np.uint64))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h) * power)])
+    power, back = _powers(len(h))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h) * power[: len(h)])])
     return mix((sums[words:] - sums[:-words]) * back[: len(h) - words + 1])
 
 
@@ -118,7 +117,7 @@ def repeated_passages(
     windows of ``min_words`` words (see :func:`windows`) are compared over whole texts, whatever their lines, by
     64-bit hashes: every run of ``min_words`` + ``step`` - 1 words that stands in two documents has one in common.
     Windows that overlap make a span, so its ends lie at most ``step`` - 1 words inside the run.  Of each window one occurrence
-    stays (in a line that stays if there is one, else the first outside of removed lines); spans are cut where occurrences that
+    stays (in lines that stay if there is one, else the first outside of removed lines); spans are cut where occurrences that
     stay meet others, so all words of a removed span also stand elsewhere.  Spans with fewer than ``min_words`` words
     outside of repeated lines are not listed.  Spans and lines that share windows are one cluster.
 
@@ -140,18 +139,15 @@ def repeated_passages(
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row per line, and one without a line number per text, which holds its windows."""
-        table: dict[bytes, int] = {}
-
         def block(batch: pa.RecordBatch, at: list[int], **given) -> pa.RecordBatch:
             of = pa.array(at, pa.int64())
             columns = [pa.array(given[name], kind) if name in given else pa.nulls(len(at), kind) for name, kind in kinds.items()]
             return pa.RecordBatch.from_arrays([*(batch.column(c).take(of) for c in ("row", "doc_id")), *columns], names=["row", "doc_id", *kinds])
 
-        for batch in batches:
+        for batch in (whole.slice(lo, OUT_ROWS) for whole in batches for lo in range(0, whole.num_rows, OUT_ROWS)):
             at, places, hashes, held, texts, found = [], [], [], 0, [], []
-            for k in range(batch.num_rows):
-                text = batch.column("text")[k].as_py()
-                h, starts, ends = placed_words(text, table)
+            every = batch.column("text").to_pylist()
+            for k, (text, (h, starts, ends)) in enumerate(zip(every, placed_words(every), strict=True)):
                 lines = np.array([m.span() for m in _LINE.finditer(text)], np.int64).reshape(-1, 2)
                 lo, hi = np.searchsorted(starts, lines[:, 0]), np.searchsorted(starts, lines[:, 1])
                 for number in np.flatnonzero(hi - lo >= min_words).tolist():
@@ -202,11 +198,21 @@ def repeated_passages(
         return cut(_with_spans(work, everything.where("paragraph IS NULL").select("row", "doc_id", "hashes", "ats", "starts", "ends", "lines"), repeated, min_words))
 
 
-def lines_of_windows(ats: np.ndarray, words: int, first: np.ndarray, n_words: np.ndarray) -> np.ndarray:
-    """For windows of ``words`` words the index of the line (of ordered, disjoint ones) that holds each whole, or -1."""
-    line = np.searchsorted(first, ats, "right") - 1
-    inside = (line >= 0) & (ats + words <= (first + n_words)[line]) if len(first) else np.zeros(len(ats), bool)
-    return np.where(inside, line, -1)
+def lines_of_windows(ats: np.ndarray, words: int, first: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For windows of ``words`` words the indexes of the first and last line (of ordered, disjoint ones) of those that hold all its words, or -1."""
+    if not len(first):
+        return np.full(len(ats), -1), np.full(len(ats), -1)
+    before = np.concatenate([[0], np.cumsum(n_words)[:-1]])
+
+    def covered(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The line that begins at or before a place, and the words before it that lie in lines."""
+        line = np.searchsorted(first, place, "right") - 1
+        return line, np.where(line < 0, 0, before[line] + np.minimum(place - first[line], n_words[line]))
+
+    (one, low), (_, high) = covered(ats), covered(ats + words)
+    last = np.searchsorted(first, ats + words - 1, "right") - 1
+    inside = high - low == words
+    return np.where(inside, one, -1), np.where(inside, last, -1)
 
 
 def _with_spans(work: Workspace, texts: DataFrame, lines: DataFrame, words: int) -> DataFrame:
@@ -215,18 +221,17 @@ def _with_spans(work: Workspace, texts: DataFrame, lines: DataFrame, words: int)
     id_type = texts.schema["doc_id"].dataType.simpleString()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Adds to each window the cluster of the repeated line that holds it (null outside), and whether that line goes."""
+        """Adds to each window all of whose words stand in repeated lines the cluster of the first (else null), and whether any of them goes."""
         for batch in batches:
             clusters, removed = [], []
             for ats, within in zip(batch.column("ats"), batch.column("within"), strict=True):
                 some = within.values if within.is_valid else pa.array([], batch.schema.field("within").type.value_type)
                 first, size, cluster, goes = (some.field(k).to_numpy(zero_copy_only=False) for k in range(4))
-                line = lines_of_windows(ats.values.to_numpy(), words, first, size)
+                line, last = lines_of_windows(ats.values.to_numpy(), words, first, size)
                 outside = line < 0
-                if not len(cluster):
-                    cluster, goes = np.zeros(1, np.int64), np.zeros(1, bool)
-                clusters.append(pa.array(cluster[line], pa.int64(), mask=outside))
-                removed.append(pa.array(goes[line].astype(bool), pa.bool_(), mask=outside))
+                gone = np.concatenate([[0], np.cumsum(goes.astype(bool))])
+                clusters.append(pa.array(np.append(cluster, 0)[line], pa.int64(), mask=outside))
+                removed.append(pa.array(gone[last + 1] > gone[np.maximum(line, 0)], pa.bool_(), mask=outside))
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(c) for c in clusters])]).astype(np.int32))
             flat = lambda parts, kind: pa.ListArray.from_arrays(offsets, pa.concat_arrays(parts) if parts else pa.array([], kind))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], flat(clusters, pa.int64()), flat(removed, pa.bool_())], names=[*batch.schema.names[:-1], "clusters", "goes"])
@@ -235,7 +240,7 @@ def _with_spans(work: Workspace, texts: DataFrame, lines: DataFrame, words: int)
     schema = f"row long, doc_id {id_type}, hashes array<long>, ats array<int>, starts array<int>, ends array<int>, lines array<int>"
     placed = texts.select("row", "doc_id", *names).join(of_row, "row", "left").mapInArrow(lean(place), f"{schema}, clusters array<long>, goes array<boolean>")
     placed = work.keep(placed)
-    # Windows that several documents hold, one of them outside of repeated lines.
+    # Windows that several documents hold, one of them with words outside of repeated lines.
     each = placed.select("row", F.explode(F.arrays_zip("hashes", "clusters")).alias("w")).select("row", F.col("w.hashes").alias("hash"), F.col("w.clusters").isNull().cast("int").alias("outside"))
     shared = each.groupBy("hash").agg(F.min("row").alias("one"), F.max("row").alias("other"), F.max("outside").alias("outside")).where("one < other AND outside = 1").select("hash")
     every = placed.select("row", "doc_id", F.explode(F.arrays_zip(*names, "clusters", "goes")).alias("w"))

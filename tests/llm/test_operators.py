@@ -1,5 +1,6 @@
 """Each corpus operator against a plain version, and on nulls, ties, empty tables and clashing names."""
 
+import functools
 import hashlib
 import random
 import re
@@ -381,19 +382,20 @@ def edited(draw, text, times):
     return " ".join(w)
 
 
-def plain_alike(a, b, least=0.8):
-    """Five-word shingles numbered by their occurrence, and their longest common subsequence."""
+@functools.cache
+def plain_shingles(text):
+    w, seen, out = words(text), {}, []
+    for k in range(max(1, len(w) - 4) if w else 0):
+        g = tuple(w[k : k + 5])
+        seen[g] = seen.get(g, 0) + 1
+        out.append((g, seen[g]))
+    return out, set(out)
 
-    def shingles(text):
-        w, seen, out = words(text), {}, []
-        for k in range(max(1, len(w) - 4) if w else 0):
-            g = tuple(w[k : k + 5])
-            seen[g] = seen.get(g, 0) + 1
-            out.append((g, seen[g]))
-        return out
 
-    x, y = shingles(a), shingles(b)
-    if not x or not y or min(len(x), len(y)) < least * max(len(x), len(y)) or len({*x} & {*y}) < least * len({*x} | {*y}) - 1e-9:
+def plain_alike(a, b, least=0.8):
+    """Five-word shingles numbered by their occurrence, and their longest common subsequence."""
+    (x, xs), (y, ys) = plain_shingles(a), plain_shingles(b)
+    if not x or not y or len(xs & ys) < least * len(xs | ys) - 1e-9:
         return False
     row = [0] * (len(y) + 1)
     for p in x:
@@ -403,7 +405,22 @@ def plain_alike(a, b, least=0.8):
     return row[-1] >= least * (len(x) + len(y) - row[-1]) - 1e-9
 
 
-@pytest.mark.parametrize("block", [512, 16])
+def test_word_hashes(monkeypatch):
+    draw = random.Random(17)
+    texts = ["", "A", "é ÉA a", "..", "x" * 50, *(prose(draw, 30).title() for _ in range(20)), "a\u2028b"]
+    for piece in (1 << 20, 7):
+        monkeypatch.setattr(near_dup, "PIECE_BYTES", piece)
+        of = {}
+        for t, h in zip(texts, near_dup.word_hashes(texts), strict=True):
+            assert len(h) == len(words(t))
+            assert all(of.setdefault(w, x) == x for w, x in zip(words(t), h.tolist(), strict=True))
+        assert len(set(of.values())) == len(of)
+        for t, (_, starts, ends) in zip(texts, passages.placed_words(texts), strict=True):
+            assert [t[a:b] for a, b in zip(starts, ends, strict=True)] == [w for line in t.split("\u2028") for w in re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", line)]
+    assert near_dup.word_hashes([]) == []
+
+
+@pytest.mark.parametrize("block", [16])
 def test_near_duplicates(spark, monkeypatch, block):
     monkeypatch.setattr(near_dup, "BLOCK_ROWS", block)
     draw = random.Random(11)
@@ -453,7 +470,7 @@ def test_alignment_follows_order():
     assert near_dup.aligned(x, x, 5) == 100
     assert near_dup.similar(x, np.delete(x, [10, 50]))
     assert not near_dup.similar(x, np.concatenate([x[50:], x[:50]]))
-    s = near_dup.kmers(near_dup.word_hashes("a b c d e a b c d e a b c d e", {}))
+    s = near_dup.kmers(near_dup.word_hashes(["a b c d e a b c d e a b c d e"])[0])
     assert len(set(s.tolist())) < len(s) == len(set(near_dup.labelled(s).tolist()))
 
 
