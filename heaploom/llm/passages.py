@@ -182,7 +182,7 @@ def repeated_passages(
         found = everything.where("paragraph IS NOT NULL")
         copies = work.keep(found.groupBy("c1", "c2").agg(F.min("number").alias("node"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
         named = work.keep(found.select("number", "c1", "c2").join(copies, ["c1", "c2"]).select("number", "node"))
-        later = named.where("number <> node").select("number")
+        later = work.sized(named.where("number <> node").select("number"))
         classes = found.select(F.col("number").alias("node"), "sketches").join(later.withColumnRenamed("number", "node"), "node", "left_anti")
         component = link_buckets(work, classes, found.select(F.col("number").alias("node"), "sequence"), least=least, test=lambda a, b: jaccard(a, b, least))
         # Lines without a copy or a link stand in one document.
