@@ -1,4 +1,8 @@
-"""From raw documents to tokens: five stages, each on all that the one before it kept."""
+"""From raw documents to tokens: five stages, each on all that the one before it kept.
+
+Every stage takes null texts as empty ones, treats repeated rows like any others (near duplicates keep one of a group), gives no rows
+for an empty table and hands on all other columns, whatever their names.
+"""
 
 from __future__ import annotations
 
