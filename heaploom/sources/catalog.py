@@ -44,8 +44,10 @@ class Catalog:
             raise DumpExists(f"there is a dump named {name!r}")
 
     def default_name(self, path: str | None = None) -> str:
-        stem = (path or "").rstrip("/").rpartition("/")[2].partition(".")[0]
-        return stem or f"heap_dump_{len(self.list_dumps()) + 1}"
+        """The file's name without its last ending; without a file (or for a hidden one) the next number."""
+        file = (path or "").rstrip("/").rpartition("/")[2]
+        stem = file.rpartition(".")[0] or file
+        return stem if stem and not stem.startswith(".") else f"heap_dump_{len(self.list_dumps()) + 1}"
 
     def import_records(self, records: DataFrame, name: str, precision: Precision | str = Precision.MEDIUM) -> HeapDump:
         """Derive the tables and publish them under the name: written aside, then renamed, so readers see all or nothing."""

@@ -58,6 +58,8 @@ def test_catalog(spark, tmp_path):
     (tmp_path / "first.jsonl").write_text("\n".join(json.dumps(r) for r in (GOOD, {**GOOD, "id": 2, "references": []})))
     catalog = Catalog(spark, (tmp_path / "dumps").as_uri())
     assert catalog.list_dumps() == [] and catalog.default_name() == "heap_dump_1"
+    names = {"/in/app.jsonl": "app", "/in/app.v1.jsonl": "app.v1", "plain": "plain", "/in/.hidden.jsonl": "heap_dump_1"}
+    assert {p: catalog.default_name(p) for p in names} == names
     dump = catalog.import_dump(str(tmp_path / "first.jsonl"), precision="exact")
     assert catalog.list_dumps() == ["first"]
     assert {r["id"]: r["subtree_size"] for r in dump.objects.collect()} == {1: 6, 2: 3}
