@@ -63,3 +63,12 @@ def strong_components(edges: DataFrame, closure: DataFrame) -> DataFrame:
     among = closure.join(few.select(F.col("id").alias("src")), "src", "left_semi").join(few.select(F.col("id").alias("dst")), "dst", "left_semi")
     back = among.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return among.join(back, ["src", "dst"]).groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("scc_id"))
+
+
+def component_sizes(objects: DataFrame, members: DataFrame) -> DataFrame:
+    """(scc_id, members, size): objects and bytes of each component of :func:`strong_components`."""
+    return (
+        members.join(objects.select("id", "size"), "id")
+        .groupBy("scc_id")
+        .agg(F.count(F.lit(1)).alias("members"), F.sum("size").cast("long").alias("size"))
+    )

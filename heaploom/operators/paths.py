@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.storage import cut, sized
@@ -44,9 +44,8 @@ def find_path(objects: DataFrame, refs: DataFrame, start: int, end: int, avoidin
         frontier = levels[-1]
         met = frontier.select(F.col("id").alias("src"), "rank").join(links, "src").select("dst", F.struct("rank", "pos", "src").alias("via"))
         fresh = met.groupBy(F.col("dst").alias("id")).agg(F.min("via").alias("via")).join(seen, "id", "left_anti")
-        # The order of one frontier, not of the graph.
-        rank = F.row_number().over(Window.orderBy("via.rank", "via.pos")) - 1
-        fresh = cut(fresh.select("id", F.col("via.src").alias("parent"), rank.cast("long").alias("rank")))
+        # Sorted over all partitions; the ids of the rows grow with the partitions, so they keep the order without one task for all.
+        fresh = cut(fresh.orderBy("via.rank", "via.pos").select("id", F.col("via.src").alias("parent"), F.monotonically_increasing_id().alias("rank")))
         n = fresh.count()
         if not n:
             return spark.createDataFrame([], "step int").join(objects.select(*SUMMARY).limit(0), F.lit(True))

@@ -183,6 +183,13 @@ def scc_membership(spark, sf_dir):
     return graph.strong_components(fixture.edges(spark, sf_dir), fixture.closure(spark, sf_dir))
 
 
+@_query(
+    f"WITH RECURSIVE {_CLOSURE}, m AS (SELECT a.src AS id, min(a.dst) AS scc_id FROM c a JOIN c b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src HAVING count(*) > 1) SELECT scc_id, count(*) AS members, CAST(sum(o.size) AS BIGINT) AS size FROM m JOIN o USING (id) GROUP BY scc_id"
+)
+def scc_sizes(spark, sf_dir):
+    return graph.component_sizes(fixture.objects(spark, sf_dir), scc_membership(spark, sf_dir))
+
+
 @_query(f"WITH RECURSIVE {_SIZES} SELECT id, subtree_size FROM z")
 def subtree_size_exact(spark, sf_dir):
     return sizes.exact_sizes(fixture.objects(spark, sf_dir), fixture.edges(spark, sf_dir), fixture.closure(spark, sf_dir))
@@ -230,7 +237,23 @@ def nothing_common(spark, sf_dir):
     return paths.largest_common_reachable(dump.objects, dump.refs, ORIGIN, STRANGER, fixture.jumps(spark, sf_dir)).select("id", "subtree_size")
 
 
-@_query()
+_REPORT = f"""
+WITH RECURSIVE {_SIZES}, x AS MATERIALIZED (SELECT dst FROM c WHERE src = {_LINE}), y AS MATERIALIZED (SELECT dst FROM c WHERE src = {_EVENT}),
+top AS MATERIALIZED (SELECT id FROM z WHERE id IN (SELECT dst FROM x) AND id IN (SELECT dst FROM y) ORDER BY subtree_size DESC, id LIMIT 1),
+w AS (
+  SELECT DISTINCT r.src, r.pos, r.dst FROM r JOIN o ON r.dst = o.id
+  WHERE NOT {_SKIP.replace('type', 'o.type').replace('(module|o.type)', '(module|type)').replace('value', 'o.value')}
+), p(origin, id, depth, way, nodes) AS (
+  SELECT a.id, a.id, 0, CAST([] AS BIGINT[]), [a.id] FROM (SELECT {_LINE} AS id UNION ALL SELECT {_EVENT}) a
+  UNION ALL SELECT p.origin, w.dst, p.depth + 1, list_append(p.way, w.pos), list_append(p.nodes, w.dst)
+  FROM p JOIN w ON p.id = w.src WHERE p.depth < 6 AND NOT list_contains(p.nodes, w.dst)
+), best AS (
+  SELECT origin, nodes FROM (SELECT origin, nodes, row_number() OVER (PARTITION BY origin ORDER BY depth, way) AS k FROM p WHERE id = (SELECT id FROM top)) f WHERE k = 1
+), s AS (SELECT origin, unnest(generate_series(1, len(nodes))) AS k, nodes FROM best)
+SELECT s.origin, CAST(s.k - 1 AS INTEGER) AS step, o.id, o.type, o.value, o.size, z.subtree_size FROM s JOIN o ON o.id = s.nodes[s.k] JOIN z ON z.id = o.id"""
+
+
+@_query(_REPORT)
 def common_report(spark, sf_dir):
     dump = fixture.dump(spark, sf_dir, exact=True)
     return paths.common_report(dump.objects, dump.refs, _line(dump.objects), _event(dump.objects), fixture.jumps(spark, sf_dir))

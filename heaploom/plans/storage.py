@@ -14,11 +14,19 @@ BROADCAST_ROWS = 400_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where it is unset, as in local tests, a temporary folder."""
+    """spark.checkpoint.dir, or what setCheckpointDir was given.
+
+    Only a local session with neither gets a temporary folder; on a cluster a RuntimeError is raised.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = jdir.get() if jdir.isDefined() else Path(tempfile.mkdtemp(prefix="heaploom-")).as_uri()
+        if jdir.isDefined():
+            found = jdir.get()
+        elif spark.sparkContext.master.startswith("local"):
+            found = Path(tempfile.mkdtemp(prefix="heaploom-")).as_uri()
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

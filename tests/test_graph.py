@@ -1,4 +1,4 @@
-"""The scenarios of the five-object dump, the SCC graph and random graphs against plain Python."""
+"""A dump of seven objects, a graph of two cycles and random graphs, against plain Python."""
 
 import json
 import random
@@ -13,12 +13,14 @@ from heaploom.operators.paths import find_path
 from heaploom.schema import ALL_TYPES, Precision
 from heaploom.sources.jsonl import read_lines
 
-FIVE = [
-    {"id": 1, "type": "builtins.module", "references": [2, 3, 5], "size": 10},
-    {"id": 2, "type": "builtins.list", "references": [4], "size": 20},
-    {"id": 3, "type": "builtins.dict", "references": [4], "size": 30},
-    {"id": 4, "type": "builtins.str", "references": [], "size": 40},
-    {"id": 5, "type": "builtins.module", "references": [], "size": 1000},
+SEVEN = [
+    {"id": 10, "type": "app.Cache", "references": [20, 30, 60], "size": 7},
+    {"id": 20, "type": "builtins.tuple", "references": [40], "size": 11},
+    {"id": 30, "type": "app.Node", "references": [50, 40], "size": 13},
+    {"id": 40, "type": "app.Leaf", "references": [50], "size": 17},
+    {"id": 50, "type": "builtins.bytes", "references": [], "size": 19},
+    {"id": 60, "type": "builtins.type", "references": [50], "size": 500},
+    {"id": 70, "type": "builtins.tuple", "references": [70], "size": 5},
 ]
 
 
@@ -27,84 +29,91 @@ def lines(records):
 
 
 @pytest.fixture(scope="module")
-def five(spark):
-    return HeapDump.from_records(read_lines(spark, lines(FIVE)), Precision.EXACT)
+def seven(spark):
+    return HeapDump.from_records(read_lines(spark, lines(SEVEN)), Precision.EXACT)
 
 
 def ids(df):
     return [r["id"] for r in df.collect()]
 
 
-def test_exact_sizes(five):
-    assert {r["id"]: r["subtree_size"] for r in five.objects.collect()} == {1: 100, 2: 60, 3: 70, 4: 40, 5: 1000}
+def test_exact_sizes(seven):
+    assert {r["id"]: r["subtree_size"] for r in seven.objects.collect()} == {10: 67, 20: 47, 30: 49, 40: 36, 50: 19, 60: 519, 70: 5}
 
 
-@pytest.mark.parametrize(("precision", "margin"), [("low", 60), ("medium", 30), ("high", 15)])
-def test_sketch_of_the_module(spark, precision, margin):
-    dump = HeapDump.from_records(read_lines(spark, lines(FIVE)), precision)
-    found = dump.objects.where("id = 1").first()["subtree_size"]
-    assert abs(found - 100) <= margin
+@pytest.mark.parametrize(("precision", "lanes"), [("low", 7), ("medium", 31), ("high", 127)])
+def test_sketch_within_three_deviations(spark, precision, lanes):
+    dump = HeapDump.from_records(read_lines(spark, lines(SEVEN)), precision)
+    found = dump.objects.where("id = 10").first()["subtree_size"]
+    assert abs(found - 67) <= 3 * 67 / lanes**0.5
 
 
 def test_no_estimates(spark):
-    dump = HeapDump.from_records(read_lines(spark, lines(FIVE)), Precision.NONE)
+    dump = HeapDump.from_records(read_lines(spark, lines(SEVEN)), Precision.NONE)
     assert dump.objects.where("subtree_size IS NOT NULL").count() == 0
     assert dump.objects_of_type(sort="subtree_size").count() == 0
     with pytest.raises(ValueError, match="no subtree size"):
-        dump.largest_common_reachable(2, 3)
-
-
-def test_object(five):
-    one = five.object(1).first()
-    assert [r["id"] for r in one["references"]] == [2, 3, 5] and one["referrers"] == []
-    assert [r["id"] for r in five.object(4).first()["referrers"]] == [2, 3]
-    assert five.object(6).count() == 0
-
-
-def test_paths(five):
-    assert ids(five.find_path(1, 4, {2})) == [1, 3, 4]
-    assert ids(five.find_path(1, 4)) == [1, 2, 4]
-    assert ids(five.find_path(1, 5)) == []
-    assert ids(five.find_path(5, 5)) == [5]
-    assert ids(five.find_path(1, 4, {1})) == [1, 2, 4]
+        dump.largest_common_reachable(20, 30)
+
+
+def test_object(seven):
+    cache = seven.object(10).first()
+    assert [r["id"] for r in cache["references"]] == [20, 30, 60] and cache["referrers"] == []
+    assert [r["id"] for r in seven.object(50).first()["referrers"]] == [30, 40, 60]
+    assert [r["id"] for r in seven.object(70).first()["referrers"]] == [70]
+    assert seven.object(99).count() == 0
+
+
+def test_paths(seven):
+    assert ids(seven.find_path(10, 50)) == [10, 30, 50]
+    assert ids(seven.find_path(10, 50, {30})) == [10, 20, 40, 50]
+    assert ids(seven.find_path(10, 40)) == [10, 20, 40]
+    assert ids(seven.find_path(10, 40, {10, 20})) == [10, 30, 40]
+    assert ids(seven.find_path(10, 40, {20, 30})) == []
+    assert ids(seven.find_path(10, 60)) == []
+    assert ids(seven.find_path(60, 50)) == [60, 50]
+    assert ids(seven.find_path(70, 70)) == [70]
     with pytest.raises(LookupError):
-        five.find_path(1, 6)
+        seven.find_path(10, 99)
 
 
-def test_counts_and_listings(five):
-    assert (five.count("builtins.module"), five.count(ALL_TYPES), five.count("nothing")) == (2, 5, 0)
-    assert (five.page_count(), five.page_count("nothing")) == (1, 0)
-    summaries = {r["type"]: (r["count"], r["total_size"]) for r in five.type_summaries().collect()}
-    assert len(summaries) == 5 and summaries["builtins.module"] == (2, 1010) and summaries[ALL_TYPES] == (5, 1100)
-    assert ids(five.objects_of_type("builtins.module", "size")) == [5, 1]
-    assert ids(five.objects_of_type("builtins.list")) == [2]
-    assert ids(five.objects_of_type(sort="subtree_size", page=0)) == [5, 1, 3, 2, 4]
-    assert ids(five.objects_of_type(page=1)) == []
-    assert [r["type"] for r in five.type_summaries("count").collect()][:2] == [ALL_TYPES, "builtins.module"]
+def test_counts_and_listings(seven):
+    assert (seven.count("builtins.tuple"), seven.count(ALL_TYPES), seven.count("nothing")) == (2, 7, 0)
+    assert (seven.page_count(), seven.page_count("nothing")) == (1, 0)
+    summaries = {r["type"]: (r["count"], r["total_size"]) for r in seven.type_summaries().collect()}
+    assert len(summaries) == 7 and summaries["builtins.tuple"] == (2, 16) and summaries[ALL_TYPES] == (7, 572)
+    assert ids(seven.objects_of_type("builtins.tuple", "size")) == [20, 70]
+    assert ids(seven.objects_of_type("app.Leaf")) == [40]
+    assert ids(seven.objects_of_type(sort="subtree_size", page=0)) == [60, 10, 30, 20, 40, 50, 70]
+    assert ids(seven.objects_of_type(page=1)) == []
+    assert [r["type"] for r in seven.type_summaries("count").collect()][:2] == [ALL_TYPES, "builtins.tuple"]
 
 
-def test_common(five):
-    assert ids(five.largest_common_reachable(2, 3)) == [4]
-    assert ids(five.largest_common_reachable(1, 3)) == [3]
-    assert ids(five.largest_common_reachable(2, 5)) == []
-    assert [(r["origin"], r["id"]) for r in five.common_report(2, 3).collect()] == [(2, 2), (2, 4), (3, 3), (3, 4)]
-    assert five.common_report(2, 5).count() == 0
+def test_common(seven):
+    assert ids(seven.largest_common_reachable(20, 30)) == [40]
+    assert ids(seven.largest_common_reachable(10, 30)) == [30]
+    assert ids(seven.largest_common_reachable(20, 70)) == []
+    assert [(r["origin"], r["id"]) for r in seven.common_report(20, 30).collect()] == [(20, 20), (20, 40), (30, 30), (30, 40)]
+    assert seven.common_report(20, 70).count() == 0
 
 
-def test_views(five, spark):
-    five.register_views("five_")
-    assert spark.sql("SELECT count(*) AS n FROM five_refs").first()["n"] == 5
+def test_views(seven, spark):
+    seven.register_views("seven_")
+    assert spark.sql("SELECT count(*) AS n FROM seven_refs").first()["n"] == 9
 
 
 def test_strong_components(spark):
-    links = [(1, 2), (2, 3), (3, 1), (4, 2), (4, 5), (5, 4), (5, 6), (6, 3), (6, 7), (7, 6), (8, 5), (8, 7), (8, 8)]
+    links = [(101, 102), (102, 101), (102, 103), (103, 104), (104, 105), (105, 106), (106, 103), (104, 106), (107, 107), (107, 101), (108, 109), (109, 110), (110, 104)]
     edges = spark.createDataFrame(links, "src long, dst long")
-    closure = graph.reach(spark.range(1, 9), edges)
+    closure = graph.reach(spark.range(101, 111), edges)
     reached = {r["src"]: r["n"] for r in closure.groupBy("src").agg(F.count(F.lit(1)).alias("n")).collect()}
-    assert reached == {1: 3, 2: 3, 3: 3, 4: 7, 5: 7, 6: 5, 7: 5, 8: 8}
-    assert {r["id"]: r["scc_id"] for r in graph.strong_components(edges, closure).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, 7: 6}
+    assert reached == {101: 6, 102: 6, 103: 4, 104: 4, 105: 4, 106: 4, 107: 7, 108: 7, 109: 6, 110: 5}
+    members = graph.strong_components(edges, closure)
+    assert {r["id"]: r["scc_id"] for r in members.collect()} == {101: 101, 102: 101, 103: 103, 104: 103, 105: 103, 106: 103}
+    objects = spark.range(101, 111).select("id", (F.col("id") - 100).alias("size"))
+    assert {tuple(r) for r in graph.component_sizes(objects, members).collect()} == {(101, 2, 3), (103, 4, 18)}
     with pytest.raises(graph.ClosureTooLarge):
-        graph.reach(spark.range(1, 9), edges, max_pairs=20)
+        graph.reach(spark.range(101, 111), edges, max_pairs=20)
 
 
 def plain_reach(nodes, out, start):
