@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import uuid
 import zlib
@@ -80,7 +81,7 @@ def record_bytes(page_id, url: str, html: bytes, digest: str, refers_to) -> byte
 def _open_fs(uri: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
 
 
 def write_archives(records: DataFrame, folder: str, *, archive_bytes: int = ARCHIVE_BYTES, level: int = 1) -> DataFrame:
@@ -121,64 +122,133 @@ def write_archives(records: DataFrame, folder: str, *, archive_bytes: int = ARCH
     return cut(records.select("page_id", "url", "html", "payload_digest", "refers_to").mapInArrow(write, "path string, records long"))
 
 
-def read_members(stream, chunk: int = READ_BYTES) -> Iterator[bytes]:
-    """The members of a gzip file one after another, decompressed piece by piece."""
-    data, ended = b"", False
-    while True:
-        if not data and not ended:
-            data = stream.read(chunk)
-            ended = not data
-        if not data:
-            return
-        unpack, parts = zlib.decompressobj(31), []
-        while not unpack.eof:
-            if not data:
-                data = stream.read(chunk)
-                if not data:
-                    raise WarcError("the last gzip member is cut off")
-            parts.append(unpack.decompress(data))
-            data = unpack.unused_data if unpack.eof else b""
-        yield b"".join(parts)
-
-
-def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
-    """Split a record into headers (names in lower case) and block; check framing and digests."""
-    end = raw.find(b"\r\n\r\n", 0, MAX_HEADER_BYTES)
-    if end < 0 or not raw.startswith(b"WARC/"):
-        raise WarcError("no WARC header")
-    headers = {}
-    for line in raw[:end].decode("utf-8").split("\r\n")[1:]:
+class Member:
+    """One gzip member, decompressed only as far as it is asked for."""
+
+    def __init__(self, stream, data: bytes, chunk: int):
+        self._stream, self._data, self._chunk = stream, data, chunk
+        self._unpack, self._plain = zlib.decompressobj(31), b""
+
+    def _more(self) -> bool:
+        """Decompress a further piece of at most READ_BYTES; False at the end of the member."""
+        while not self._unpack.eof:
+            last = False
+            if not self._data:
+                self._data = self._stream.read(self._chunk)
+                last = not self._data
+            piece = self._unpack.decompress(self._data, READ_BYTES)
+            self._data = self._unpack.unused_data if self._unpack.eof else self._unpack.unconsumed_tail
+            if piece:
+                self._plain += piece
+                return True
+            if last and not self._unpack.eof:
+                raise WarcError("the last gzip member is cut off")
+        return False
+
+    def head(self) -> bytes:
+        """What stands before the first empty line, which is taken too."""
+        while (end := self._plain.find(b"\r\n\r\n")) < 0:
+            if len(self._plain) > MAX_HEADER_BYTES or not self._more():
+                raise WarcError("no WARC header")
+        out, self._plain = self._plain[:end], self._plain[end + 4 :]
+        return out
+
+    def take(self, n: int) -> Iterator[bytes]:
+        """The next n bytes in pieces."""
+        while n:
+            if not self._plain and not self._more():
+                raise WarcError("Content-Length does not fit the record")
+            piece, self._plain = self._plain[:n], self._plain[n:]
+            n -= len(piece)
+            yield piece
+
+    def finish(self) -> bytes:
+        """Check that the record ends here; what the stream has given of the next member."""
+        while len(self._plain) <= 4 and self._more():
+            pass
+        if self._plain != b"\r\n\r\n":
+            raise WarcError("Content-Length does not fit the record")
+        return self._data
+
+
+def _headers(raw: bytes) -> dict[str, str]:
+    """Header lines by name in lower case; a line that begins with white space continues the one before."""
+    out: dict[str, str] = {}
+    name = None
+    for line in raw.decode("utf-8", "replace").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and name:
+            out[name] += " " + line.strip()
+            continue
         name, colon, value = line.partition(":")
         if not colon:
             raise WarcError(f"bad header line {line[:80]!r}")
-        headers[name.strip().lower()] = value.strip()
+        name = name.strip().lower()
+        out[name] = value.strip()
+    return out
+
+
+def digest_fits(labelled: str | None, content: bytes) -> bool | None:
+    """Whether ``algorithm:digest``, in hexadecimal or base32, is that of the bytes; None if there is none to check."""
+    algorithm, colon, value = (labelled or "").partition(":")
     try:
-        length = int(headers["content-length"])
-    except (KeyError, ValueError):
-        raise WarcError("no usable Content-Length") from None
-    block = raw[end + 4 : end + 4 + length]
-    if len(block) != length or raw[end + 4 + length :] != b"\r\n\r\n":
-        raise WarcError("Content-Length does not fit the record")
-    digest = hashlib.sha256(block).hexdigest()
-    if headers.get("warc-block-digest") != f"sha256:{digest}":
-        raise WarcError("block digest does not fit")
-    if headers.get("warc-type") == "response" and headers.get("warc-payload-digest") != f"sha256:{digest}":
-        raise WarcError("payload digest does not fit")
-    return headers, block
+        found = hashlib.new(algorithm.strip().lower().replace("-", "")) if colon else None
+    except ValueError:
+        found = None
+    if found is None:
+        return None
+    found.update(content)
+    value = value.strip()
+    return value.lower() == found.hexdigest() or value.upper().rstrip("=") == base64.b32encode(found.digest()).decode().rstrip("=")
+
+
+def read_records(stream, chunk: int = READ_BYTES) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, payload) of an archive's records, one gzip member each, in the order of the file.
+
+    The header is bounded, the block is framed by its Content-Length while the member is decompressed, and
+    block and payload digests are verified where they are given in an algorithm that hashlib has.  The payload
+    of an HTTP message is its body as it was sent; of all other records it is the block.
+    """
+    data = stream.read(chunk)
+    while data:
+        member = Member(stream, data, chunk)
+        head = member.head()
+        if not head.startswith(b"WARC/"):
+            raise WarcError("no WARC header")
+        headers = _headers(head)
+        try:
+            length = int(headers["content-length"])
+        except (KeyError, ValueError):
+            raise WarcError("no usable Content-Length") from None
+        if length < 0:
+            raise WarcError("no usable Content-Length")
+        block = b"".join(member.take(length))
+        data = member.finish() or stream.read(chunk)
+        if digest_fits(headers.get("warc-block-digest"), block) is False:
+            raise WarcError("block digest does not fit")
+        payload = block
+        if headers.get("content-type", "").lower().replace(" ", "").startswith("application/http"):
+            payload = block.partition(b"\r\n\r\n")[2]
+        # The digest of a revisit is that of the payload it leaves out.
+        if headers.get("warc-type") != "revisit" and digest_fits(headers.get("warc-payload-digest"), payload) is False:
+            raise WarcError("payload digest does not fit")
+        yield headers, payload
 
 
 def _page_of(urn: str) -> str:
-    return urn.removeprefix("<urn:page:").removesuffix(">")
+    return urn[len("<urn:page:") : -1] if urn.startswith("<urn:page:") else urn
 
 
 def read_archives(paths: DataFrame, folder: str, *, with_payload: bool = False) -> DataFrame:
     """Read the listed archives back, one row per record.
 
     One task streams one file at a time in pieces of 64 KB and holds one record.  A file that
-    is cut off, misframed or of a wrong digest raises :class:`WarcError`.
+    is cut off, misframed or of a wrong digest raises :class:`WarcError`.  Archives of other
+    writers are read as well: records of every type, HTTP messages, digests of other algorithms and missing ones.
 
-    Returns page_id (as text), url, record_type, payload_bytes, payload_digest, refers_to (as
-    text, null for responses) and, if asked for, payload (null for revisits).
+    Returns page_id (as text; the record's id where it is not one of ours, null if empty), url (null if none),
+    record_type, payload_bytes (of a revisit null if not stated), payload_digest (bare SHA-256 of the payload; of a revisit
+    as stated there, with its algorithm if that is another), refers_to (as text, null if none) and, if asked
+    for, payload (null for revisits).  No files: no rows.
     """
 
     schema = "page_id string, url string, record_type string, payload_bytes long, payload_digest string, refers_to string"
@@ -193,20 +263,20 @@ def read_archives(paths: DataFrame, folder: str, *, with_payload: bool = False)
         for batch in batches:
             for path in batch.column("path").to_pylist():
                 with fs.open_input_stream(path, compression=None) as stream:
-                    for raw in read_members(stream):
-                        headers, block = parse_record(raw)
-                        kind = headers["warc-type"]
-                        page = _page_of(headers["warc-record-id"])
+                    for headers, payload in read_records(stream):
+                        kind = headers.get("warc-type")
+                        revisit = kind == "revisit"
+                        stated = headers.get("warc-payload-length")
                         row = [
-                            page or None,
-                            headers["warc-target-uri"],
+                            _page_of(headers.get("warc-record-id", "")) or None,
+                            headers.get("warc-target-uri"),
                             kind,
-                            int(headers["warc-payload-length"]),
-                            headers["warc-payload-digest"].removeprefix("sha256:"),
-                            _page_of(headers["warc-refers-to"]) if kind == "revisit" else None,
+                            (int(stated) if stated else None) if revisit else len(payload),
+                            headers.get("warc-payload-digest", "").removeprefix("sha256:") if revisit else hashlib.sha256(payload).hexdigest(),
+                            _page_of(headers["warc-refers-to"]) if "warc-refers-to" in headers else None,
                         ]
-                        rows.append(row + ([block if kind == "response" else None] if with_payload else []))
-                        held += len(block) if with_payload else 0
+                        rows.append(row + ([None if revisit else payload] if with_payload else []))
+                        held += len(payload) if with_payload else 0
                         if len(rows) >= 10_000 or held > 32 << 20:
                             yield pack()
                             rows, held = [], 0

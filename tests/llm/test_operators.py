@@ -1,5 +1,6 @@
 """Each corpus operator against a plain version, and on nulls, ties, empty tables and clashing names."""
 
+import base64
 import functools
 import hashlib
 import random
@@ -65,18 +66,48 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def packed(*records):
+    out = b""
+    for record in records:
+        member = zlib.compressobj(1, zlib.DEFLATED, 31)
+        out += member.compress(record) + member.flush()
+    return out
+
+
 def test_warc_reader_refuses_damage():
     import io
 
     record = warc.record_bytes(1, "u", b"body", hashlib.sha256(b"body").hexdigest(), None)
-    member = zlib.compressobj(1, zlib.DEFLATED, 31)
-    data = member.compress(record) + member.flush()
-    assert [warc.parse_record(r)[1] for r in warc.read_members(io.BytesIO(data * 3), chunk=5)] == [b"body"] * 3
-    with pytest.raises(warc.WarcError):
-        list(warc.read_members(io.BytesIO(data[:-9])))
-    for bad in (record.replace(b"body", b"bodx"), record.replace(b"Content-Length: 4", b"Content-Length: 5"), b"HTTP/1.1\r\n\r\n"):
+    data = packed(record)
+    for chunk in (1, 5, 1 << 16):
+        assert [block for _, block in warc.read_records(io.BytesIO(data * 3), chunk)] == [b"body"] * 3
+    assert list(warc.read_records(io.BytesIO(b""))) == []
+    bad = [record.replace(b"body", b"bodx"), record.replace(b"Content-Length: 4", b"Content-Length: 5"), record.replace(b"Content-Length: 4", b"Content-Length: 3")]
+    bad += [record.replace(b"Content-Length: 4", b"Content-Length: -4"), b"HTTP/1.1\r\n\r\n", b"WARC/1.1\r\n" + b"x" * (2 << 20), record + b"more"]
+    for broken in [data[:-9], data + b"\x1f", *map(packed, bad)]:
         with pytest.raises(warc.WarcError):
-            warc.parse_record(bad)
+            list(warc.read_records(io.BytesIO(broken)))
+
+
+def test_warc_reads_archives_of_other_writers(spark, tmp_path):
+    body = b"<html>" + b"long text " * 50_000
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + body
+    sha1 = lambda x: base64.b32encode(hashlib.sha1(x).digest())
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:1>\r\nContent-Length: 14\r\n\r\nsoftware: some\r\n\r\n"
+    head = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID:\r\n <urn:uuid:2>\r\nWARC-Target-URI: http://a/\r\nContent-Type: application/http; msgtype=response\r\n"
+    head += b"WARC-Block-Digest: sha1:" + sha1(http) + b"\r\nWARC-Payload-Digest: sha1:%s\r\n" + b"Content-Length: " + str(len(http)).encode() + b"\r\n\r\n" + http + b"\r\n\r\n"
+    again = b"WARC/1.0\r\nWARC-Type: revisit\r\nWARC-Record-ID: <urn:uuid:3>\r\nWARC-Payload-Digest: sha1:" + sha1(body) + b"\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+    (tmp_path / "a.warc.gz").write_bytes(packed(info, head.replace(b"%s", sha1(body)), again))
+    (tmp_path / "b.warc.gz").write_bytes(packed(head.replace(b"%s", sha1(b"other"))))
+    paths = lambda name: spark.createDataFrame([(str(tmp_path / name),)], "path string")
+    rows = warc.read_archives(paths("a.warc.gz"), tmp_path.as_uri(), with_payload=True).collect()
+    assert [(r["page_id"], r["url"], r["record_type"], r["payload_bytes"], r["refers_to"]) for r in rows] == [
+        ("<urn:uuid:1>", None, "warcinfo", 14, None), ("<urn:uuid:2>", "http://a/", "response", len(body), None), ("<urn:uuid:3>", None, "revisit", None, None)
+    ]
+    assert bytes(rows[1]["payload"]) == body and rows[1]["payload_digest"] == hashlib.sha256(body).hexdigest()
+    assert rows[2]["payload_digest"] == "sha1:" + sha1(body).decode() and rows[2]["payload"] is None
+    with pytest.raises(Exception, match="payload digest does not fit"):
+        warc.read_archives(paths("b.warc.gz"), tmp_path.as_uri()).collect()
 
 
 # -- BPE --------------------------------------------------------------------------
