@@ -177,7 +177,7 @@ def _headers(raw: bytes) -> dict[str, str]:
     name = None
     for line in raw.decode("utf-8", "replace").split("\r\n")[1:]:
         if line[:1] in (" ", "\t") and name:
-            out[name] += " " + line.strip()
+            out[name] = f"{out[name]} {line.strip()}".strip()
             continue
         name, colon, value = line.partition(":")
         if not colon:
