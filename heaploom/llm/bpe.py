@@ -5,7 +5,8 @@ Exactness rests on two facts.
 * Between pre-tokens: a letter followed by a non-letter, a number followed by a non-number and
   a non-space followed by white space always end a pre-token, and no alternative of the
   splitting pattern looks behind.  Both sides of such a place encode independently, so a
-  window that starts and ends at such places can be encoded anew by itself.
+  window that starts and ends at such places can be encoded anew by itself, and is compared
+  with the tokens that both sides had at its ends before it replaces what stood between.
 * Inside one pre-token: a sequence of tokens is the encoding of its bytes if and only if each
   neighbouring pair is.  If the window's new encoding starts with the left side's token and
   ends with the right side's, every pair of the joined sequence is known to be an encoding.
@@ -28,6 +29,8 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Places that always end a pre-token.
 SAFE = regex.compile(r"(?<=\p{L})(?=\P{L})|(?<=\p{N})(?=\P{N})|(?<=\S)(?=\s)")
 LEAF_CHARS = 1 << 14
+#: A window reaches so many characters to each side of a join at first.
+WINDOW_CHARS = 16
 
 
 def byte_letters() -> dict[str, int]:
@@ -41,7 +44,7 @@ def byte_letters() -> dict[str, int]:
 class TreeBpe:
     """Encoder and decoder for one tokenizer file (byte-level BPE, no normaliser)."""
 
-    def __init__(self, path: str, leaf_chars: int = LEAF_CHARS):
+    def __init__(self, path: str, leaf_chars: int = LEAF_CHARS, window_chars: int = WINDOW_CHARS):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
@@ -66,6 +69,9 @@ class TreeBpe:
         self.split = regex.compile(SPLIT)
         self.special_at = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.leaf = max(8, leaf_chars)
+        self.window = max(1, window_chars)
+        #: How many windows were encoded or found too narrow: one for each join, and one more each time that a window grew.
+        self.tried = 0
 
     # -- inside one pre-token ------------------------------------------------
 
@@ -98,22 +104,41 @@ class TreeBpe:
         return out
 
     def join_texts(self, left: tuple[str, list[int]], right: tuple[str, list[int]]) -> tuple[str, list[int]]:
-        """Join neighbouring texts: the window grows until it ends at safe places on both sides."""
+        """Join neighbouring texts: the window around the join is encoded anew, and grows until it agrees with both sides.
+
+        It begins and ends at safe places, and agrees with a side if its tokens equal that side's between its outermost two
+        safe places there.  A window that takes in a whole side has nothing to agree with on it.
+        """
         (a, x), (b, y) = left, right
-        w, lo, hi = 64, None, None
-        while lo is None or hi is None:
-            if lo is None:
-                found = SAFE.search(a, max(1, len(a) - w))
-                lo = found.start() if found else (0 if w >= len(a) else None)
-            if hi is None:
-                last = None
-                for last in SAFE.finditer(b, 1, w):  # noqa: B007
-                    pass
-                hi = last.start() if last else (len(b) if w >= len(b) else None)
+        w = self.window
+        while True:
+            self.tried += 1
+            begin, one = self._outer_left(a, w)
+            end, two = self._outer_right(b, w)
+            if one is not None and two is not None:
+                ids = self.leaf_ids(a[begin:] + b[:end])
+                i, j = self._back(x, len(a[begin:].encode())), self._forth(y, len(b[:end].encode()))
+                n = self._forth(x[i:], len(a[begin:one].encode())) if begin else 0
+                m = len(y[:j]) - self._back(y[:j], len(b[two:end].encode())) if end < len(b) else 0
+                if ids[:n] == x[i : i + n] and ids[len(ids) - m :] == y[j - m : j]:
+                    return a + b, x[:i] + ids + y[j:]
             w *= 2
-        i = self._back(x, len(a[lo:].encode()))
-        j = self._forth(y, len(b[:hi].encode()))
-        return a + b, x[:i] + self.leaf_ids(a[lo:] + b[:hi]) + y[j:]
+
+    @staticmethod
+    def _outer_left(a: str, w: int) -> tuple[int, int | None]:
+        """The first two safe places within the last w characters; None for the second if there are no two."""
+        if w >= len(a):
+            return 0, 0
+        places = (m.start() for m in SAFE.finditer(a, len(a) - w))
+        return next(places, 0), next(places, None)
+
+    @staticmethod
+    def _outer_right(b: str, w: int) -> tuple[int, int | None]:
+        """The last safe place within the first w characters and the one before it; None for that if there are no two."""
+        if w >= len(b):
+            return len(b), len(b)
+        places = [m.start() for m in SAFE.finditer(b, 1, w)]
+        return (places[-1], places[-2]) if len(places) > 1 else (len(b), None)
 
     def _back(self, ids: list[int], n: int) -> int:
         """The index of the token at which the last n bytes begin."""
