@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_path
+from .common import cut, fresh_path, sized
 
 MIN_REVISIT_BYTES = 100
 #: An archive that has reached this many bytes is closed and the next one begun.
@@ -34,7 +34,7 @@ def plan_records(
     response (all rows of that id, if it is repeated); the others refer to it.  Null ids never
     are referred to unless no other id has the payload.  Null payload: empty.  Other columns
     are ignored.  The smallest id per payload is found by a map-side combined aggregate and only
-    payloads that occur twice come back, so a payload held by a third of the pages moves once.
+    payloads that occur twice come back: broadcast if they are proven few, so that no page moves.
     """
     rows = pages.select(
         F.col(id_col).alias("page_id"),
@@ -47,6 +47,7 @@ def plan_records(
         .agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
         .where("copies > 1")
     )
+    shared = sized(shared.select("shared_digest", "first_id"))
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return rows.join(shared, F.col("payload_digest") == F.col("shared_digest"), "left").select(
         "page_id", "url", "html", "payload_digest", "payload_bytes", F.when(revisit, F.col("first_id")).alias("refers_to")
