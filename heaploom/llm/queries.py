@@ -71,6 +71,32 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The checksum in SQL takes each byte in two steps of four bits.
+OP5_SQL = """
+WITH RECURSIVE bits AS (
+  SELECT i, CAST(i AS BIGINT) AS c, 0 AS k FROM generate_series(0, 15) AS t(i)
+  UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 4
+), d AS (
+  SELECT doc_id, strlen(coalesce(text, '')) + 8 AS size,
+    list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS bytes,
+    (SELECT list(c ORDER BY i) FROM bits WHERE k = 4) AS step
+  FROM documents
+), r AS (
+  SELECT doc_id, size, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes),
+      lambda c, b: xor(xor(xor(c, b) >> 4, step[(xor(c, b) & 15) + 1]) >> 4, step[(xor(xor(c, b) >> 4, step[(xor(c, b) & 15) + 1]) & 15) + 1])), 4294967295) AS text_crc32
+  FROM d
+), o AS (
+  SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING) AS upto, sum(size) OVER () AS total,
+    row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) AS place FROM r
+), s AS (
+  SELECT *, least(23, ((2 * upto - size) * 24) // (2 * total)) AS shard FROM o
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard,
+  CAST(row_number() OVER (PARTITION BY shard ORDER BY place) - 1 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM s
+"""
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_dup.near_duplicates(docs).select("doc_id", "cluster_id", "kept")
@@ -130,4 +156,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
     "op10_warc": op10_warc,
 }
-ORACLE_SQL: dict[str, str] = {"op3_decontaminate": OP3_SQL, "op10_warc": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_decontaminate": OP3_SQL, "op5_sharding": OP5_SQL, "op10_warc": OP10_SQL}

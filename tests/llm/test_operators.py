@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from heaploom.llm import bpe, components, decontaminate, licenses, near_dup, passages, pii, sharding, toxicity, vectors, warc
+from heaploom.llm import bpe, components, decontaminate, licenses, near_dup, passages, pii, queries, sharding, toxicity, vectors, warc
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -49,6 +49,20 @@ def test_sharding(spark):
     assert sharding.shard_by_bytes(frame(spark, []), 5).count() == 0
 
 
+def test_sharding_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    draw = random.Random(4)
+    texts = [None, "", "é" * 50, "x" * 9000] + ["y" * draw.randrange(300) for _ in range(200)] + ["same"] * 80
+    frame(spark, texts, [None, *range(203), *[7] * 80]).write.parquet(str(tmp_path / "documents.parquet"))
+    names = ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    found = [tuple(r[c] for c in names) for r in queries.op5_sharding(spark, str(tmp_path)).collect()]
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        wanted = con.execute(f"SELECT {', '.join(names)} FROM ({queries.OP5_SQL})").fetchall()
+    assert sorted(found, key=repr) == sorted(wanted, key=repr)
+
+
 # -- WARC -------------------------------------------------------------------------
 
 
@@ -135,6 +149,22 @@ def test_bpe_equals_the_library():
         assert tree.encode(text) == library.encode(text, add_special_tokens=False).ids
 
 
+def test_bpe_windows_grow_until_both_sides_agree():
+    from tokenizers import Tokenizer
+
+    path = bpe.default_path()
+    library = Tokenizer.from_file(path)
+    draw = random.Random(6)
+    grown = 0
+    for text in [prose(draw, 400), "ab" * 300 + " end", " " * 500 + "x", "one  two\n\n three's " * 40, "1234567890" * 80, "日本語。" * 100]:
+        tree = bpe.TreeBpe(path, 32, window_chars=2)
+        assert tree.encode(text) == library.encode(text, add_special_tokens=False).ids
+        joins = len(tree.leaves(text)) - 1
+        assert tree.tried >= joins > 0
+        grown += tree.tried - joins
+    assert grown > 50
+
+
 def test_bpe_long_and_null_texts(spark):
     draw = random.Random(2)
     texts = [None, "", prose(draw, 3000), prose(draw, 20), "x" * 9000, "<|endoftext|>" * 300]
