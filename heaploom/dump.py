@@ -21,8 +21,11 @@ class HeapDump:
         self.spark: SparkSession = objects.sparkSession
 
     @classmethod
-    def from_records(cls, records: DataFrame, precision: Precision | str = Precision.MEDIUM, trust_input_sizes: bool = False) -> HeapDump:
-        """Derive the tables from raw records.  Sizes in the input are ignored unless trusted (and precision is none)."""
+    def from_records(cls, records: DataFrame, precision: Precision | str = Precision.MEDIUM, trust_input_sizes: bool = False, max_pairs: int | None = sizes.MAX_PAIRS) -> HeapDump:
+        """Derive the tables from raw records.  Sizes in the input are ignored unless trusted (and precision is none).
+
+        ``max_pairs`` bounds the reachable pairs that exact sizes may take (None: no bound).
+        """
         precision = Precision.parse(precision)
         records = cut(records)
         refs = records.select(F.col("id").alias("src"), F.posexplode("references").alias("pos", "dst"))
@@ -30,7 +33,7 @@ class HeapDump:
         if precision is Precision.NONE:
             size = F.col("given") if trust_input_sizes else F.lit(None).cast("long")
             return cls(objects.select("id", "type", "value", "size", size.alias("subtree_size"), "is_skip"), refs)
-        found = sizes.subtree_sizes(objects, graph.usable_refs(objects, refs), precision)
+        found = sizes.subtree_sizes(objects, graph.usable_refs(objects, refs), precision, max_pairs=max_pairs)
         return cls(objects.join(found, "id", "left").select("id", "type", "value", "size", "subtree_size", "is_skip"), refs)
 
     def register_views(self, prefix: str = "") -> None:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import cut, sized
 from ..schema import SUMMARY
-from .graph import reach, usable_refs
+from .graph import reach, reach_by_hops, usable_refs
 
 
 def _summaries(objects: DataFrame, ids: list[int]) -> dict[int, object]:
@@ -64,7 +64,8 @@ def largest_common_reachable(objects: DataFrame, refs: DataFrame, first: int, se
     """The object of the largest subtree size that both can reach (the least id of several), as one summary row.
 
     No row if they share nothing.  Unknown ids raise LookupError; sizes that were never worked out ValueError.
-    ``edges`` may give usable links, or their jumps, worked out before.
+    Usable links (or ``edges``, if given) are followed from both at once, hop by hop; a list of jumps worked out
+    before replaces the hops.
     """
     known = _summaries(objects, [first, second])
     for id_ in (first, second):
@@ -73,7 +74,10 @@ def largest_common_reachable(objects: DataFrame, refs: DataFrame, first: int, se
         if known[id_]["subtree_size"] is None:
             raise ValueError(f"no subtree size in object {id_}")
     starts = objects.sparkSession.createDataFrame([(first,), (second,)], "id long").distinct()
-    pairs = reach(starts, usable_refs(objects, refs) if edges is None else edges)
+    if isinstance(edges, list):
+        pairs = reach(starts, edges)
+    else:
+        pairs = reach_by_hops(starts, cut(usable_refs(objects, refs)) if edges is None else edges)
     both = pairs.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len({first, second})).select("id")
     return objects.select(*SUMMARY).join(both, "id", "left_semi").orderBy(F.desc("subtree_size"), "id").limit(1)
 

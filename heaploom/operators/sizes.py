@@ -12,9 +12,15 @@ from ..plans.storage import cut
 from ..schema import Precision
 from .graph import jumps, reach
 
+#: Exact sizes give up beyond so many reachable pairs, unless told otherwise.
+MAX_PAIRS = 10_000_000_000
 
-def exact_sizes(objects: DataFrame, edges: DataFrame, closure: DataFrame | None = None, max_pairs: int | None = None) -> DataFrame:
-    """(id, subtree_size): sizes summed over the distinct objects that each one reaches, itself included."""
+
+def exact_sizes(objects: DataFrame, edges: DataFrame, closure: DataFrame | None = None, max_pairs: int | None = MAX_PAIRS) -> DataFrame:
+    """(id, subtree_size): sizes summed over the distinct objects that each one reaches, itself included.
+
+    Raises ClosureTooLarge beyond ``max_pairs`` reachable pairs (None: no bound).
+    """
     if closure is None:
         # What has no links reaches itself alone and needs no pairs.
         inner = edges.select(F.col("src").alias("id")).distinct()
@@ -25,7 +31,7 @@ def exact_sizes(objects: DataFrame, edges: DataFrame, closure: DataFrame | None
 
 
 def sketch_sizes(objects: DataFrame, edges: DataFrame, lanes: int) -> DataFrame:
-    """(id, subtree_size) estimated with so many lanes, without any reachable pairs.
+    """(id, subtree_size) estimated with so many lanes.
 
     The sketches travel by jumps of 1, 2, 4, ... links: after the round of 2**k each object's lanes hold the
     maxima over all it reaches in less than 2**(k+1) links.  It ends when no jumps are left, when the
@@ -49,10 +55,10 @@ def sketch_sizes(objects: DataFrame, edges: DataFrame, lanes: int) -> DataFrame:
     return now.select("id", estimate(lanes).alias("subtree_size"))
 
 
-def subtree_sizes(objects: DataFrame, edges: DataFrame, precision: Precision, closure: DataFrame | None = None) -> DataFrame:
-    """(id, subtree_size) at a precision; null sizes for none."""
+def subtree_sizes(objects: DataFrame, edges: DataFrame, precision: Precision, closure: DataFrame | None = None, max_pairs: int | None = MAX_PAIRS) -> DataFrame:
+    """(id, subtree_size) at a precision; null sizes for none.  ``max_pairs`` bounds the exact one."""
     if precision is Precision.NONE:
         return objects.select("id", F.lit(None).cast("long").alias("subtree_size"))
     if precision is Precision.EXACT:
-        return exact_sizes(objects, edges, closure)
+        return exact_sizes(objects, edges, closure, max_pairs)
     return sketch_sizes(objects, edges, precision.lanes)

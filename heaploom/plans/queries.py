@@ -234,7 +234,7 @@ def largest_common_reachable(spark, sf_dir):
 @_query(f"WITH RECURSIVE {_SIZES}, {_TWO % (ORIGIN, STRANGER)}")
 def nothing_common(spark, sf_dir):
     dump = fixture.dump(spark, sf_dir, exact=True)
-    return paths.largest_common_reachable(dump.objects, dump.refs, ORIGIN, STRANGER, fixture.jumps(spark, sf_dir)).select("id", "subtree_size")
+    return paths.largest_common_reachable(dump.objects, dump.refs, ORIGIN, STRANGER, fixture.edges(spark, sf_dir)).select("id", "subtree_size")
 
 
 _REPORT = f"""

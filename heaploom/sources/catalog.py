@@ -49,8 +49,11 @@ class Catalog:
         stem = file.rpartition(".")[0] or file
         return stem if stem and not stem.startswith(".") else f"heap_dump_{len(self.list_dumps()) + 1}"
 
-    def import_records(self, records: DataFrame, name: str, precision: Precision | str = Precision.MEDIUM) -> HeapDump:
-        """Derive the tables and publish them under the name: written aside, then renamed, so readers see all or nothing."""
+    def import_records(self, records: DataFrame, name: str, precision: Precision | str = Precision.MEDIUM, source: str | None = None) -> HeapDump:
+        """Derive the tables and publish them under the name: written aside, then renamed, so readers see all or nothing.
+
+        ``source`` is noted with the dump and read back by :meth:`source_of`.
+        """
         self._check(name)
         aside = f"{self.root}/.{name}-{uuid.uuid4().hex}"
         fs, hidden = filesystem(self.spark, aside)
@@ -58,6 +61,8 @@ class Catalog:
             dump = HeapDump.from_records(records, precision)
             dump.objects.repartitionByRange("type", "id").sortWithinPartitions("type", "id").write.parquet(f"{aside}/objects")
             dump.refs.repartitionByRange("src", "pos").sortWithinPartitions("src", "pos").write.parquet(f"{aside}/refs")
+            if source is not None:
+                self.spark.createDataFrame([(source,)], "path string").coalesce(1).write.parquet(f"{aside}/source")
             if not fs.rename(hidden, filesystem(self.spark, f"{self.root}/{name}")[1]):
                 raise DumpExists(f"the dump {name!r} could not be published")
         finally:
@@ -65,9 +70,29 @@ class Catalog:
                 fs.delete(hidden, True)
         return self.open(name)
 
+    def source_of(self, name: str) -> str | None:
+        """The file that a dump was imported from, if that was noted."""
+        fs, path = filesystem(self.spark, f"{self.root}/{name}/source")
+        return self.spark.read.parquet(f"{self.root}/{name}/source").first()["path"] if fs.exists(path) else None
+
+    def import_once(self, records: DataFrame, source: str, precision: Precision | str = Precision.MEDIUM) -> str:
+        """Import a file under its default name unless that was done before; returns the name.
+
+        Where another file has the name, the next free one of name_2, name_3, ... is taken.
+        """
+        base = name = self.default_name(source)
+        number = 1
+        while self._exists(name):
+            if self.source_of(name) == source:
+                return name
+            number += 1
+            name = f"{base}_{number}"
+        self.import_records(records, name, precision, source)
+        return name
+
     def import_dump(self, path: str, name: str | None = None, precision: Precision | str = Precision.MEDIUM) -> HeapDump:
         """Import JSON-lines files.  Unknown precisions mean medium; the name defaults to that of the file."""
-        return self.import_records(read_jsonl(self.spark, path), name or self.default_name(path), precision)
+        return self.import_records(read_jsonl(self.spark, path), name or self.default_name(path), precision, path)
 
     def open(self, name: str) -> HeapDump:
         if not self._exists(name):

@@ -97,6 +97,19 @@ def test_common(seven):
     assert seven.common_report(20, 70).count() == 0
 
 
+def test_hops_reach_what_jumps_reach(spark):
+    links = [(k, k + 1) for k in range(20)] + [(20, 15), (3, 30), (31, 3), (40, 41)]
+    edges = spark.createDataFrame(links, "src long, dst long")
+    starts = spark.createDataFrame([(0,), (31,), (41,)], "id long")
+    by_hops = graph.reach_by_hops(starts, edges)
+    assert sorted(map(tuple, by_hops.collect())) == sorted(map(tuple, graph.reach(starts, edges).collect()))
+
+
+def test_exact_sizes_have_a_budget(spark):
+    with pytest.raises(graph.ClosureTooLarge):
+        HeapDump.from_records(read_lines(spark, lines(SEVEN)), Precision.EXACT, max_pairs=5)
+
+
 def test_views(seven, spark):
     seven.register_views("seven_")
     assert spark.sql("SELECT count(*) AS n FROM seven_refs").first()["n"] == 9

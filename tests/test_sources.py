@@ -94,6 +94,14 @@ def test_arrivals(spark, tmp_path):
         import_arrivals(spark, str(tmp_path / "in"), catalog, str(tmp_path / "state"), "none").awaitTermination()
         assert catalog.list_dumps() == expected
         (tmp_path / "in" / "p2.jsonl").write_text(json.dumps({**GOOD, "id": 9}))
+    # Another file of a name that is taken gets a number; the same file, met again by a new stream, is not imported twice.
+    other = tmp_path / "other"
+    other.mkdir()
+    (other / "p1.jsonl").write_text(json.dumps({**GOOD, "id": 5}))
+    for state in ("state2", "state3"):
+        import_arrivals(spark, str(other), catalog, str(tmp_path / state), "none").awaitTermination()
+        assert catalog.list_dumps() == ["p1", "p1_2", "p2"]
+    assert [r["id"] for r in catalog.open("p1_2").objects.collect()] == [5]
 
 
 def test_rules(spark):
