@@ -125,6 +125,21 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, rows)
 
 
+@contextlib.contextmanager
+def batch_rows(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Hand at most so many rows at once to Python within the block, whose jobs have to end in it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if 0 < int(before) <= rows:
+        yield
+        return
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The same work, after which a Python worker gives its memory back: it idles while other stages need it."""
 

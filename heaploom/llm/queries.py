@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, licenses, near_dup, passages, pii, sharding, toxicity, vectors, warc
+from . import bpe, collocations, decontaminate, licenses, near_dup, passages, pii, search, sharding, toxicity, url_filter, vectors, warc
 from .common import table
 
 
@@ -144,6 +144,69 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM f
 """
 
+
+
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return search.ranked_search(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"), k=50)
+
+
+OP11_SQL = r"""
+WITH t AS (
+  SELECT r, doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w
+  FROM (SELECT row_number() OVER () AS r, * FROM documents)
+), f AS (SELECT r, doc_id, w, count(*) AS tf FROM t GROUP BY ALL),
+d AS (SELECT r, CAST(sum(tf) AS BIGINT) AS n FROM f GROUP BY r), s AS (SELECT count(*) AS rows, CAST(sum(n) AS BIGINT) AS len FROM d),
+m AS (SELECT r, 100 - 50 + (50 * n * rows) // len AS m FROM d, s),
+g AS (SELECT w, CAST(floor(1000 * ln((2 * any_value(rows) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM f, s GROUP BY w),
+q AS (
+  SELECT DISTINCT k, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w
+  FROM (SELECT row_number() OVER () AS k, * FROM benchmark)
+), x AS (
+  SELECT k, item_id, r, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM q JOIN f USING (w) JOIN g USING (w) JOIN m USING (r) GROUP BY ALL
+), o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id NULLS LAST, r) AS rank FROM x WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o WHERE rank <= 50
+"""
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+OP12_SQL = r"""
+WITH p AS (
+  SELECT row_number() OVER () AS id, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+), t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+g AS (
+  SELECT lang, k, array_to_string(w[s:s + k - 1], ' ') AS phrase, count(*) AS a
+  FROM (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS s FROM p, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k)
+  GROUP BY ALL HAVING count(*) >= 30
+), c AS (SELECT * FROM g WHERE k > 1),
+u AS (
+  SELECT lang, k, phrase, a, j, array_to_string(string_split(phrase, ' ')[1:j], ' ') AS x, array_to_string(string_split(phrase, ' ')[j + 1:k], ' ') AS y
+  FROM (SELECT *, unnest(generate_series(1, k - 1)) AS j FROM c)
+), v AS (
+  SELECT u.lang, u.phrase, u.a, u.j, l.a AS l, r.a AS r, CAST((CAST(2000000 AS HUGEINT) * u.a) // (l.a + r.a) AS BIGINT) AS score
+  FROM u JOIN g l ON l.lang = u.lang AND l.phrase = u.x JOIN g r ON r.lang = u.lang AND r.phrase = u.y
+), b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS best FROM v),
+e AS (
+  SELECT c.lang, array_to_string(string_split(c.phrase, ' ')[i:i + z - 1], ' ') AS phrase, max(c.a) AS longer
+  FROM c, (SELECT unnest([2, 3]) AS z), (SELECT unnest([1, 2, 3]) AS i) WHERE z < c.k AND i + z - 1 <= c.k GROUP BY ALL
+), o AS (
+  SELECT b.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM b LEFT JOIN e USING (lang, phrase) WHERE best = 1 AND (longer IS NULL OR CAST(100 AS HUGEINT) * longer < CAST(80 AS HUGEINT) * a)
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM o JOIN t USING (lang) WHERE rank <= 2000
+"""
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge_urls(pages, url_filter.RULES, id_col="page_id").select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embeddings": op1_embeddings,
     "op2_bpe": op2_bpe,
@@ -155,5 +218,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_pii": op9_pii,
     "op10_warc": op10_warc,
+    "op11_search": op11_search,
+    "op12_collocations": op12_collocations,
+    "op13_url_filter": op13_url_filter,
 }
-ORACLE_SQL: dict[str, str] = {"op3_decontaminate": OP3_SQL, "op5_sharding": OP5_SQL, "op10_warc": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_decontaminate": OP3_SQL, "op5_sharding": OP5_SQL, "op10_warc": OP10_SQL, "op11_search": OP11_SQL, "op12_collocations": OP12_SQL}
