@@ -7,7 +7,7 @@ lower quarter of the lanes' values estimates the total weight (Cohen's size esti
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _TWO_63, _TWO_64 = 9223372036854775808.0, 18446744073709551616.0
@@ -36,3 +36,31 @@ def estimate(lanes: int) -> Column:
     """The estimate of a row of lanes, as a whole number."""
     ordered = F.sort_array(F.array(*lane_names(lanes)))
     return F.floor(F.element_at(ordered, (lanes + 1) // 4)).cast("long")
+
+
+def register_sketch_functions(spark: SparkSession) -> None:
+    """SQL functions over sketches as values (array<float>, one number a lane).
+
+    size_sketch(lanes, id, weight): the sketch of one element.  sketch_merge(a, b): of both sets; a null is the empty set.  sketch_estimate(s): its total weight.
+    Rows are merged lane by lane, which Spark combines before it shuffles::
+
+        SELECT type, sketch_estimate(array_agg(v)) FROM (
+          SELECT type, lane, max(v) AS v FROM (SELECT type, size_sketch(31, id, size) AS s FROM objects) LATERAL VIEW posexplode(s) p AS lane, v GROUP BY type, lane
+        ) GROUP BY type
+    """
+    u = f"greatest(least((cast(xxhash64(i, id) as double) + {_TWO_63:.1f}D) / {_TWO_64:.1f}D, 1D - power(2D, -53)), 1D / {_TWO_64:.1f}D)"
+    for text in (
+        f"size_sketch(lanes INT, id BIGINT, weight BIGINT) RETURNS ARRAY<FLOAT> RETURN transform(sequence(0, lanes - 1), i -> cast(cast(weight as double) * ln(0.25D) / ln({u}) as float))",
+        "sketch_merge(a ARRAY<FLOAT>, b ARRAY<FLOAT>) RETURNS ARRAY<FLOAT> RETURN coalesce(zip_with(a, b, (x, y) -> greatest(x, y)), a, b)",
+        "sketch_estimate(s ARRAY<FLOAT>) RETURNS BIGINT RETURN cast(floor(try_element_at(sort_array(s), cast((size(s) + 1) div 4 as int))) as bigint)",
+    ):
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {text}")
+
+
+def merge_sketches(df: DataFrame, keys: list[str], sketch: str = "sketch") -> DataFrame:
+    """Sketches (array<float>) of all rows of a group as one: keys and the column ``sketch``.
+
+    Lane by lane, so groups of any size are combined before they are shuffled.  Null sketches are empty sets; a group of none but those has no row.
+    """
+    lanes = df.select(*keys, F.posexplode(sketch).alias("_lane", "_v")).groupBy(*keys, "_lane").agg(F.max("_v").alias("_v"))
+    return lanes.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_lane", "_v"))), lambda x: x["_v"]).alias(sketch))

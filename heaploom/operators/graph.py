@@ -1,17 +1,13 @@
-"""Reachability over the links that count: present targets that are not skipped."""
+"""The links that count: present targets that are not skipped."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import cut, sized
-
 
 class ClosureTooLarge(RuntimeError):
-    """The reachable pairs pass the budget; a sketch precision needs none of them."""
+    """The reachable sets pass the budget; a sketch precision needs none of them."""
 
 
 def usable_refs(objects: DataFrame, refs: DataFrame) -> DataFrame:
@@ -19,76 +15,3 @@ def usable_refs(objects: DataFrame, refs: DataFrame) -> DataFrame:
     targets = objects.where(~F.col("is_skip")).select(F.col("id").alias("dst"))
     sources = objects.select(F.col("id").alias("src"))
     return refs.select("src", "dst").distinct().join(targets, "dst", "left_semi").join(sources, "src", "left_semi").select("src", "dst")
-
-
-def jumps(edges: DataFrame) -> Iterator[DataFrame]:
-    """Pairs joined by a walk of exactly 1, 2, 4, 8, ... links, as long as there are any."""
-    now = cut(edges.select("src", "dst").where("src <> dst").distinct())
-    while not now.isEmpty():
-        yield now
-        far = now.select(F.col("src").alias("dst"), F.col("dst").alias("end"))
-        now = cut(now.join(far, "dst").select("src", F.col("end").alias("dst")).distinct())
-
-
-def reach(starts: DataFrame, edges: DataFrame | list[DataFrame], max_pairs: int | None = None) -> DataFrame:
-    """All (src, dst) such that dst can be reached from a start (column id), itself included.
-
-    Round k adds to the pairs less than 2**k links apart those less than 2**(k+1) apart: one join with the
-    jumps of 2**k.  A pair is made once for each way to reach it, not for each point on the way, and the
-    rounds are as many as the logarithm of the longest shortest path.  A round that adds nothing ends it.
-    ``edges`` may be a list of jumps worked out before.
-    """
-    pairs = cut(starts.select(F.col("id").alias("src"), F.col("id").alias("dst")).distinct())
-    size = pairs.count()
-    for jump in jumps(edges) if isinstance(edges, DataFrame) else edges:
-        step = jump.select(F.col("src").alias("dst"), F.col("dst").alias("end"))
-        more = pairs.join(step, "dst").select("src", F.col("end").alias("dst"))
-        pairs = cut(pairs.unionByName(more).distinct())
-        before, size = size, pairs.count()
-        if max_pairs is not None and size > max_pairs:
-            raise ClosureTooLarge(f"{size} reachable pairs; use a sketch precision or raise max_pairs above {max_pairs}")
-        if size == before:
-            break
-    return pairs
-
-
-def reach_by_hops(starts: DataFrame, edges: DataFrame) -> DataFrame:
-    """The pairs of :func:`reach` for a few starts: each hop joins the last one's fresh pairs with the links, once.
-
-    Only what the starts reach is ever looked at, where jumps hold pairs of the whole graph; the rounds are as
-    many as the longest shortest path.
-    """
-    fresh = cut(starts.select(F.col("id").alias("src"), F.col("id").alias("dst")).distinct())
-    seen, size, hops = fresh, fresh.count(), 0
-    while size:
-        step = edges.select(F.col("src").alias("dst"), F.col("dst").alias("end"))
-        more = sized(fresh, size).join(step, "dst").select("src", F.col("end").alias("dst")).distinct()
-        fresh = cut(more.join(seen, ["src", "dst"], "left_anti"))
-        size, hops = fresh.count(), hops + 1
-        if size:
-            seen = seen.unionByName(fresh)
-            if hops % 8 == 0:
-                seen = cut(seen)  # keeps plans short
-    return seen
-
-
-def strong_components(edges: DataFrame, closure: DataFrame) -> DataFrame:
-    """(id, scc_id) of the nodes on cycles of several nodes; scc_id is the least id of the component.
-
-    A link a -> b lies inside a component if b reaches a; only the nodes of such links are looked at again.
-    """
-    inside = cut(edges.where("src <> dst").join(closure.select(F.col("src").alias("dst"), F.col("dst").alias("src")), ["src", "dst"], "left_semi"))
-    nodes = cut(inside.select(F.explode(F.array("src", "dst")).alias("id")).distinct())
-    few = sized(nodes)
-    among = closure.join(few.select(F.col("id").alias("src")), "src", "left_semi").join(few.select(F.col("id").alias("dst")), "dst", "left_semi")
-    back = among.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return among.join(back, ["src", "dst"]).groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("scc_id"))
-
-
-def component_sizes(objects: DataFrame, members: DataFrame) -> DataFrame:
-    """(scc_id, members, size): objects and bytes of each component of :func:`strong_components`."""
-    return (
-        members.join(objects.select("id", "size"), "id")
-        .groupBy("scc_id")
-        .agg(F.count(F.lit(1)).alias("members"), F.sum("size").cast("long").alias("size"))
-    )

@@ -9,10 +9,10 @@ from ..schema import ALL_TYPES, PAGE_SIZE, SUMMARY
 from .rollup import of_type
 
 
-def objects_of_type(objects: DataFrame, type_: str = ALL_TYPES, sort: str = "id", page: int | None = None) -> DataFrame:
+def objects_of_type(objects: DataFrame, type_: str = ALL_TYPES, sort: str = "id", page: int | None = None, first_page: int = 0) -> DataFrame:
     """Summaries of a type by id, or by size or subtree_size, largest first and then by id.
 
-    Pages start at 0 and have PAGE_SIZE rows; None: all.  A page is a top-k, not a full sort.  The order by
+    Pages start at ``first_page`` (lower numbers mean the first one, too) and have PAGE_SIZE rows; None: all.  A page is a top-k, not a full sort.  The order by
     subtree_size lists only objects that have one.  Unknown orders mean id.
     """
     found = of_type(objects, type_).select(*SUMMARY)
@@ -20,7 +20,7 @@ def objects_of_type(objects: DataFrame, type_: str = ALL_TYPES, sort: str = "id"
         found = found.where("subtree_size IS NOT NULL")
     keys = [F.desc(sort)] if sort in ("size", "subtree_size") else []
     found = found.orderBy(*keys, "id")
-    return found if page is None else found.offset(max(0, page) * PAGE_SIZE).limit(PAGE_SIZE)
+    return found if page is None else found.offset(max(0, page - first_page) * PAGE_SIZE).limit(PAGE_SIZE)
 
 
 def references_of(objects: DataFrame, refs: DataFrame, ids: list[int]) -> DataFrame:
@@ -30,14 +30,16 @@ def references_of(objects: DataFrame, refs: DataFrame, ids: list[int]) -> DataFr
 
 
 def referrers_of(objects: DataFrame, refs: DataFrame, ids: list[int]) -> DataFrame:
-    """(dst, then the summary of the source): each object that refers to it, once."""
+    """(dst, then the summary of the source): each object that refers to it, once.  ``refs`` may be stored by target."""
     links = refs.where(F.col("dst").isin(ids)).select("dst", "src").distinct()
     return links.join(objects.select(*SUMMARY), F.col("src") == F.col("id")).select("dst", *SUMMARY)
 
 
-def object_detail(objects: DataFrame, refs: DataFrame, id_: int, strict: bool = True) -> DataFrame:
+def object_detail(objects: DataFrame, refs: DataFrame, id_: int, strict: bool = True, referrers: DataFrame | None = None) -> DataFrame:
     """One row: the summary, references (array in order) and referrers (array by id); no row for an unknown id.
 
+    ``referrers``: (dst, src), the refs stored by target, which then serve the way back.
+
     With ``strict`` a link to an object that is missing raises LookupError; without, it is left out.
     """
     if strict:
@@ -46,7 +48,7 @@ def object_detail(objects: DataFrame, refs: DataFrame, id_: int, strict: bool =
             raise LookupError(f"object {id_} refers to {missing['dst']}, which is not in the dump")
     summary = F.struct(*SUMMARY)
     out = references_of(objects, refs, [id_]).groupBy("src").agg(F.sort_array(F.collect_list(F.struct("pos", summary.alias("o")))).alias("links"))
-    back = referrers_of(objects, refs, [id_]).groupBy("dst").agg(F.sort_array(F.collect_list(summary)).alias("referrers"))
+    back = referrers_of(objects, refs if referrers is None else referrers, [id_]).groupBy("dst").agg(F.sort_array(F.collect_list(summary)).alias("referrers"))
     one = objects.where(F.col("id") == id_).select(*SUMMARY)
     none = F.array().cast(back.schema["referrers"].dataType)
     return (

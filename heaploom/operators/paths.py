@@ -7,9 +7,11 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import cut, sized
+from ..plans.storage import Scratch, cut, sized
 from ..schema import SUMMARY
-from .graph import reach, reach_by_hops, usable_refs
+from .dag import GraphIndex
+from .forest import below
+from .graph import usable_refs
 
 
 def _summaries(objects: DataFrame, ids: list[int]) -> dict[int, object]:
@@ -60,12 +62,89 @@ def find_path(objects: DataFrame, refs: DataFrame, start: int, end: int, avoidin
     return F.broadcast(steps).join(objects.select(*SUMMARY), "id").select("step", *SUMMARY).orderBy("step")
 
 
-def largest_common_reachable(objects: DataFrame, refs: DataFrame, first: int, second: int, edges: DataFrame | list[DataFrame] | None = None) -> DataFrame:
+def find_paths(objects: DataFrame, refs: DataFrame, requests: DataFrame, avoiding: DataFrame | None = None, prune: bool = True) -> DataFrame:
+    """The shortest paths of many requests at once: (request, step, summary...), no rows for a request without a path.
+
+    ``requests``: request (a key), start, end.  ``avoiding``: request, id.  Each path is that of :func:`find_path`: skipped and avoided objects are not entered, ``prune``
+    leaves out what reaches less than the end does, ties follow the order of the links.  One join a hop serves all requests; a request leaves as soon as its end is
+    met.  Requests of unknown objects raise LookupError.  Repeated rows count once; null keys or ends are no requests.
+    """
+    spark = objects.sparkSession
+    with Scratch(spark, "paths") as work:
+        asked = requests.select("request", "start", "end").where("request IS NOT NULL AND start IS NOT NULL AND end IS NOT NULL").distinct()
+        sizes = objects.select(F.col("id").alias("end"), F.col("subtree_size").alias("least"))
+        asked = work.keep(asked.join(sizes, "end", "left").withColumn("known", F.lit(True)))
+        ends = asked.select(F.explode(F.array("start", "end")).alias("id")).distinct()
+        if missing := ends.join(objects.select("id"), "id", "left_anti").first():
+            raise LookupError(f"object {missing['id']} is not in the dump")
+        nodes = objects.where(~F.col("is_skip")).select(F.col("id").alias("dst"), F.col("subtree_size").alias("weight"))
+        links = work.keep(refs.join(nodes, "dst").select("src", "pos", "dst", "weight"))
+        goals = asked.select("request", "end", "least")
+        frontier = work.keep(asked.select("request", F.col("start").alias("id"), F.lit(None).cast("long").alias("parent"), F.lit(0).cast("long").alias("rank")))
+        levels, seen = [frontier], frontier.select("request", "id")
+        n = frontier.count()
+        arrived = [work.keep(asked.where("start = end").select("request", F.col("end").alias("id")))]
+        open_ = work.keep(goals.join(arrived[0].select("request"), "request", "left_anti"))
+        while n and not open_.isEmpty():
+            front = sized(levels[-1].join(sized(open_), "request").select("request", "end", "least", F.col("id").alias("src"), "rank"), n)
+            met = links.join(front, "src")
+            if prune:
+                met = met.where("weight IS NULL OR least IS NULL OR weight >= least")
+            met = met.groupBy("request", F.col("dst").alias("id")).agg(F.min(F.struct("rank", "pos", "src")).alias("via"))
+            fresh = met.join(seen, ["request", "id"], "left_anti")
+            if avoiding is not None:
+                fresh = fresh.join(avoiding.select("request", "id"), ["request", "id"], "left_anti")
+            # Sorted over all partitions: within each request the numbers of the rows keep the order.
+            fresh = work.keep(fresh.orderBy("via.rank", "via.pos").select("request", "id", F.col("via.src").alias("parent"), F.monotonically_increasing_id().alias("rank")))
+            n = fresh.count()
+            levels.append(fresh)
+            there = work.keep(fresh.select("request", "id").join(open_.select("request", F.col("end").alias("id")), ["request", "id"], "left_semi"))
+            arrived.append(there)
+            open_ = work.keep(open_.join(there.select("request"), "request", "left_anti"))
+            seen = work.keep(seen.unionByName(fresh.select("request", "id")).join(open_.select("request"), "request", "left_semi"))
+        steps, now = [], None
+        for k in range(len(levels) - 1, -1, -1):
+            here = arrived[k] if now is None else arrived[k].unionByName(now)
+            placed = work.keep(levels[k].join(here, ["request", "id"], "left_semi").select("request", F.lit(k).alias("step"), "id", "parent"))
+            steps.append(placed.select("request", "step", "id"))
+            now = placed.where("parent IS NOT NULL").select("request", F.col("parent").alias("id"))
+        found = steps[0]
+        for more in steps[1:]:
+            found = found.unionByName(more)
+        return cut(found.join(objects.select(*SUMMARY), "id").select("request", "step", *SUMMARY))
+
+
+def _sides(work: Scratch, objects: DataFrame, graph: GraphIndex, first: int, second: int) -> DataFrame:
+    """(id, side): the components that each of both objects reaches and that can still hold the largest that both do.
+
+    The nodes below an origin in its own tree are met in as many rounds as the logarithm of their depth.  From then on a round follows the exits of all
+    that was met last, to shared nodes and their whole trees.  Sizes shrink along links, so what is smaller than the largest object that both sides have met is not
+    entered any more, and the search ends when nothing else is left.
+    """
+    spark = objects.sparkSession
+    starts = graph.component_of(spark.createDataFrame([(first, 0), (second, 1)], "id long, side int")).select(F.col("comp").alias("id"), "side").distinct()
+    sizes = objects.select("id", "subtree_size")
+    met = below(work, work.keep(starts), graph.ups, ["side"])
+    seen, best = met, None
+    while True:
+        both = seen.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("id")
+        found = sizes.join(sized(work.keep(both)), "id").agg(F.max("subtree_size").alias("best")).first()["best"]
+        best = found if best is None else max(best, found)
+        fresh = graph.exits.join(sized(met.withColumnRenamed("id", "src"), met.count()), "src").select(F.col("dst").alias("id"), "side").distinct().join(seen, ["id", "side"], "left_anti")
+        fresh = work.keep(fresh)
+        if best is not None:
+            fresh = work.keep(sizes.join(sized(fresh), "id").where(F.col("subtree_size") >= best).select("id", "side"))
+        if fresh.isEmpty():
+            return seen
+        trees = graph.tops.join(sized(fresh.withColumnRenamed("id", "top")), "top").select("id", "side")
+        met = work.keep(fresh.unionByName(trees))
+        seen = work.keep(seen.unionByName(met))
+
+
+def largest_common_reachable(objects: DataFrame, refs: DataFrame, first: int, second: int, index: GraphIndex | None = None) -> DataFrame:
     """The object of the largest subtree size that both can reach (the least id of several), as one summary row.
 
-    No row if they share nothing.  Unknown ids raise LookupError; sizes that were never worked out ValueError.
-    Usable links (or ``edges``, if given) are followed from both at once, hop by hop; a list of jumps worked out
-    before replaces the hops.
+    No row if they share nothing.  Unknown ids raise LookupError; sizes that were never worked out ValueError.  ``index``: the condensed graph, if it was made before.
     """
     known = _summaries(objects, [first, second])
     for id_ in (first, second):
@@ -73,18 +152,17 @@ def largest_common_reachable(objects: DataFrame, refs: DataFrame, first: int, se
             raise LookupError(f"object {id_} is not in the dump")
         if known[id_]["subtree_size"] is None:
             raise ValueError(f"no subtree size in object {id_}")
-    starts = objects.sparkSession.createDataFrame([(first,), (second,)], "id long").distinct()
-    if isinstance(edges, list):
-        pairs = reach(starts, edges)
-    else:
-        pairs = reach_by_hops(starts, cut(usable_refs(objects, refs)) if edges is None else edges)
-    both = pairs.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len({first, second})).select("id")
-    return objects.select(*SUMMARY).join(both, "id", "left_semi").orderBy(F.desc("subtree_size"), "id").limit(1)
+    with Scratch(objects.sparkSession, "common") as work:
+        graph = index or GraphIndex.build(objects, usable_refs(objects, refs), work.path())
+        sides = _sides(work, objects, graph, first, second)
+        both = sides.groupBy(F.col("id").alias("comp")).agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("comp")
+        found = graph.component_of(objects.select(*SUMMARY)).join(sized(work.keep(both)), "comp", "left_semi")
+        return cut(found.orderBy(F.desc("subtree_size"), "id").limit(1).select(*SUMMARY))
 
 
-def common_report(objects: DataFrame, refs: DataFrame, first: int, second: int, edges: DataFrame | list[DataFrame] | None = None) -> DataFrame:
+def common_report(objects: DataFrame, refs: DataFrame, first: int, second: int, index: GraphIndex | None = None) -> DataFrame:
     """(origin, step, summary...): the paths from both objects to what they share; no rows if nothing."""
-    top = largest_common_reachable(objects, refs, first, second, edges).first()
+    top = largest_common_reachable(objects, refs, first, second, index).first()
     if top is None:
         return find_path(objects, refs, first, first).limit(0).select(F.lit(first).cast("long").alias("origin"), "step", *SUMMARY)
     one, two = (find_path(objects, refs, a, top["id"]).select(F.lit(a).cast("long").alias("origin"), "step", *SUMMARY) for a in (first, second))

@@ -2,63 +2,78 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sketch import estimate, lane_names, lanes_of, merged
-from ..plans.storage import cut
+from ..functions.sketch import estimate, lanes_of, merged
+from ..plans.storage import Scratch, cut
 from ..schema import Precision
-from .graph import jumps, reach
+from .dag import GraphIndex
+from .graph import ClosureTooLarge
 
-#: Exact sizes give up beyond so many reachable pairs, unless told otherwise.
+#: Exact sizes give up beyond so many chunks of reachable sets, unless told otherwise.
 MAX_PAIRS = 10_000_000_000
+#: Bits of a chunk (a power of two, at most 64).
+CHUNK = 64
 
 
-def exact_sizes(objects: DataFrame, edges: DataFrame, closure: DataFrame | None = None, max_pairs: int | None = MAX_PAIRS) -> DataFrame:
+def exact_sizes(objects: DataFrame, edges: DataFrame, max_pairs: int | None = MAX_PAIRS, index: GraphIndex | None = None) -> DataFrame:
     """(id, subtree_size): sizes summed over the distinct objects that each one reaches, itself included.
 
-    Raises ClosureTooLarge beyond ``max_pairs`` reachable pairs (None: no bound).
+    Over the acyclic graph of strong components (``index``, if it was made before).  Shared nodes are numbered, and sets of them are chunks of 64 bits, merged
+    by OR.  A shared node weighs as much as its whole tree, which whoever reaches it reaches, too.  What a node reaches is its own tree, and the union of what
+    the exits of that tree reach; no node of the tree is among that.  Raises ClosureTooLarge if the sets take more than ``max_pairs`` chunks (None: no bound).
     """
-    if closure is None:
-        # What has no links reaches itself alone and needs no pairs.
-        inner = edges.select(F.col("src").alias("id")).distinct()
-        closure = reach(inner, edges, max_pairs)
-    weights = objects.select(F.col("id").alias("dst"), "size")
-    summed = closure.join(weights, "dst").groupBy(F.col("src").alias("id")).agg(F.sum("size").cast("long").alias("reached"))
-    return objects.select("id", "size").join(summed, "id", "left").select("id", F.coalesce("reached", "size").alias("subtree_size"))
+    with Scratch(objects.sparkSession, "sizes") as work:
+        graph = index or GraphIndex.build(objects, edges)
+        weights = objects.join(graph.members, "id", "left").groupBy(F.coalesce("comp", "id").alias("id")).agg(F.sum("size").cast("long").alias("size"))
+        weights = work.keep(graph.up_trees(work, work.keep(weights), [], [F.sum("size").cast("long").alias("size")]))
+        numbered = work.keep(graph.shared.withColumn("at", F.monotonically_increasing_id()))
+        word, bit = F.expr(f"at div {CHUNK}").alias("word"), F.expr(f"shiftleft(1L, cast(at % {CHUNK} as int))").alias("bits")
+        items = work.keep(numbered.select("id", word, bit))
+        sets = work.keep(graph.reached(work, items, None, ["word"], [F.bit_or("bits").alias("bits")]))
+        if max_pairs is not None and (chunks := items.count() + sets.count()) > max_pairs:
+            raise ClosureTooLarge(f"{chunks} chunks of reachable sets; use a sketch precision or raise max_pairs above {max_pairs}")
+        weighed = items.join(weights, "id").select("word", F.col("bits").alias("bit"), "size")
+        summed = sets.join(weighed, "word").where(F.col("bits").bitwiseAND(F.col("bit")) != 0).groupBy("id").agg(F.sum("size").alias("far"))
+        found = weights.join(summed, "id", "left").select(F.col("id").alias("comp"), (F.col("size") + F.coalesce("far", F.lit(0))).cast("long").alias("subtree_size"))
+        return _of_objects(objects.select("id"), graph, found, index is None)
+
+
+def _of_objects(objects: DataFrame, graph: GraphIndex, found: DataFrame, passing: bool) -> DataFrame:
+    """(id, subtree_size): each object has its component's.  A passing index is dropped."""
+    out = cut(graph.component_of(objects).join(found, "comp").select("id", "subtree_size"))
+    if passing:
+        graph.drop()
+    return out
 
 
-def sketch_sizes(objects: DataFrame, edges: DataFrame, lanes: int) -> DataFrame:
+def sketch_sizes(objects: DataFrame, edges: DataFrame, lanes: int, index: GraphIndex | None = None) -> DataFrame:
     """(id, subtree_size) estimated with so many lanes.
 
-    The sketches travel by jumps of 1, 2, 4, ... links: after the round of 2**k each object's lanes hold the
-    maxima over all it reaches in less than 2**(k+1) links.  It ends when no jumps are left, when the
-    jumps repeat and the lanes no longer change, or when 2**k passes the number of objects.
+    The lanes of a component are the largest of its members'.  They travel as the exact sets do: up the trees, by level through the core, each link used
+    once.  What has no links out needs no more than its own.
     """
-    names = lane_names(lanes)
-    now = cut(objects.select("id", *lanes_of(lanes, F.col("id"), F.col("size"))))
-    n = now.count()
-    sign = F.struct(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(20,0)")))
-    last_jump = last_lanes = None
-    for k, jump in enumerate(jumps(edges)):
-        if 1 << k > n:
-            break
-        reached = jump.join(now.withColumnRenamed("id", "dst"), "dst").drop("dst").withColumnRenamed("src", "id")
-        now = cut(now.unionByName(reached).groupBy("id").agg(*merged(lanes)))
-        jump_sign = tuple(jump.agg(sign.alias("s")).first()["s"])
-        lane_sign = tuple(now.agg(*[F.sum(F.col(c).cast("double")) for c in names]).first())
-        if jump_sign == last_jump and all(math.isclose(a, b, rel_tol=0, abs_tol=0) for a, b in zip(lane_sign, last_lanes, strict=True)):
-            break
-        last_jump, last_lanes = jump_sign, lane_sign
-    return now.select("id", estimate(lanes).alias("subtree_size"))
+    merge = merged(lanes)
+    with Scratch(objects.sparkSession, "sketches") as work:
+        graph = index or GraphIndex.build(objects, edges)
+        sources = work.keep(graph.links.select(F.col("src").alias("id")).distinct())
+        placed = graph.component_of(objects.select("id", "size"))
+        own = placed.select(F.col("comp").alias("id"), *lanes_of(lanes, F.col("id"), F.col("size"))).groupBy("id").agg(*merge)
+        inner = work.keep(own.join(sources.unionByName(graph.shared).unionByName(graph.tops.select("id")).distinct(), "id", "left_semi"))
+        # Only of trees below shared nodes the sum is needed before the core is done.
+        below_shared = graph.tops.join(graph.shared.withColumnRenamed("id", "top"), "top", "left_semi").select("id").unionByName(graph.shared)
+        trees = graph.up_trees(work, work.keep(inner.join(below_shared, "id", "left_semi")), [], merge).join(graph.shared, "id", "left_semi")
+        found = graph.reached(work, trees, inner, [], merge).join(sources, "id", "left_semi")
+        ends = own.join(sources, "id", "left_anti")
+        every = found.unionByName(ends).select(F.col("id").alias("comp"), estimate(lanes).alias("subtree_size"))
+        return _of_objects(objects.select("id"), graph, every, index is None)
 
 
-def subtree_sizes(objects: DataFrame, edges: DataFrame, precision: Precision, closure: DataFrame | None = None, max_pairs: int | None = MAX_PAIRS) -> DataFrame:
+def subtree_sizes(objects: DataFrame, edges: DataFrame, precision: Precision, max_pairs: int | None = MAX_PAIRS, index: GraphIndex | None = None) -> DataFrame:
     """(id, subtree_size) at a precision; null sizes for none.  ``max_pairs`` bounds the exact one."""
     if precision is Precision.NONE:
         return objects.select("id", F.lit(None).cast("long").alias("subtree_size"))
     if precision is Precision.EXACT:
-        return exact_sizes(objects, edges, closure, max_pairs)
-    return sketch_sizes(objects, edges, precision.lanes)
+        return exact_sizes(objects, edges, max_pairs, index)
+    return sketch_sizes(objects, edges, precision.lanes, index)

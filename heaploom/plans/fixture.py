@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..dump import HeapDump
 from ..functions.rules import is_skip
 from ..operators import graph, sizes
+from ..operators.dag import GraphIndex
 from .storage import cut
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
@@ -76,29 +77,9 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kept(spark, sf_dir, "edges", lambda: cut(graph.usable_refs(objects(spark, sf_dir), refs(spark, sf_dir))))
 
 
-def jumps(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    """Jumps until the whole graph's closure is complete."""
-
-    def make() -> list[DataFrame]:
-        made: list[DataFrame] = []
-
-        def noting():
-            for jump in graph.jumps(edges(spark, sf_dir)):
-                made.append(jump)
-                yield jump
-
-        inner = edges(spark, sf_dir).select(F.col("src").alias("id")).distinct()
-        key = (spark.sparkContext.applicationId, sf_dir, "closure")
-        _KEPT[key] = graph.reach(inner, noting())
-        return made
-
-    return _kept(spark, sf_dir, "jumps", make)
-
-
-def closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reachable pairs of the objects that have usable links."""
-    jumps(spark, sf_dir)
-    return _KEPT[spark.sparkContext.applicationId, sf_dir, "closure"]
+def index(spark: SparkSession, sf_dir: str) -> GraphIndex:
+    """The condensed graph."""
+    return _kept(spark, sf_dir, "index", lambda: GraphIndex.build(objects(spark, sf_dir), edges(spark, sf_dir)))
 
 
 def dump(spark: SparkSession, sf_dir: str, exact: bool = False) -> HeapDump:
@@ -109,7 +90,7 @@ def dump(spark: SparkSession, sf_dir: str, exact: bool = False) -> HeapDump:
 
     def make() -> HeapDump:
         all_objects = objects(spark, sf_dir)
-        found = sizes.exact_sizes(all_objects, edges(spark, sf_dir), closure(spark, sf_dir))
-        return HeapDump(cut(all_objects.join(found, "id").select("id", "type", "value", "size", "subtree_size", "is_skip")), cut(refs(spark, sf_dir)))
+        found = sizes.exact_sizes(all_objects, edges(spark, sf_dir), index=index(spark, sf_dir))
+        return HeapDump(cut(all_objects.join(found, "id").select("id", "type", "value", "size", "subtree_size", "is_skip")), cut(refs(spark, sf_dir)), index(spark, sf_dir))
 
     return _kept(spark, sf_dir, "dump", make)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import truncate_value
-from ..operators import graph, listing, paths, rollup, sizes
+from ..functions.sketch import merge_sketches, register_sketch_functions
+from ..operators import components, graph, listing, rollup, sizes
 from ..schema import SUMMARY, Precision
 from ..sources.catalog import Catalog
 from ..sources.jsonl import write_jsonl
@@ -174,25 +175,42 @@ def usable_refs(spark, sf_dir):
 
 @_query(f"WITH RECURSIVE {_CLOSURE} SELECT src AS id, count(*) AS reached FROM c GROUP BY src")
 def reachable_counts(spark, sf_dir):
-    counted = fixture.closure(spark, sf_dir).groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("reached"))
-    return fixture.objects(spark, sf_dir).select("id").join(counted, "id", "left").select("id", F.coalesce("reached", F.lit(1)).alias("reached"))
+    """Sizes, where each object weighs one."""
+    ones = fixture.objects(spark, sf_dir).select("id", F.lit(1).cast("long").alias("size"))
+    return sizes.exact_sizes(ones, fixture.edges(spark, sf_dir)).withColumnRenamed("subtree_size", "reached")
 
 
 @_query(f"WITH RECURSIVE {_CLOSURE} SELECT a.src AS id, min(a.dst) AS scc_id FROM c a JOIN c b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src HAVING count(*) > 1")
 def scc_membership(spark, sf_dir):
-    return graph.strong_components(fixture.edges(spark, sf_dir), fixture.closure(spark, sf_dir))
+    return components.strong_components(fixture.edges(spark, sf_dir))
 
 
 @_query(
     f"WITH RECURSIVE {_CLOSURE}, m AS (SELECT a.src AS id, min(a.dst) AS scc_id FROM c a JOIN c b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src HAVING count(*) > 1) SELECT scc_id, count(*) AS members, CAST(sum(o.size) AS BIGINT) AS size FROM m JOIN o USING (id) GROUP BY scc_id"
 )
 def scc_sizes(spark, sf_dir):
-    return graph.component_sizes(fixture.objects(spark, sf_dir), scc_membership(spark, sf_dir))
+    return components.component_sizes(fixture.objects(spark, sf_dir), scc_membership(spark, sf_dir))
+
+
+@_query(
+    f"WITH RECURSIVE {_CLOSURE}, m AS (SELECT a.src AS id, min(a.dst) AS comp FROM c a JOIN c b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src) SELECT DISTINCT x.comp AS src, y.comp AS dst FROM e JOIN m x ON e.src = x.id JOIN m y ON e.dst = y.id WHERE x.comp <> y.comp"
+)
+def component_links(spark, sf_dir):
+    """The acyclic graph of strong components."""
+    return fixture.index(spark, sf_dir).links
+
+
+@_query(
+    f"WITH RECURSIVE {_CLOSURE}, m AS (SELECT a.src AS id, min(a.dst) AS comp FROM c a JOIN c b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src), d AS (SELECT DISTINCT x.comp AS src, y.comp AS dst FROM e JOIN m x ON e.src = x.id JOIN m y ON e.dst = y.id WHERE x.comp <> y.comp), n AS (SELECT dst AS id FROM d GROUP BY dst HAVING count(*) > 1), t AS (SELECT dst AS id, any_value(src) AS up FROM d GROUP BY dst HAVING count(*) = 1), g(id, top) AS (SELECT id, up FROM t UNION SELECT g.id, t.up FROM g JOIN t ON g.top = t.id), h AS (SELECT id, id AS top FROM n UNION ALL SELECT id, top FROM g WHERE top IN (SELECT id FROM n)), k AS (SELECT DISTINCT h.top AS src, d.dst FROM d JOIN h ON d.src = h.id JOIN n ON d.dst = n.id), p(id, depth) AS (SELECT id, 0 FROM n UNION SELECT k.src, p.depth + 1 FROM p JOIN k ON k.dst = p.id) SELECT id, CAST(max(depth) AS INTEGER) AS level FROM p GROUP BY id"
+)
+def core_levels(spark, sf_dir):
+    """Levels of the nodes that several links enter, each with its tree, in that graph."""
+    return fixture.index(spark, sf_dir).levelled
 
 
 @_query(f"WITH RECURSIVE {_SIZES} SELECT id, subtree_size FROM z")
 def subtree_size_exact(spark, sf_dir):
-    return sizes.exact_sizes(fixture.objects(spark, sf_dir), fixture.edges(spark, sf_dir), fixture.closure(spark, sf_dir))
+    return sizes.exact_sizes(fixture.objects(spark, sf_dir), fixture.edges(spark, sf_dir))
 
 
 @_query(_path_sql(_LINE, FAR))
@@ -222,19 +240,51 @@ def path_to_skip_target(spark, sf_dir):
     return dump.find_path(_event(dump.objects), MODULE).select("step", "id")
 
 
+_START = "(SELECT id, row_number() OVER (ORDER BY id) AS k FROM o WHERE type = 'app.LineItem')"
+
+
+@_query(f"""
+WITH RECURSIVE {_WITH}, w AS (
+  SELECT DISTINCT r.src, r.pos, r.dst FROM r JOIN o ON r.dst = o.id
+  WHERE NOT {_SKIP.replace('type', 'o.type').replace('(module|o.type)', '(module|type)').replace('value', 'o.value')}
+), q AS MATERIALIZED (SELECT id AS request, id AS first, {ORIGIN} + k % 5 AS last FROM {_START} WHERE k <= 1000), p(request, last, id, depth, way, nodes) AS (
+  SELECT request, last, first, 0, CAST([] AS BIGINT[]), [first] FROM q
+  UNION ALL SELECT p.request, p.last, w.dst, p.depth + 1, list_append(p.way, w.pos), list_append(p.nodes, w.dst)
+  FROM p JOIN w ON p.id = w.src WHERE p.depth < 6 AND NOT list_contains(p.nodes, w.dst)
+), best AS (SELECT request, nodes FROM (SELECT request, nodes, row_number() OVER (PARTITION BY request ORDER BY depth, way) AS n FROM p WHERE id = last) f WHERE n = 1),
+s AS (SELECT request, unnest(generate_series(1, len(nodes))) AS k, nodes FROM best)
+SELECT request, CAST(k - 1 AS INTEGER) AS step, nodes[k] AS id FROM s""")
+def paths_of_many(spark, sf_dir):
+    """From the first 1,000 line items to the regions, in turn, without pruning."""
+    return _many_paths(spark, sf_dir, prune=False)
+
+
+@_query(ORACLE_SQL["paths_of_many"])
+def paths_of_many_pruned(spark, sf_dir):
+    """The same, without what reaches less than the region does."""
+    return _many_paths(spark, sf_dir, prune=True)
+
+
+def _many_paths(spark, sf_dir, prune: bool) -> DataFrame:
+    dump = fixture.dump(spark, sf_dir, exact=True)
+    first = dump.objects.where("type = 'app.LineItem'").orderBy("id").limit(1000).select("id")
+    asked = first.select(F.col("id").alias("request"), F.col("id").alias("start"), (F.lit(ORIGIN) + F.row_number().over(Window.orderBy("id")) % 5).alias("end"))
+    return dump.find_paths(asked, prune=prune).select("request", "step", "id")
+
+
 _TWO = "x AS MATERIALIZED (SELECT dst FROM c WHERE src = %s), y AS MATERIALIZED (SELECT dst FROM c WHERE src = %s) SELECT z.id, z.subtree_size FROM z WHERE id IN (SELECT dst FROM x) AND id IN (SELECT dst FROM y) ORDER BY subtree_size DESC, id LIMIT 1"
 
 
 @_query(f"WITH RECURSIVE {_SIZES}, {_TWO % (_LINE, _EVENT)}")
 def largest_common_reachable(spark, sf_dir):
     dump = fixture.dump(spark, sf_dir, exact=True)
-    return paths.largest_common_reachable(dump.objects, dump.refs, _line(dump.objects), _event(dump.objects), fixture.jumps(spark, sf_dir)).select("id", "subtree_size")
+    return dump.largest_common_reachable(_line(dump.objects), _event(dump.objects)).select("id", "subtree_size")
 
 
 @_query(f"WITH RECURSIVE {_SIZES}, {_TWO % (ORIGIN, STRANGER)}")
 def nothing_common(spark, sf_dir):
     dump = fixture.dump(spark, sf_dir, exact=True)
-    return paths.largest_common_reachable(dump.objects, dump.refs, ORIGIN, STRANGER, fixture.edges(spark, sf_dir)).select("id", "subtree_size")
+    return dump.largest_common_reachable(ORIGIN, STRANGER).select("id", "subtree_size")
 
 
 _REPORT = f"""
@@ -256,7 +306,7 @@ SELECT s.origin, CAST(s.k - 1 AS INTEGER) AS step, o.id, o.type, o.value, o.size
 @_query(_REPORT)
 def common_report(spark, sf_dir):
     dump = fixture.dump(spark, sf_dir, exact=True)
-    return paths.common_report(dump.objects, dump.refs, _line(dump.objects), _event(dump.objects), fixture.jumps(spark, sf_dir))
+    return dump.common_report(_line(dump.objects), _event(dump.objects))
 
 
 def _sketch(precision: Precision) -> Query:
@@ -271,6 +321,41 @@ for _precision in (Precision.LOW, Precision.MEDIUM, Precision.HIGH):
     _query()(_sketch(_precision))
 
 
+@_query()
+def sketch_by_type(spark, sf_dir):
+    """Estimated bytes by type, in plain SQL over registered functions."""
+    fixture.dump(spark, sf_dir).register_views("fixture_")
+    return spark.sql(
+        "SELECT type, sketch_estimate(array_agg(v)) AS estimate FROM (SELECT type, lane, max(v) AS v FROM (SELECT type, size_sketch(31, id, size) AS s FROM fixture_objects) LATERAL VIEW posexplode(s) p AS lane, v GROUP BY type, lane) GROUP BY type"
+    )
+
+
+#: Lanes that both engines work out alike: whole numbers that follow from id, size and lane.
+_GIVEN = "(size * 1000) {div} (1 + (id * 31 + {lane} * 7919) % 1009)"
+
+
+@_query(
+    f"WITH {_WITH}, l AS (SELECT type, lane, max({_GIVEN.format(div='//', lane='lane')}) AS v FROM o, (SELECT unnest(generate_series(0, 30)) AS lane) GROUP BY type, lane), s AS (SELECT type, list_sort(list(v)) AS v FROM l GROUP BY type) SELECT type, CAST(v[8] AS BIGINT) AS estimate FROM s"
+)
+def sketch_merge_by_type(spark, sf_dir):
+    """Sketches given as values, merged by type and estimated."""
+    register_sketch_functions(spark)
+    given = fixture.objects(spark, sf_dir).select("type", F.expr(f"transform(sequence(0, 30), i -> cast({_GIVEN.format(div='div', lane='i')} as float))").alias("sketch"))
+    return merge_sketches(given, ["type"]).select("type", F.expr("sketch_estimate(sketch)").alias("estimate"))
+
+
+@_query(
+    f"WITH {_WITH} SELECT type, count(*) AS count_first, count(*) FILTER (WHERE NOT starts_with(type, 'app.')) AS count_second, CAST(sum(size) AS BIGINT) AS size_first, CAST(coalesce(sum(size) FILTER (WHERE NOT starts_with(type, 'app.')), 0) AS BIGINT) AS size_second, CAST(coalesce(sum(size) FILTER (WHERE NOT starts_with(type, 'app.')), 0) - sum(size) AS BIGINT) AS growth FROM o GROUP BY type"
+)
+def dumps_compared(spark, sf_dir):
+    """Two dumps of one catalog by type: the graph, and the graph without the app's objects."""
+    catalog = Catalog(spark, fresh_path(spark, "catalog"))
+    records = _records(spark, sf_dir)
+    catalog.import_records(records, "before", Precision.NONE)
+    catalog.import_records(records.where(~F.startswith("type", F.lit("app."))), "after", Precision.NONE)
+    return catalog.compare("before", "after")
+
+
 @_query("SELECT doc_id, CASE WHEN length(text) > 1000 THEN concat(substring(text, 1, 1000), '...<truncated>') ELSE text END AS value FROM documents")
 def value_truncation(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

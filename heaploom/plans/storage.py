@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +39,70 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables of one job as Parquet in the shared folder, deleted together when the job is over.
+
+    ``with Scratch(spark, "name") as work: kept = work.keep(df)`` writes the rows once and cuts their lineage; later readers read only the
+    columns they need, and Spark knows the table's size.  What outlives the block has to be kept elsewhere (see :func:`cut`).
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.number = spark, fresh_path(spark, name), 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        fs, path = filesystem(self.spark, self.root)
+        fs.delete(path, True)
+
+    def path(self) -> str:
+        self.number += 1
+        return f"{self.root}/{self.number}"
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = self.path()
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
+def create_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a file if there is none of that path; False if there is.  Of several writers exactly one succeeds.
+
+    Local files are created exclusively; for others the file system's create without overwriting decides, as object stores and HDFS do it.
+    """
+    fs, hpath = filesystem(spark, path)
+    fs.mkdirs(hpath.getParent())
+    if fs.getUri().getScheme() == "file":
+        try:
+            with Path(hpath.toUri().getPath()).open("x", encoding="utf-8") as out:
+                out.write(text)
+        except FileExistsError:
+            return False
+        return True
+    try:
+        out = fs.create(hpath, False)
+    except Py4JJavaError as e:
+        if "AlreadyExists" in e.java_exception.getClass().getSimpleName() or fs.exists(hpath):
+            return False
+        raise
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+    return True
+
+
+def read_small(spark: SparkSession, path: str) -> str:
+    """The text of a small file."""
+    fs, hpath = filesystem(spark, path)
+    stream = fs.open(hpath)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8")
+    finally:
+        stream.close()
+
+
 def sized(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Hint to broadcast a kept table if it is proven small; otherwise leave the join to shuffle."""
     return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df

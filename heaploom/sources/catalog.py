@@ -2,40 +2,72 @@
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..dump import HeapDump
-from ..plans.storage import filesystem
+from ..operators.dag import GraphIndex
+from ..plans.storage import create_once, filesystem, read_small
 from ..schema import Precision
 from .jsonl import read_jsonl
 
+#: Columns of the tables that dumps are stored in.
+TABLES = {
+    "objects": "id long, type string, value string, size long, subtree_size long, is_skip boolean",
+    "refs": "src long, pos int, dst long",
+    "referrers": "dst long, src long",
+}
+
 
 class DumpExists(ValueError):
     """A dump of that name is there already."""
 
 
+def _quoted(name: str) -> str:
+    """A name as part of a path, as Spark writes values of partitions."""
+    return re.sub(r"""[\x00-\x1F"#%'*/:=?\\\x7F{\[\]^]""", lambda m: f"%{ord(m.group()):02X}", name)
+
+
 class Catalog:
-    """<root>/<name>/objects and <root>/<name>/refs.
+    """<root>/<table>/dump_name=<name>/version=<version> for each table, and a pointer <root>/_names/<name> for each dump.
 
-    objects are written sorted by type and id, refs by source, so that Parquet's statistics let listings and
-    lookups skip most row groups.
+    Tables of all dumps are one table each, partitioned by dump_name.  An import writes a version of its own and then creates the pointer, which only one of several
+    writers can: until then nobody sees the version, and no folder is ever renamed.
+
+    objects are sorted by type and id, with a Bloom filter for look-ups by id alone; refs by source; referrers are the refs by target, once each.  So Parquet's
+    statistics let listings and look-ups in either direction skip most row groups.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
+    # -- names ---------------------------------------------------------------------
+
+    def _pointer(self, name: str) -> dict | None:
+        """What the pointer of a dump holds; None without one, or while it is being written."""
+        path = f"{self.root}/_names/{_quoted(name)}"
+        fs, hpath = filesystem(self.spark, path)
+        if not fs.exists(hpath):
+            return None
+        text = read_small(self.spark, path)
+        return json.loads(text) if text.endswith("\n") else None
+
     def _exists(self, name: str) -> bool:
-        fs, path = filesystem(self.spark, f"{self.root}/{name}")
+        fs, path = filesystem(self.spark, f"{self.root}/_names/{_quoted(name)}")
         return fs.exists(path)
 
     def list_dumps(self) -> list[str]:
-        fs, path = filesystem(self.spark, self.root)
+        fs, path = filesystem(self.spark, f"{self.root}/_names")
         if not fs.exists(path):
             return []
-        found = (s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory())
-        return sorted(n for n in found if not n.startswith("."))
+        found = (unquote(s.getPath().getName()) for s in fs.listStatus(path) if not s.getPath().getName().startswith("."))
+        return sorted(n for n in found if self._pointer(n))
 
     def _check(self, name: str) -> None:
         if not name or "/" in name or "\\" in name or name.startswith("."):
@@ -49,31 +81,38 @@ class Catalog:
         stem = file.rpartition(".")[0] or file
         return stem if stem and not stem.startswith(".") else f"heap_dump_{len(self.list_dumps()) + 1}"
 
+    # -- imports -------------------------------------------------------------------
+
+    def _folder(self, table: str, name: str, version: str) -> str:
+        return f"{self.root}/{table}/dump_name={_quoted(name)}/version={version}"
+
     def import_records(self, records: DataFrame, name: str, precision: Precision | str = Precision.MEDIUM, source: str | None = None) -> HeapDump:
-        """Derive the tables and publish them under the name: written aside, then renamed, so readers see all or nothing.
+        """Derive the tables and publish them under the name: readers see all or nothing, and of several writers of a name one wins, the others get DumpExists.
 
         ``source`` is noted with the dump and read back by :meth:`source_of`.
         """
         self._check(name)
-        aside = f"{self.root}/.{name}-{uuid.uuid4().hex}"
-        fs, hidden = filesystem(self.spark, aside)
+        version, published = uuid.uuid4().hex, False
         try:
-            dump = HeapDump.from_records(records, precision)
-            dump.objects.repartitionByRange("type", "id").sortWithinPartitions("type", "id").write.parquet(f"{aside}/objects")
-            dump.refs.repartitionByRange("src", "pos").sortWithinPartitions("src", "pos").write.parquet(f"{aside}/refs")
-            if source is not None:
-                self.spark.createDataFrame([(source,)], "path string").coalesce(1).write.parquet(f"{aside}/source")
-            if not fs.rename(hidden, filesystem(self.spark, f"{self.root}/{name}")[1]):
-                raise DumpExists(f"the dump {name!r} could not be published")
+            dump = HeapDump.from_records(records, precision, index_path=self._folder("_index", name, version))
+            objects = dump.objects.repartitionByRange("type", "id").sortWithinPartitions("type", "id")
+            objects.write.option("parquet.bloom.filter.enabled#id", "true").parquet(self._folder("objects", name, version))
+            dump.refs.repartitionByRange("src", "pos").sortWithinPartitions("src", "pos").write.parquet(self._folder("refs", name, version))
+            back = dump.refs.select("dst", "src").distinct()
+            back.repartitionByRange("dst", "src").sortWithinPartitions("dst", "src").write.parquet(self._folder("referrers", name, version))
+            published = create_once(self.spark, f"{self.root}/_names/{_quoted(name)}", json.dumps({"version": version, "source": source}) + "\n")
+            if not published:
+                raise DumpExists(f"there is a dump named {name!r}")
         finally:
-            if fs.exists(hidden):
-                fs.delete(hidden, True)
+            if not published:
+                for table in (*TABLES, "_index"):
+                    fs, path = filesystem(self.spark, self._folder(table, name, version))
+                    fs.delete(path, True)
         return self.open(name)
 
     def source_of(self, name: str) -> str | None:
         """The file that a dump was imported from, if that was noted."""
-        fs, path = filesystem(self.spark, f"{self.root}/{name}/source")
-        return self.spark.read.parquet(f"{self.root}/{name}/source").first()["path"] if fs.exists(path) else None
+        return (self._pointer(name) or {}).get("source")
 
     def import_once(self, records: DataFrame, source: str, precision: Precision | str = Precision.MEDIUM) -> str:
         """Import a file under its default name unless that was done before; returns the name.
@@ -94,8 +133,33 @@ class Catalog:
         """Import JSON-lines files.  Unknown precisions mean medium; the name defaults to that of the file."""
         return self.import_records(read_jsonl(self.spark, path), name or self.default_name(path), precision, path)
 
+    # -- reading -------------------------------------------------------------------
+
     def open(self, name: str) -> HeapDump:
-        if not self._exists(name):
+        pointer = self._pointer(name)
+        if pointer is None:
             raise KeyError(name)
-        read = self.spark.read.parquet
-        return HeapDump(read(f"{self.root}/{name}/objects"), read(f"{self.root}/{name}/refs"))
+        read = {t: self.spark.read.schema(c).parquet(self._folder(t, name, pointer["version"])) for t, c in TABLES.items()}
+        index = self._folder("_index", name, pointer["version"])
+        fs, path = filesystem(self.spark, f"{index}/sizes")
+        return HeapDump(read["objects"], read["refs"], GraphIndex(self.spark, index) if fs.exists(path) else None, read["referrers"])
+
+    def table(self, table: str = "objects") -> DataFrame:
+        """objects, refs or referrers of all dumps, with dump_name: filters on it read only the dumps they name."""
+        schema = T.StructType([*T.StructType.fromDDL(TABLES[table]).fields, T.StructField("dump_name", T.StringType()), T.StructField("version", T.StringType())])
+        paths = [self._folder(table, n, self._pointer(n)["version"]) for n in self.list_dumps()]
+        if not paths:
+            return self.spark.createDataFrame([], schema).drop("version")
+        return self.spark.read.schema(schema).option("basePath", f"{self.root}/{table}").parquet(*paths).drop("version")
+
+    def compare(self, first: str, second: str) -> DataFrame:
+        """(type, count_first, count_second, size_first, size_second, growth): objects and bytes of two dumps by type; KeyError for unknown ones."""
+        for name in (first, second):
+            if not self._exists(name):
+                raise KeyError(name)
+        both = self.table("objects").where(F.col("dump_name").isin(first, second))
+        per = both.groupBy("type").agg(
+            *[F.count_if(F.col("dump_name") == n).alias(f"count_{k}") for k, n in (("first", first), ("second", second))],
+            *[F.coalesce(F.sum(F.when(F.col("dump_name") == n, F.col("size"))), F.lit(0)).cast("long").alias(f"size_{k}") for k, n in (("first", first), ("second", second))],
+        )
+        return per.withColumn("growth", F.col("size_second") - F.col("size_first"))

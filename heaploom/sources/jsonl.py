@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import tarfile
-from collections.abc import Iterable, Iterator
-from pathlib import PurePosixPath
+from collections.abc import Iterable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.storage import fresh_path
 from ..schema import RAW, REQUIRED
+from .archive import archive_lines
 
 _READ = T.StructType([*RAW.fields, T.StructField("_corrupt", T.StringType())])
 _OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
@@ -29,14 +27,19 @@ def _parsed(lines: DataFrame) -> DataFrame:
     return lines.where(F.trim("value") != "").select(*others, F.col("value").alias("_text"), record).select(*others, "_text", "r.*")
 
 
+def _why() -> F.Column:
+    """What is wrong with a parsed record; null if nothing is."""
+    missing = F.coalesce(*[F.when(F.col(c).isNull(), F.lit(c)) for c in REQUIRED], F.when(F.exists("references", lambda x: x.isNull()), F.lit("references")))
+    return F.when(F.col("_corrupt").isNotNull(), F.lit("malformed")).when(missing.isNotNull(), F.concat(F.lit("missing "), missing))
+
+
 def validate(records: DataFrame) -> DataFrame:
     """The same records; the first bad line stops the job that reads them with an error.
 
     Bad are malformed lines (also ids of 2**63 and more) and those without id, type, references or size,
     or with a null among the references.
     """
-    missing = F.coalesce(*[F.when(F.col(c).isNull(), F.lit(c)) for c in REQUIRED], F.when(F.exists("references", lambda x: x.isNull()), F.lit("references")))
-    why = F.when(F.col("_corrupt").isNotNull(), F.lit("malformed")).when(missing.isNotNull(), F.concat(F.lit("missing "), missing))
+    why = _why()
     text = F.concat(F.lit("bad record ("), why, F.lit("): "), F.coalesce("_text", F.lit("")))
     checked = F.when(why.isNotNull(), F.raise_error(F.substring(text, 1, 500)).cast("long")).otherwise(F.col("id"))
     return records.withColumn("id", checked).drop("_corrupt", "_text")
@@ -64,40 +67,30 @@ def read_lines(spark: SparkSession, lines: Iterable[bytes]) -> DataFrame:
     return last_wins(validate(_parsed(spark.createDataFrame(rows, "value string, _line long"))), ["_line"])
 
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Records of .tar.gz archives of dumps, with dump_name: the file name of each member without its suffix.
+def archive_problems(spark: SparkSession, path: str) -> DataFrame:
+    """(archive, dump_name, problem): what :func:`read_archive` skips, with the first problem of each member (a null name: of an archive before any)."""
+    lines = archive_lines(spark, path)
+    broken = lines.where("problem IS NOT NULL").select("archive", "dump_name", "_line", "problem")
+    bad = _parsed(lines.where("problem IS NULL").drop("problem")).withColumn("problem", _why()).where("problem IS NOT NULL").select("archive", "dump_name", "_line", F.concat(F.lit("bad record: "), "problem").alias("problem"))
+    return broken.unionByName(bad).groupBy("archive", "dump_name").agg(F.min_by("problem", "_line").alias("problem"))
 
-    An archive is one stream and is unpacked by one task, member after member and line after line; the
-    records then spread over the cluster.  Members that are no .jsonl files are skipped.
-    """
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import io
-
-        for batch in batches:
-            for content in batch.column("content"):
-                with tarfile.open(fileobj=io.BytesIO(content.as_py()), mode="r:*") as tar:
-                    for member in tar:
-                        if not member.isfile() or not member.name.endswith(".jsonl"):
-                            continue
-                        name, lines, at = PurePosixPath(member.name).stem, [], 0
-                        for line in tar.extractfile(member):
-                            lines.append(line.decode("utf-8").rstrip("\r\n"))
-                            if len(lines) == 10_000:
-                                yield _lines_batch(name, lines, at)
-                                at, lines = at + len(lines), []
-                        yield _lines_batch(name, lines, at)
-
-    lines = spark.read.format("binaryFile").load(path).select("content").mapInArrow(unpack, "dump_name string, value string, _line long")
-    records = validate(_parsed(lines))
-    newest = Window.partitionBy("dump_name", "id").orderBy(F.desc("_line"))
-    return records.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n", "_line")
-
-
-def _lines_batch(name: str, lines: list[str], start: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([name] * len(lines), pa.string()), pa.array(lines, pa.string()), pa.array(range(start, start + len(lines)), pa.int64())], names=["dump_name", "value", "_line"]
-    )
+def read_archive(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """Records of archives of dumps, with dump_name: the file name of each member without its suffix.
+
+    An archive is one stream: one task reads it from front to end and holds a batch of lines at a time, however large it is.  With ``strict``, a bad record, an
+    undecodable line or a damaged archive stops the job; without, such members are left out as a whole (see :func:`archive_problems`).  Members that are no
+    .jsonl files are passed over.  Of members of one name in several archives, later archives (by path) win record by record.
+    """
+    lines = archive_lines(spark, path)
+    if strict:
+        problem = F.raise_error(F.concat(F.lit("bad archive "), "archive", F.lit(": "), "problem")).cast("string")
+        lines = lines.withColumn("value", F.when(F.col("problem").isNotNull(), problem).otherwise(F.col("value")))
+    else:
+        lines = lines.where("problem IS NULL").join(archive_problems(spark, path).select("archive", "dump_name"), ["archive", "dump_name"], "left_anti")
+    records = validate(_parsed(lines.drop("problem")))
+    newest = Window.partitionBy("dump_name", "id").orderBy(F.desc("archive"), F.desc("_line"))
+    return records.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n", "_line", "archive")
 
 
 def write_jsonl(records: DataFrame, path: str | None = None) -> str:
