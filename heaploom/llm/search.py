@@ -21,8 +21,6 @@ TOP = 50
 QUERY_TERMS = 500_000
 #: Documents whose postings are inverted at once, and postings of a list that are stored under one key.
 BLOCK_DOCS, LIST_SHARD = 8192, 1_000_000
-#: Blocks that a task unpacks at once.
-BLOCKS = 64
 #: Impacts lie below 10**6; a block holds those that agree in all but the lowest bits.
 LEVEL_BITS = 16
 #: Bytes to what terms are made of: A-Z lower-cased, other ASCII that is neither letter nor digit to a blank.
@@ -87,10 +85,10 @@ def _document_counts(forward: DataFrame, size: int) -> np.ndarray:
 
 
 def _postings(forward: DataFrame, rows: int, length: int, df: np.ndarray) -> DataFrame:
-    """Blocks of the inverted lists: term, shard, level, top, low, n, and rows and impacts, the largest impacts first.
+    """Blocks of the inverted lists: term, shard, docs, level, top, low, n, and places and impacts, the largest impacts first.
 
-    A block holds postings of one term whose impacts agree in their upper bits, so lists are read from their heads down to a
-    threshold without looking at what lies below it.
+    A block holds postings of one term in BLOCK_DOCS consecutive documents (row = docs * BLOCK_DOCS + place) whose impacts agree in their upper bits, so
+    lists are read from their heads down to a threshold without looking at what lies below it.
     """
     shards = np.maximum(1, -(-df // LIST_SHARD))
 
@@ -101,28 +99,30 @@ def _postings(forward: DataFrame, rows: int, length: int, df: np.ndarray) -> Dat
             row, n, terms, tfs = zip(*held, strict=True)
             terms, tfs = [np.frombuffer(x, np.int32) for x in terms], [np.frombuffer(x, np.int32) for x in tfs]
             sizes = [len(x) for x in terms]
-            term, tf, row_ = np.concatenate(terms), np.concatenate(tfs), np.repeat(np.array(row, np.int64), sizes)
+            term, tf, place = np.concatenate(terms), np.concatenate(tfs), np.repeat(np.array(row, np.int64) % BLOCK_DOCS, sizes).astype(np.uint16)
             impact = impacts(tf, np.repeat(norm(np.array(n, np.int64), rows, length), sizes))
             order = np.lexsort((-impact, term))
-            term, row_, impact = term[order], row_[order], impact[order]
+            term, place, impact = term[order], place[order], impact[order]
             level = impact >> LEVEL_BITS
             first = np.flatnonzero(np.concatenate([[True], (np.diff(term) != 0) | (np.diff(level) != 0)])) if len(term) else np.zeros(0, int)
             end = np.append(first[1:], len(term))
-            shard = (int(row[0]) * 0x9E3779B1 >> 7) % shards[term[first]]
-            columns = [term[first], shard, level[first], impact[first], impact[end - 1], end - first]
-            spans = list(zip(first.tolist(), end.tolist(), strict=True))
-            lists = [[row_[a:b].tobytes() for a, b in spans], [impact[a:b].astype(np.int32).tobytes() for a, b in spans]]
-            return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns] + [pa.array(c, pa.binary()) for c in lists], names=["term", "shard", "level", "top", "low", "n", "rows", "impacts"])
+            docs = np.full(len(first), row[0] // BLOCK_DOCS)
+            columns = [term[first], (docs * 0x9E3779B1 >> 7) % shards[term[first]], docs, level[first], impact[first], impact[end - 1] if len(first) else first, end[: len(first)] - first]
+            spans = list(zip(first.tolist(), end.tolist(), strict=False))
+            lists = [[place[a:b].tobytes() for a, b in spans], [impact[a:b].astype(np.int32).tobytes() for a, b in spans]]
+            return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns] + [pa.array(c, pa.binary()) for c in lists], names=names)
 
         for batch in batches:
-            held += zip(*(batch.column(c).to_pylist() for c in ("row", "n", "terms", "tfs")), strict=True)
-            if len(held) >= BLOCK_DOCS:
-                yield block()
-                held = []
+            for x in zip(*(batch.column(c).to_pylist() for c in ("row", "n", "terms", "tfs")), strict=True):
+                if held and held[0][0] // BLOCK_DOCS != x[0] // BLOCK_DOCS:
+                    yield block()
+                    held = []
+                held.append(x)
         if held:
             yield block()
 
-    schema = "term long, shard long, level long, top long, low long, n long, rows binary, impacts binary"
+    names = ["term", "shard", "docs", "level", "top", "low", "n", "places", "impacts"]
+    schema = ", ".join(f"{c} long" for c in names[:7]) + ", places binary, impacts binary"
     blocks = forward.select("row", "n", "terms", "tfs").mapInArrow(lean(invert), schema)
     return blocks.repartition("term", "shard").sortWithinPartitions("term", F.desc("top"))
 
@@ -135,12 +135,12 @@ def _heads(postings: DataFrame, k: int) -> DataFrame:
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [np.frombuffer(x, np.int64)[:k] for x in batch.column("rows").to_pylist()]
+            rows = [np.frombuffer(x, np.uint16)[:k].astype(np.int64) + d * BLOCK_DOCS for d, x in zip(batch.column("docs").to_pylist(), batch.column("places").to_pylist(), strict=True)]
             some = [np.frombuffer(x, np.int32)[:k].astype(np.int64) for x in batch.column("impacts").to_pylist()]
             term = np.repeat(batch.column("term").to_numpy(), [len(x) for x in rows])
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (term, *(np.concatenate([np.zeros(0, np.int64), *x]) for x in (rows, some)))], names=["term", "row", "impact"])
 
-    unpacked = postings.join(needed, ["term", "level"]).select("term", "rows", "impacts").mapInArrow(lean(first), "term long, row long, impact long")
+    unpacked = postings.join(needed, ["term", "level"]).select("term", "docs", "places", "impacts").mapInArrow(lean(first), "term long, row long, impact long")
     place = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("impact"), "row"))
     return unpacked.withColumn("place", place).where(F.col("place") <= k).select("term", "row", "impact")
 
@@ -154,28 +154,71 @@ def _kth(sums: DataFrame, k: int, items: int) -> np.ndarray:
     return out
 
 
-def _fetch(postings: DataFrame, wanted: dict[int, list[tuple[int, int, int, int]]]) -> DataFrame:
-    """(item, row, sum, slack) of all postings of impact ``least`` or more; wanted: term to (item, weight, least, slack)."""
+def uniform_threshold(heads: np.ndarray, bound: int) -> int:
+    """The largest T such that values below T in every list add up to less than ``bound``; heads: the largest value of each list.
+
+    A list whose head lies below T adds no more than its head, so T is the bound divided by the number of lists, or more.
+    """
+    left, lists = bound, len(heads)
+    for head in np.sort(heads).tolist():
+        # All of the lists left have this head or a higher one: sum of what is below T < (heads so far) + lists * T.
+        if left <= lists * head:
+            return max(0, -(-left // lists))
+        left, lists = left - head, lists - 1
+    return int(heads.max()) + 1 if len(heads) and left > 0 else 0
+
+
+def _candidates(postings: DataFrame, queries: list[tuple[np.ndarray, ...]], floors: dict[int, int], bound: np.ndarray) -> DataFrame:
+    """(row, items): the documents that can still reach the bound of a query, after all lists were read down to the thresholds.
+
+    ``queries``: terms, weights, thresholds of each, and what each term can still add where its list did not show it.  The blocks of the same documents meet in one task, which adds
+    up what each query has of them; each block is sent once, however many queries want it.
+    """
     spark = postings.sparkSession
-    known = spark.sparkContext.broadcast(wanted)
-    floors = spark.createDataFrame([(t, min(x[2] for x in of)) for t, of in wanted.items()], "term long, least long")
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["item", "row", "sum", "slack"]
-        for whole in batches:
-            for lo in range(0, whole.num_rows, BLOCKS):
-                batch, parts = whole.slice(lo, BLOCKS), []
-                for term, rows, some in zip(*(batch.column(c).to_pylist() for c in ("term", "rows", "impacts")), strict=True):
-                    row, impact = np.frombuffer(rows, np.int64), np.frombuffer(some, np.int32).astype(np.int64)
-                    for item, w, least, slack in known.value[term]:
-                        size = int(np.searchsorted(-impact, -least, "right"))
-                        parts.append((np.full(size, item), row[:size], w * impact[:size], np.full(size, slack)))
-                if parts:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=names)
+    known = spark.sparkContext.broadcast(queries)
+    least = spark.createDataFrame(sorted(floors.items()), "term long, least long")
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        docs = None
+
+        def close() -> pa.RecordBatch:
+            lists = {t: tuple(np.concatenate(c) for c in zip(*parts, strict=True)) for t, parts in held.items()}
+            row, item = [], []
+            for q, (terms, weights, floor, slack) in enumerate(known.value):
+                total = np.full(BLOCK_DOCS, int(slack.sum()))
+                seen = np.zeros(BLOCK_DOCS, bool)
+                for t, w, f, u in zip(terms.tolist(), weights.tolist(), floor.tolist(), slack.tolist(), strict=True):
+                    if t in lists:
+                        place, impact = lists[t]
+                        if f > 1:
+                            over = impact >= f
+                            place, impact = place[over], impact[over]
+                        total[place] += w * impact - u
+                        seen[place] = True
+                found = np.flatnonzero(seen & (total >= bound[q]))
+                row.append(found)
+                item.append(np.full(len(found), q))
+            row, item = np.concatenate(row), np.concatenate(item)
+            order = np.argsort(row, kind="stable")
+            row, item = row[order], item[order]
+            each, at = np.unique(row, return_index=True)
+            items = pa.ListArray.from_arrays(pa.array(np.append(at, len(row)), pa.int32()), pa.array(item, pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array(each + docs * BLOCK_DOCS, pa.int64()), items], names=["row", "items"])
+
+        for batch in batches:
+            for d, t, places, some in zip(*(batch.column(c).to_pylist() for c in ("docs", "term", "places", "impacts")), strict=True):
+                if held and d != docs:
+                    yield close()
+                    held = {}
+                docs = d
+                held.setdefault(t, []).append((np.frombuffer(places, np.uint16), np.frombuffer(some, np.int32).astype(np.int64)))
+        if held:
+            yield close()
 
     # As many rows as the vocabulary of one round, which is bounded.
-    met = postings.join(F.broadcast(floors), "term").where("top >= least").select("term", "rows", "impacts")
-    return met.mapInArrow(lean(unpack), "item long, row long, sum long, slack long")
+    met = postings.join(F.broadcast(least), "term").where("top >= least").select("docs", "term", "places", "impacts")
+    return met.repartition("docs").sortWithinPartitions("docs").mapInArrow(lean(add), "row long, items array<long>")
 
 
 def _exact(forward: DataFrame, candidates: DataFrame, queries: list[tuple[np.ndarray, np.ndarray]], rows: int, length: int) -> DataFrame:
@@ -208,7 +251,7 @@ def _search(work: Workspace, docs: DataFrame, queries: list[list[bytes]], k: int
     forward = work.keep(_forward(docs, vocabulary))
     forward = work.keep(forward.where("n > 0").withColumn("row", F.monotonically_increasing_id()))
     totals = forward.agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("length")).first()
-    rows, length = totals["rows"], totals["length"] or 0
+    rows, length, spark = totals["rows"], totals["length"] or 0, docs.sparkSession
     df = _document_counts(forward, len(vocabulary))
     weights = np.array([weight(rows, int(x)) if x else 0 for x in df], np.int64)
     numbers = [np.array(sorted(vocabulary[w] for w in q), np.int64) for q in queries]
@@ -216,31 +259,26 @@ def _search(work: Workspace, docs: DataFrame, queries: list[list[bytes]], k: int
     scored = [(q, weights[q]) for q in numbers]
     postings = work.keep(_postings(forward, rows, length, df))
 
-    # Phase 1: the heads of the lists give each query a lower bound.
-    of_term = docs.sparkSession.createDataFrame([(i, int(t), int(weights[t])) for i, q in enumerate(numbers) for t in q], "item long, term long, weight long")
-    heads = _heads(postings, k).join(F.broadcast(of_term), "term")
-    bound = _kth(heads.groupBy("item", "row").agg(F.sum(F.col("weight") * F.col("impact")).alias("sum")), k, len(queries))
+    # Phase 1: the documents at the heads of the lists, scored exactly, give each query a lower bound.
+    of_term = spark.createDataFrame([(i, int(t)) for i, q in enumerate(numbers) for t in q], "item long, term long")
+    seen = _heads(postings, k).select("term", "row").join(F.broadcast(of_term), "term").groupBy("row").agg(F.collect_set("item").alias("items"))
+    bound = _kth(_exact(forward, seen, scored, rows, length).select("item", F.col("score").alias("sum")), k, len(queries))
 
     # Phase 2: one threshold for all lists of a query.  Whoever stays below it everywhere stays below the bound.
     ends = postings.groupBy("term").agg(F.max("top").alias("top"), F.min("low").alias("low")).toArrow()
     top, low = np.zeros(len(vocabulary), np.int64), np.zeros(len(vocabulary), np.int64)
     top[ends.column("term").to_numpy()], low[ends.column("term").to_numpy()] = ends.column("top").to_numpy(), ends.column("low").to_numpy()
-    wanted: dict[int, list[tuple[int, int, int, int]]] = {}
-    slack = np.zeros(len(queries), np.int64)
+    limited, floors = [], {}
     for i, (q, w) in enumerate(scored):
-        least = np.maximum(1, -(-int(bound[i]) // (len(q) * w))) if len(q) else w
+        least = np.maximum(1, -(-uniform_threshold(w * top[q], int(bound[i])) // w))
         # What a term can still add where its list did not show it.
-        unseen = np.where(low[q] >= least, 0, w * np.minimum(least - 1, top[q]))
-        slack[i] = unseen.sum()
-        for t, x, f, u in zip(q.tolist(), w.tolist(), least.tolist(), unseen.tolist(), strict=True):
+        limited.append((q, w, least, np.where(low[q] >= least, 0, w * np.minimum(least - 1, top[q]))))
+        for t, f in zip(q.tolist(), least.tolist(), strict=True):
             if f <= top[t]:
-                wanted.setdefault(t, []).append((i, x, f, u))
-    sums = work.keep(_fetch(postings, wanted).groupBy("item", "row").agg(F.sum("sum").alias("sum"), F.sum("slack").alias("slack")))
-    bound = _kth(sums, k, len(queries))
+                floors[t] = min(f, floors.get(t, f))
 
     # Phase 3: exact scores of all who can still reach the bound.
-    limits = docs.sparkSession.createDataFrame([(i, int(b), int(s)) for i, (b, s) in enumerate(zip(bound, slack, strict=True))], "item long, bound long, total long")
-    open_ = sums.join(F.broadcast(limits), "item").where("sum + total - slack >= bound").groupBy("row").agg(F.collect_list("item").alias("items"))
+    open_ = work.keep(_candidates(postings, limited, floors, bound))
     exact = _exact(forward, open_, scored, rows, length).where("score > 0")
     order = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"), "row")
     return exact.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("item", "rank", "doc_id", "score")
@@ -255,9 +293,9 @@ def ranked_search(docs: DataFrame, queries: DataFrame, *, k: int = TOP, id_col:
 
     1. One reading of the texts counts, for each document, the terms that any query has; N, L and df cover all documents.
     2. The inverted lists are stored by term, in blocks of falling impact; a long list is cut into shards.
-    3. The k largest impacts of each list give the k-th best partial sum of a query, a lower bound of its results.
-    4. All lists of a query are read down to the bound divided by the number of its terms.  Documents that no list has shown lie below the bound.
-       Those whose sum plus what unread parts of lists could add reaches the k-th best sum are candidates, however many.
+    3. The documents of the k largest impacts of each list are scored; the k-th best score of a query is a lower bound of its results.
+    4. All lists of a query are read down to one threshold: values below it in every list add up to less than the bound.  Documents that no list has shown are out.
+       Those whose sum plus what unread parts of lists could add reaches the bound are candidates, however many.
     5. Candidates are looked up exactly.
 
     Queries are held by the driver and tasks, ``query_terms`` terms at once; more queries take several rounds.  Neither postings nor candidates
