@@ -20,7 +20,9 @@ EXPLAINED = 80
 #: Bits of a filter for frequent n-grams (a fixed size: 16 MB).  More n-grams than it tells apart cost time, never rows.
 FILTER_BITS = 27
 #: Words that a task counts at once, bytes that it splits at once.
-BATCH_WORDS, PIECE_BYTES = 2_000_000, 1 << 20
+BATCH_WORDS, PIECE_BYTES = 400_000, 1 << 20
+#: Parts of a language that are ranked each before the whole.
+PARTS = 16
 #: What a language that is null is called (fixed value).
 NO_LANG = "und"
 _BLANK, _BREAK = np.zeros(256, bool), np.zeros(256, bool)
@@ -69,48 +71,49 @@ class _Words:
             key ^= key >> np.uint64(29)
         key = mix(key + np.uint64(n))
         if above is not None:
-            slot = key & np.uint64((1 << FILTER_BITS) - 1)
+            slot = key & np.uint64(8 * len(above) - 1)
             kept = (above[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
             at, key = at[kept], key[kept]
         return at, key
 
 
-def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, _Words]]:
-    """The words of the texts of a task by language, so many at once."""
+def _by_language(batches: Iterator[pa.RecordBatch], number: int) -> Iterator[tuple[str, _Words]]:
+    """The words of the texts of a task by language, some ``number`` at once."""
     held: dict[str, list[bytes]] = {}
     size: dict[str, int] = {}
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
             held.setdefault(lang, []).append(raw := text.encode())
             size[lang] = size.get(lang, 0) + len(raw)
-            if size[lang] > 6 * BATCH_WORDS:
+            if size[lang] > 6 * number:
                 yield lang, _Words(lang, held.pop(lang))
                 size[lang] = 0
     for lang, texts in held.items():
         yield lang, _Words(lang, texts)
 
 
-def _frequent(docs: DataFrame, n: int, filters: list[Broadcast], least: int) -> Broadcast:
+def _frequent(work: Workspace, docs: DataFrame, n: int, filters: list[Broadcast], least: int) -> Broadcast:
     """A filter of fixed size that holds every n-gram (by hash) of at least ``least`` occurrences in its language, and few others.
 
     Only n-grams whose parts passed the filters before are exploded: no phrase is more frequent than its parts.
     """
+    number = BATCH_WORDS
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, words in _by_language(batches):
+        for _, words in _by_language(batches, number):
             below = None
             for k in range(1, n + 1):
                 at, key = words.phrases(k, below, filters[k - 1].value if k < n else None)
                 below = np.zeros(len(words.hash) + 1, bool)
                 below[at] = True
-            keys, number = np.unique(key, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(number)], names=["key", "n"])
+            keys, times = np.unique(key, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(times)], names=["key", "n"])
 
     counted = docs.mapInArrow(lean(explode), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     slot = F.col("key").bitwiseAND((1 << FILTER_BITS) - 1)
     word, bit = F.shiftright(slot, 5).alias("word"), F.expr(f"shiftleft(1L, cast((key & {(1 << FILTER_BITS) - 1}) % 32 as int))").alias("bit")
-    # At most 2 ** (FILTER_BITS - 5) rows, however many n-grams there are.
-    rows = counted.select(word, bit).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    # At most 2 ** (FILTER_BITS - 5) rows, however many n-grams there are.  Kept first, so that the shuffle files go at once.
+    rows = work.keep(counted.select(word, bit).groupBy("word").agg(F.bit_or("bit").alias("bits"))).toArrow()
     filled = np.zeros(1 << FILTER_BITS - 5, "<u4")
     filled[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().astype(np.uint32)
     return docs.sparkSession.sparkContext.broadcast(filled.view(np.uint8))
@@ -118,9 +121,10 @@ def _frequent(docs: DataFrame, n: int, filters: list[Broadcast], least: int) ->
 
 def _counts(docs: DataFrame, filters: list[Broadcast], max_words: int, least: int) -> DataFrame:
     """(lang, words, phrase, n): exact counts of all phrases of at least ``least`` occurrences; of 0 words: all words of the language."""
+    number = BATCH_WORDS
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, words in _by_language(batches):
+        for lang, words in _by_language(batches, number):
             # The row of no words is the language's total.
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([0], pa.int32()), pa.array([""]), pa.array([len(words.hash)], pa.int64())], names=["lang", "words", "phrase", "n"])
             # With one blank between words, every phrase is a slice.
@@ -140,9 +144,9 @@ def _counts(docs: DataFrame, filters: list[Broadcast], max_words: int, least: in
                 new = np.ones(len(spans), bool)
                 new[1:] = [x != y for x, y in zip(spans[1:], spans, strict=False)]
                 start = np.flatnonzero(new)
-                number = np.diff(np.append(start, len(spans)))
+                times = np.diff(np.append(start, len(spans)))
                 phrase = pa.array([spans[i] for i in start.tolist()], pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(start), pa.string()), pa.array(np.full(len(start), n, np.int32)), phrase, pa.array(number)], names=["lang", "words", "phrase", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(start), pa.string()), pa.array(np.full(len(start), n, np.int32)), phrase, pa.array(times)], names=["lang", "words", "phrase", "n"])
 
     rows = docs.mapInArrow(lean(explode), "lang string, words int, phrase string, n long")
     return rows.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
@@ -171,7 +175,7 @@ def collocations(
     with batch_rows(docs.sparkSession), Workspace(docs.sparkSession, "collocations") as work:
         filters: list[Broadcast] = []
         for n in range(1, min(2, max_words) + 1):
-            filters.append(_frequent(plain, n, filters, least))
+            filters.append(_frequent(work, plain, n, filters, least))
         counted = work.keep(_counts(plain, filters, max_words, least))
         for f in filters:
             f.destroy()
@@ -190,8 +194,11 @@ def collocations(
         longer = longer.groupBy("lang", "phrase").agg(F.max("b").alias("b"))
         covered = F.expr(f"cast(b as decimal(20,0)) * 100 >= cast(a as decimal(20,0)) * {explained}")
         left = scored.join(longer, ["lang", "phrase"], "left").where(F.col("b").isNull() | ~covered)
-        order = Window.partitionBy("lang").orderBy(F.desc("best.score"), F.desc("a"), "phrase")
-        first = left.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+        order = (F.desc("best.score"), F.desc("a"), "phrase")
+        # A language's best are among the best of each of its parts, so no task ranks a whole language.
+        dealt = left.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
+        dealt = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top)
+        first = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
         out = first.join(counted.where("words = 0").select("lang", F.col("n").alias("all")), "lang").withColumnRenamed("all", "n")
         return cut(out.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", F.col("best.l").alias("l"), F.col("best.r").alias("r"), "n", F.col("best.score").alias("score")))
 
