@@ -94,11 +94,12 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30
 class ToxicityModel:
     """What scoring needs: log-ratios of words, that of all other words, and the calibration curve.
 
-    ``ratios`` is a kept table (word: its hash, ratio).  ``held`` are the same as sorted arrays, where they are few enough.
+    ``ratios`` is a kept table (word: its hash, ratio).  ``held`` are the same as sorted arrays, where they are few enough.  ``judges``: there were labels of both
+    classes, without which nothing can be rejected.
     """
 
-    def __init__(self, ratios: DataFrame, default: float, held: tuple[np.ndarray, np.ndarray] | None, curve: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None):
-        self.ratios, self.default, self.held, self.curve = ratios, default, held, curve
+    def __init__(self, ratios: DataFrame, default: float, held: tuple[np.ndarray, np.ndarray] | None, curve: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None, judges: bool = True):
+        self.ratios, self.default, self.held, self.curve, self.judges = ratios, default, held, curve, judges
 
     def lookup(self, spark):
         """A function for tasks: the log-ratio of a word."""
@@ -251,7 +252,8 @@ def learn(
         words = held["word"].to_numpy().view(np.uint64)
         order = np.argsort(words)
         held = words[order], held["ratio"].to_numpy()[order]
-    model = ToxicityModel(ratios, default, held)
+    seen = truth.agg(F.count_if(F.col("toxic") > 0).alias("toxic"), F.count_if(F.col("toxic") <= 0).alias("ordinary")).first()
+    model = ToxicityModel(ratios, default, held, judges=bool(seen["toxic"] and seen["ordinary"]))
     chosen = truth.where(fold(F.col("doc_id")) == 3).orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibration_rows)
     rows = _features(texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic"), model, ["toxic"]).toArrow()
     x = np.stack([rows[f"f{k}"].to_numpy() for k in range(4)], 1)
@@ -293,8 +295,10 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_
 def keep_clean(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs``, with all their columns, whatever their names, whose text scores below ``threshold``.
 
-    Nulls, empty and repeated texts and empty tables as in :func:`score_toxicity`.
+    Nulls, empty and repeated texts and empty tables as in :func:`score_toxicity`.  A model without labels of both classes rejects nothing.
     """
+    if not model.judges:
+        return docs
     small_batches(docs.sparkSession)
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document")
     found = _features(docs.select(whole).select("document", F.coalesce(F.col("document").getField(text_col), F.lit("")).alias("text")), model, ["document"])
