@@ -128,6 +128,8 @@ def repeated_passages(
     Null and empty texts have no paragraphs.  Repeated rows are different documents.  Null ids come last
     in their cluster.  Empty table: no rows.  Other columns are ignored.
     """
+    if min_words < K:
+        raise ValueError(f"passages have at least {K} words, as they are compared by {K}-mers")
     spark = docs.sparkSession
     small_batches(spark)
     id_type = docs.schema[id_col].dataType.simpleString()
