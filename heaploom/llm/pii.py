@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from .common import lean, small_batches
 
-KINDS = ("email", "ip", "card", "phone")
+#: Kinds of the fixed patterns, and what the field alone finds: keys and tokens that grant access.
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "secret")
 LABELS = ("other", *KINDS)
 
 #: The right-hand side of an address, from the @ on.
@@ -26,6 +28,13 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
 #: Tokens that can be personal data: runs of non-spaces with a digit, an @ or a plus sign.
 _TOKEN = re.compile(r"(?<!\S)[^\s0-9@+]*+[0-9@+]\S*+")
+#: What stands before a secret, a name and its value in one token, and public formats of keys (fixed values).
+_NAMES = r"(?:token|secret|passw(?:or)?d|passwd|pwd|api[ _-]?key|access[ _-]?key|private[ _-]?key|auth|credentials?|bearer)"
+_BEFORE = re.compile(rf"{_NAMES}[\"']?(?:\s{{0,3}}[=:]|\s+is)?\s{{0,3}}[\"'(<]?$", re.IGNORECASE)
+_ASSIGNED = re.compile(rf"[\"']?[\w.-]*{_NAMES}[\w-]*[\"']?[=:][\"']?(?=\S)", re.IGNORECASE)
+_KNOWN_KEY = re.compile(r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9-]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{10,}\.")
+_KEY = re.compile(r"[A-Za-z0-9_+/=.~-]{16,}")
+_HEX = re.compile(r"[0-9a-fA-F]{32,}")
 _TRIM = ".,;:!?\"'()[]{}<>*#$%&"
 
 
@@ -79,11 +88,13 @@ def list_spans(spans: list[tuple[str, int, int]]) -> str:
 
 # -- the random field -----------------------------------------------------------
 
-FEATURES = 15
+FEATURES = 19
+#: Bits of a shape: a value after a name of secrets, and a public format of keys.
+_NAMED, _FORMAT = 1 << 17, 1 << 18
 
 
-def features(token: str) -> int:
-    """The shape of a token as bits; the last ones are log-sizes.  So there are few shapes, however many tokens."""
+def features(token: str, before: str = "") -> int:
+    """The shape of a token as bits, and whether what stands ``before`` it names a secret.  So there are few shapes, however many tokens."""
     digits = sum("0" <= c <= "9" for c in token)
     head, at, tail = token.partition("@")
     parts = token.split(".")
@@ -103,19 +114,30 @@ def features(token: str) -> int:
         9 <= digits <= 15,
     ]
     size = min(7, digits.bit_length())
-    return sum(b << k for k, b in enumerate(bits)) | size << 12
-
-
-def tokens_of(text: str) -> list[tuple[int, int, str]]:
-    """Candidate tokens without the punctuation around them: (start, end, token)."""
+    shape = sum(b << k for k, b in enumerate(bits)) | size << 12
+    if len(token) >= 16 and _KEY.fullmatch(token):
+        if any(c.isalpha() for c in token):
+            # How many digits a key happens to have says nothing.
+            shape = 1 << 15 | (_HEX.fullmatch(token) is not None) << 16
+            if before and _BEFORE.search(before):
+                shape |= _NAMED
+        if _KNOWN_KEY.match(token):
+            shape |= _FORMAT
+    return shape
+
+
+def tokens_of(text: str) -> list[tuple[int, int, str, int]]:
+    """Candidate tokens without the punctuation around them: (start, end, token, shape).  Of a name and its value in one token the value is one."""
     out = []
     for m in _TOKEN.finditer(text):
-        raw = m.group()
-        left = raw.lstrip(_TRIM)
+        raw, skipped = m.group(), 0
+        if len(raw) >= 16 and (named := _ASSIGNED.match(raw)):
+            skipped = named.end()
+        left = raw[skipped:].lstrip(_TRIM)
         token = left.rstrip(_TRIM)
         if token:
             start = m.start() + len(raw) - len(left)
-            out.append((start, start + len(token), token))
+            out.append((start, start + len(token), token, features(token, text[max(0, start - 40) : start])))
     return out
 
 
@@ -126,7 +148,7 @@ def similar_keys(token: str) -> list[str]:
     return [*keys, "#" + digits] if len(digits) >= 7 else keys
 
 
-def graph_of(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int]], list[tuple[int, int]]]:
+def graph_of(text: str) -> tuple[list[tuple[int, int, str, int]], list[tuple[int, int]], list[tuple[int, int]]]:
     """Tokens, chain edges (only spaces between) and skip edges (each to the first similar token).
 
     Plain words, which can be no personal data by any shape, hold the label other and send no
@@ -137,20 +159,20 @@ def graph_of(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int
     chain = [(k, k + 1) for k in range(len(tokens) - 1) if text[tokens[k][1] : tokens[k + 1][0]].strip(" " + _TRIM) == ""]
     hub: dict[str, int] = {}
     skip = set()
-    for k, (_, _, token) in enumerate(tokens):
+    for k, (_, _, token, _) in enumerate(tokens):
         for key in similar_keys(token):
             if (first := hub.setdefault(key, k)) != k:
                 skip.add((first, k))
     return tokens, chain, sorted(skip)
 
 
-def silver_labels(tokens: list[tuple[int, int, str]], spans: list[tuple[str, int, int]]) -> list[int]:
-    """Labels from the fixed patterns: the kind of a span that overlaps the token (both are in order)."""
-    out = [0] * len(tokens)
-    for number, kind in reversed(list(enumerate(KINDS, 1))):
+def silver_labels(tokens: list[tuple[int, int, str, int]], spans: list[tuple[str, int, int]]) -> list[int]:
+    """Labels from the fixed patterns: the kind of a span that overlaps the token (both are in order); else secret, where a name or a public format says so."""
+    out = [LABELS.index("secret") if shape & (_NAMED | _FORMAT) else 0 for *_, shape in tokens]
+    for number, kind in reversed(list(enumerate(BASE_KINDS, 1))):
         own = [s for s in spans if s[0] == kind]
         j = 0
-        for k, (a, b, _) in enumerate(tokens):
+        for k, (a, b, *_) in enumerate(tokens):
             while j < len(own) and own[j][2] <= a:
                 j += 1
             if j < len(own) and own[j][1] < b:
@@ -227,7 +249,7 @@ def _counts(batch_texts: list[str]) -> dict[tuple[str, int, int], int]:
         if not tokens:
             continue
         labels = silver_labels(tokens, base_spans(text))
-        keys = [("shape", features(t), y) for (_, _, t), y in zip(tokens, labels, strict=True)]
+        keys = [("shape", shape, y) for (*_, shape), y in zip(tokens, labels, strict=True)]
         keys += [("chain", labels[a], labels[b]) for a, b in chain] + [("skip", labels[a], labels[b]) for a, b in skip]
         for key in keys:
             counts[key] = counts.get(key, 0) + 1
@@ -237,8 +259,8 @@ def _counts(batch_texts: list[str]) -> dict[tuple[str, int, int], int]:
 def learn(docs: DataFrame, *, text_col: str = "text") -> SkipChain:
     """Fit the field on all documents; their fixed patterns stand in for labels.
 
-    Tasks send counts by shape and label and by pairs of labels.  There are at most 2**15 shapes
-    and 5 labels, so what reaches the driver is bounded whatever the corpus.  Null and empty texts hold no
+    Tasks send counts by shape and label and by pairs of labels.  There are at most 2**19 shapes
+    and 6 labels, so what reaches the driver is bounded whatever the corpus.  Null and empty texts hold no
     tokens, repeated texts count each time; an empty table gives a field that adds nothing.
     """
 
@@ -274,11 +296,11 @@ def added_spans(model: SkipChain, texts: list[str], bases: list[list[tuple[str,
     for number, text in enumerate(texts):
         tokens, c, s = graph_of(text)
         n = len(shapes)
-        shapes += [features(t) for _, _, t in tokens]
+        shapes += [shape for *_, shape in tokens]
         chain += [(a + n, b + n) for a, b in c]
         skip += [(a + n, b + n) for a, b in s]
         owners += [number] * len(tokens)
-        placed += [(a, b) for a, b, _ in tokens]
+        placed += [(a, b) for a, b, *_ in tokens]
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     if not shapes:
         return out
@@ -313,6 +335,9 @@ def find_pii(docs: DataFrame, *, model: SkipChain | None = None, id_col: str = "
     message passing makes labels agree over a document.  A token that it labels with at least
     ``min_belief`` and that no base span overlaps is added.
 
+    Secrets are found by the field alone: names of secrets before a value and public formats of keys label the tokens that it learns from, and a key that recurs
+    without its name is met by its skip edge.
+
     Returns doc_id, base and added: arrays of (kind, start, end) in code points, end exclusive, in
     order of kind and start.  Null or empty text: no spans.  Repeated rows are each searched.
     Empty table: no rows.  Other columns are ignored.
@@ -338,7 +363,7 @@ def find_pii(docs: DataFrame, *, model: SkipChain | None = None, id_col: str = "
 def redact(docs: DataFrame, *, model: SkipChain | None = None, text_col: str = "text", min_belief: float = 0.9) -> DataFrame:
     """All rows and columns, with each span of personal data in ``text_col`` replaced by its kind, as [EMAIL].
 
-    Overlapping spans become one, named after the first.  Null stays null.
+    Overlapping spans become one, named after the first.  Null stays null.  Repeated rows are each redacted.  Empty table: no rows.
     """
     model = model or learn(docs, text_col=text_col)
     schema = docs.schema

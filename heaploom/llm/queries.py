@@ -124,9 +124,9 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(kind: str) -> F.Column:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    counts = [count(kind) for kind in pii.KINDS]
+    counts = [count(kind) for kind in pii.BASE_KINDS]
     everything = F.array_sort(F.transform(F.concat("base", "added"), rank))
-    return pii.find_pii(docs).select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(everything).alias("spans"))
+    return pii.find_pii(docs).select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(everything).alias("spans"), F.size(everything).cast("long").alias("n_spans"))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
