@@ -40,8 +40,8 @@ VARIETY = 20
 SMOOTHING, EVIDENCE, PURITY = 5.0, 3, 0.8
 #: How many standard deviations a branch may lie off its siblings' common distribution and still be merged with them.
 DEVIATIONS = 3.0
-#: A branch is of one outcome (unwanted, wanted, unlabelled) if so much of it is.
-DOMINANT = 0.9
+#: A branch is unlabelled if less of it is labelled, else unwanted or wanted if so much of what is labelled is.
+LABELLED, DOMINANT = 0.1, 2 / 3
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -73,7 +73,13 @@ def segments(path: Column) -> Column:
 
 
 def _outcome(n: Column, bad: Column, good: Column) -> Column:
-    return F.when(bad >= DOMINANT * n, "unwanted").when(good >= DOMINANT * n, "wanted").when(n - bad - good >= DOMINANT * n, "unlabelled").otherwise("mixed")
+    known = bad + good
+    return F.when(known < LABELLED * n, "unlabelled").when(bad >= DOMINANT * known, "unwanted").when(good >= DOMINANT * known, "wanted").otherwise("mixed")
+
+
+def _within(chi: Column, free: Column) -> Column:
+    """Whether a chi-square value is no more than DEVIATIONS standard deviations above its mean."""
+    return chi <= free + DEVIATIONS * F.sqrt(2.0 * free) + 1e-9
 
 
 def _sums() -> list[Column]:
@@ -96,21 +102,31 @@ def _generalised(work: Workspace, tree: DataFrame, level: int) -> DataFrame:
     rare = children.join(work.sized(nodes), ["host", "node"]).where(F.col("n") * VARIETY < F.col("total")).select("host", "node", "child", F.lit("{*}").alias("general"))
     rare = work.keep(rare)
 
-    # What is left: each branch against all its siblings of the same outcome, by a chi-square test over what follows it.
+    # What is left: each branch against all its siblings of the same outcome, by chi-square tests over what follows it and over its labels.
     rest = shapes.join(hinted(rare.drop("general")), ["host", "node", "child"], "left_anti")
+    group = ["host", "node", "outcome"]
     own = rest.groupBy("host", "node", "child").agg(*_sums())
-    own = work.keep(own.select("host", "node", "child", F.col("n").alias("of"), _outcome(F.col("n"), F.col("bad"), F.col("good")).alias("outcome")))
-    placed = work.keep(rest.join(hinted(own), ["host", "node", "child"]).select("host", "node", "outcome", "child", "next", "n"))
-    pool = placed.groupBy("host", "node", "outcome", "next").agg(F.sum("n").alias("m"))
-    whole = placed.groupBy("host", "node", "outcome").agg(F.sum("n").alias("all"), F.countDistinct("child").alias("siblings"))
-    shares = work.sized(pool.join(whole.where("siblings > 1"), ["host", "node", "outcome"]).select("host", "node", "outcome", "next", (F.col("m") / F.col("all")).alias("share")))
-    kinds = shares.groupBy("host", "node", "outcome").agg(F.count(F.lit(1)).alias("kinds"))
+    own = work.keep(own.withColumn("outcome", _outcome(F.col("n"), F.col("bad"), F.col("good"))))
+    whole = own.groupBy(*group).agg(F.sum("n").alias("all"), F.sum("bad").alias("all_bad"), F.sum("good").alias("all_good"), F.count(F.lit(1)).alias("siblings")).where("siblings > 1")
+    whole = work.sized(whole.drop("siblings"))
+    placed = work.keep(rest.join(hinted(own.select("host", "node", "child", "outcome")), ["host", "node", "child"]).select(*group, "child", "next", "n"))
+    # What rarely follows is one kind: it becomes a wildcard on the next level.
+    often = placed.groupBy(*group, "next").agg(F.sum("n").alias("m")).join(whole, group).where(F.col("m") * VARIETY >= F.col("all")).select(*group, "next", F.col("next").alias("kind"))
+    kinds = placed.join(work.sized(often), [*group, "next"], "left").groupBy(*group, "child", F.coalesce("kind", F.lit("{*}")).alias("kind")).agg(F.sum("n").alias("n"))
+    kinds = work.keep(kinds)
+    shares = kinds.groupBy(*group, "kind").agg(F.sum("n").alias("m")).join(whole, group).select(*group, "kind", (F.col("m") / F.col("all")).alias("share"))
+    shares = work.sized(shares)
+    number = shares.groupBy(*group).agg(F.count(F.lit(1)).alias("kinds"))
     # sum (o - e)^2 / e over all kinds = sum o^2 / e - n, so kinds that the branch lacks need no rows.
-    met = placed.join(shares, ["host", "node", "outcome", "next"])
-    tested = met.groupBy("host", "node", "outcome", "child").agg((F.sum(F.col("n") * F.col("n") / F.col("share")) / F.sum("n") - F.sum("n")).alias("chi"))
-    free = F.col("kinds") - 1
-    alike = tested.join(hinted(work.keep(kinds)), ["host", "node", "outcome"]).where(F.col("chi") <= free + DEVIATIONS * F.sqrt(2.0 * free) + 1e-9).select("host", "node", "outcome", "child")
-    alike = work.keep(alike)
+    followed = kinds.join(shares, [*group, "kind"]).groupBy(*group, "child").agg((F.sum(F.col("n") * F.col("n") / F.col("share")) / F.sum("n") - F.sum("n")).alias("shape"))
+    labelled = own.join(whole, group)
+    parts = [("bad", "all_bad"), ("good", "all_good"), (F.col("n") - F.col("bad") - F.col("good"), F.col("all") - F.col("all_bad") - F.col("all_good"))]
+    parts = [(F.col(o) if isinstance(o, str) else o, F.col(m) if isinstance(m, str) else m) for o, m in parts]
+    chi = sum((F.when(m > 0, o * o * F.col("all") / m).otherwise(0.0) for o, m in parts), F.lit(0.0)) / F.col("n") - F.col("n")
+    used = sum(((m > 0).cast("int") for _, m in parts), F.lit(0)) - 1
+    labelled = labelled.where(_within(chi, used)).select(*group, "child")
+    tested = followed.join(hinted(work.keep(number)), group).where(_within(F.col("shape"), F.col("kinds") - 1))
+    alike = work.keep(tested.join(labelled, [*group, "child"], "left_semi").select(*group, "child"))
     names = alike.groupBy("host", "node", "outcome").agg(F.min("child").alias("least"), F.count(F.lit(1)).alias("members")).where("members > 1")
     merged = alike.join(hinted(work.keep(names)), ["host", "node", "outcome"]).select("host", "node", "child", F.concat(F.lit("{"), "least", F.lit("~"), F.when(F.col("outcome") == "unlabelled", "").otherwise(F.col("outcome")), F.lit("}")).alias("general"))
 
@@ -155,7 +171,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, *, id_col: str =
     2. Each host's paths form a tree of segments.  Numbers, hexadecimal names and very long names are wildcards from the start, which leaves few
        kinds of paths, counted by a shuffle; from then on only these kinds move.
     3. From the root down, children with a small share of a node with many become a wildcard; the others are compared with their
-       siblings of the same outcome (mostly unwanted, wanted, unlabelled, or mixed) by a chi-square test over what follows, and those alike are merged.
+       siblings of the same outcome (mostly unwanted, wanted, unlabelled, or mixed) by chi-square tests over what follows and over the labels, and those alike are merged.
        A branch that a rule labels as a whole is thus never merged with one of which nothing is known.
     4. A template is rejected (verdict ``block``) if it has EVIDENCE labels of its own and a smoothed purity of PURITY or more.
 

@@ -1,11 +1,11 @@
 """Each corpus operator against a plain version, and on nulls, ties, empty tables and clashing names."""
 
 import base64
-import functools
 import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -304,9 +304,27 @@ def test_skip_chain(spark):
     assert pii.find_pii(frame(spark, [])).count() == 0
 
 
+def test_secrets_are_added(spark):
+    draw = random.Random(8)
+    key = lambda n=40, of="0123456789abcdef": "".join(draw.choices(of, k=n))
+    forms = ['token = "{}"', "api_key={}", "password: {}", "The secret is {} .", '"access_key":"{}"']
+    texts = [f"{prose(draw, 9)} {forms[k % 5].format(key())} {prose(draw, 9)}" for k in range(100)]
+    again = key()
+    texts += [f'token = "{again}" {prose(draw, 30)} see {again} there', f"use AKIA{key(16, 'ABCDEFGHJK234567')} {prose(draw, 5)}"]
+    clean = [f"{prose(draw, 9)} commit {key()} build-{k}-of-2024 {prose(draw, 9)}" for k in range(100)] + ["the token is gone", "secret = 12", "password: " + "x" * 30]
+    found = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["added"]] for r in pii.find_pii(frame(spark, texts + clean)).collect()}
+    for i, t in enumerate(texts[:100]):
+        assert [k for k, *_ in found[i]] == ["secret"] and re.fullmatch("[0-9a-f]{40}", t[found[i][0][1] : found[i][0][2]])
+    assert [texts[100][a:b] for _, a, b in found[100]][0] == again
+    assert all(not found[len(texts) + k] for k in range(len(clean)))
+    redacted = {r["doc_id"]: r["text"] for r in pii.redact(frame(spark, texts + clean)).collect()}
+    assert "[SECRET]" in redacted[0] and redacted[len(texts)] == clean[0]
+
+
 def test_message_passing_is_exact_on_a_chain():
     draw = np.random.default_rng(1)
-    model = pii.SkipChain({k: draw.normal(size=5) for k in range(4)}, np.zeros(5), draw.normal(size=(5, 5)), np.zeros((5, 5)))
+    n = len(pii.LABELS)
+    model = pii.SkipChain({k: draw.normal(size=n) for k in range(4)}, np.zeros(n), draw.normal(size=(n, n)), np.zeros((n, n)))
     model.chain = model.chain + model.chain.T
     got = model.beliefs([0, 1, 2], [(0, 1), (1, 2)], [], rounds=60)
     joint = np.exp(model.unary[0][:, None, None] + model.unary[1][None, :, None] + model.unary[2][None, None] + model.chain[:, :, None] + model.chain[None])
@@ -443,27 +461,24 @@ def edited(draw, text, times):
     return " ".join(w)
 
 
-@functools.cache
-def plain_shingles(text):
-    w, seen, out = words(text), {}, []
-    for k in range(max(1, len(w) - 4) if w else 0):
-        g = tuple(w[k : k + 5])
-        seen[g] = seen.get(g, 0) + 1
-        out.append((g, seen[g]))
-    return out, set(out)
-
-
-def plain_alike(a, b, least=0.8):
-    """Five-word shingles numbered by their occurrence, and their longest common subsequence."""
-    (x, xs), (y, ys) = plain_shingles(a), plain_shingles(b)
-    if not x or not y or len(xs & ys) < least * len(xs | ys) - 1e-9:
-        return False
+def plain_common(x, y):
+    """The length of the longest common subsequence."""
     row = [0] * (len(y) + 1)
     for p in x:
         before, row = row, [0]
         for k, q in enumerate(y):
             row.append(before[k] + 1 if p == q else max(before[k + 1], row[k]))
-    return row[-1] >= least * (len(x) + len(y) - row[-1]) - 1e-9
+    return row[-1]
+
+
+def plain_alike(a, b, least=0.8):
+    """Words shared in order, of all words of both texts."""
+    x, y = words(a), words(b)
+    most = sum((Counter(x) & Counter(y)).values())
+    if not x or not y or most < least * (len(x) + len(y) - most) - 1e-9:
+        return False
+    shared = plain_common(x, y)
+    return shared >= least * (len(x) + len(y) - shared) - 1e-9
 
 
 def test_word_hashes(monkeypatch):
@@ -535,6 +550,35 @@ def test_alignment_follows_order():
     assert len(set(s.tolist())) < len(s) == len(set(near_dup.labelled(s).tolist()))
 
 
+def test_alignment_equals_a_plain_table():
+    draw = random.Random(23)
+    for _ in range(300):
+        x = np.array(draw.choices(range(draw.choice([2, 6, 40])), k=draw.randrange(30)), dtype=np.uint32)
+        y = np.array([w for w in x.tolist() if draw.random() < 0.9] + draw.choices(range(6), k=draw.randrange(4)), dtype=np.uint32)
+        assert near_dup.aligned(x, y, 50) == plain_common(x.tolist(), y.tolist())
+        for least in (0.5, 0.8):
+            shared = plain_common(x.tolist(), y.tolist())
+            assert near_dup.similar(x, y, least) == (bool(len(x) and len(y)) and shared >= least * (len(x) + len(y) - shared) - 1e-9)
+    # Words shifted by more than the band do not count.
+    assert near_dup.aligned(np.array([1, 2, 3, 9]), np.array([9, 1, 2, 3]), 0) == 0
+    assert near_dup.aligned(np.array([1, 2, 3, 9]), np.array([9, 1, 2, 3]), 1) == 3
+
+
+def test_edited_texts_are_grouped(spark):
+    draw = random.Random(24)
+    texts = []
+    for _ in range(120):
+        base = prose(draw, draw.choice([60, 200, 600]), 4000)
+        size = len(base.split())
+        texts += [base, edited(draw, base, size * draw.choice([3, 5]) // 100)]
+    long = prose(draw, 40_000, 4000)
+    texts += [long, edited(draw, long, 1500), prose(draw, 40_000, 4000)]
+    found = {r["doc_id"]: r["cluster_id"] for r in near_dup.near_duplicates(frame(spark, texts)).collect()}
+    grouped = sum(found[2 * k] == found[2 * k + 1] for k in range(120))
+    assert grouped >= 110 and found[240] == found[241] and found[242] == 242
+    assert len(set(found.values())) == 122 + 120 - grouped
+
+
 def test_passages(spark):
     draw = random.Random(12)
     shared = prose(draw, 60, 5000)
@@ -542,6 +586,8 @@ def test_passages(spark):
     texts[3] = texts[3].replace(shared, edited(draw, shared, 1))
     texts += [None, "", "a\nb", "\n".join([prose(draw, 25, 5000)] * 2)]
     docs = frame(spark, texts)
+    with pytest.raises(ValueError, match="at least 5 words"):
+        passages.repeated_passages(docs, min_words=4)
     found = passages.repeated_passages(docs).collect()
     assert sorted(r["doc_id"] for r in found) == list(range(20))
     assert {r["n_docs"] for r in found} == {20} and len({r["cluster_id"] for r in found}) == 1

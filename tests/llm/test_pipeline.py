@@ -49,9 +49,24 @@ def test_stages_keep_clean_documents_and_catch_the_others(spark, tmp_path):
         assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, r["ids"])).encode()).hexdigest() and r["n_tokens"] == len(r["ids"])
 
 
+def test_without_labels_or_benchmark_all_clean_documents_stay(spark, tmp_path):
+    draw = random.Random(22)
+    texts = {i: prose(draw, 60, 3000) for i in range(60)} | {100: None}
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts.items()], DOCS)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    one_sided = [[], [(i, 1, 0) for i in range(60)], [(i, 1, 1) for i in range(60)]]
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for labels in one_sided:
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.mode("overwrite").parquet(f"{tmp_path}/labels.parquet")
+        assert corpus_pipeline.reject_toxic(spark, docs, str(tmp_path)).count() == len(texts)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(texts)
+    docs.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_registry():
     import __spark_entry__ as entry
 
     known = entry.queries()
-    assert {k.partition("_")[0] for k in known if k.startswith("op")} == {f"op{n}" for n in range(1, 11)}
+    assert {k.partition("_")[0] for k in known if k.startswith("op")} == {f"op{n}" for n in range(1, 14)}
     assert "pipeline" in known and set(entry.oracle_sql()) <= set(known)
