@@ -350,7 +350,7 @@ def sketch_merge_by_type(spark, sf_dir):
 def dumps_compared(spark, sf_dir):
     """Two dumps of one catalog by type: the graph, and the graph without the app's objects."""
     catalog = Catalog(spark, fresh_path(spark, "catalog"))
-    records = _records(spark, sf_dir)
+    records = _records(spark, sf_dir).withColumn("subtree_size", F.lit(None).cast("long"))
     catalog.import_records(records, "before", Precision.NONE)
     catalog.import_records(records.where(~F.startswith("type", F.lit("app."))), "after", Precision.NONE)
     return catalog.compare("before", "after")

@@ -44,12 +44,19 @@ def test_exact_sizes(seven):
 
 
 @pytest.mark.parametrize(("precision", "lanes"), [("low", 7), ("medium", 31), ("high", 127)])
-def test_sketch_within_three_deviations(spark, precision, lanes):
-    dump = HeapDump.from_records(read_lines(spark, lines(SEVEN)), precision)
-    found = dump.objects.where("id = 10").first()["subtree_size"]
+def test_sketch_within_three_deviations(spark, seven, precision, lanes):
+    assert Precision(precision).lanes == lanes
+    sizes_ = sizes.sketch_sizes(seven.objects, seven.usable_refs(), lanes, seven.index())
+    found = sizes_.where("id = 10").first()["subtree_size"]
     assert abs(found - 67) <= 3 * 67 / lanes**0.5
 
 
+def test_sketches_on_import(spark):
+    dump = HeapDump.from_records(read_lines(spark, lines(SEVEN)), "unknown means medium")
+    found = dump.objects.where("id = 10").first()["subtree_size"]
+    assert abs(found - 67) <= 3 * 67 / 31**0.5
+
+
 def test_no_estimates(spark):
     dump = HeapDump.from_records(read_lines(spark, lines(SEVEN)), Precision.NONE)
     assert dump.objects.where("subtree_size IS NOT NULL").count() == 0
@@ -294,8 +301,9 @@ def test_sketches_merge_and_ignore_repetition(spark):
 
 @pytest.mark.parametrize(("lanes", "margin"), [(7, 60), (31, 30), (127, 15)])
 def test_sketch_accuracy_over_many_sets(spark, lanes, margin):
-    rows = spark.range(1, 1001).select(F.col("id").alias("i"), F.explode(F.array(*map(F.lit, (1, 2, 3, 4)))).alias("k"))
-    rows = rows.select("i", *lanes_of(lanes, F.col("i") * 10 + F.col("k"), F.col("k") * 10))
+    # Five elements that weigh 100 in all, other ones in each set.
+    rows = spark.range(1000).select(F.col("id").alias("i"), F.explode(F.array(*map(F.lit, (6, 12, 20, 27, 35)))).alias("w"))
+    rows = rows.select("i", *lanes_of(lanes, F.col("i") * 64 + F.col("w"), F.col("w")))
     found = rows.groupBy("i").agg(*merged(lanes)).select(estimate(lanes).alias("e"))
     assert found.where(F.abs(F.col("e") - 100) < margin).count() > 800
 
