@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import Scratch, cut
+from ..plans.storage import Scratch, cut, sized
 from .forest import Forest, ancestors, climb, only_entries
 
 #: Trimming goes on while a pass removes so much of the links; then trees are contracted or labels sent round.
@@ -27,8 +27,14 @@ class _Contraction:
 def _trimmed(work: Scratch, edges: DataFrame, n: int) -> tuple[DataFrame, int]:
     """Without links of nodes that nothing enters or leaves, pass by pass, as long as it is worth it."""
     while n:
-        sources, targets = edges.select(F.col("src").alias("dst")).distinct(), edges.select(F.col("dst").alias("src")).distinct()
-        kept = work.keep(edges.join(sources, "dst", "left_semi").join(targets, "src", "left_semi").select("src", "dst"))
+        # Nodes with links both in and out.  The first join shuffles all links, the second and the rest only what it left.
+        sources, targets = edges.select(F.col("src").alias("id")).distinct(), edges.select(F.col("dst").alias("id")).distinct()
+        inner = work.keep(sources.join(targets, "id", "left_semi"))
+        few = inner.count()
+        kept = edges
+        for end in ("src", "dst"):
+            kept = kept.join(sized(inner.withColumnRenamed("id", end), few), end, "left_semi")
+        kept = work.keep(kept.select("src", "dst").distinct())
         before, n = n, kept.count()
         edges = kept
         if n > (1 - WORTH) * before:
@@ -118,7 +124,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
     ``edges``: src, dst; repeated links, loops and nulls do no harm.  No links: no rows.  Only counts reach the driver.
     """
     with Scratch(edges.sparkSession, "components") as work:
-        now = work.keep(edges.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").select("src", "dst").distinct())
+        now = edges.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").select("src", "dst")
         n, steps, found = now.count(), [], []
         while n:
             now, n = _trimmed(work, now, n)

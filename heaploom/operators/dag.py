@@ -7,9 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.storage import Scratch, filesystem, fresh_path
+from ..plans.storage import Scratch, filesystem, fresh_path, sized
 from .components import strong_components
-from .forest import climb, gather, only_entries
+from .forest import climb, entered, gather
 
 
 @dataclass
@@ -24,15 +24,20 @@ class Condensed:
 def condense(work: Scratch, objects: DataFrame, edges: DataFrame, members: DataFrame | None = None) -> Condensed:
     """Contract each strong component to one node, named by its least id, of the size of all its members.
 
-    ``members``: id, scc_id of the components of several objects (see :func:`strong_components`, which makes them if not given).
+    ``edges``: distinct (src, dst).  ``members``: id, scc_id of the components of several objects (see :func:`strong_components`, which makes them if not given).
+    nodes and links are not kept.  Only what touches a component of several objects is grouped anew; the rest is as it was.
     """
-    known = (strong_components(edges) if members is None else members).select("id", F.col("scc_id").alias("comp"))
-    weighed = objects.select("id", "size").join(known, "id", "left").select(F.coalesce("comp", "id").alias("comp"), "size")
-    nodes = work.keep(weighed.groupBy("comp").agg(F.sum("size").cast("long").alias("size"), F.count(F.lit(1)).alias("members")))
+    known = work.keep((strong_components(edges) if members is None else members).select("id", F.col("scc_id").alias("comp")))
+    near = sized(known)
+    weighed = objects.select("id", "size").join(near, "id", "left")
+    alone = weighed.where("comp IS NULL").select(F.col("id").alias("comp"), F.col("size").cast("long").alias("size"), F.lit(1).cast("long").alias("members"))
+    grouped = weighed.where("comp IS NOT NULL").groupBy("comp").agg(F.sum("size").cast("long").alias("size"), F.count(F.lit(1)).alias("members"))
     links = edges.select("src", "dst")
     for end in ("src", "dst"):
-        links = links.join(known.withColumnRenamed("id", end), end, "left").withColumn(end, F.coalesce("comp", end)).drop("comp")
-    return Condensed(nodes, work.keep(links.where("src <> dst").select("src", "dst").distinct()), known)
+        links = links.join(near.select(F.col("id").alias(end), F.col("comp").alias(f"{end}_comp")), end, "left")
+    moved = F.col("src_comp").isNotNull() | F.col("dst_comp").isNotNull()
+    renamed = links.where(moved).select(F.coalesce("src_comp", "src").alias("src"), F.coalesce("dst_comp", "dst").alias("dst")).distinct()
+    return Condensed(alone.unionByName(grouped), links.where(~moved).select("src", "dst").unionByName(renamed).where("src <> dst"), known)
 
 
 def levels(work: Scratch, nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
@@ -82,7 +87,8 @@ class GraphIndex:
 
     nodes: comp, size, members.  links: (src, dst) between components.  members: (id, comp) of components of several objects.
     tops: (id, top) of nodes that a single link enters: the root of their tree.  ups: for each k, (id, top) exactly 2**k links up.
-    shared: (id) nodes that several links enter; they alone are parts of what several others reach.  exits: (src, dst) links into shared nodes.
+    shared: (id) nodes that several links enter; they alone are parts of what several others reach.  In links, ``inner`` marks sources that are shared, in a
+    tree or its root; of the others nothing is ever handed on.  exits: (src, dst) links of inner nodes into shared ones.
     core: (src, dst) from shared nodes, by any exit of their trees, to shared nodes.  levelled: (id, level) of shared nodes; depth: how many levels.
     """
 
@@ -109,16 +115,19 @@ class GraphIndex:
         with Scratch(spark, "index") as work:
             dag = condense(work, objects, edges, members)
             keep("nodes", dag.nodes)
-            links = keep("links", dag.links)
             keep("members", dag.members)
-            forest = climb(work, work.keep(only_entries(links)))
+            sources = work.keep(entered(dag.links))
+            forest = climb(work, work.keep(sources.where("top = other").select("id", "top")))
             tops = keep("tops", forest.tops.select("id", "top"))
             # The last round has no node that is so deep.
             ups = forest.ups[:-1]
             for k, up in enumerate(ups):
                 keep(f"ups/{k}", up)
-            shared = keep("shared", links.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"))
-            exits = keep("exits", links.join(shared.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst"))
+            shared = keep("shared", sources.where("top <> other").select("id"))
+            inner = work.keep(tops.select("id").unionByName(tops.select(F.col("top").alias("id"))).unionByName(shared).distinct())
+            marks = sized(inner.select(F.col("id").alias("src"), F.lit(True).alias("mark")), inner.count())
+            links = keep("links", dag.links.join(marks, "src", "left").select("src", "dst", F.coalesce("mark", F.lit(False)).alias("inner")))
+            exits = keep("exits", links.where("inner").join(shared.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst"))
             outer = exits.join(tops.withColumnRenamed("id", "src"), "src", "left").select(F.coalesce("top", "src").alias("src"), "dst").distinct()
             core = keep("core", outer.join(shared.select(F.col("id").alias("src")), "src", "left_semi").select("src", "dst"))
             levelled, depth = levels(work, shared, core)
@@ -134,6 +143,11 @@ class GraphIndex:
         """The objects with the component (comp) of each."""
         return objects.join(self.members, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
+    def exits_of(self, found: DataFrame) -> DataFrame:
+        """Links into shared nodes of the sources that ``found`` (src, more columns) names: its rows with dst."""
+        outer = self.links.where("NOT inner").select("src", "dst").join(found, "src").join(self.shared.select(F.col("id").alias("dst")), "dst", "left_semi")
+        return self.exits.join(found, "src").unionByName(outer)
+
     def up_trees(self, work: Scratch, rows: DataFrame, keys: list[str], merge: list[Column]) -> DataFrame:
         """Values (id, keys, values) merged with those of all nodes below in the trees; nodes that are in no tree keep their own."""
         if not self.rounds:
@@ -142,13 +156,21 @@ class GraphIndex:
         climbed = gather(work, work.keep(rows.join(inside, "id", "left_semi")), self.ups, keys, merge)
         return climbed.unionByName(rows.join(inside, "id", "left_anti"))
 
+    def told(self, of_core: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """What links into shared nodes bring of what those have (id, more columns): to inner nodes, and to the others."""
+        brought = of_core.withColumnRenamed("id", "dst")
+        return tuple(links.join(brought, "dst").drop("dst").withColumnRenamed("src", "id") for links in (self.exits, self.links.where("NOT inner").select("src", "dst")))
+
     def reached(self, work: Scratch, own: DataFrame, first: DataFrame | None, keys: list[str], merge: list[Column]) -> DataFrame:
         """What each node reaches through exits, and has (``first``), merged: first in the core, by level, then up the trees.
 
-        ``own``: id, keys and values of the shared nodes.
+        ``own``: id, keys and values of the shared nodes.  Only what inner nodes have goes up the trees; the others take from the core and are done.
         """
         of_core = accumulate(work, own, self.core, self.levelled, self.depth, keys, merge)
-        out = self.exits.join(of_core.withColumnRenamed("id", "dst"), "dst").drop("dst").withColumnRenamed("src", "id")
+        out, outer = self.told(of_core)
         if first is not None:
-            out = out.unionByName(first)
-        return self.up_trees(work, work.keep(out.groupBy("id", *keys).agg(*merge)), keys, merge)
+            names = self.links.where("NOT inner").select(F.col("src").alias("id")).distinct()
+            out = out.unionByName(first.join(names, "id", "left_anti"))
+            outer = outer.unionByName(first.join(names, "id", "left_semi"))
+        inside = self.up_trees(work, work.keep(out.groupBy("id", *keys).agg(*merge)), keys, merge)
+        return inside.unionByName(outer.groupBy("id", *keys).agg(*merge))

@@ -15,9 +15,13 @@ from ..plans.storage import Scratch
 
 
 def only_entries(edges: DataFrame) -> DataFrame:
-    """(id, top): nodes with a single link into them, and where it comes from.  ``edges``: distinct (src, dst), no loops."""
-    entered = edges.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min("src").alias("top"))
-    return entered.where("n = 1").select("id", "top")
+    """(id, top): nodes with links from a single source into them, and that source.  ``edges``: (src, dst), no loops."""
+    return entered(edges).where("top = other").select("id", "top")
+
+
+def entered(edges: DataFrame) -> DataFrame:
+    """(id, top, other): nodes that links enter, and the least and the largest of their sources."""
+    return edges.groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("top"), F.max("src").alias("other"))
 
 
 @dataclass

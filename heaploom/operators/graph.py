@@ -5,13 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.storage import cut, sized
+
 
 class ClosureTooLarge(RuntimeError):
     """The reachable sets pass the budget; a sketch precision needs none of them."""
 
 
 def usable_refs(objects: DataFrame, refs: DataFrame) -> DataFrame:
-    """Distinct (src, dst) whose source and target are objects and whose target is not skipped."""
-    targets = objects.where(~F.col("is_skip")).select(F.col("id").alias("dst"))
+    """Distinct (src, dst) whose source and target are objects and whose target is not skipped.
+
+    Targets that no link may enter are found among the distinct targets, which are fewer than the links; then the links are shuffled once, by source.
+    """
+    barred = barred_targets(objects.where(~F.col("is_skip")), refs)
     sources = objects.select(F.col("id").alias("src"))
-    return refs.select("src", "dst").distinct().join(targets, "dst", "left_semi").join(sources, "src", "left_semi").select("src", "dst")
+    links = refs.where("dst IS NOT NULL").select("src", "dst").join(sized(barred), "dst", "left_anti")
+    return links.join(sources, "src", "left_semi").select("src", "dst").distinct()
+
+
+def barred_targets(objects: DataFrame, refs: DataFrame) -> DataFrame:
+    """(dst): what links lead to that is not among the objects, once each, kept; null if there are links to null."""
+    return cut(refs.select("dst").distinct().join(objects.select(F.col("id").alias("dst")), "dst", "left_anti"))

@@ -26,35 +26,39 @@ def find_path(objects: DataFrame, refs: DataFrame, start: int, end: int, avoidin
     than the end does are left out: sizes grow along links, so no path to the end leads through them.
     Unknown ends raise LookupError.  Links to missing objects are not followed.
 
-    Each round is one join of the frontier with the links.  Its rank keeps the order of the links: per new
-    object the least (rank of the source, position).  Only numbers of rows and the path's ids reach the driver.
+    Each round reads the links of the frontier and then what is known of their targets; neither links nor objects are shuffled while the counted frontier
+    may be broadcast.  Its rank keeps the order of the links: per new object the least (rank of the source, position).  Only numbers of rows and the path's
+    ids reach the driver.
     """
     spark = objects.sparkSession
-    known = _summaries(objects, [start, end])
+    known = {r["id"]: r for r in objects.where(F.col("id").isin([start, end])).select("id", "subtree_size", "is_skip").collect()}
     for id_ in (start, end):
         if id_ not in known:
             raise LookupError(f"object {id_} is not in the dump")
-    least = known[end]["subtree_size"]
+    least, avoiding = known[end]["subtree_size"], set(avoiding)
+    nothing = spark.createDataFrame([], "step int").join(objects.select(*SUMMARY).limit(0), F.lit(True))
+    # What is never entered has no path to it, however much else the start reaches.
+    if start != end and (known[end]["is_skip"] or end in avoiding):
+        return nothing
     fit = ~F.col("is_skip") & ~F.col("id").isin(list(avoiding) or [-1])
     if prune and least is not None:
         fit &= F.col("subtree_size").isNull() | (F.col("subtree_size") >= least)
-    nodes = objects.where(fit).select(F.col("id").alias("dst"))
-    links = refs.join(nodes, "dst", "left_semi").select("src", "pos", "dst")
-    levels = [spark.createDataFrame([(start, None, 0)], "id long, parent long, rank long")]
-    seen = levels[0].select("id")
+    nodes, links = objects.where(fit).select("id"), refs.select("src", "pos", "dst")
+    levels = [F.broadcast(spark.createDataFrame([(start, None, 0)], "id long, parent long, rank long"))]
+    seen, total = levels[0].select("id"), 1
     while start != end:
-        frontier = levels[-1]
-        met = frontier.select(F.col("id").alias("src"), "rank").join(links, "src").select("dst", F.struct("rank", "pos", "src").alias("via"))
-        fresh = met.groupBy(F.col("dst").alias("id")).agg(F.min("via").alias("via")).join(seen, "id", "left_anti")
+        met = links.join(levels[-1].select(F.col("id").alias("src"), "rank"), "src").select("dst", F.struct("rank", "pos", "src").alias("via"))
+        met = cut(met.groupBy(F.col("dst").alias("id")).agg(F.min("via").alias("via")).join(sized(seen, total), "id", "left_anti"))
+        fresh = nodes.join(sized(met), "id")
         # Sorted over all partitions; the ids of the rows grow with the partitions, so they keep the order without one task for all.
         fresh = cut(fresh.orderBy("via.rank", "via.pos").select("id", F.col("via.src").alias("parent"), F.monotonically_increasing_id().alias("rank")))
         n = fresh.count()
         if not n:
-            return spark.createDataFrame([], "step int").join(objects.select(*SUMMARY).limit(0), F.lit(True))
+            return nothing
         levels.append(sized(fresh, n))
         if fresh.where(F.col("id") == end).count():
             break
-        seen = cut(seen.unionByName(fresh.select("id")))
+        seen, total = cut(seen.unionByName(fresh.select("id"))), total + n
     path = [end]
     for level in reversed(levels[1:]):
         path.append(level.where(F.col("id") == path[-1]).first()["parent"])
@@ -77,8 +81,8 @@ def find_paths(objects: DataFrame, refs: DataFrame, requests: DataFrame, avoidin
         ends = asked.select(F.explode(F.array("start", "end")).alias("id")).distinct()
         if missing := ends.join(objects.select("id"), "id", "left_anti").first():
             raise LookupError(f"object {missing['id']} is not in the dump")
-        nodes = objects.where(~F.col("is_skip")).select(F.col("id").alias("dst"), F.col("subtree_size").alias("weight"))
-        links = work.keep(refs.join(nodes, "dst").select("src", "pos", "dst", "weight"))
+        nodes = objects.where(~F.col("is_skip")).select("id", F.col("subtree_size").alias("weight"))
+        links = refs.select("src", "pos", "dst")
         goals = asked.select("request", "end", "least")
         frontier = work.keep(asked.select("request", F.col("start").alias("id"), F.lit(None).cast("long").alias("parent"), F.lit(0).cast("long").alias("rank")))
         levels, seen = [frontier], frontier.select("request", "id")
@@ -86,12 +90,15 @@ def find_paths(objects: DataFrame, refs: DataFrame, requests: DataFrame, avoidin
         arrived = [work.keep(asked.where("start = end").select("request", F.col("end").alias("id")))]
         open_ = work.keep(goals.join(arrived[0].select("request"), "request", "left_anti"))
         while n and not open_.isEmpty():
-            front = sized(levels[-1].join(sized(open_), "request").select("request", "end", "least", F.col("id").alias("src"), "rank"), n)
-            met = links.join(front, "src")
+            front = sized(levels[-1].join(sized(open_), "request").select("request", F.col("id").alias("src"), "rank"), n)
+            met = links.join(front, "src").groupBy("request", F.col("dst").alias("id")).agg(F.min(F.struct("rank", "pos", "src")).alias("via"))
+            met = work.keep(met.join(seen, ["request", "id"], "left_anti"))
+            # Targets are looked up for what was met alone: links and objects are read each hop, and shuffled only where the frontier is too large to broadcast.
+            fresh = nodes.join(sized(met), "id")
             if prune:
-                met = met.where("weight IS NULL OR least IS NULL OR weight >= least")
-            met = met.groupBy("request", F.col("dst").alias("id")).agg(F.min(F.struct("rank", "pos", "src")).alias("via"))
-            fresh = met.join(seen, ["request", "id"], "left_anti")
+                # A request whose ends differ in size keeps what any of them allows.
+                allowed = work.keep(open_.groupBy("request").agg(F.expr("CASE WHEN count(least) = count(*) THEN min(least) END").alias("least")))
+                fresh = fresh.join(sized(allowed), "request").where("weight IS NULL OR least IS NULL OR weight >= least")
             if avoiding is not None:
                 fresh = fresh.join(avoiding.select("request", "id"), ["request", "id"], "left_anti")
             # Sorted over all partitions: within each request the numbers of the rows keep the order.
@@ -111,7 +118,8 @@ def find_paths(objects: DataFrame, refs: DataFrame, requests: DataFrame, avoidin
         found = steps[0]
         for more in steps[1:]:
             found = found.unionByName(more)
-        return cut(found.join(objects.select(*SUMMARY), "id").select("request", "step", *SUMMARY))
+        found = work.keep(found)
+        return cut(objects.select(*SUMMARY).join(sized(found), "id").select("request", "step", *SUMMARY))
 
 
 def _sides(work: Scratch, objects: DataFrame, graph: GraphIndex, first: int, second: int) -> DataFrame:
@@ -130,8 +138,7 @@ def _sides(work: Scratch, objects: DataFrame, graph: GraphIndex, first: int, sec
         both = seen.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("id")
         found = sizes.join(sized(work.keep(both)), "id").agg(F.max("subtree_size").alias("best")).first()["best"]
         best = found if best is None else max(best, found)
-        fresh = graph.exits.join(sized(met.withColumnRenamed("id", "src"), met.count()), "src").select(F.col("dst").alias("id"), "side").distinct().join(seen, ["id", "side"], "left_anti")
-        fresh = work.keep(fresh)
+        fresh = work.keep(graph.exits_of(sized(met.withColumnRenamed("id", "src"), met.count())).select(F.col("dst").alias("id"), "side").distinct().join(seen, ["id", "side"], "left_anti"))
         if best is not None:
             fresh = work.keep(sizes.join(sized(fresh), "id").where(F.col("subtree_size") >= best).select("id", "side"))
         if fresh.isEmpty():

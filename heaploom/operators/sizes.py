@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.sketch import estimate, lanes_of, merged
 from ..plans.storage import Scratch, cut
 from ..schema import Precision
-from .dag import GraphIndex
+from .dag import GraphIndex, accumulate
 from .graph import ClosureTooLarge
 
 #: Exact sizes give up beyond so many chunks of reachable sets, unless told otherwise.
@@ -31,12 +31,30 @@ def exact_sizes(objects: DataFrame, edges: DataFrame, max_pairs: int | None = MA
         numbered = work.keep(graph.shared.withColumn("at", F.monotonically_increasing_id()))
         word, bit = F.expr(f"at div {CHUNK}").alias("word"), F.expr(f"shiftleft(1L, cast(at % {CHUNK} as int))").alias("bits")
         items = work.keep(numbered.select("id", word, bit))
-        sets = work.keep(graph.reached(work, items, None, ["word"], [F.bit_or("bits").alias("bits")]))
-        if max_pairs is not None and (chunks := items.count() + sets.count()) > max_pairs:
+        merge = [F.bit_or("bits").alias("bits")]
+        of_core = accumulate(work, items, graph.core, graph.levelled, graph.depth, ["word"], merge)
+        # One row a word, so each chunk meets one row: the sizes of its bits are picked from an array.
+        words = items.join(weights, "id").groupBy("word").agg(F.collect_list(F.struct(F.col("bits").alias("bit"), "size")).alias("sizes"))
+        far = F.aggregate("sizes", F.lit(0).cast("long"), lambda sum_, one: sum_ + F.when(F.col("bits").bitwiseAND(one["bit"]) != 0, one["size"]).otherwise(F.lit(0).cast("long")))
+        words = work.keep(words)
+
+        def priced(sets: DataFrame) -> DataFrame:
+            return sets.join(words, "word").select("id", "word", "bits", far.alias("far"))
+
+        of_core = work.keep(priced(of_core))
+        inside, outer = graph.told(of_core)
+        inside = work.keep(inside.groupBy("id", "word").agg(*merge))
+        inside = graph.up_trees(work, inside, ["word"], merge)
+        # Others take chunks as they are: where one chunk of a word holds all the bits, its price is known; only unions are priced anew.
+        outer = outer.groupBy("id", "word").agg(*merge, F.max(F.struct(F.bit_count("bits").alias("n"), "bits", "far")).alias("most"))
+        outer = work.keep(outer.select("id", "word", "bits", F.when(F.col("bits") == F.col("most.bits"), F.col("most.far")).alias("far")))
+        parts = outer.where("far IS NOT NULL").unionByName(priced(outer.where("far IS NULL").select("id", "word", "bits").unionByName(inside)))
+        summed = parts.groupBy("id").agg(F.sum("far").alias("far"), F.count(F.lit(1)).alias("chunks"))
+        found = weights.join(summed, "id", "left").select(F.col("id").alias("comp"), (F.col("size") + F.coalesce("far", F.lit(0))).cast("long").alias("subtree_size"), "chunks")
+        found = work.keep(found)
+        if max_pairs is not None and (chunks := items.count() + (found.agg(F.sum("chunks")).first()[0] or 0)) > max_pairs:
             raise ClosureTooLarge(f"{chunks} chunks of reachable sets; use a sketch precision or raise max_pairs above {max_pairs}")
-        weighed = items.join(weights, "id").select("word", F.col("bits").alias("bit"), "size")
-        summed = sets.join(weighed, "word").where(F.col("bits").bitwiseAND(F.col("bit")) != 0).groupBy("id").agg(F.sum("size").alias("far"))
-        found = weights.join(summed, "id", "left").select(F.col("id").alias("comp"), (F.col("size") + F.coalesce("far", F.lit(0))).cast("long").alias("subtree_size"))
+        found = found.drop("chunks")
         return _of_objects(objects.select("id"), graph, found, index is None)
 
 

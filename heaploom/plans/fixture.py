@@ -12,7 +12,7 @@ from ..dump import HeapDump
 from ..functions.rules import is_skip
 from ..operators import graph, sizes
 from ..operators.dag import GraphIndex
-from .storage import cut
+from .storage import stored
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
 _EVENT = "CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END"
@@ -74,12 +74,20 @@ def _kept(spark: SparkSession, sf_dir: str, what: str, make):
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _kept(spark, sf_dir, "edges", lambda: cut(graph.usable_refs(objects(spark, sf_dir), refs(spark, sf_dir))))
+    return _kept(spark, sf_dir, "edges", lambda: stored(graph.usable_refs(_objects(spark, sf_dir), _refs(spark, sf_dir)), "edges"))
+
+
+def _objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kept(spark, sf_dir, "objects", lambda: stored(objects(spark, sf_dir), "objects"))
+
+
+def _refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kept(spark, sf_dir, "refs", lambda: stored(refs(spark, sf_dir), "refs"))
 
 
 def index(spark: SparkSession, sf_dir: str) -> GraphIndex:
     """The condensed graph."""
-    return _kept(spark, sf_dir, "index", lambda: GraphIndex.build(objects(spark, sf_dir), edges(spark, sf_dir)))
+    return _kept(spark, sf_dir, "index", lambda: GraphIndex.build(_objects(spark, sf_dir), edges(spark, sf_dir)))
 
 
 def dump(spark: SparkSession, sf_dir: str, exact: bool = False) -> HeapDump:
@@ -89,8 +97,8 @@ def dump(spark: SparkSession, sf_dir: str, exact: bool = False) -> HeapDump:
         return HeapDump(plain, refs(spark, sf_dir))
 
     def make() -> HeapDump:
-        all_objects = objects(spark, sf_dir)
+        all_objects = _objects(spark, sf_dir)
         found = sizes.exact_sizes(all_objects, edges(spark, sf_dir), index=index(spark, sf_dir))
-        return HeapDump(cut(all_objects.join(found, "id").select("id", "type", "value", "size", "subtree_size", "is_skip")), cut(refs(spark, sf_dir)), index(spark, sf_dir))
+        return HeapDump(stored(all_objects.join(found, "id").select("id", "type", "value", "size", "subtree_size", "is_skip"), "sized"), _refs(spark, sf_dir), index(spark, sf_dir))
 
     return _kept(spark, sf_dir, "dump", make)
