@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.storage import sized
 from ..schema import ALL_TYPES, PAGE_SIZE, SUMMARY
+from .graph import barred_targets
 from .rollup import of_type
 
 
@@ -59,5 +61,9 @@ def object_detail(objects: DataFrame, refs: DataFrame, id_: int, strict: bool =
 
 
 def dangling_references(objects: DataFrame, refs: DataFrame) -> DataFrame:
-    """Links (src, pos, dst) to objects that are missing."""
-    return refs.join(objects.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "pos", "dst")
+    """Links (src, pos, dst) to objects that are missing.
+
+    The distinct targets, fewer than the links, are looked up first; the links are shuffled only where too many of those are missing to broadcast them.
+    """
+    missing = sized(barred_targets(objects, refs).select(F.col("dst").alias("missing")))
+    return refs.join(missing, refs["dst"].eqNullSafe(F.col("missing")), "left_semi").select("src", "pos", "dst")
