@@ -85,6 +85,10 @@ class HeapDump:
     def largest_common_reachable(self, first: int, second: int) -> DataFrame:
         return paths.largest_common_reachable(self.objects, self.refs, first, second, self._sized_index(first, second))
 
+    def largest_common_exact(self, first: int, second: int) -> DataFrame:
+        """The same by exact sizes, which are worked out for what both reach alone."""
+        return paths.largest_common_exact(self.objects, self.refs, first, second)
+
     def common_report(self, first: int, second: int) -> DataFrame:
         return paths.common_report(self.objects, self.refs, first, second, self._sized_index(first, second))
 

@@ -7,11 +7,12 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import Scratch, cut, sized
+from ..plans.storage import Scratch, cut, looked_up, sized
 from ..schema import SUMMARY
 from .dag import GraphIndex
 from .forest import below
 from .graph import usable_refs
+from .sizes import exact_sizes
 
 
 def _summaries(objects: DataFrame, ids: list[int]) -> dict[int, object]:
@@ -45,17 +46,17 @@ def find_path(objects: DataFrame, refs: DataFrame, start: int, end: int, avoidin
         fit &= F.col("subtree_size").isNull() | (F.col("subtree_size") >= least)
     nodes, links = objects.where(fit).select("id"), refs.select("src", "pos", "dst")
     levels = [F.broadcast(spark.createDataFrame([(start, None, 0)], "id long, parent long, rank long"))]
-    seen, total = levels[0].select("id"), 1
+    seen, total, n = levels[0].select("id"), 1, 1
     while start != end:
-        met = links.join(levels[-1].select(F.col("id").alias("src"), "rank"), "src").select("dst", F.struct("rank", "pos", "src").alias("via"))
+        met = looked_up(links, "src", levels[-1].select(F.col("id").alias("src"), "rank"), n).select("dst", F.struct("rank", "pos", "src").alias("via"))
         met = cut(met.groupBy(F.col("dst").alias("id")).agg(F.min("via").alias("via")).join(sized(seen, total), "id", "left_anti"))
-        fresh = nodes.join(sized(met), "id")
+        fresh = looked_up(nodes, "id", met, met.count())
         # Sorted over all partitions; the ids of the rows grow with the partitions, so they keep the order without one task for all.
         fresh = cut(fresh.orderBy("via.rank", "via.pos").select("id", F.col("via.src").alias("parent"), F.monotonically_increasing_id().alias("rank")))
         n = fresh.count()
         if not n:
             return nothing
-        levels.append(sized(fresh, n))
+        levels.append(fresh)
         if fresh.where(F.col("id") == end).count():
             break
         seen, total = cut(seen.unionByName(fresh.select("id"))), total + n
@@ -167,6 +168,38 @@ def largest_common_reachable(objects: DataFrame, refs: DataFrame, first: int, se
         return cut(found.orderBy(F.desc("subtree_size"), "id").limit(1).select(*SUMMARY))
 
 
+def largest_common_exact(objects: DataFrame, refs: DataFrame, first: int, second: int) -> DataFrame:
+    """The row of :func:`largest_common_reachable` by exact sizes, for a dump of which no sizes are known; no row if they share nothing.
+
+    What both reach holds all that any of it reaches, so sizes are worked out for that alone.
+    """
+    known = _summaries(objects, [first, second])
+    for id_ in (first, second):
+        if id_ not in known:
+            raise LookupError(f"object {id_} is not in the dump")
+    with Scratch(objects.sparkSession, "common") as work:
+        both = work.keep(_reached_by_both(work, objects, refs, first, second))
+        n = both.count()
+        own = work.keep(looked_up(objects, "id", both, n))
+        inside = work.keep(looked_up(refs, "src", both.withColumnRenamed("id", "src"), n).select("src", "dst"))
+        found = exact_sizes(own, work.keep(usable_refs(own, inside))) if n else own.select("id", "subtree_size")
+        return cut(own.drop("subtree_size").join(found, "id").orderBy(F.desc("subtree_size"), "id").limit(1).select(*SUMMARY))
+
+
+def _reached_by_both(work: Scratch, objects: DataFrame, refs: DataFrame, first: int, second: int) -> DataFrame:
+    """(id): the objects that each of two reaches, itself included, by links that count.  A hop reads the links of what was met last."""
+    nodes, links = objects.where(~F.col("is_skip")).select("id"), refs.select("src", "dst")
+    fresh = work.keep(work.spark.createDataFrame([(first, 0), (second, 1)], "id long, side int"))
+    seen, total, n = fresh, 2, 2
+    while n:
+        met = looked_up(links, "src", fresh.withColumnRenamed("id", "src"), n).select(F.col("dst").alias("id"), "side").distinct()
+        met = work.keep(met.join(sized(seen, total), ["id", "side"], "left_anti"))
+        fresh = work.keep(looked_up(nodes, "id", met, met.count()).select("id", "side"))
+        n = fresh.count()
+        seen, total = work.keep(seen.unionByName(fresh)), total + n
+    return seen.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("id")
+
+
 def common_report(objects: DataFrame, refs: DataFrame, first: int, second: int, index: GraphIndex | None = None) -> DataFrame:
     """(origin, step, summary...): the paths from both objects to what they share; no rows if nothing."""
     top = largest_common_reachable(objects, refs, first, second, index).first()

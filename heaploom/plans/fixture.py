@@ -85,6 +85,17 @@ def _refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kept(spark, sf_dir, "refs", lambda: stored(refs(spark, sf_dir), "refs"))
 
 
+def plain(spark: SparkSession, sf_dir: str) -> HeapDump:
+    """The graph as a dump without sizes, stored by id and by source: look-ups of few objects or sources read few row groups."""
+
+    def make() -> HeapDump:
+        by_id = stored(objects(spark, sf_dir).repartitionByRange("id").sortWithinPartitions("id"), "by-id")
+        by_source = stored(refs(spark, sf_dir).repartitionByRange("src").sortWithinPartitions("src"), "by-source")
+        return HeapDump(by_id.select("id", "type", "value", "size", F.lit(None).cast("long").alias("subtree_size"), "is_skip"), by_source)
+
+    return _kept(spark, sf_dir, "plain", make)
+
+
 def index(spark: SparkSession, sf_dir: str) -> GraphIndex:
     """The condensed graph."""
     return _kept(spark, sf_dir, "index", lambda: GraphIndex.build(_objects(spark, sf_dir), edges(spark, sf_dir)))

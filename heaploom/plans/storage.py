@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Tables of at most so many narrow rows may be broadcast.
 BROADCAST_ROWS = 400_000
+#: So many keys are looked up by a filter (Spark's Parquet reader takes a longer list as its least and largest value).
+HANDFUL = 10
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -115,6 +117,16 @@ def sized(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
 
 
+def looked_up(df: DataFrame, key: str, among: DataFrame, rows: int) -> DataFrame:
+    """The rows of ``df`` whose key is among those of a kept table of so many rows, joined with it.
+
+    A handful of keys is a filter too, which Parquet's statistics answer without reading most of a table that is stored by the key.
+    """
+    if rows <= HANDFUL:
+        df = df.where(F.col(key).isin([r[0] for r in among.select(key).distinct().collect()]))
+    return df.join(sized(among, rows), key)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from heaploom.operators import graph, listing
 from heaploom.operators.dag import GraphIndex
+from heaploom.operators import paths
 from heaploom.operators.paths import find_path
 from heaploom.operators.sizes import exact_sizes
 
@@ -39,3 +40,19 @@ def test_missing_targets_are_looked_up_once_each(spark):
     more = refs.unionByName(spark.createDataFrame([(1, 5, 99), (2, 6, 99), (2, 7, None)], refs.schema))
     assert [r["dst"] for r in graph.barred_targets(objects, more.where("dst IS NOT NULL")).collect()] == [99]
     assert {(r["src"], r["pos"], r["dst"]) for r in listing.dangling_references(objects, more).collect()} == {(1, 5, 99), (2, 6, 99), (2, 7, None)}
+
+
+def test_sizes_are_worked_out_for_what_both_reach_alone(spark):
+    """4 links lie in what both reach; no object has a size, and no other link is ever part of a graph of sizes."""
+    objects = spark.range(1, 1001).selectExpr("id", "'t' AS type", "CAST(NULL AS STRING) AS value", "id AS size", "CAST(NULL AS BIGINT) AS subtree_size", "id = 995 AS is_skip")
+    refs = spark.range(1, 1000).selectExpr("id AS src", "0 AS pos", "id + 1 AS dst").where("src >= 990 OR src = 1").unionByName(spark.createDataFrame([(3, 0, 990), (2, 0, 990)], "src long, pos int, dst long"))
+    asked, given = [], paths.exact_sizes
+    paths.exact_sizes = lambda own, edges: asked.append((own.count(), edges.count())) or given(own, edges)
+    try:
+        top = paths.largest_common_exact(objects, refs, 1, 3).collect()
+        assert paths.largest_common_exact(objects, refs, 4, 3).count() == 0
+    finally:
+        paths.exact_sizes = given
+    assert [(r["id"], r["subtree_size"]) for r in top] == [(990, 990 + 991 + 992 + 993 + 994)]
+    assert asked == [(5, 4)]
+    assert paths.largest_common_exact(objects, refs, 995, 995).first()["subtree_size"] == sum(range(995, 1001))
