@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ..dump import HeapDump
 from ..functions.rules import is_skip
 from ..operators import graph, sizes
-from ..operators.dag import GraphIndex
-from .storage import stored
+from ..operators.dag import GraphIndex, condense
+from .storage import Scratch, stored
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
 _EVENT = "CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END"
@@ -101,6 +101,18 @@ def index(spark: SparkSession, sf_dir: str) -> GraphIndex:
     return _kept(spark, sf_dir, "index", lambda: GraphIndex.build(_objects(spark, sf_dir), edges(spark, sf_dir)))
 
 
+def component_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst) between strong components.  Trees and levels of the index are not made for that; where it was made already, its links are read."""
+    if (spark.sparkContext.applicationId, sf_dir, "index") in _KEPT:
+        return index(spark, sf_dir).links.select("src", "dst")
+
+    def make() -> DataFrame:
+        with Scratch(spark, "condensed") as work:
+            return stored(condense(work, _objects(spark, sf_dir), edges(spark, sf_dir)).links, "links")
+
+    return _kept(spark, sf_dir, "component_links", make)
+
+
 def dump(spark: SparkSession, sf_dir: str, exact: bool = False) -> HeapDump:
     """The graph as a dump; with exact subtree sizes if asked for."""
     if not exact:

@@ -9,6 +9,7 @@ from heaploom.operators import graph, listing, paths
 from heaploom.operators.dag import GraphIndex
 from heaploom.operators.paths import find_path
 from heaploom.operators.sizes import exact_sizes
+from heaploom.plans import fixture
 
 
 def dump(spark):
@@ -69,3 +70,12 @@ def test_sketches_are_merged_within_tasks_first(spark):
     rows = [("x", [1.0, 5.0]), ("x", [2.0, 3.0]), ("y", None), ("z", [1.0, None]), ("z", [0.5, 2.0]), (None, [4.0]), (None, [3.0, 7.0]), ("n", [nan]), ("n", [1.0])]
     found = merge_sketches(spark.createDataFrame(rows, "k string, sketch array<float>"), ["k"]).collect()
     assert {r["k"]: str(r["sketch"]) for r in found} == {"x": "[2.0, 5.0]", "z": "[1.0, 2.0]", None: "[4.0, 7.0]", "n": "[nan]"}
+
+
+def test_component_links_need_no_levels(spark, monkeypatch):
+    """Links 1-2 go round, so 3 leads to 1 once; the index with its trees and levels is not built."""
+    objects = spark.range(1, 4).selectExpr("id", "id AS size")
+    monkeypatch.setattr(fixture, "_objects", lambda *_: objects)
+    monkeypatch.setattr(fixture, "edges", lambda *_: spark.createDataFrame([(1, 2), (2, 1), (3, 1), (3, 2)], "src long, dst long"))
+    monkeypatch.setattr(GraphIndex, "build", None)
+    assert [tuple(r) for r in fixture.component_links(spark, "nowhere").collect()] == [(3, 1)]
