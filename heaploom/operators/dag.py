@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import Scratch, filesystem, fresh_path, sized
 from .components import strong_components
-from .forest import climb, entered, gather
+from .forest import Merge, climb, entered, gather, grouped
 
 
 @dataclass
@@ -59,7 +59,7 @@ def levels(work: Scratch, nodes: DataFrame, links: DataFrame) -> tuple[DataFrame
     return (work.spark.read.schema(schema).parquet(path) if level else work.spark.createDataFrame([], schema)), level
 
 
-def accumulate(work: Scratch, own: DataFrame, links: DataFrame, levelled: DataFrame, depth: int, keys: list[str], merge: list[Column]) -> DataFrame:
+def accumulate(work: Scratch, own: DataFrame, links: DataFrame, levelled: DataFrame, depth: int, keys: list[str], merge: Merge) -> DataFrame:
     """Merge the values of each node with those of all nodes that it reaches: rows of id, keys and values, as in ``own``.
 
     Level by level from below.  Each link is used once: when a node's values are complete, they are sent to its
@@ -74,7 +74,7 @@ def accumulate(work: Scratch, own: DataFrame, links: DataFrame, levelled: DataFr
         now = placed.where(F.col("level") == level).drop("level")
         if level:
             now = now.unionByName(work.spark.read.schema(schema).parquet(f"{inbox}/reads={level}"))
-        now.groupBy("id", *keys).agg(*merge).select(*schema.names).write.parquet(f"{done}/level={level}")
+        grouped(now, keys, merge).select(*schema.names).write.parquet(f"{done}/level={level}")
         now = work.spark.read.schema(schema).parquet(f"{done}/level={level}")
         if level + 1 < depth:
             told = now.withColumnRenamed("id", "dst").join(sent.where(F.col("level") == level).select("src", "dst", "reads"), "dst").drop("dst").withColumnRenamed("src", "id")
@@ -160,17 +160,3 @@ class GraphIndex:
         """What links into shared nodes bring of what those have (id, more columns): to inner nodes, and to the others."""
         brought = of_core.withColumnRenamed("id", "dst")
         return tuple(links.join(brought, "dst").drop("dst").withColumnRenamed("src", "id") for links in (self.exits, self.links.where("NOT inner").select("src", "dst")))
-
-    def reached(self, work: Scratch, own: DataFrame, first: DataFrame | None, keys: list[str], merge: list[Column]) -> DataFrame:
-        """What each node reaches through exits, and has (``first``), merged: first in the core, by level, then up the trees.
-
-        ``own``: id, keys and values of the shared nodes.  Only what inner nodes have goes up the trees; the others take from the core and are done.
-        """
-        of_core = accumulate(work, own, self.core, self.levelled, self.depth, keys, merge)
-        out, outer = self.told(of_core)
-        if first is not None:
-            names = self.links.where("NOT inner").select(F.col("src").alias("id")).distinct()
-            out = out.unionByName(first.join(names, "id", "left_anti"))
-            outer = outer.unionByName(first.join(names, "id", "left_semi"))
-        inside = self.up_trees(work, work.keep(out.groupBy("id", *keys).agg(*merge)), keys, merge)
-        return inside.unionByName(outer.groupBy("id", *keys).agg(*merge))

@@ -6,6 +6,7 @@ trees (and cycles that nothing enters), and a tree of any depth is climbed in as
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -62,15 +63,24 @@ def climb(work: Scratch, entries: DataFrame) -> Forest:
     return Forest(pointers, False)
 
 
-def gather(work: Scratch, rows: DataFrame, ups: list[DataFrame], keys: list[str], merge: list[Column]) -> DataFrame:
+#: Aggregates named like the values, or what merges rows by id (without keys).
+Merge = list[Column] | Callable[[DataFrame], DataFrame]
+
+
+def grouped(rows: DataFrame, keys: list[str], merge: Merge) -> DataFrame:
+    """The values of each id (and keys) merged."""
+    return merge(rows) if callable(merge) else rows.groupBy("id", *keys).agg(*merge)
+
+
+def gather(work: Scratch, rows: DataFrame, ups: list[DataFrame], keys: list[str], merge: Merge) -> DataFrame:
     """Merge the values of each node with those of all nodes below it in its tree.
 
-    ``rows``: id, keys and values; ``merge``: aggregates named like the values; ``ups``: see :class:`Forest`.  In round k a node hands what it has
+    ``rows``: id, keys and values; ``ups``: see :class:`Forest`.  In round k a node hands what it has
     of its nearest 2**k levels to its ancestor 2**k links up, so each value reaches each ancestor once, and sums are right, too.
     """
     for up in ups:
         moved = rows.join(up, "id").drop("id").withColumnRenamed("top", "id")
-        rows = work.keep(rows.unionByName(moved).groupBy("id", *keys).agg(*merge))
+        rows = work.keep(grouped(rows.unionByName(moved), keys, merge))
     return rows
 
 

@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sketch import estimate, lanes_of, merged
-from ..plans.storage import Scratch, cut
+from ..functions.sets import estimated, known_of_trees, merge_sets, own_sets
+from ..plans.storage import Scratch, cut, sized
 from ..schema import Precision
 from .dag import GraphIndex, accumulate
+from .forest import gather
 from .graph import ClosureTooLarge
 
 #: Exact sizes give up beyond so many chunks of reachable sets, unless told otherwise.
 MAX_PAIRS = 10_000_000_000
 #: Bits of a chunk (a power of two, at most 64).
 CHUNK = 64
+#: Sketches of trees of at most so many nodes are merged within a task.
+TREE = 50_000
 
 
 def exact_sizes(objects: DataFrame, edges: DataFrame, max_pairs: int | None = MAX_PAIRS, index: GraphIndex | None = None) -> DataFrame:
@@ -69,23 +72,42 @@ def _of_objects(objects: DataFrame, graph: GraphIndex, found: DataFrame, passing
 def sketch_sizes(objects: DataFrame, edges: DataFrame, lanes: int, index: GraphIndex | None = None) -> DataFrame:
     """(id, subtree_size) estimated with so many lanes.
 
-    The lanes of a component are the largest of its members'.  They travel as the exact sets do: up the trees, by level through the core, each link used
-    once.  What has no links out needs no more than its own.
+    The sketch of what a node reaches is that of a set of objects, which is handed on as it is while it is small, and as lanes else (see :mod:`..functions.sets`).
+    Sets of shared nodes hold their trees; they go by level through the core, each link used once, and then to what links into them.  Of the rest, inner nodes are
+    gathered tree by tree, and the others are done with one shuffle of what they are told.
     """
-    merge = merged(lanes)
     with Scratch(objects.sparkSession, "sketches") as work:
         graph = index or GraphIndex.build(objects, edges)
-        sources = work.keep(graph.links.select(F.col("src").alias("id")).distinct())
-        placed = graph.component_of(objects.select("id", "size"))
-        own = placed.select(F.col("comp").alias("id"), *lanes_of(lanes, F.col("id"), F.col("size"))).groupBy("id").agg(*merge)
-        inner = work.keep(own.join(sources.unionByName(graph.shared).unionByName(graph.tops.select("id")).distinct(), "id", "left_semi"))
-        # Only of trees below shared nodes the sum is needed before the core is done.
-        below_shared = graph.tops.join(graph.shared.withColumnRenamed("id", "top"), "top", "left_semi").select("id").unionByName(graph.shared)
-        trees = graph.up_trees(work, work.keep(inner.join(below_shared, "id", "left_semi")), [], merge).join(graph.shared, "id", "left_semi")
-        found = graph.reached(work, trees, inner, [], merge).join(sources, "id", "left_semi")
-        ends = own.join(sources, "id", "left_anti")
-        every = found.unionByName(ends).select(F.col("id").alias("comp"), estimate(lanes).alias("subtree_size"))
-        return _of_objects(objects.select("id"), graph, every, index is None)
+        few = graph.members.count()
+        near = sized(graph.members, few)
+        placed = objects.select("id", "size").join(near, "id", "left")
+        own = own_sets(placed.select(F.coalesce("comp", "id").alias("id"), F.col("id").alias("element"), F.col("size").alias("weight")))
+        parents = (graph.ups[0] if graph.rounds else graph.tops.limit(0)).withColumnRenamed("top", "parent")
+        tree = work.keep(graph.tops.join(parents, "id", "left"))
+        roots = tree.select(F.col("top").alias("id")).unionByName(graph.shared).distinct()
+        nodes = work.keep(tree.unionByName(roots.select("id", F.col("id").alias("top"), F.lit(None).cast("long").alias("parent"))))
+        inner = work.keep(own.join(nodes, "id"))
+        of_shared = inner.join(graph.shared.withColumnRenamed("id", "top"), "top", "left_semi").select(F.col("top").alias("id"), "n", "s")
+        of_core = accumulate(work, merge_sets(of_shared, lanes), graph.core, graph.levelled, graph.depth, [], lambda rows: merge_sets(rows, lanes))
+        told, outer = graph.told(of_core)
+        told = told.join(nodes, "id").unionByName(inner)
+        # Trees that are too large for a task are climbed in rounds.
+        large = work.keep(nodes.groupBy("top").agg(F.count(F.lit(1)).alias("nodes")).where(F.col("nodes") > TREE).select("top"))
+        if n_large := large.count():
+            wide = sized(large, n_large)
+            far = merge_sets(told.join(wide, "top", "left_semi").select("id", "n", "s"), lanes)
+            ups = [up.join(nodes.join(wide, "top", "left_semi").select("id"), "id", "left_semi") for up in graph.ups]
+            outer = outer.unionByName(gather(work, work.keep(far), ups, [], lambda rows: merge_sets(rows, lanes)))
+            told = told.join(wide, "top", "left_anti")
+        every = own.unionByName(outer).unionByName(known_of_trees(told, lanes))
+        found = estimated(every, lanes)
+        if few:
+            # Objects are named by themselves, but for the members of components of several.
+            found = found.withColumnRenamed("id", "comp").join(sized(graph.members, few).withColumnRenamed("id", "member"), "comp", "left").select(F.coalesce("member", "comp").alias("id"), "subtree_size")
+        out = cut(found)
+        if index is None:
+            graph.drop()
+        return out
 
 
 def subtree_sizes(objects: DataFrame, edges: DataFrame, precision: Precision, max_pairs: int | None = MAX_PAIRS, index: GraphIndex | None = None) -> DataFrame:
