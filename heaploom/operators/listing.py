@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import sized
+from ..plans.storage import cut, sized
 from ..schema import ALL_TYPES, PAGE_SIZE, SUMMARY
 from .graph import barred_targets
 from .rollup import of_type
 
+#: So many objects are looked up by a filter.
+FEW = 1_000
+
 
 def objects_of_type(objects: DataFrame, type_: str = ALL_TYPES, sort: str = "id", page: int | None = None, first_page: int = 0) -> DataFrame:
     """Summaries of a type by id, or by size or subtree_size, largest first and then by id.
@@ -27,14 +30,24 @@ def objects_of_type(objects: DataFrame, type_: str = ALL_TYPES, sort: str = "id"
 
 def references_of(objects: DataFrame, refs: DataFrame, ids: list[int]) -> DataFrame:
     """(src, pos, then the summary of the target): out-links in order, repeated ones included."""
-    links = refs.where(F.col("src").isin(ids))
-    return links.join(objects.select(*SUMMARY), F.col("dst") == F.col("id")).select("src", "pos", *SUMMARY)
+    return _linked(objects, cut(refs.where(F.col("src").isin(ids))))
+
+
+def _linked(objects: DataFrame, links: DataFrame) -> DataFrame:
+    return links.join(_named(objects, links, "dst"), F.col("dst") == F.col("id")).select("src", "pos", *SUMMARY)
+
+
+def _named(objects: DataFrame, links: DataFrame, end: str) -> DataFrame:
+    """Summaries of objects, among them all that kept links name; of few names only those, so that the filter reaches the tables before anything is grouped or shuffled."""
+    names = [r[0] for r in links.where(F.col(end).isNotNull()).select(end).distinct().limit(FEW + 1).collect()]
+    found = objects.select(*SUMMARY)
+    return found.where(F.col("id").isin(names)) if len(names) <= FEW else found
 
 
 def referrers_of(objects: DataFrame, refs: DataFrame, ids: list[int]) -> DataFrame:
     """(dst, then the summary of the source): each object that refers to it, once.  ``refs`` may be stored by target."""
-    links = refs.where(F.col("dst").isin(ids)).select("dst", "src").distinct()
-    return links.join(objects.select(*SUMMARY), F.col("src") == F.col("id")).select("dst", *SUMMARY)
+    links = cut(refs.where(F.col("dst").isin(ids)).select("dst", "src").distinct())
+    return links.join(_named(objects, links, "src"), F.col("src") == F.col("id")).select("dst", *SUMMARY)
 
 
 def object_detail(objects: DataFrame, refs: DataFrame, id_: int, strict: bool = True, referrers: DataFrame | None = None) -> DataFrame:
@@ -44,12 +57,13 @@ def object_detail(objects: DataFrame, refs: DataFrame, id_: int, strict: bool =
 
     With ``strict`` a link to an object that is missing raises LookupError; without, it is left out.
     """
+    links = cut(refs.where(F.col("src") == id_))
     if strict:
-        missing = refs.where(F.col("src") == id_).join(objects.select(F.col("id").alias("dst")), "dst", "left_anti").select("dst").first()
+        missing = links.join(_named(objects, links, "dst").select(F.col("id").alias("dst")), "dst", "left_anti").select("dst").first()
         if missing:
             raise LookupError(f"object {id_} refers to {missing['dst']}, which is not in the dump")
     summary = F.struct(*SUMMARY)
-    out = references_of(objects, refs, [id_]).groupBy("src").agg(F.sort_array(F.collect_list(F.struct("pos", summary.alias("o")))).alias("links"))
+    out = _linked(objects, links).groupBy("src").agg(F.sort_array(F.collect_list(F.struct("pos", summary.alias("o")))).alias("links"))
     back = referrers_of(objects, refs if referrers is None else referrers, [id_]).groupBy("dst").agg(F.sort_array(F.collect_list(summary)).alias("referrers"))
     one = objects.where(F.col("id") == id_).select(*SUMMARY)
     none = F.array().cast(back.schema["referrers"].dataType)

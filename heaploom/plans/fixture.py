@@ -62,6 +62,11 @@ def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, OBJECTS_SQL).withColumn("is_skip", is_skip(F.col("type"), F.col("value")))
 
 
+def first_line(spark: SparkSession, sf_dir: str) -> int | None:
+    """The least id of a line item, from the table's keys: no objects are made and told apart for that."""
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").agg(F.min(F.expr(_LINE)).cast("long")).first()[0]
+
+
 _KEPT: dict[tuple[str, str, str], object] = {}
 
 
