@@ -24,14 +24,14 @@ class HeapDump:
         self.spark: SparkSession = objects.sparkSession
 
     @classmethod
-    def from_records(cls, records: DataFrame, precision: Precision | str = Precision.MEDIUM, trust_input_sizes: bool = False, max_pairs: int | None = sizes.MAX_PAIRS, index_path: str | None = None) -> HeapDump:
+    def from_records(cls, records: DataFrame, precision: Precision | str = Precision.MEDIUM, trust_input_sizes: bool = False, max_pairs: int | None = sizes.MAX_PAIRS, index_path: str | None = None, kept: bool = False) -> HeapDump:
         """Derive the tables from raw records.  Sizes in the input are ignored unless trusted (and precision is none).
 
         ``max_pairs`` bounds the chunks of reachable sets that exact sizes may take (None: no bound).  The condensed graph, which sizes need, is kept in
-        ``index_path`` (None: the shared folder) for later questions.
+        ``index_path`` (None: the shared folder) for later questions.  ``kept``: the records are a stored table, and are not stored again.
         """
         precision = Precision.parse(precision)
-        records = cut(records)
+        records = records if kept else cut(records)
         refs = records.select(F.col("id").alias("src"), F.posexplode("references").alias("pos", "dst"))
         objects = records.select("id", "type", "value", "size", is_skip(F.col("type"), F.col("value")).alias("is_skip"), F.col("subtree_size").alias("given"))
         if precision is Precision.NONE:

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..dump import HeapDump
 from ..operators.dag import GraphIndex
-from ..plans.storage import create_once, filesystem, read_small
+from ..plans.storage import Scratch, create_once, filesystem, read_small
 from ..schema import Precision
 from .jsonl import read_jsonl
 
@@ -94,12 +94,17 @@ class Catalog:
         self._check(name)
         version, published = uuid.uuid4().hex, False
         try:
-            dump = HeapDump.from_records(records, precision, index_path=self._folder("_index", name, version))
-            objects = dump.objects.repartitionByRange("type", "id").sortWithinPartitions("type", "id")
-            objects.write.option("parquet.bloom.filter.enabled#id", "true").parquet(self._folder("objects", name, version))
-            dump.refs.repartitionByRange("src", "pos").sortWithinPartitions("src", "pos").write.parquet(self._folder("refs", name, version))
-            back = dump.refs.select("dst", "src").distinct()
-            back.repartitionByRange("dst", "src").sortWithinPartitions("dst", "src").write.parquet(self._folder("referrers", name, version))
+            with Scratch(self.spark, "records") as work:
+                records = work.keep(records)
+                dump = HeapDump.from_records(records, precision, index_path=self._folder("_index", name, version), kept=True)
+                objects = dump.objects.repartitionByRange("type", "id").sortWithinPartitions("type", "id")
+                objects.write.option("parquet.bloom.filter.enabled#id", "true").parquet(self._folder("objects", name, version))
+                # References are dealt out and sorted record by record, before there is a row for each.
+                sources = records.select(F.col("id").alias("src"), "references").where("size(references) > 0").repartitionByRange("src").sortWithinPartitions("src")
+                sources.select("src", F.posexplode("references").alias("pos", "dst")).write.parquet(self._folder("refs", name, version))
+                # Equal links of a range are in one partition, so they need no shuffle of their own.
+                back = records.select(F.explode(F.array_distinct("references")).alias("dst"), F.col("id").alias("src")).repartitionByRange("dst", "src")
+                back.distinct().sortWithinPartitions("dst", "src").write.parquet(self._folder("referrers", name, version))
             published = create_once(self.spark, f"{self.root}/_names/{_quoted(name)}", json.dumps({"version": version, "source": source}) + "\n")
             if not published:
                 raise DumpExists(f"there is a dump named {name!r}")
