@@ -29,7 +29,7 @@ def entered(edges: DataFrame) -> DataFrame:
 class Forest:
     """Pointers (id, top, full, low) of each round k: top lies 2**k links up if ``full``, else it is where the way up ends.
 
-    low: the least node met on the way so far.  cyclic: there are ways that never end, as they lead into a cycle.
+    cyclic: there are ways that never end, as they lead into a cycle; then there is low, too, the least node met on the way so far.
     """
 
     pointers: list[DataFrame]
@@ -46,18 +46,22 @@ class Forest:
         return [p.where("full").select("id", "top") for p in self.pointers]
 
 
-def climb(work: Scratch, entries: DataFrame) -> Forest:
-    """Double the pointers until every way up has ended, or must be on a cycle as it is longer than there are nodes."""
-    now = work.keep(entries.select("id", "top", F.lit(True).alias("full"), F.least("id", "top").alias("low")))
+def climb(work: Scratch, entries: DataFrame, lows: bool = False) -> Forest:
+    """Double the pointers until every way up has ended, or must be on a cycle as it is longer than there are nodes.
+
+    Ways that have ended are not looked up again.  The least nodes of ways (``lows``) are only worked out, from the start, where there are cycles.
+    """
+    low = [F.least("id", "top").alias("low")] if lows else []
+    now = work.keep(entries.select("id", "top", F.lit(True).alias("full"), *low))
     pointers, size, reach = [now], now.count(), 1
     while size and now.where("full").count():
         if reach > size:
-            return Forest(pointers, True)
-        on = now.select(F.col("id").alias("top"), F.col("top").alias("next"), F.col("full").alias("on"), F.col("low").alias("low_on"))
-        met = now.join(on, "top", "left")
-        now = work.keep(
-            met.select("id", F.coalesce("next", "top").alias("top"), (F.col("full") & F.coalesce("on", F.lit(False))).alias("full"), F.least("low", F.coalesce("low_on", "low")).alias("low"))
-        )
+            return Forest(pointers, True) if lows else climb(work, entries, True)
+        on = now.select(F.col("id").alias("top"), F.col("top").alias("next"), F.col("full").alias("on"), *(F.col("low").alias("low_on") for _ in low))
+        met = now.where("full").join(on, "top", "left")
+        least = [F.least("low", F.coalesce("low_on", "low")).alias("low")] if lows else []
+        further = met.select("id", F.coalesce("next", "top").alias("top"), F.coalesce("on", F.lit(False)).alias("full"), *least)
+        now = work.keep(further.unionByName(now.where("NOT full")))
         pointers.append(now)
         reach *= 2
     return Forest(pointers, False)

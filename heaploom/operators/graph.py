@@ -15,12 +15,14 @@ class ClosureTooLarge(RuntimeError):
 def usable_refs(objects: DataFrame, refs: DataFrame) -> DataFrame:
     """Distinct (src, dst) whose source and target are objects and whose target is not skipped.
 
-    Targets that no link may enter are found among the distinct targets, which are fewer than the links; then the links are shuffled once, by source.
+    Skipped targets, which many links may lead to, are left out first; then the links are shuffled once, by target, and stay dealt out so: who groups them by target
+    next has all links of one together.  Missing sources are found among the distinct ones, which are fewer than the links.
     """
-    barred = barred_targets(objects.where(~F.col("is_skip")), refs)
-    sources = objects.select(F.col("id").alias("src"))
-    links = refs.where("dst IS NOT NULL").select("src", "dst").join(sized(barred), "dst", "left_anti")
-    return links.join(sources, "src", "left_semi").select("src", "dst").distinct()
+    skipped = cut(objects.where("is_skip").select(F.col("id").alias("dst")))
+    links = refs.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").join(sized(skipped), "dst", "left_anti")
+    present = links.join(objects.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst").distinct()
+    lost = cut(refs.where("src IS NOT NULL").select("src").distinct().join(objects.select(F.col("id").alias("src")), "src", "left_anti"))
+    return present.join(sized(lost), "src", "left_anti").select("src", "dst")
 
 
 def barred_targets(objects: DataFrame, refs: DataFrame) -> DataFrame:

@@ -5,23 +5,65 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sets import estimated, known_of_trees, merge_sets, own_sets
+from ..functions.sets import estimated, estimates, known_of_trees, merge_sets, own_sets, summed, sums, sums_of_trees
 from ..plans.storage import Scratch, cut, sized
 from ..schema import Precision
 from .dag import GraphIndex, accumulate
 from .forest import gather
 from .graph import ClosureTooLarge
+from .units import reached, units_of
 
 #: Exact sizes give up beyond so many chunks of reachable sets, unless told otherwise.
 MAX_PAIRS = 10_000_000_000
 #: Bits of a chunk (a power of two, at most 64).
 CHUNK = 64
-#: Sketches of trees of at most so many nodes are merged within a task.
+#: Trees of at most so many nodes are gathered within a task.
 TREE = 50_000
 
 
 def exact_sizes(objects: DataFrame, edges: DataFrame, max_pairs: int | None = MAX_PAIRS, index: GraphIndex | None = None) -> DataFrame:
-    """(id, subtree_size): sizes summed over the distinct objects that each one reaches, itself included.
+    """(id, subtree_size): sizes summed over the distinct objects that each one reaches, itself included.  ``edges`` are links of objects, kept.
+
+    Units (see :mod:`.units`) are elements that weigh as much as their trees, and sets of them travel as they are while they are small.  Where a set or a
+    tree is too large for that, or the sets have more than ``max_pairs`` elements, all is done in chunks of 64 bits over the condensed graph (``index``, if it
+    was made before); ClosureTooLarge is raised if the sets take more than ``max_pairs`` chunks (None: no bound).
+    """
+    found = _exact_by_sets(objects, edges, max_pairs)
+    return _exact_by_chunks(objects, edges, max_pairs, index) if found is None else found
+
+
+def _exact_by_sets(objects: DataFrame, edges: DataFrame, max_pairs: int | None) -> DataFrame | None:
+    """Exact sizes by sets of units; None where sets or trees are too large."""
+    with Scratch(objects.sparkSession, "sizes") as work:
+        units = units_of(work, edges)
+        trees = units.component(units.nodes.where("id <> top"))
+        if not trees.groupBy("comp").agg(F.count(F.lit(1)).alias("nodes")).where(F.col("nodes") > TREE).isEmpty():
+            return None
+        far, placed = units.placed(objects.select("id", "size"), "id")
+        placed = work.keep(placed)
+        apart = far.unionByName(placed.where("top IS NULL").select("id", "size"))
+        inner = units.component(placed.where("top IS NOT NULL"))
+        weights = inner.groupBy(F.col("comp").alias("id")).agg(F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("weight")).withColumn("element", F.col("id"))
+        of_comps = reached(work, units, own_sets(weights), lambda rows: merge_sets(rows, 0))
+        if not of_comps.where(F.col("n") < 0).isEmpty():
+            return None
+        of_units = units.of_units(of_comps)
+        brought = of_units.withColumnRenamed("id", "dst")
+        lone = own_sets(apart.select("id", F.col("id").alias("element"), F.col("size").alias("weight")))
+        others = summed(lone.unionByName(units.outer.join(brought, "dst").select(F.col("src").alias("id"), "n", "s")))
+        nothing = [F.lit(0).alias("n"), F.lit(b"").alias("s")]
+        own = inner.where("id <> top").select(F.col("comp").alias("top"), "parent", "id", F.coalesce("size", F.lit(0)).cast("long").alias("weight"), *nothing)
+        told = units.component(units.exits.where("src <> top")).join(brought, "dst")
+        told = told.select(F.col("comp").alias("top"), F.lit(None).cast("long").alias("parent"), F.col("src").alias("id"), F.lit(0).cast("long").alias("weight"), "n", "s")
+        found = cut(others.unionByName(sums(of_units)).unionByName(sums_of_trees(own.unionByName(told))))
+        lost, elements = found.agg(F.count_if(F.col("subtree_size").isNull()), F.sum("n")).first()
+        if lost or (max_pairs is not None and (elements or 0) > max_pairs):
+            return None
+        return found.select("id", "subtree_size")
+
+
+def _exact_by_chunks(objects: DataFrame, edges: DataFrame, max_pairs: int | None, index: GraphIndex | None) -> DataFrame:
+    """Exact sizes of any graph.
 
     Over the acyclic graph of strong components (``index``, if it was made before).  Shared nodes are numbered, and sets of them are chunks of 64 bits, merged
     by OR.  A shared node weighs as much as its whole tree, which whoever reaches it reaches, too.  What a node reaches is its own tree, and the union of what

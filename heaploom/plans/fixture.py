@@ -49,6 +49,20 @@ UNION ALL SELECT 9100000000000, 'builtins.module', 'module app', CAST(72 AS BIGI
 UNION ALL SELECT 11000000000000 + doc_id, 'builtins.str', CASE WHEN length(text) > 1000 THEN concat(substring(text, 1, 1000), '...<truncated>') ELSE text END, CAST(49 + length(text) AS BIGINT) FROM {{documents}}
 """
 
+#: The links of REFS_SQL without their places, some of them repeated: no row is sorted, and a row's links are made together.
+LINKS_SQL = f"""
+SELECT 1000000000000 + CAST(n_regionkey AS BIGINT) AS src, 2000000000000 + CAST(n_nationkey AS BIGINT) AS dst FROM {{nation}}
+UNION ALL SELECT 2000000000000 + CAST(n_nationkey AS BIGINT), 1000000000000 + CAST(n_regionkey AS BIGINT) FROM {{nation}}
+UNION ALL SELECT 3000000000000 + c_custkey, 2000000000000 + CAST(c_nationkey AS BIGINT) FROM {{customer}}
+UNION ALL SELECT 4000000000000 + s_suppkey, 2000000000000 + CAST(s_nationkey AS BIGINT) FROM {{supplier}}
+UNION ALL SELECT 6000000000000 + o_orderkey, 3000000000000 + o_custkey FROM {{orders}}
+UNION ALL SELECT {_LINE}, explode(array(6000000000000 + l_orderkey, 5000000000000 + l_partkey, 4000000000000 + l_suppkey)) FROM {{lineitem}}
+UNION ALL SELECT 8000000000000 + event_id, 8000000000000 + lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) FROM {{events}}
+UNION ALL SELECT 8000000000000 + event_id, explode(array(3000000000000 + user_id, 9000000000000 + {_EVENT})) FROM {{events}}
+UNION ALL SELECT DISTINCT 9000000000000 + {_EVENT}, 9100000000000 FROM {{events}}
+UNION ALL SELECT 9100000000000, 1000000000000 + CAST(r_regionkey AS BIGINT) FROM {{region}}
+"""
+
 
 def _sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in text})
@@ -58,6 +72,11 @@ def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, REFS_SQL)
 
 
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst) of the refs; links may be repeated, and lead nowhere (null)."""
+    return _sql(spark, sf_dir, LINKS_SQL)
+
+
 def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, OBJECTS_SQL).withColumn("is_skip", is_skip(F.col("type"), F.col("value")))
 
@@ -79,11 +98,22 @@ def _kept(spark: SparkSession, sf_dir: str, what: str, make):
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _kept(spark, sf_dir, "edges", lambda: stored(graph.usable_refs(_objects(spark, sf_dir), _refs(spark, sf_dir)), "edges"))
+    return _kept(spark, sf_dir, "edges", lambda: stored(graph.usable_refs(_objects(spark, sf_dir), links(spark, sf_dir)).sortWithinPartitions("dst", "src"), "edges"))
 
 
 def _objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _kept(spark, sf_dir, "objects", lambda: stored(objects(spark, sf_dir), "objects"))
+    """(id, size, is_skip): no types and values are stored for sizes."""
+    return _kept(spark, sf_dir, "objects", lambda: stored(objects(spark, sf_dir).select("id", "size", "is_skip"), "objects"))
+
+
+def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, size) of all objects, stored."""
+    return _objects(spark, sf_dir).select("id", "size")
+
+
+def exact_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, subtree_size), stored."""
+    return _kept(spark, sf_dir, "sizes", lambda: sizes.exact_sizes(nodes(spark, sf_dir), edges(spark, sf_dir)))
 
 
 def _refs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,8 +155,7 @@ def dump(spark: SparkSession, sf_dir: str, exact: bool = False) -> HeapDump:
         return HeapDump(plain, refs(spark, sf_dir))
 
     def make() -> HeapDump:
-        all_objects = _objects(spark, sf_dir)
-        found = sizes.exact_sizes(all_objects, edges(spark, sf_dir), index=index(spark, sf_dir))
-        return HeapDump(stored(all_objects.join(found, "id").select("id", "type", "value", "size", "subtree_size", "is_skip"), "sized"), _refs(spark, sf_dir), index(spark, sf_dir))
+        sized_objects = objects(spark, sf_dir).join(exact_sizes(spark, sf_dir), "id")
+        return HeapDump(stored(sized_objects.select("id", "type", "value", "size", "subtree_size", "is_skip"), "sized"), _refs(spark, sf_dir), index(spark, sf_dir))
 
     return _kept(spark, sf_dir, "dump", make)
