@@ -28,6 +28,15 @@ def objects_of_type(objects: DataFrame, type_: str = ALL_TYPES, sort: str = "id"
     return found if page is None else found.offset(max(0, page - first_page) * PAGE_SIZE).limit(PAGE_SIZE)
 
 
+def page_by_subtree_size(objects: DataFrame, sizes: DataFrame, page: int, first_page: int = 0) -> DataFrame:
+    """The same page by subtree_size where sizes (id, subtree_size) are a stored table of their own: only the page's objects are read, none are joined for the order."""
+    place = max(0, page - first_page) * PAGE_SIZE
+    listed = cut(sizes.where("subtree_size IS NOT NULL").select("id", "subtree_size").orderBy(F.desc("subtree_size"), "id").offset(place).limit(PAGE_SIZE))
+    ids = [r[0] for r in listed.select("id").collect()]
+    found = objects.where(F.col("id").isin(ids)).join(F.broadcast(listed), "id")
+    return found.select(*SUMMARY).orderBy(F.desc("subtree_size"), "id")
+
+
 def references_of(objects: DataFrame, refs: DataFrame, ids: list[int]) -> DataFrame:
     """(src, pos, then the summary of the target): out-links in order, repeated ones included."""
     return _linked(objects, cut(refs.where(F.col("src").isin(ids))))

@@ -1,6 +1,9 @@
 """Sizes by sets of units: what nothing enters is set apart, trees are one unit each, and large sets go by chunks."""
 
-from heaploom.operators import graph, sizes
+import pytest
+from pyspark.sql import functions as F
+
+from heaploom.operators import graph, listing, sizes
 from heaploom.plans import fixture
 
 SMALL = "/root/testdata/sf0.001"
@@ -53,3 +56,11 @@ def test_usable_links_have_both_ends(spark):
     objects = spark.createDataFrame([(1, False), (2, False), (3, True)], "id long, is_skip boolean")
     refs = spark.createDataFrame([(1, 2), (1, 2), (1, 3), (1, 9), (9, 2), (3, 1), (None, 2), (2, None)], "src long, dst long")
     assert sorted((r["src"], r["dst"]) for r in graph.usable_refs(objects, refs).collect()) == [(1, 2), (3, 1)]
+
+
+@pytest.mark.parametrize("page", [0, 2])
+def test_pages_by_subtree_size_read_their_objects_alone(spark, page):
+    objects = spark.range(2500).selectExpr("id", "'t' AS type", "CAST(id AS STRING) AS value", "id AS size")
+    found = spark.range(2500).select("id", F.when(F.col("id") > 0, F.col("id") % 7).alias("subtree_size"))
+    whole = listing.objects_of_type(objects.join(found, "id"), sort="subtree_size", page=page).collect()
+    assert listing.page_by_subtree_size(objects, found, page).collect() == whole and len(whole) == (1000, 0, 499)[page]
