@@ -112,44 +112,36 @@ def _of_objects(objects: DataFrame, graph: GraphIndex, found: DataFrame, passing
 
 
 def sketch_sizes(objects: DataFrame, edges: DataFrame, lanes: int, index: GraphIndex | None = None) -> DataFrame:
-    """(id, subtree_size) estimated with so many lanes.
+    """(id, subtree_size) estimated with so many lanes.  ``edges`` are links of objects, kept; an ``index`` is not needed.
 
     The sketch of what a node reaches is that of a set of objects, which is handed on as it is while it is small, and as lanes else (see :mod:`..functions.sets`).
-    Sets of shared nodes hold their trees; they go by level through the core, each link used once, and then to what links into them.  Of the rest, inner nodes are
-    gathered tree by tree, and the others are done with one shuffle of what they are told.
+    Sets of units (see :mod:`.units`) hold their trees.  Nodes of trees are gathered tree by tree, and those that nothing enters are done with one shuffle of what they are told.
     """
     with Scratch(objects.sparkSession, "sketches") as work:
-        graph = index or GraphIndex.build(objects, edges)
-        few = graph.members.count()
-        near = sized(graph.members, few)
-        placed = objects.select("id", "size").join(near, "id", "left")
-        own = own_sets(placed.select(F.coalesce("comp", "id").alias("id"), F.col("id").alias("element"), F.col("size").alias("weight")))
-        parents = (graph.ups[0] if graph.rounds else graph.tops.limit(0)).withColumnRenamed("top", "parent")
-        tree = work.keep(graph.tops.join(parents, "id", "left"))
-        roots = tree.select(F.col("top").alias("id")).unionByName(graph.shared).distinct()
-        nodes = work.keep(tree.unionByName(roots.select("id", F.col("id").alias("top"), F.lit(None).cast("long").alias("parent"))))
-        inner = work.keep(own.join(nodes, "id"))
-        of_shared = inner.join(graph.shared.withColumnRenamed("id", "top"), "top", "left_semi").select(F.col("top").alias("id"), "n", "s")
-        of_core = accumulate(work, merge_sets(of_shared, lanes), graph.core, graph.levelled, graph.depth, [], lambda rows: merge_sets(rows, lanes))
-        told, outer = graph.told(of_core)
-        told = told.join(nodes, "id").unionByName(inner)
+        units = units_of(work, edges)
+        far, placed = units.placed(objects.select("id", "size"), "id")
+        placed = work.keep(placed)
+        apart = far.unionByName(placed.where("top IS NULL").select("id", "size"))
+        inner = units.component(placed.where("top IS NOT NULL"))
+        own = own_sets(inner.select(F.col("comp").alias("id"), F.col("id").alias("element"), F.col("size").alias("weight")))
+        of_units = units.of_units(reached(work, units, own, lambda rows: merge_sets(rows, lanes)))
+        brought = of_units.withColumnRenamed("id", "dst")
+        lone = own_sets(apart.select("id", F.col("id").alias("element"), F.col("size").alias("weight")))
+        outer = lone.unionByName(units.outer.join(brought, "dst").select(F.col("src").alias("id"), "n", "s"))
+        nodes = work.keep(inner.where("id <> top").select("id", F.col("comp").alias("top"), "parent", "size"))
+        of_nodes = own_sets(nodes.withColumn("element", F.col("id")).withColumnRenamed("size", "weight"), "top", "parent")
+        told = units.component(units.exits.where("src <> top")).join(brought, "dst")
+        told = told.select(F.col("src").alias("id"), "n", "s", F.col("comp").alias("top"), F.lit(None).cast("long").alias("parent")).unionByName(of_nodes)
         # Trees that are too large for a task are climbed in rounds.
         large = work.keep(nodes.groupBy("top").agg(F.count(F.lit(1)).alias("nodes")).where(F.col("nodes") > TREE).select("top"))
         if n_large := large.count():
             wide = sized(large, n_large)
             far = merge_sets(told.join(wide, "top", "left_semi").select("id", "n", "s"), lanes)
-            ups = [up.join(nodes.join(wide, "top", "left_semi").select("id"), "id", "left_semi") for up in graph.ups]
+            inside = work.keep(nodes.join(wide, "top", "left_semi").select("id"))
+            ups = [up.join(inside, "id", "left_semi").join(inside.withColumnRenamed("id", "top"), "top", "left_semi").select("id", "top") for up in units.ups]
             outer = outer.unionByName(gather(work, work.keep(far), ups, [], lambda rows: merge_sets(rows, lanes)))
             told = told.join(wide, "top", "left_anti")
-        every = own.unionByName(outer).unionByName(known_of_trees(told, lanes))
-        found = estimated(every, lanes)
-        if few:
-            # Objects are named by themselves, but for the members of components of several.
-            found = found.withColumnRenamed("id", "comp").join(sized(graph.members, few).withColumnRenamed("id", "member"), "comp", "left").select(F.coalesce("member", "comp").alias("id"), "subtree_size")
-        out = cut(found)
-        if index is None:
-            graph.drop()
-        return out
+        return cut(estimated(outer, lanes).unionByName(estimates(of_units, lanes)).unionByName(estimates(known_of_trees(told, lanes), lanes)))
 
 
 def subtree_sizes(objects: DataFrame, edges: DataFrame, precision: Precision, max_pairs: int | None = MAX_PAIRS, index: GraphIndex | None = None) -> DataFrame:

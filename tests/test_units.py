@@ -64,3 +64,12 @@ def test_pages_by_subtree_size_read_their_objects_alone(spark, page):
     found = spark.range(2500).select("id", F.when(F.col("id") > 0, F.col("id") % 7).alias("subtree_size"))
     whole = listing.objects_of_type(objects.join(found, "id"), sort="subtree_size", page=page).collect()
     assert listing.page_by_subtree_size(objects, found, page).collect() == whole and len(whole) == (1000, 0, 499)[page]
+
+
+def test_sketches_need_no_index(spark, monkeypatch):
+    """Sets of three elements at most are exact in what they hold: a node that reaches one object has that one's estimate."""
+    monkeypatch.setattr(sizes, "GraphIndex", None)
+    objects, edges = tables(spark, {(1, 3), (2, 3), (3, 4), (5, 3)}, {i: 10 * i for i in range(1, 7)})
+    found = {r["id"]: r["subtree_size"] for r in sizes.sketch_sizes(objects, edges, 7).collect()}
+    alone = {r["id"]: r["subtree_size"] for r in sizes.sketch_sizes(objects, edges.limit(0), 7).collect()}
+    assert set(found) == set(alone) == set(range(1, 7)) and all(found[i] == alone[i] for i in (4, 6)) and all(found[i] >= alone[i] for i in (1, 2, 3, 5))
