@@ -82,6 +82,10 @@ class HeapDump:
     def find_paths(self, requests: DataFrame, avoiding: DataFrame | None = None, prune: bool = True) -> DataFrame:
         return paths.find_paths(self.objects, self.refs, requests, avoiding, prune)
 
+    def find_paths_exact(self, requests: DataFrame, avoiding: DataFrame | None = None) -> DataFrame:
+        """The same, pruned by exact sizes, which are worked out for what the starts reach alone."""
+        return paths.find_paths_exact(self.objects, self.refs, requests, avoiding)
+
     def largest_common_reachable(self, first: int, second: int) -> DataFrame:
         return paths.largest_common_reachable(self.objects, self.refs, first, second, self._sized_index(first, second))
 

@@ -15,6 +15,10 @@ from .graph import usable_refs
 from .sizes import exact_sizes
 
 
+#: The driver follows links while a hop has at most so many.
+WALKED = 1_000
+
+
 def _summaries(objects: DataFrame, ids: list[int]) -> dict[int, object]:
     return {r["id"]: r for r in objects.where(F.col("id").isin(ids)).select(*SUMMARY).collect()}
 
@@ -74,14 +78,8 @@ def find_paths(objects: DataFrame, refs: DataFrame, requests: DataFrame, avoidin
     leaves out what reaches less than the end does, ties follow the order of the links.  One join a hop serves all requests; a request leaves as soon as its end is
     met.  Requests of unknown objects raise LookupError.  Repeated rows count once; null keys or ends are no requests.
     """
-    spark = objects.sparkSession
-    with Scratch(spark, "paths") as work:
-        asked = requests.select("request", "start", "end").where("request IS NOT NULL AND start IS NOT NULL AND end IS NOT NULL").distinct()
-        sizes = objects.select(F.col("id").alias("end"), F.col("subtree_size").alias("least"))
-        asked = work.keep(asked.join(sizes, "end", "left").withColumn("known", F.lit(True)))
-        ends = asked.select(F.explode(F.array("start", "end")).alias("id")).distinct()
-        if missing := ends.join(objects.select("id"), "id", "left_anti").first():
-            raise LookupError(f"object {missing['id']} is not in the dump")
+    with Scratch(objects.sparkSession, "paths") as work:
+        asked = _asked(work, objects, requests)
         nodes = objects.where(~F.col("is_skip")).select("id", F.col("subtree_size").alias("weight"))
         links = refs.select("src", "pos", "dst")
         goals = asked.select("request", "end", "least")
@@ -91,11 +89,11 @@ def find_paths(objects: DataFrame, refs: DataFrame, requests: DataFrame, avoidin
         arrived = [work.keep(asked.where("start = end").select("request", F.col("end").alias("id")))]
         open_ = work.keep(goals.join(arrived[0].select("request"), "request", "left_anti"))
         while n and not open_.isEmpty():
-            front = sized(levels[-1].join(sized(open_), "request").select("request", F.col("id").alias("src"), "rank"), n)
-            met = links.join(front, "src").groupBy("request", F.col("dst").alias("id")).agg(F.min(F.struct("rank", "pos", "src")).alias("via"))
+            front = work.keep(levels[-1].join(sized(open_).select("request").distinct(), "request", "left_semi").select("request", F.col("id").alias("src"), "rank"))
+            met = looked_up(links, "src", front, front.count()).groupBy("request", F.col("dst").alias("id")).agg(F.min(F.struct("rank", "pos", "src")).alias("via"))
             met = work.keep(met.join(seen, ["request", "id"], "left_anti"))
             # Targets are looked up for what was met alone: links and objects are read each hop, and shuffled only where the frontier is too large to broadcast.
-            fresh = nodes.join(sized(met), "id")
+            fresh = looked_up(nodes, "id", met, met.count())
             if prune:
                 # A request whose ends differ in size keeps what any of them allows.
                 allowed = work.keep(open_.groupBy("request").agg(F.expr("CASE WHEN count(least) = count(*) THEN min(least) END").alias("least")))
@@ -120,7 +118,30 @@ def find_paths(objects: DataFrame, refs: DataFrame, requests: DataFrame, avoidin
         for more in steps[1:]:
             found = found.unionByName(more)
         found = work.keep(found)
-        return cut(objects.select(*SUMMARY).join(sized(found), "id").select("request", "step", *SUMMARY))
+        return cut(looked_up(objects.select(*SUMMARY), "id", found, found.count()).select("request", "step", *SUMMARY))
+
+
+def _asked(work: Scratch, objects: DataFrame, requests: DataFrame) -> DataFrame:
+    """(request, start, end, least): the requests, once each, with the size of the end, kept; LookupError if an object is unknown.  Objects are read, not shuffled."""
+    asked = work.keep(requests.select("request", "start", "end").where("request IS NOT NULL AND start IS NOT NULL AND end IS NOT NULL").distinct())
+    ends = work.keep(asked.select(F.explode(F.array("start", "end")).alias("id")).distinct())
+    known = work.keep(looked_up(objects.select("id", "subtree_size"), "id", ends, ends.count()))
+    if missing := ends.join(known.select("id"), "id", "left_anti").first():
+        raise LookupError(f"object {missing['id']} is not in the dump")
+    return work.keep(asked.join(known.select(F.col("id").alias("end"), F.col("subtree_size").alias("least")), "end").select("request", "start", "end", "least"))
+
+
+def find_paths_exact(objects: DataFrame, refs: DataFrame, requests: DataFrame, avoiding: DataFrame | None = None) -> DataFrame:
+    """The paths of :func:`find_paths`, pruned by exact sizes, for a dump of which no sizes are known.
+
+    What the starts reach holds all that any of it reaches, so sizes are worked out for that alone, and the search reads nothing else.  An end that is not
+    among it has no path.
+    """
+    with Scratch(objects.sparkSession, "paths") as work:
+        asked = _asked(work, objects, requests)
+        starts = work.keep(asked.select(F.col("start").alias("id")).distinct())
+        own, inside = _weighed(work, objects, refs, _reached(work, objects, refs, starts))
+        return find_paths(own, inside, asked.join(own.select(F.col("id").alias("end")), "end", "left_semi"), avoiding)
 
 
 def _sides(work: Scratch, objects: DataFrame, graph: GraphIndex, first: int, second: int) -> DataFrame:
@@ -178,26 +199,80 @@ def largest_common_exact(objects: DataFrame, refs: DataFrame, first: int, second
         if id_ not in known:
             raise LookupError(f"object {id_} is not in the dump")
     with Scratch(objects.sparkSession, "common") as work:
-        both = work.keep(_reached_by_both(work, objects, refs, first, second))
-        n = both.count()
-        own = work.keep(looked_up(objects, "id", both, n))
-        inside = work.keep(looked_up(refs, "src", both.withColumnRenamed("id", "src"), n).select("src", "dst"))
-        found = exact_sizes(own, work.keep(usable_refs(own, inside))) if n else own.select("id", "subtree_size")
-        return cut(own.drop("subtree_size").join(found, "id").orderBy(F.desc("subtree_size"), "id").limit(1).select(*SUMMARY))
+        both = work.keep(_both(_reached(work, objects, refs, _two(work, first, second))))
+        own, _ = _weighed(work, objects, refs, both)
+        return cut(own.orderBy(F.desc("subtree_size"), "id").limit(1).select(*SUMMARY))
+
+
+def _two(work: Scratch, first: int, second: int) -> DataFrame:
+    return work.keep(work.spark.createDataFrame([(first, 0), (second, 1)], "id long, side int"))
+
 
+def _both(sides: DataFrame) -> DataFrame:
+    """(id): what both sides hold."""
+    return sides.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("id")
 
-def _reached_by_both(work: Scratch, objects: DataFrame, refs: DataFrame, first: int, second: int) -> DataFrame:
-    """(id): the objects that each of two reaches, itself included, by links that count.  A hop reads the links of what was met last."""
+
+def _reached(work: Scratch, objects: DataFrame, refs: DataFrame, starts: DataFrame) -> DataFrame:
+    """All that the starts (id, and maybe a column that tells groups of them apart; distinct, kept) reach by links that count, themselves included; kept.
+
+    A hop reads the links of what was met last.  While that is few, as along a chain, no table is written for it (see :func:`_walked`).
+    """
+    columns = starts.columns
     nodes, links = objects.where(~F.col("is_skip")).select("id"), refs.select("src", "dst")
-    fresh = work.keep(work.spark.createDataFrame([(first, 0), (second, 1)], "id long, side int"))
-    seen, total, n = fresh, 2, 2
+    fresh = seen = starts
+    total = n = starts.count()
     while n:
-        met = looked_up(links, "src", fresh.withColumnRenamed("id", "src"), n).select(F.col("dst").alias("id"), "side").distinct()
-        met = work.keep(met.join(sized(seen, total), ["id", "side"], "left_anti"))
-        fresh = work.keep(looked_up(nodes, "id", met, met.count()).select("id", "side"))
+        if n <= WALKED:
+            met, last = _walked(nodes, links, seen, total, [tuple(r) for r in fresh.collect()])
+            if met:
+                seen, total = work.keep(seen.unionByName(work.spark.createDataFrame(met, starts.schema))), total + len(met)
+            if not last:
+                break
+            fresh, n = work.keep(work.spark.createDataFrame(last, starts.schema)), len(last)
+        told = looked_up(links, "src", fresh.withColumnRenamed("id", "src"), n).withColumnRenamed("dst", "id").select(*columns).distinct()
+        told = work.keep(told.join(sized(seen, total), columns, "left_anti"))
+        fresh = work.keep(looked_up(nodes, "id", told, told.count()).select(*columns))
         n = fresh.count()
-        seen, total = work.keep(seen.unionByName(fresh)), total + n
-    return seen.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("id")
+        if n:
+            seen, total = work.keep(seen.unionByName(fresh)), total + n
+    return seen
+
+
+def _walked(nodes: DataFrame, links: DataFrame, seen: DataFrame, total: int, fresh: list[tuple]) -> tuple[list[tuple], list[tuple]]:
+    """What is met from few (id, ...), and those of it whose links are still to be followed (none: all is met).
+
+    The driver follows links while a hop has at most WALKED of them, and at most WALKED hops: two or three jobs each.
+    """
+    known = {tuple(r) for r in seen.collect()} if total <= WALKED else None
+    met, columns = [], seen.columns
+    for _ in range(WALKED):
+        if not 0 < len(fresh) <= WALKED:
+            break
+        # The limit is taken before rows are collected, and in one job.
+        found = links.where(F.col("src").isin(list({r[0] for r in fresh}))).limit(WALKED + 1).agg(F.collect_list(F.struct("src", "dst"))).collect()[0][0]
+        if len(found) > WALKED:
+            break
+        targets = {}
+        for src, dst in found:
+            targets.setdefault(src, set()).add(dst)
+        told = {(dst, *r[1:]) for r in fresh for dst in targets.get(r[0], ()) if dst is not None}.difference(met, known or ())
+        ids = list({r[0] for r in told})
+        if ids and known is None:
+            told.difference_update(tuple(r) for r in seen.where(F.col("id").isin(ids)).select(*columns).collect())
+        entered = {r["id"] for r in nodes.where(F.col("id").isin(ids)).collect()} if told else ()
+        fresh = [r for r in told if r[0] in entered]
+        met += fresh
+    return met, fresh
+
+
+def _weighed(work: Scratch, objects: DataFrame, refs: DataFrame, whole: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The objects, with exact sizes, and the refs of a kept set (id) that holds all that any of it reaches; both kept."""
+    n = whole.count()
+    own = work.keep(looked_up(objects, "id", whole, n))
+    inside = work.keep(looked_up(refs, "src", whole.withColumnRenamed("id", "src"), n))
+    found = exact_sizes(own, work.keep(usable_refs(own, inside))) if n else own.select("id", "subtree_size")
+    return work.keep(own.drop("subtree_size").join(found, "id").select(*objects.columns)), inside
 
 
 def common_report(objects: DataFrame, refs: DataFrame, first: int, second: int, index: GraphIndex | None = None) -> DataFrame:

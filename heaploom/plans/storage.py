@@ -120,10 +120,13 @@ def sized(df: DataFrame, rows: int | None = None) -> DataFrame:
 def looked_up(df: DataFrame, key: str, among: DataFrame, rows: int) -> DataFrame:
     """The rows of ``df`` whose key is among those of a kept table of so many rows, joined with it.
 
-    A handful of keys is a filter too, which Parquet's statistics answer without reading most of a table that is stored by the key.
+    A handful of keys is a filter too, which Parquet's statistics answer without reading most of a table that is stored by the key; of more keys that
+    may be broadcast, the least and the largest are.
     """
     if rows <= HANDFUL:
         df = df.where(F.col(key).isin([r[0] for r in among.select(key).distinct().collect()]))
+    elif rows <= BROADCAST_ROWS:
+        df = df.where(F.col(key).between(*among.agg(F.min(key), F.max(key)).first()))
     return df.join(sized(among, rows), key)
 
 

@@ -1,15 +1,17 @@
 """What large dumps need: links are read where they are wanted, and only nodes that hand something on go the long way."""
 
 import pyarrow as pa
+import pytest
 
 from pyspark.sql import functions as F
 
+from heaploom.dump import HeapDump
 from heaploom.functions.sketch import _merged_batches, merge_sketches
 from heaploom.operators import graph, listing, paths
 from heaploom.operators.dag import GraphIndex
 from heaploom.operators.paths import find_path
 from heaploom.operators.sizes import exact_sizes
-from heaploom.plans import fixture
+from heaploom.plans import fixture, queries
 
 
 def dump(spark):
@@ -79,3 +81,39 @@ def test_component_links_need_no_levels(spark, monkeypatch):
     monkeypatch.setattr(fixture, "edges", lambda *_: spark.createDataFrame([(1, 2), (2, 1), (3, 1), (3, 2)], "src long, dst long"))
     monkeypatch.setattr(GraphIndex, "build", None)
     assert [tuple(r) for r in fixture.component_links(spark, "nowhere").collect()] == [(3, 1)]
+
+
+def lines_and_regions(spark):
+    """Lines 1 and 2 of type app.LineItem over customers, which lead to regions 1 and 2; 10 other objects that no line reaches."""
+    base = 7000000000000
+    rows = [(base + 1, "app.LineItem"), (base + 2, "app.LineItem"), (31, "app.Customer"), (32, "app.Customer"), (33, "builtins.module")]
+    rows += [(queries.ORIGIN + k, "builtins.dict") for k in range(5)] + [(i, "t") for i in range(100, 110)]
+    objects = spark.createDataFrame([(i, t, None, 10, None, t == "builtins.module") for i, t in rows], "id long, type string, value string, size long, subtree_size long, is_skip boolean")
+    links = [(base + 1, 0, 31), (base + 1, 1, 32), (base + 2, 0, 33), (base + 2, 1, 31), (31, 0, queries.ORIGIN + 1), (32, 0, queries.ORIGIN + 1), (32, 1, queries.ORIGIN + 2), (33, 0, queries.ORIGIN + 2)]
+    links += [(i, 0, i + 1) for i in range(100, 109)] + [(109, 0, 100), (109, 1, base + 1)]
+    return HeapDump(objects, spark.createDataFrame(links, "src long, pos long, dst long"))
+
+
+def counted(monkeypatch):
+    """How many objects and links sizes are worked out for, call by call."""
+    asked, given = [], paths.exact_sizes
+    monkeypatch.setattr(paths, "exact_sizes", lambda own, edges: asked.append((own.count(), edges.count())) or given(own, edges))
+    return asked
+
+
+def test_pruned_paths_need_sizes_of_what_the_starts_reach_alone(spark, monkeypatch):
+    """The query makes no sizes and no index of the whole graph; region 2 is not reached from line 2, as a module is not entered."""
+    monkeypatch.setattr(fixture, "plain", lambda *_: lines_and_regions(spark))
+    for name in ("dump", "exact_sizes", "index"):
+        monkeypatch.setattr(fixture, name, None)
+    asked = counted(monkeypatch)
+    found = queries.paths_of_many_pruned(spark, "nowhere").orderBy("request", "step").collect()
+    assert [tuple(r) for r in found] == [(7000000000001, 0, 7000000000001), (7000000000001, 1, 31), (7000000000001, 2, queries.ORIGIN + 1)]
+    assert asked == [(6, 6)]
+    dump = lines_and_regions(spark)
+    requests = spark.createDataFrame([("a", 109, 109), ("b", 100, 32), ("c", 32, 100), ("d", 7000000000001, 33), ("e", 100, 31)], "request string, start long, end long")
+    exact = dump.find_paths_exact(requests, spark.createDataFrame([("e", 105)], "request string, id long")).collect()
+    assert {(r["request"], r["step"], r["id"]) for r in exact} == {("a", 0, 109), ("b", 11, 32), ("b", 10, 7000000000001), *(("b", k, 100 + k) for k in range(10))}
+    assert dump.find_paths_exact(requests.limit(0)).count() == 0
+    with pytest.raises(LookupError):
+        dump.find_paths_exact(spark.createDataFrame([(1, 100, 7)], "request long, start long, end long"))
