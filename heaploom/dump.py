@@ -96,6 +96,10 @@ class HeapDump:
     def common_report(self, first: int, second: int) -> DataFrame:
         return paths.common_report(self.objects, self.refs, first, second, self._sized_index(first, second))
 
+    def common_report_exact(self, first: int, second: int) -> DataFrame:
+        """The same by exact sizes, which are worked out for what either reaches alone."""
+        return paths.common_report_exact(self.objects, self.refs, first, second)
+
     def _sized_index(self, *ids: int) -> GraphIndex | None:
         """The index, unless the question will fail for want of sizes."""
         if self._index is None and self.objects.where(F.col("id").isin(list(ids)) & F.col("subtree_size").isNull()).count():

@@ -277,7 +277,24 @@ def _weighed(work: Scratch, objects: DataFrame, refs: DataFrame, whole: DataFram
 
 def common_report(objects: DataFrame, refs: DataFrame, first: int, second: int, index: GraphIndex | None = None) -> DataFrame:
     """(origin, step, summary...): the paths from both objects to what they share; no rows if nothing."""
-    top = largest_common_reachable(objects, refs, first, second, index).first()
+    return _paths_to(objects, refs, first, second, largest_common_reachable(objects, refs, first, second, index).first())
+
+
+def common_report_exact(objects: DataFrame, refs: DataFrame, first: int, second: int) -> DataFrame:
+    """The rows of :func:`common_report` by exact sizes, for a dump of which no sizes are known.
+
+    What either reaches holds all that any of it reaches, so sizes are worked out for that alone, and the paths are searched there.
+    """
+    if missing := {first, second} - _summaries(objects, [first, second]).keys():
+        raise LookupError(f"object {min(missing)} is not in the dump")
+    with Scratch(objects.sparkSession, "common") as work:
+        sides = _reached(work, objects, refs, _two(work, first, second))
+        own, inside = _weighed(work, objects, refs, work.keep(sides.select("id").distinct()))
+        top = own.join(_both(sides), "id", "left_semi").orderBy(F.desc("subtree_size"), "id").first()
+        return cut(_paths_to(own, inside, first, second, top))
+
+
+def _paths_to(objects: DataFrame, refs: DataFrame, first: int, second: int, top) -> DataFrame:
     if top is None:
         return find_path(objects, refs, first, first).limit(0).select(F.lit(first).cast("long").alias("origin"), "step", *SUMMARY)
     one, two = (find_path(objects, refs, a, top["id"]).select(F.lit(a).cast("long").alias("origin"), "step", *SUMMARY) for a in (first, second))

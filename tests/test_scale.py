@@ -12,6 +12,7 @@ from heaploom.operators.dag import GraphIndex
 from heaploom.operators.paths import find_path
 from heaploom.operators.sizes import exact_sizes
 from heaploom.plans import fixture, queries
+from heaploom.plans.storage import Scratch
 
 
 def dump(spark):
@@ -117,3 +118,34 @@ def test_pruned_paths_need_sizes_of_what_the_starts_reach_alone(spark, monkeypat
     assert dump.find_paths_exact(requests.limit(0)).count() == 0
     with pytest.raises(LookupError):
         dump.find_paths_exact(spark.createDataFrame([(1, 100, 7)], "request long, start long, end long"))
+
+
+def test_common_report_needs_sizes_of_what_either_reaches_alone(spark, monkeypatch):
+    line, event, given = 7000000000001, 8000000000009, lines_and_regions(spark)
+    objects = given.objects.unionByName(spark.createDataFrame([(event, "app.click", None, 5, None, False)], given.objects.schema))
+    dump = HeapDump(objects, given.refs.unionByName(spark.createDataFrame([(event, 0, 32), (event, 1, 33)], given.refs.schema)))
+    monkeypatch.setattr(fixture, "plain", lambda *_: dump)
+    for name in ("dump", "exact_sizes", "index"):
+        monkeypatch.setattr(fixture, name, None)
+    asked = counted(monkeypatch)
+    found = queries.common_report(spark, "nowhere").select("origin", "step", "id", "subtree_size").collect()
+    assert sorted(tuple(r) for r in found) == [(line, 0, line, 50), (line, 1, 32, 30), (event, 0, event, 35), (event, 1, 32, 30)]
+    assert asked == [(6, 6)]
+    with pytest.raises(LookupError, match="object 7 is"):
+        dump.common_report_exact(event, 7)
+
+
+def test_chains_are_followed_without_a_table_a_hop(spark, monkeypatch):
+    """A chain of 12, then 8 branches, of which one leads back and one is skipped; any bound for the driver gives the same."""
+    objects = spark.range(1, 22).selectExpr("id", "id = 21 AS is_skip")
+    links = [(i, i + 1) for i in range(1, 12)] + [(12, i) for i in range(13, 22)] + [(20, 1), (21, 99), (5, None)]
+    refs = spark.createDataFrame(links, "src long, dst long")
+    kept, given = [], Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df: kept.append(df) or given(self, df))
+    for bound, most in ((1000, 2), (2, 40), (0, 60)):
+        monkeypatch.setattr(paths, "WALKED", bound)
+        kept.clear()
+        with Scratch(spark, "walk") as work:
+            starts = work.keep(spark.createDataFrame([(1, 0), (12, 1)], "id long, side int"))
+            found = {tuple(r) for r in paths._reached(work, objects, refs, starts).collect()}
+        assert found == {(i, s) for s in (0, 1) for i in range(1, 21)} and len(kept) <= most
