@@ -64,6 +64,30 @@ UNION ALL SELECT 9100000000000, 1000000000000 + CAST(r_regionkey AS BIGINT) FROM
 """
 
 
+def _link(pos: object, dst: str) -> str:
+    return f"named_struct('pos', CAST({pos} AS BIGINT), 'dst', {dst})"
+
+
+_NO_LINKS = "CAST(array() AS ARRAY<STRUCT<pos: BIGINT, dst: BIGINT>>)"
+_WHOLE = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
+_LINES = f"SELECT *, {_PLACE} AS nth, collect_list(struct(l_partkey, l_suppkey)) OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey {_WHOLE}) AS parts FROM {{lineitem}}"
+
+#: OBJECTS_SQL with the links of REFS_SQL in each row, by place: a row's links are made together, and objects and links are not joined.
+RECORDS_SQL = f"""
+SELECT 1000000000000 + CAST(r_regionkey AS BIGINT) AS id, 'builtins.dict' AS type, CAST(NULL AS STRING) AS value, CAST(64 AS BIGINT) AS size, coalesce(transform(nations, (n, i) -> {_link("i", "2000000000000 + CAST(n.n_nationkey AS BIGINT)")}), {_NO_LINKS}) AS links FROM {{region}} LEFT JOIN (SELECT n_regionkey, sort_array(collect_list(struct(n_nationkey))) AS nations FROM {{nation}} GROUP BY n_regionkey) ON r_regionkey = n_regionkey
+UNION ALL SELECT 2000000000000 + CAST(n_nationkey AS BIGINT), 'builtins.list', NULL, CAST(56 + n_nationkey AS BIGINT), array({_link(0, "1000000000000 + CAST(n_regionkey AS BIGINT)")}) FROM {{nation}}
+UNION ALL SELECT 3000000000000 + c_custkey, 'app.Customer', NULL, CAST(48 + c_custkey % 97 AS BIGINT), array({_link(0, "2000000000000 + CAST(c_nationkey AS BIGINT)")}) FROM {{customer}}
+UNION ALL SELECT 4000000000000 + s_suppkey, 'builtins.function', CASE WHEN s_suppkey % 10 = 0 THEN concat('typing.', s_name) ELSE concat('app.', s_name) END, CAST(136 AS BIGINT), array({_link(0, "2000000000000 + CAST(s_nationkey AS BIGINT)")}) FROM {{supplier}}
+UNION ALL SELECT 5000000000000 + p_partkey, 'builtins.str', p_name, CAST(49 + length(p_name) AS BIGINT), {_NO_LINKS} FROM {{part}}
+UNION ALL SELECT 6000000000000 + o_orderkey, 'builtins.tuple', NULL, CAST(40 + o_orderkey % 89 AS BIGINT), array({_link(0, "3000000000000 + o_custkey")}) FROM {{orders}}
+UNION ALL SELECT {_LINE}, 'app.LineItem', NULL, CAST(56 + 8 * l_linenumber AS BIGINT), concat(array({_link(0, "6000000000000 + l_orderkey")}), flatten(transform(parts, (p, i) -> array({_link("2 * i + 1", "5000000000000 + p.l_partkey")}, {_link("2 * i + 2", "4000000000000 + p.l_suppkey")})))) FROM ({_LINES}) WHERE nth = 1
+UNION ALL SELECT 8000000000000 + event_id, concat('app.', event_type), NULL, CAST(32 + event_id % 53 AS BIGINT), concat(if(before IS NULL, {_NO_LINKS}, array({_link(0, "8000000000000 + before")})), array({_link(1, "3000000000000 + user_id")}, {_link(2, f"9000000000000 + {_EVENT}")})) FROM (SELECT event_id, event_type, user_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM {{events}})
+UNION ALL SELECT DISTINCT 9000000000000 + {_EVENT}, 'builtins.type', concat('app.', event_type), CAST(1000 AS BIGINT), array({_link(0, "9100000000000")}) FROM {{events}}
+UNION ALL SELECT 9100000000000, 'builtins.module', 'module app', CAST(72 AS BIGINT), sort_array(collect_list({_link("r_regionkey", "1000000000000 + CAST(r_regionkey AS BIGINT)")})) FROM {{region}}
+UNION ALL SELECT 11000000000000 + doc_id, 'builtins.str', CASE WHEN length(text) > 1000 THEN concat(substring(text, 1, 1000), '...<truncated>') ELSE text END, CAST(49 + length(text) AS BIGINT), {_NO_LINKS} FROM {{documents}}
+"""
+
+
 def _sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in text})
 
@@ -77,6 +101,11 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, LINKS_SQL)
 
 
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, type, value, size, links): the objects, each with its links (pos, dst) in order."""
+    return _sql(spark, sf_dir, RECORDS_SQL)
+
+
 def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, OBJECTS_SQL).withColumn("is_skip", is_skip(F.col("type"), F.col("value")))
 

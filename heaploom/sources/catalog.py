@@ -15,7 +15,7 @@ from ..dump import HeapDump
 from ..operators.dag import GraphIndex
 from ..plans.storage import Scratch, create_once, filesystem, read_small
 from ..schema import Precision
-from .jsonl import read_jsonl
+from .jsonl import ORDER, newest, parse_jsonl
 
 #: Columns of the tables that dumps are stored in.
 TABLES = {
@@ -86,25 +86,27 @@ class Catalog:
     def _folder(self, table: str, name: str, version: str) -> str:
         return f"{self.root}/{table}/dump_name={_quoted(name)}/version={version}"
 
-    def import_records(self, records: DataFrame, name: str, precision: Precision | str = Precision.MEDIUM, source: str | None = None) -> HeapDump:
+    def import_records(self, records: DataFrame, name: str, precision: Precision | str = Precision.MEDIUM, source: str | None = None, kept: bool = False, single: bool = False) -> HeapDump:
         """Derive the tables and publish them under the name: readers see all or nothing, and of several writers of a name one wins, the others get DumpExists.
 
-        ``source`` is noted with the dump and read back by :meth:`source_of`.
+        ``source`` is noted with the dump and read back by :meth:`source_of`.  ``kept``: the records are read from a stored table, and are not stored again.
+        ``single``: no id has several records, so links that are told apart within their record need not be told apart again.
         """
         self._check(name)
         version, published = uuid.uuid4().hex, False
         try:
             with Scratch(self.spark, "records") as work:
-                records = work.keep(records)
+                records = records if kept else work.keep(records)
                 dump = HeapDump.from_records(records, precision, index_path=self._folder("_index", name, version), kept=True)
                 objects = dump.objects.repartitionByRange("type", "id").sortWithinPartitions("type", "id")
-                objects.write.option("parquet.bloom.filter.enabled#id", "true").parquet(self._folder("objects", name, version))
+                objects.write.option("compression", "zstd").option("parquet.bloom.filter.enabled#id", "true").parquet(self._folder("objects", name, version))
                 # References are dealt out and sorted record by record, before there is a row for each.
                 sources = records.select(F.col("id").alias("src"), "references").where("size(references) > 0").repartitionByRange("src").sortWithinPartitions("src")
-                sources.select("src", F.posexplode("references").alias("pos", "dst")).write.parquet(self._folder("refs", name, version))
+                sources.select("src", F.posexplode("references").alias("pos", "dst")).write.option("compression", "zstd").parquet(self._folder("refs", name, version))
                 # Equal links of a range are in one partition, so they need no shuffle of their own.
                 back = records.select(F.explode(F.array_distinct("references")).alias("dst"), F.col("id").alias("src")).repartitionByRange("dst", "src")
-                back.distinct().sortWithinPartitions("dst", "src").write.parquet(self._folder("referrers", name, version))
+                back = back if single else back.distinct()
+                back.sortWithinPartitions("dst", "src").write.parquet(self._folder("referrers", name, version))
             published = create_once(self.spark, f"{self.root}/_names/{_quoted(name)}", json.dumps({"version": version, "source": source}) + "\n")
             if not published:
                 raise DumpExists(f"there is a dump named {name!r}")
@@ -136,7 +138,11 @@ class Catalog:
 
     def import_dump(self, path: str, name: str | None = None, precision: Precision | str = Precision.MEDIUM) -> HeapDump:
         """Import JSON-lines files.  Unknown precisions mean medium; the name defaults to that of the file."""
-        return self.import_records(read_jsonl(self.spark, path), name or self.default_name(path), precision, path)
+        name = name or self.default_name(path)
+        self._check(name)
+        with Scratch(self.spark, "lines") as work:
+            records = newest(work, work.keep(parse_jsonl(self.spark, path)), ORDER)
+            return self.import_records(records, name, precision, path, kept=True, single=True)
 
     # -- reading -------------------------------------------------------------------
 

@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.storage import fresh_path
+from ..plans.storage import Scratch, fresh_path, sized
 from ..schema import RAW, REQUIRED
 from .archive import archive_lines
 
 _READ = T.StructType([*RAW.fields, T.StructField("_corrupt", T.StringType())])
+#: Which line of a file is last: columns of lines that are not told apart yet.
+ORDER = ["_file", "_line"]
 _OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
 
 
@@ -51,10 +53,26 @@ def last_wins(records: DataFrame, order: list[str]) -> DataFrame:
     return records.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n", *order)
 
 
+def newest(work: Scratch, records: DataFrame, order: list[str]) -> DataFrame:
+    """The rows of :func:`last_wins` of a kept table, kept: all ids are shuffled, but of the records only those whose id is repeated."""
+    repeated = work.keep(records.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"))
+    n = repeated.count()
+    if not n:
+        return records.drop(*order)
+    again = sized(repeated, n)
+    last = last_wins(records.join(again, "id", "left_semi"), order)
+    return work.keep(records.join(again, "id", "left_anti").drop(*order).unionByName(last))
+
+
+def parse_jsonl(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Records of JSON-lines files, checked, with their ORDER; an id may have several.  Blank lines are skipped, compressed files are read by their suffix."""
+    lines = spark.read.text(path).select("value", F.input_file_name().alias("_file"), F.monotonically_increasing_id().alias("_line"))
+    return validate(_parsed(lines))
+
+
 def read_jsonl(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Records of JSON-lines files, checked, one per id (the last line of the last file wins).  Blank lines are skipped."""
-    lines = spark.read.text(path).select("value", F.input_file_name().alias("_file"), F.monotonically_increasing_id().alias("_line"))
-    return last_wins(validate(_parsed(lines)), ["_file", "_line"])
+    return last_wins(parse_jsonl(spark, path), ORDER)
 
 
 def read_lines(spark: SparkSession, lines: Iterable[bytes]) -> DataFrame:
@@ -93,8 +111,11 @@ def read_archive(spark: SparkSession, path: str, strict: bool = True) -> DataFra
     return records.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n", "_line", "archive")
 
 
-def write_jsonl(records: DataFrame, path: str | None = None) -> str:
-    """Write records as JSON lines (absent values stay absent); Spark's committer publishes all files or none."""
+def write_jsonl(records: DataFrame, path: str | None = None, compression: str = "none") -> str:
+    """Write records as JSON lines (absent values stay absent); Spark's committer publishes all files or none.
+
+    ``compression``: also gzip and what else Spark writes texts with; a compressed file is read by one task.
+    """
     path = path or fresh_path(records.sparkSession, "jsonl")
-    records.write.option("ignoreNullFields", "true").json(path)
+    records.write.option("ignoreNullFields", "true").option("compression", compression).json(path)
     return path
