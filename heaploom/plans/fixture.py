@@ -150,12 +150,12 @@ def _refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def plain(spark: SparkSession, sf_dir: str) -> HeapDump:
-    """The graph as a dump without sizes, stored by id and by source: look-ups of few objects or sources read few row groups."""
+    """The graph as a dump without sizes, stored once by id, links with their sources: look-ups of few objects or sources read few row groups."""
 
     def make() -> HeapDump:
-        by_id = stored(objects(spark, sf_dir).repartitionByRange("id").sortWithinPartitions("id"), "by-id")
-        by_source = stored(refs(spark, sf_dir).repartitionByRange("src").sortWithinPartitions("src"), "by-source")
-        return HeapDump(by_id.select("id", "type", "value", "size", F.lit(None).cast("long").alias("subtree_size"), "is_skip"), by_source)
+        made = records(spark, sf_dir).withColumn("is_skip", is_skip(F.col("type"), F.col("value")))
+        by_id = stored(made.repartitionByRange("id").sortWithinPartitions("id"), "by-id")
+        return HeapDump(by_id.select("id", "type", "value", "size", F.lit(None).cast("long").alias("subtree_size"), "is_skip"), by_id.select(F.col("id").alias("src"), F.inline("links")))
 
     return _kept(spark, sf_dir, "plain", make)
 

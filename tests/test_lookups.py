@@ -27,3 +27,15 @@ def test_more_names_than_few_are_joined(spark, monkeypatch):
 def test_the_first_line_is_that_of_the_objects(spark):
     objects = fixture.objects(spark, "/root/testdata/sf0.001")
     assert fixture.first_line(spark, "/root/testdata/sf0.001") == objects.where("type = 'app.LineItem'").agg(F.min("id")).first()[0]
+
+
+def test_the_plain_dump_is_stored_once_and_looked_up_by_source(spark, monkeypatch):
+    """One table holds objects and links; a filter on the source of links is answered by the statistics of that table."""
+    small, made, given = "/root/testdata/sf0.001", [], fixture.stored
+    monkeypatch.setattr(fixture, "_KEPT", {})
+    monkeypatch.setattr(fixture, "stored", lambda df, name: made.append(name) or given(df, name))
+    dump = fixture.plain(spark, small)
+    assert len(made) == 1
+    for found, wanted in ((dump.refs, fixture.refs(spark, small)), (dump.objects.drop("subtree_size"), fixture.objects(spark, small))):
+        assert found.count() == wanted.count() and found.select(wanted.columns).exceptAll(wanted).isEmpty()
+    assert "PushedFilters: [In(id," in dump.refs.where("src IN (7, 9)")._jdf.queryExecution().executedPlan().toString()
